@@ -1 +1 @@
-
+"""Registered queries over the test tables, each with its DuckDB SQL where there is one."""
