@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from folio.plans import classification, core, detect, passage, robust, runrate  # noqa: F401
+from folio.plans import classification, core, detect, graph, passage, robust, runrate  # noqa: F401
