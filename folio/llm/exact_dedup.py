@@ -60,7 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of any size is only ever counted and joined, in parts.
     """
     members = recipes(docs, id_col, text_col, identify).groupBy("recipe", id_col, "text_sha256").agg(F.count("*").alias("copies"))
-    groups = members.groupBy("recipe").agg(F.max(id_col).alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written, so that the join is between two plain exchanges and a hot recipe's rows can be split
+    groups = materialize(members.groupBy("recipe").agg(F.max(id_col).alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     return (
         members.join(groups, "recipe")
         .select(id_col, "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
