@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import plain
+from folio.llm.common import materialize, plain
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -39,7 +39,7 @@ def word_grams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_words: int = 30_000, max_grams: int = 100_000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 5_000, max_words: int = 30_000, max_grams: int = 100_000) -> Model:
     """Fit on about max_docs rows (all, when fewer), chosen by a hash of the id; null labels left out.
 
     Words and n-grams are counted by Spark; the most frequent max_words words and
@@ -54,34 +54,48 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for b in batches:
             found: Counter = Counter()
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                for word, c in Counter(letters(text)).items():
-                    found[lang, "w", word] += c
-                    for n in ORDERS:
-                        for g in word_grams(word, n):
-                            found[lang, "g", g] += c
-            cols = list(zip(*[(*k, c) for k, c in found.items()])) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["lang", "kind", "token", "n"])
-
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, kind string, token string, n long").groupBy("kind", "token", "lang").agg(F.sum("n").alias("n"))
-    tokens = counts.groupBy("kind", "token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = [r for kind, most in (("w", max_words), ("g", max_grams)) for r in tokens.where(F.col("kind") == kind).orderBy(F.desc("total"), "token").limit(most).collect()]
-    langs = sorted({lang for r in top for lang in r["by"]})
+                found.update((lang, word) for word in letters(text))
+            yield _counts(found)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                for order in ORDERS:
+                    for g in word_grams(word, order):
+                        found[lang, g] += n
+            yield _counts(found)
+
+    schema = "lang string, token string, n long"
+    counted = sample.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "words")
+    grams_of = counted.mapInArrow(split, schema)
+    top = []
+    for kind, rows, most in (("w", counted, max_words), ("g", grams_of, max_grams)):
+        by = rows.groupBy("token", "lang").agg(F.sum("n").alias("n")).groupBy("token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        top += [(kind, r["token"], r["by"]) for r in by.orderBy(F.desc("total"), "token").limit(most).collect()]
+    langs = sorted({lang for _, _, by in top for lang in by})
     total: Counter = Counter()
     size: Counter = Counter()
-    for r in top:
-        kind = r["kind"] if r["kind"] == "w" else len(r["token"])
-        size[kind] += 1
-        for lang, n in r["by"].items():
-            total[kind, lang] += n
+    order = lambda kind, token: kind if kind == "w" else len(token)
+    for kind, token, by in top:
+        size[order(kind, token)] += 1
+        for lang, n in by.items():
+            total[order(kind, token), lang] += n
     words: dict[str, np.ndarray] = {}
     grams: dict[str, np.ndarray] = {}
-    for r in top:
-        kind = r["kind"] if r["kind"] == "w" else len(r["token"])
-        row = np.array([math.log((r["by"].get(k, 0) + 0.5) / (total[kind, k] + 0.5 * size[kind])) for k in langs])
-        (words if r["kind"] == "w" else grams)[r["token"]] = row
+    for kind, token, by in top:
+        k = order(kind, token)
+        row = [math.log((by.get(lang, 0) + 0.5) / (total[k, lang] + 0.5 * size[k])) for lang in langs]
+        (words if kind == "w" else grams)[token] = np.array(row)
     return Model(langs, words, grams)
 
 
+def _counts(found: Counter) -> pa.RecordBatch:
+    keys = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "token", "n"])
+
+
 def score_word(model: Model, word: str) -> np.ndarray | None:
     """Log frequencies of a known word; else the mean over its n-grams of the longest
     order of which any is known; None when not even a letter is known."""
@@ -93,21 +107,40 @@ def score_word(model: Model, word: str) -> np.ndarray | None:
     return None
 
 
-def predict(model: Model, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
-    words = Counter(letters(text or ""))
-    if not words or not model.langs:
-        return UNKNOWN, 0.0
-    total = np.zeros(len(model.langs))
-    for word, n in words.items():
-        if word not in cache:
-            if len(cache) > 300_000:
-                cache.clear()
-            cache[word] = score_word(model, word)
-        if cache[word] is not None:
-            total += n * cache[word]
-    p = np.exp(total - total.max())
-    best = int(np.argmax(total))
-    return model.langs[best], round(float(p[best] / p.sum()), 6)
+class Scorer:
+    """Predictions with the scores of words met so far in one matrix, a row for each."""
+
+    def __init__(self, model: Model, most: int = 500_000) -> None:
+        self.model, self.most = model, most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.row = {w: i for i, w in enumerate(self.model.words)}
+        known = np.array(list(self.model.words.values())).reshape(len(self.row), len(self.model.langs))
+        self.table = np.zeros((len(known) + 4096, len(self.model.langs)))
+        self.table[: len(known)] = known
+
+    def _add(self, word: str) -> int:
+        if len(self.row) == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        i = self.row[word] = len(self.row)
+        score = score_word(self.model, word)
+        if score is not None:
+            self.table[i] = score
+        return i
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = Counter(letters(text or ""))
+        if not words or not self.model.langs:
+            return UNKNOWN, 0.0
+        if len(self.row) > self.most:
+            self._reset()
+        get = self.row.get
+        at = [i if (i := get(w)) is not None else self._add(w) for w in words]
+        total = np.fromiter(words.values(), np.float64, len(words)) @ self.table[at]
+        p = np.exp(total - total.max())
+        best = int(np.argmax(total))
+        return self.model.langs[best], round(float(p[best] / p.sum()), 6)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,9 +154,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray | None] = {}
+        scorer = Scorer(shared.value)
         for b in batches:
-            made = [predict(shared.value, t, cache) for t in b.column(1).to_pylist()]
+            made = [scorer.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [id_col, "lang_pred", "score"])
 
     rows = plain(docs, id_col, text=text_col)
