@@ -11,7 +11,7 @@ spanning star of its links, so a run of m rows yields fewer than m edges.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,12 +75,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def segment_keys(fp: np.ndarray, plans: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys) for each combination of codewords: key = plan, clean bits, codewords."""
+def segment_keys(fp: np.ndarray, plans: tuple, turn: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys) for each combination of codewords: key = turn and plan, clean bits, codewords."""
     part = [(fp >> np.uint64(a)) & np.uint64((1 << w) - 1) for a, w in SEGMENTS]
     near = {i: golay.keys(part[i]) for _, fuzzy in plans for i in fuzzy}
     for p, (clean, fuzzy) in enumerate(plans):
-        head = np.full(len(fp), p, np.uint64)
+        head = np.full(len(fp), turn * len(plans) + p, np.uint64)
         for i in clean:
             head = head << np.uint64(SEGMENTS[i][1]) | part[i]
         for slots in np.ndindex(*[6] * len(fuzzy)):
@@ -109,20 +109,21 @@ def _stars(node: np.ndarray, proof: np.ndarray, most: int) -> Iterator[tuple[int
 def links(nodes: DataFrame, plans: tuple, most: int, width: int = 1) -> DataFrame:
     """(src, dst) edges that connect all nodes linked through some key.
 
-    nodes: (node long, fp long, proof array<long> of width), without nulls. Two nodes link when
-    they share a key and their proofs differ in at most most bits.
+    nodes: (node long, fps array<long>, proof array<long> of width), without nulls, all fps of
+    one length. Two nodes link when they share a key of the same one of their fps and
+    their proofs differ in at most most bits.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 4096):
                 b = whole.slice(a, 4096)
-                fp = b.column(1).to_numpy().view(np.uint64)
-                for rows, key in segment_keys(fp, plans):
+                fps = b.column(1).flatten().to_numpy().view(np.uint64).reshape(len(b), -1)
+                for rows, key in chain.from_iterable(segment_keys(fp, plans, i) for i, fp in enumerate(fps.T)):
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.select(["node", "proof"]).take(pa.array(rows)).columns], ["key", "node", "proof"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.int64))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint64))
         key, node, proof = empty
 
         def done(key: np.ndarray, node: np.ndarray, proof: np.ndarray) -> pa.RecordBatch:
@@ -141,7 +142,7 @@ def links(nodes: DataFrame, plans: tuple, most: int, width: int = 1) -> DataFram
         for b in batches:
             key = np.concatenate([key, b.column(0).to_numpy()])
             node = np.concatenate([node, b.column(1).to_numpy()])
-            proof = np.concatenate([proof, b.column(2).flatten().to_numpy().reshape(-1, width)])
+            proof = np.concatenate([proof, b.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, width)])
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if last:
                 yield done(key[:last], node[:last], proof[:last])
@@ -150,7 +151,7 @@ def links(nodes: DataFrame, plans: tuple, most: int, width: int = 1) -> DataFram
             yield done(key, node, proof)
 
     return (
-        nodes.select("node", "fp", "proof")
+        nodes.select("node", "fps", "proof")
         .mapInArrow(emit, "key long, node long, proof array<long>")
         .repartition(partitions(nodes.sparkSession), "key")
         .sortWithinPartitions("key")
@@ -170,7 +171,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     """
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(id_col).alias("low"))
-    edges = links(nodes.select(F.col("fp").alias("node"), "fp", F.array("fp").alias("proof")), EXACT_2, 2)
+    edges = links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.array("fp").alias("proof")), EXACT_2, 2)
     joined = components(edges)
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -181,28 +182,29 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of documents that have near-duplicates; component is the smallest id.
 
-    Candidates share Golay keys of two segments of the SimHash of their distinct
-    words. A link is verified on a 128-bit SimHash over shingles of five words: the
+    Candidates share Golay keys of two segments of one of two SimHashes of their
+    distinct words. A link is verified on a 128-bit SimHash over shingles of five words: the
     similarity (Jaccard) of 0.8 means a cosine of 2s/(1+s) and so an expected share
     of differing bits, plus one standard deviation. Null ids are left out.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(128 * share + (128 * share * (1 - share)) ** 0.5)
 
+    def pair(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, 2, dtype=np.int32)), pa.array(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
-                distinct = sorted(set(words))
-                blocks = list(hashes(words, shingle))
-                out.append([majority(hashes(distinct, 1)), majority(blocks), majority(map(mixed, blocks))])
-            made = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
-            proof = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(b) + 1, 2, dtype=np.int32)), pa.array(np.ascontiguousarray(made[:, 1:]).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(made[:, 0])), proof], ["node", "fp", "proof"])
+                distinct, blocks = list(hashes(sorted(set(words)), 1)), list(hashes(words, shingle))
+                out.append([majority(distinct), majority(map(mixed, distinct)), majority(blocks), majority(map(mixed, blocks))])
+            made = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pair(made[:, :2].ravel()), pair(made[:, 2:].ravel())], ["node", "fps", "proof"])
 
     rows = plain(docs, id_col, text=text_col).where(F.col(id_col).isNotNull())
-    prints = materialize(rows.mapInArrow(run, "node long, fp long, proof array<long>"), "fingerprints")
+    prints = materialize(rows.mapInArrow(run, "node long, fps array<long>, proof array<long>"), "fingerprints")
     return components(links(prints, PAIRS_5, most, 2))
 
 
