@@ -26,6 +26,7 @@ TEMPLATES = """
 613|charge_recurrente|401 486 488
 614|charge_recurrente|401 488
 615|services|401 408 512
+616|charge_recurrente|401 486 488
 617|services|401 408
 618|services|401 512
 622|honoraires|401 421 431 512
@@ -36,6 +37,7 @@ TEMPLATES = """
 631|taxes|442 447 512
 633|taxes|447 488 512
 635|taxes|447 488 512
+661|financier|164 512 518
 666|financier|512
 681|dotation|28 29 39 49 15
 686|dotation|29 49 15
@@ -46,6 +48,7 @@ TEMPLATES = """
 781|reprise|28 29 39 49 15
 786|reprise|29 49 15
 787|reprise|15
+791|transfert|6
 """
 TEMPLATE_ROWS = [tuple(line.split("|")) for line in TEMPLATES.strip().splitlines()]
 
