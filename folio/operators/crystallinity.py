@@ -126,7 +126,7 @@ def icc(df: DataFrame) -> DataFrame:
     index = F.round(F.least(F.greatest(F.col("wa") * sa + F.col("wl") * sl + F.col("wt") * F.col("time_score") + F.col("wj") * F.col("purity") + F.col("wc") * F.col("cp_hhi"), F.lit(0.0)), F.lit(1.0)), 6)
     level = first_of([(F.col("icc") >= 0.7, "crystalline"), (F.col("icc") >= 0.4, "vitreous")], "amorphous")
     return j.withColumn("icc", index).select(
-        *COUPLE, "family", "universe", rounded(sa).alias("amount_score"), rounded(sl).alias("label_score"), "time_score", "purity", "cp_hhi", "icc", level.alias("level"), "expected", "threshold"
+        *COUPLE, "family", "universe", rounded(sa, 6).alias("amount_score"), rounded(sl).alias("label_score"), "time_score", "purity", "cp_hhi", "icc", level.alias("level"), "expected", "threshold"
     )
 
 

@@ -37,7 +37,7 @@ cc AS (SELECT {C}, k AS counterparties, {r('hhi')} AS cp_hhi, {r('top')} AS cp_t
 {values('dim', 'universe, expected, threshold, wa, wl, wt, wj, wc', o.UNIVERSE_ROWS)},
 pa AS (SELECT cv.account, cv.site, cv.account[1:3] AS family, {UNI.replace('prefix_3', 'cv.account[1:3]')} AS universe, 1 - least(cv_total, 2) / 2 AS sa, greatest(1 - coalesce(entropy_normalized, 0), 0) AS sl, time_score, purity, cp_hhi
   FROM cv LEFT JOIN te USING (account, site) JOIN tp USING (account, site) JOIN jd USING (account, site) JOIN cc USING (account, site)),
-ic AS (SELECT {C}, family, pa.universe, {r('sa')} AS amount_score, {r('sl')} AS label_score, time_score, purity, cp_hhi, round(CAST(least(greatest(wa * sa + wl * sl + wt * time_score + wj * purity + wc * cp_hhi, 0), 1) AS DOUBLE), 6) AS icc, CAST(expected AS DOUBLE) AS expected, CAST(threshold AS DOUBLE) AS threshold FROM pa JOIN dim USING (universe))"""
+ic AS (SELECT {C}, family, pa.universe, {r('sa', 6)} AS amount_score, {r('sl')} AS label_score, time_score, purity, cp_hhi, round(CAST(least(greatest(wa * sa + wl * sl + wt * time_score + wj * purity + wc * cp_hhi, 0), 1) AS DOUBLE), 6) AS icc, CAST(expected AS DOUBLE) AS expected, CAST(threshold AS DOUBLE) AS threshold FROM pa JOIN dim USING (universe))"""
 for name, table, f in (("icc01_cv_split", "cv", o.cv_split), ("icc02_token_entropy", "te", o.token_entropy), ("icc03_temporal", "tp", o.temporal), ("icc04_journals", "jd", o.journal_diversity), ("icc05_counterparties", "cc", o.cp_concentration)):
     query(name, f"SELECT * FROM {table}", PARTS)(f)
 query("icc06_index", "SELECT *, CASE WHEN icc >= 0.7 THEN 'crystalline' WHEN icc >= 0.4 THEN 'vitreous' ELSE 'amorphous' END AS level FROM ic", PARTS)(o.icc)
