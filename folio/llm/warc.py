@@ -67,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + SPLIT + block + SPLIT
 
 
-def member(data: bytes, level: int = 6) -> bytes:
+def member(data: bytes, level: int = 4) -> bytes:
     c = zlib.compressobj(level, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
 
@@ -157,8 +157,8 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = 256 << 20, file_b
         close()
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(m) for m in made], pa.string())], ["entry"])
 
-    sorted_ = both.select("shard", "page_id", "kind", "digest", "url", "payload", "refers_to").repartition(max(1, 4 * (len(inner) + 1)), "shard") if inner else both.select("shard", "page_id", "kind", "digest", "url", "payload", "refers_to").repartition(1)
-    sorted_ = sorted_.sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    laid = both.select("shard", "page_id", "kind", "digest", "url", "payload", "refers_to")
+    sorted_ = laid.repartition(len(inner) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     entries = sorted((json.loads(r["entry"]) for r in sorted_.mapInArrow(write, "entry string").collect()), key=lambda e: e["file"])
     _commit(path, temporary, entries)
     return entries
@@ -181,7 +181,7 @@ def _commit(path: str, temporary: str, entries: list[dict]) -> None:
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a gzipped archive, member by member."""
     data, left = b"", zlib.decompressobj(31)
-    raw = stream.read(1 << 20)
+    raw = stream.read(1 << 16)
     while raw:
         data += left.decompress(raw)
         raw = left.unused_data
@@ -193,7 +193,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise ValueError(f"record {fields.get('WARC-Record-ID')} is damaged")
             yield fields, rest[:n]
             data, left = b"", zlib.decompressobj(31)
-        raw = raw or stream.read(1 << 20)
+        raw = raw or stream.read(1 << 16)
     if data:
         raise ValueError("the archive ends within a record")
 
