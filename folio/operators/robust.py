@@ -30,7 +30,7 @@ def profile_columns(df: DataFrame, numbers: list[str], texts: list[str]) -> Data
             F.struct(
                 F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("distinct"),
                 rounded(F.avg(x), 2).alias("mean"), rounded(F.stddev_samp(x), 2).alias("std"), rounded(F.min(x), 2).alias("min"), rounded(F.max(x), 2).alias("max"),
-                *[rounded(quartiles[i], 2).alias(f"q{i + 1}") for i in range(3)], rounded(skew, 3).alias("skew"), rounded(kurt, 3).alias("kurtosis"),
+                *[rounded(quartiles[i]).alias(f"q{i + 1}") for i in range(3)], rounded(skew, 3).alias("skew"), rounded(kurt, 3).alias("kurtosis"),
                 (F.lit(None).cast("string") if c in numbers else F.mode(c, True)).alias("mode"),
             )
         )

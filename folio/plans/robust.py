@@ -17,7 +17,7 @@ query(
     "prf01_profile_columns",
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", {r(f'avg({x})', 2)} AS mean, {r(f'stddev_samp({x})', 2)} AS std, {r(f'min({x})', 2)} AS min, {r(f'max({x})', 2)} AS max, "
-        f"{r(f'quantile_cont({x}, 0.25)', 2)} AS q1, {r(f'quantile_cont({x}, 0.5)', 2)} AS q2, {r(f'quantile_cont({x}, 0.75)', 2)} AS q3, {r(f'skewness({x})', 3)} AS skew, {r(f'kurtosis({x})', 3)} AS kurtosis, NULL AS mode FROM ledger"
+        f"{r(f'quantile_cont({x}, 0.25)')} AS q1, {r(f'quantile_cont({x}, 0.5)')} AS q2, {r(f'quantile_cont({x}, 0.75)')} AS q3, {r(f'skewness({x})', 3)} AS skew, {r(f'kurtosis({x})', 3)} AS kurtosis, NULL AS mode FROM ledger"
         for c in ("debit", "amount") for x in (X.format(c=c),)
     )
     + "".join(
