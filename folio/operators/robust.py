@@ -199,12 +199,12 @@ def conformal(df: DataFrame, year: int, min_n: int = 6) -> DataFrame:
     spread = old.join(centre, "family").groupBy("family").agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5).alias("raw"))
     scale = F.when(F.col("raw") > 0, F.col("raw")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     j = m.join(centre, "family").join(spread, "family").withColumn("score", F.round(F.abs(F.col("v") - F.col("median")) / scale, 9))
-    fresh = j.where("new").select("family", F.col("v").alias("value"), F.col("score").alias("s_new"), "n", "mean", "ss")
+    fresh = j.where("new").select("family", F.col("v").alias("value"), F.col("score").alias("s_new"), "n", "mean", "ss", "median", "period")
     counts = j.where("NOT new").select("family", "score").join(fresh.select("family", "s_new"), "family").groupBy("family").agg(F.count_if(F.col("score") >= F.col("s_new")).alias("far"))
     p = F.when(F.col("n") < 2, 1.0).otherwise((1 + F.col("far")) / (1 + F.col("n")))
     z = F.coalesce(F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("ss"))), F.lit(0.0))
     method = F.when(F.col("n") >= min_n, "conformal").otherwise("dead_band")
-    return fresh.join(counts, "family").select("family", rounded(F.col("value"), 2).alias("value"), rounded(F.col("s_new")).alias("score"), "n", rounded(p).alias("p_value"), rounded(z).alias("z"), method.alias("method"))
+    return fresh.join(counts, "family").select("family", "period", rounded(F.col("median"), 3).alias("median"), rounded(F.col("value"), 2).alias("value"), rounded(F.col("s_new")).alias("score"), "n", rounded(p).alias("p_value"), rounded(z).alias("z"), method.alias("method"))
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value", key: str = "family") -> DataFrame:

@@ -98,13 +98,13 @@ query("sta07_is_round", f"SELECT account, count(*) AS lines, count(*) FILTER (a
 CONF = months("prefix_3 AS family", None) + f""", w AS (SELECT *, period = max(period) OVER (PARTITION BY family) AS new FROM m),
 c AS (SELECT family, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS sd, stddev_samp(v) AS ss, avg(v) AS mean, count(*) AS n FROM w WHERE NOT new GROUP BY family),
 sp AS (SELECT family, quantile_cont(abs(v - median), 0.5) AS raw FROM w JOIN c USING (family) WHERE NOT new GROUP BY family),
-j AS (SELECT w.*, c.n, c.mean, c.ss, round(abs(v - median) / (CASE WHEN raw > 0 THEN raw WHEN sd > 0 THEN sd ELSE 1 END), 9) AS score FROM w JOIN c USING (family) JOIN sp USING (family)),
-conf AS (SELECT a.family, {r('any_value(a.v)', 2)} AS value, {r('any_value(a.score)')} AS score, any_value(a.n) AS n, {r('CASE WHEN any_value(a.n) < 2 THEN 1 ELSE (1 + count(*) FILTER (b.score >= a.score)) / (1 + any_value(a.n)) END')} AS p_value,
+j AS (SELECT w.*, c.n, c.mean, c.ss, c.median, round(abs(v - median) / (CASE WHEN raw > 0 THEN raw WHEN sd > 0 THEN sd ELSE 1 END), 9) AS score FROM w JOIN c USING (family) JOIN sp USING (family)),
+conf AS (SELECT a.family, any_value(a.period) AS period, {r('any_value(a.median)', 3)} AS median, {r('any_value(a.v)', 2)} AS value, {r('any_value(a.score)')} AS score, any_value(a.n) AS n, {r('CASE WHEN any_value(a.n) < 2 THEN 1 ELSE (1 + count(*) FILTER (b.score >= a.score)) / (1 + any_value(a.n)) END')} AS p_value,
   {r('coalesce(abs((any_value(a.v) - any_value(a.mean)) / nullif(any_value(a.ss), 0)), 0)')} AS z, CASE WHEN any_value(a.n) >= 6 THEN 'conformal' ELSE 'dead_band' END AS method FROM j a JOIN j b ON a.family = b.family AND NOT b.new WHERE a.new GROUP BY a.family)"""
 query("sta09_conformal", "SELECT * FROM conf", CONF)(lambda led: o.conformal(led, None))
 query(
     "sta11_bh_adjust",
-    f"SELECT family, value, score, n, p_value, z, method, CAST(rank AS INT) AS rank, {r('least(min(p_value * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING), 1)', 6)} AS p_adjusted FROM (SELECT *, row_number() OVER (ORDER BY p_value, family) AS rank, count(*) OVER () AS m FROM conf)",
+    f"SELECT family, period, median, value, score, n, p_value, z, method, CAST(rank AS INT) AS rank, {r('least(min(p_value * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING), 1)', 6)} AS p_adjusted FROM (SELECT *, row_number() OVER (ORDER BY p_value, family) AS rank, count(*) OVER () AS m FROM conf)",
     CONF,
 )(lambda led: o.bh_adjust(o.conformal(led, None)))
 query(
