@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from folio.plans import classification, core, detect, graph, passage, regularity, robust, runrate, signals  # noqa: F401
+from folio.plans import classification, core, detect, graph, labels, passage, regularity, robust, runrate, signals  # noqa: F401
