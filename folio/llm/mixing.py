@@ -197,5 +197,6 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, seed: int = 7) -> DataF
     copies = taken.groupBy("doc_id").agg(F.count("*").alias("n"))
     rows = sizes.groupBy("doc_id").agg(F.count("*").alias("rows"))
     # rows repeated under one id share what the mix takes of that id
-    each = copies.join(rows, "doc_id").select(F.col("doc_id").alias("__id"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("__n"))
-    return docs.join(each, docs["doc_id"] == each["__id"]).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    joined = copies.join(rows, copies["doc_id"].eqNullSafe(rows["doc_id"]))
+    each = joined.select(copies["doc_id"].alias("__id"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("__n"))
+    return docs.join(each, docs["doc_id"].eqNullSafe(each["__id"])).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
