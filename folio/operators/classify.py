@@ -165,3 +165,51 @@ def counterparty_type(df: DataFrame) -> DataFrame:
     best = sums.groupBy("voucher", F.when(F.col("side") == "D", "C").otherwise("D").alias("side")).agg(F.max_by("kind", F.struct(F.col("volume"), -rank)).alias("counterparty_type"))
     return best
 
+
+
+# Account family | expected types of counterparty.
+EXPECTED_TYPES = """
+641|PERSONNEL ORGANISMES BANQUE
+645|ORGANISMES BANQUE
+647|PERSONNEL BANQUE
+606|FOURNISSEUR BANQUE
+607|FOURNISSEUR BANQUE
+611|FOURNISSEUR PROVISION
+613|FOURNISSEUR PROVISION ETALEMENT
+615|FOURNISSEUR
+616|FOURNISSEUR ETALEMENT
+617|FOURNISSEUR
+618|FOURNISSEUR
+622|FOURNISSEUR PERSONNEL
+623|FOURNISSEUR
+625|FOURNISSEUR PERSONNEL
+626|FOURNISSEUR BANQUE
+627|FOURNISSEUR BANQUE
+631|ETAT
+633|ETAT PROVISION
+635|ETAT PROVISION
+637|ETAT
+661|BANQUE
+666|BANQUE
+681|PROVISION
+686|PROVISION
+687|PROVISION
+706|CLIENT
+707|CLIENT
+708|CLIENT
+709|CLIENT
+781|PROVISION
+786|PROVISION
+787|PROVISION
+"""
+EXPECTED_TYPE_ROWS = [tuple(line.split("|")) for line in EXPECTED_TYPES.strip().splitlines()]
+
+
+def type_conformity(df: DataFrame) -> DataFrame:
+    """(family, counterparty_type, lines, conform): families without expected types, and lines without a counterparty, conform."""
+    side = F.when(F.col("debit") > 0, "D").otherwise("C")
+    lines = df.groupBy("voucher", side.alias("side"), F.substring("account", 1, 3).alias("family")).agg(F.count("*").alias("n"))
+    typed = lines.join(counterparty_type(df), ["voucher", "side"], "left").groupBy("family", "counterparty_type").agg(F.sum("n").alias("lines"))
+    expected = F.broadcast(df.sparkSession.createDataFrame(EXPECTED_TYPE_ROWS, "family string, types string"))
+    ok = F.array_contains(F.split("types", " "), F.col("counterparty_type"))
+    return typed.join(expected, "family", "left").withColumn("conform", F.coalesce(ok, F.lit(True))).drop("types")

@@ -109,3 +109,20 @@ def materiality(s: DataFrame) -> DataFrame:
     q = F.col("amount") / F.col("limit")
     score = F.when(q < 1, 50 * q).otherwise(F.least(50 + 50 * F.log10(1 + q) / F.log10(F.lit(11.0)), F.lit(100.0)))
     return j.select("id", "family", "universe", "test", "amount", "limit", (F.col("amount") >= F.col("limit")).alias("material"), rounded(score).alias("materiality_score"))
+
+
+# Universe | share of the volume that is material | tolerated monthly variation.
+CALIBRATION = [
+    ("CRISTALLIN", 0.02, 0.05), ("NOMINATIF_TIERS", 0.05, 0.30), ("NOMINATIF_OPERATIONNEL", 0.05, 0.20), ("PROCESSUS", 0.03, 0.15), ("VENTILATION", 0.02, 0.10),
+    ("CUT_OFF", 0.03, 0.50), ("TRESORERIE", 0.05, 0.50), ("PONCTUEL", 0.10, 1.00), ("INVENTAIRE", 0.05, 0.20), ("COMPOSITE", 0.08, 0.30),
+]
+FLOOR = 500.0
+
+
+def calibrate(df: DataFrame, year: int) -> DataFrame:
+    """Per family: variation of monthly nets, dead band (1.5 + 2 × variation), materiality (a share of the volume, 500 at least), tolerated variation."""
+    v = F.abs("v")
+    g = active_months(df, year, "prefix_3").groupBy(F.col("prefix_3").alias("family")).agg(ratio(F.stddev_pop(v), F.avg(v)).alias("cv"), F.sum(v).alias("volume"))
+    dim = F.broadcast(df.sparkSession.createDataFrame(CALIBRATION, "universe string, share double, variation double"))
+    j = g.withColumn("universe", universe_of(F.col("family"))).join(dim, "universe")
+    return j.select("family", "universe", rounded(F.col("cv")).alias("cv"), rounded(1.5 + 2 * F.col("cv")).alias("dead_band"), rounded(F.greatest(F.col("volume") * F.col("share"), F.lit(FLOOR)), 3).alias("materiality"), "variation")

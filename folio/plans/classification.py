@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import classify as c
@@ -96,7 +95,14 @@ query(
     f"k AS (SELECT voucher, CASE WHEN debit > 0 THEN 'C' ELSE 'D' END AS side, {KIND} AS kind, debit + credit AS volume FROM ledger), "
     f"s AS (SELECT voucher, side, kind, sum(volume) AS v, {RANK} AS rk FROM k GROUP BY ALL)",
 )(c.counterparty_type)
-
-
-def entries(led: DataFrame) -> DataFrame:
-    return c.classify_entries(led)
+CT = (
+    f"k AS (SELECT voucher, CASE WHEN debit > 0 THEN 'C' ELSE 'D' END AS side, {KIND} AS kind, debit + credit AS volume FROM ledger), "
+    f"s AS (SELECT voucher, side, kind, sum(volume) AS v, {RANK} AS rk FROM k GROUP BY ALL), "
+    "ct AS (SELECT voucher, side, kind AS counterparty_type FROM (SELECT *, row_number() OVER (PARTITION BY voucher, side ORDER BY v DESC, rk) AS rn FROM s) WHERE rn = 1), " + values("ex", "family, types", c.EXPECTED_TYPE_ROWS)
+)
+query(
+    "cls18_type_conformity",
+    "SELECT family, counterparty_type, lines, coalesce(list_contains(string_split(types, ' '), counterparty_type), true) AS conform FROM "
+    "(SELECT prefix_3 AS family, counterparty_type, count(*) AS lines FROM ledger l LEFT JOIN ct ON ct.voucher = l.voucher AND ct.side = CASE WHEN l.debit > 0 THEN 'D' ELSE 'C' END GROUP BY ALL) LEFT JOIN ex USING (family)",
+    CT,
+)(c.type_conformity)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.operators import labels as o
-from folio.operators import models
+from folio.operators import models, risk
 from folio.plans.core import dated
 from folio.plans.registry import case, query, r
 
@@ -52,3 +52,5 @@ query(
 )(lambda led: models.weak_labels(led).groupBy("account").agg(F.count("*").alias("lines"), F.sum("weak_label").alias("flagged")))
 query("ml02_isolation")(lambda led: dated(models.isolation(led)))
 query("ml05_reconstruction")(lambda led: dated(models.reconstruction(led)))
+query("rsk01_line_risk")(lambda led: dated(risk.line_risk(led)))
+query("rsk03_risk_summary")(lambda led: risk.risk_summary(risk.line_risk(led), ["benford", "isolation", "nlp"]))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from folio.operators import signals as o
 from folio.operators.crystallinity import TYPICAL
-from folio.plans.registry import case, in_list, query, r, values
-from folio.plans.robust import CONF
+from folio.plans.registry import YEAR, case, in_list, query, r, values
+from folio.plans.robust import CONF, months
 
 KNOWN = [u for u, _, _ in o.UNIVERSES]
 U = case([(f"family IN {in_list(fs)}", f"'{u if u in KNOWN else 'COMPOSITE'}'") for u, fs in TYPICAL.items()], "'COMPOSITE'")
@@ -52,3 +52,8 @@ query(
     "qua01_materiality",
     f'SELECT *, amount >= "limit" AS material, {r("""CASE WHEN amount / "limit" < 1 THEN 50 * amount / "limit" ELSE least(50 + 50 * log10(1 + amount / "limit") / log10(11), 100) END""")} AS materiality_score FROM qb', SIG,
 )(lambda led: o.materiality(o.signals(led, ALPHA)))
+query(
+    "sta06_calibrate",
+    f"SELECT family, universe, {r('cv')} AS cv, {r('1.5 + 2 * cv')} AS dead_band, {r('greatest(volume * share, 500)', 3)} AS materiality, CAST(variation AS DOUBLE) AS variation FROM (SELECT *, {U} AS universe FROM g) JOIN cal USING (universe)",
+    months("prefix_3 AS family", YEAR) + ", g AS (SELECT family, coalesce(stddev_pop(abs(v)) / nullif(avg(abs(v)), 0), 0) AS cv, sum(abs(v)) AS volume FROM m GROUP BY family), " + values("cal", "universe, share, variation", o.CALIBRATION),
+)(lambda led: o.calibrate(led, YEAR))

@@ -33,3 +33,12 @@ def test_features_of_a_line_and_the_outlier(spark):
     top = models.isolation(led, trees=20, sample=64).orderBy("score", ascending=False).first()
     assert top["voucher"] == "ODD" and top["is_outlier"]
     assert models.reconstruction(led).where("voucher = 'ODD'").first()["is_outlier"] in (True, False)
+
+
+def test_risk_is_weighed_over_the_models_that_ran(spark):
+    from folio.operators import risk
+
+    df = spark.createDataFrame([(1, 0.0, 5.0, 3.0), (2, 10.0, 5.0, 1.0)], "id int, benford double, isolation double, nlp double")
+    rows = {r["id"]: r for r in risk.combined(df, ["benford", "isolation", "nlp"]).collect()}
+    assert rows[1]["risk"] == pytest.approx((0.15 * 0 + 0.2 * 50 + 0.2 * 100) / 0.55, abs=1e-3) and rows[1]["top_factor"] == "nlp"
+    assert rows[2]["risk"] == pytest.approx((0.15 * 100 + 0.2 * 50) / 0.55, abs=1e-3) and rows[2]["level"] == "MODERE" and rows[2]["top_factor"] == "benford"
