@@ -154,7 +154,7 @@ def links(nodes: DataFrame, plans: tuple, most: int, width: int = 1) -> DataFram
         nodes.select("node", "fps", "proof")
         .mapInArrow(emit, "key long, node long, proof array<long>")
         .repartition(partitions(nodes.sparkSession), "key")
-        .sortWithinPartitions("key")
+        .sortWithinPartitions("key", "node")
         .mapInArrow(meet, "src long, dst long")
     )
 
