@@ -158,7 +158,8 @@ def mix(sizes: DataFrame, plan: dict[str | None, float], block: int = 256, least
         low, high = F.greatest("at", edge(F.col("block"))), F.least(end, edge(F.col("block") + 1))
         spans = cut.select("doc_id", "source", "block", (low - F.col("at")).alias("first_word"), (high - low).alias("words"))
     spans = spans.select("doc_id", F.col("source").alias("s"), F.col("block").alias("b"), "first_word", "words")
-    taken = drawn.join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    # the planner can't know how many rows a shard draws and would broadcast them
+    taken = drawn.join(spans.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     return taken.select("doc_id", "source", "shard", "position", "pass", "first_word", "words").where("words > 0")
 
 
