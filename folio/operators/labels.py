@@ -44,6 +44,25 @@ INTENTS = [
     ("AUTOMATIQUE", f"{B}INTERFACE", 0.8), ("AUTOMATIQUE", f"{B}IMPORT", 0.75), ("AUTOMATIQUE", f"{B}BATCH", 0.8),
 ]
 
+# Type of operation | pattern in upper-case labels | weight.
+OPERATIONS = [
+    ("ACHAT", f"{B}ACHAT", 1.0), ("ACHAT", f"{B}FOURNISSEUR", 0.9), ("ACHAT", rf"{B}FACTURE\s*(?:FOURNISSEUR|FOURN|FRN)", 1.0), ("ACHAT", rf"{B}FA\s*FRN", 0.95), ("ACHAT", f"{B}APPRO", 0.8), ("ACHAT", f"{B}COMMANDE", 0.7),
+    ("VENTE", f"{B}VENTE", 1.0), ("VENTE", f"{B}CLIENT", 0.9), ("VENTE", rf"{B}FACTURE\s*(?:CLIENT|CLI)", 1.0), ("VENTE", rf"{B}FA\s*CLI", 0.95), ("VENTE", f"{B}CA{E}", 0.7), ("VENTE", rf"{B}CHIFFRE\s*D['E]?\s*AFFAIRE", 0.95),
+    ("PROVISION", f"{B}PROVISION", 1.0), ("PROVISION", f"{B}DOTATION", 0.95), ("PROVISION", f"{B}REPRISE", 0.85), ("PROVISION", f"{B}DAP{E}", 0.9), ("PROVISION", f"{B}DEPRECIATION", 0.9),
+    ("DOTATION", f"{B}DOTATION", 1.0), ("DOTATION", f"{B}AMORTISSEMENT", 0.95), ("DOTATION", f"{B}DAP{E}", 0.9), ("DOTATION", f"{B}DAMO", 0.9), ("REPRISE", f"{B}REPRISE", 1.0), ("REPRISE", f"{B}RAP{E}", 0.85),
+    ("SALAIRE", f"{B}SALAIRE", 1.0), ("SALAIRE", f"{B}PAIE{E}", 0.95), ("SALAIRE", f"{B}PAYE{E}", 0.95), ("SALAIRE", f"{B}REMUNERATION", 0.9), ("SALAIRE", rf"{B}CHARGES?\s*SOCIALES?", 0.85), ("SALAIRE", f"{B}URSSAF", 0.9), ("SALAIRE", f"{B}COTISATION", 0.8),
+    ("CHARGE_FIXE", f"{B}LOYER", 1.0), ("CHARGE_FIXE", f"{B}ABONNEMENT", 0.95), ("CHARGE_FIXE", f"{B}ASSURANCE", 0.85), ("CHARGE_FIXE", f"{B}LEASING", 0.9), ("CHARGE_FIXE", f"{B}LOCATION", 0.85), ("CHARGE_FIXE", f"{B}MAINTENANCE", 0.8), ("CHARGE_FIXE", f"{B}ENTRETIEN", 0.75),
+    ("INVESTISSEMENT", f"{B}INVESTISSEMENT", 1.0), ("INVESTISSEMENT", f"{B}IMMOBILISATION", 0.95), ("INVESTISSEMENT", f"{B}IMMO{E}", 0.8), ("INVESTISSEMENT", f"{B}ACQUISITION", 0.85), ("INVESTISSEMENT", f"{B}CAPEX", 0.9),
+    ("CESSION", f"{B}CESSION", 1.0), ("CESSION", rf"{B}SORTIE\s*D['E]?\s*IMMO", 0.95), ("CESSION", rf"{B}VENTE\s*D['E]?\s*IMMO", 0.95), ("CESSION", f"{B}PLUS[- ]?VALUE", 0.85), ("CESSION", f"{B}MOINS[- ]?VALUE", 0.85),
+    ("REGULARISATION", f"{B}REGULARISATION", 1.0), ("REGULARISATION", f"{B}REGUL{E}", 0.9), ("REGULARISATION", f"{B}AJUSTEMENT", 0.85), ("EXTOURNE", f"{B}EXTOURNE", 1.0), ("EXTOURNE", f"{B}CONTREPASSATION", 1.0), ("EXTOURNE", f"{B}ANNULATION", 0.9),
+    ("VIREMENT", f"{B}VIREMENT", 1.0), ("VIREMENT", f"{B}TRANSFERT", 0.85), ("VIREMENT", f"{B}VIR{E}", 0.8),
+]
+# Pattern of recurring operations in upper-case labels | weight.
+RECURRING = [
+    (f"{B}MENSUEL", 1.0), (f"{B}LOYER", 0.9), (f"{B}ABONNEMENT", 0.9), (rf"{B}PRELEVEMENT\s*AUTO", 0.85),
+    (f"{B}JANVIER|FEVRIER|MARS|AVRIL|MAI|JUIN|JUILLET|AOUT|SEPTEMBRE|OCTOBRE|NOVEMBRE|DECEMBRE", 0.7), (rf"{B}MOIS\s*DE", 0.75), (f"{B}CONTRAT", 0.7), (f"{B}REDEVANCE", 0.85),
+]
+
 
 def normalized(label: Column) -> Column:
     """Lower case; letters (French accents included), digits and single spaces only."""
@@ -94,14 +113,45 @@ def duplicate_labels(df: DataFrame, least: int = 5, amount: float = 1000) -> Dat
     return sums.where((F.col("lines") >= least) & (F.abs("net") >= amount)).withColumn("mean", rounded(number(F.col("net")) / F.col("lines"), 6))
 
 
-def intent(df: DataFrame) -> DataFrame:
-    """(label, intent, confidence): the intent of the heaviest pattern found (the first in order on ties); STANDARD below 0.5."""
+def _heaviest(df: DataFrame, table: list, name: str, default: str) -> DataFrame:
     up = F.upper(F.col("label"))
-    best = {}
-    for name, pattern, weight in INTENTS:
+    best: dict[str, Column] = {}
+    for kind, pattern, weight in table:
         hit = F.when(up.rlike(pattern), weight).otherwise(0.0)
-        best[name] = F.greatest(best[name], hit) if name in best else hit
+        best[kind] = F.greatest(best[kind], hit) if kind in best else hit
     labels = df.select("label").distinct().withColumns({f"i_{k}": v for k, v in best.items()})
     top = F.greatest(*[F.col(f"i_{k}") for k in best])
-    name = first_of([(F.col(f"i_{k}") == top, k) for k in best])
-    return labels.select("label", F.when(top >= 0.5, name).otherwise("STANDARD").alias("intent"), rounded(F.when(top >= 0.5, top).otherwise(0.5)).alias("confidence"))
+    found = first_of([(F.col(f"i_{k}") == top, k) for k in best])
+    return labels.select("label", F.when(top >= 0.5, found).otherwise(default).alias(name), rounded(F.when(top >= 0.5, top).otherwise(0.5)).alias("confidence"))
+
+
+def intent(df: DataFrame) -> DataFrame:
+    """(label, intent, confidence): the intent of the heaviest pattern found (the first in order on ties); STANDARD below 0.5."""
+    return _heaviest(df, INTENTS, "intent", "STANDARD")
+
+
+def operation(df: DataFrame) -> DataFrame:
+    """(label, operation, confidence): likewise for the type of operation; INCONNU below 0.5."""
+    return _heaviest(df, OPERATIONS, "operation", "INCONNU")
+
+
+def recurring(df: DataFrame) -> DataFrame:
+    """(label, recurring, weight): mean weight of the patterns found at 0.7 or more, or two of them."""
+    up = F.upper(F.col("label"))
+    hits = [up.rlike(p) for p, _ in RECURRING]
+    n = reduce(lambda a, b: a + b, [h.cast("int") for h in hits])
+    mean = F.coalesce(F.try_divide(reduce(lambda a, b: a + b, [F.when(h, w).otherwise(0.0) for h, (_, w) in zip(hits, RECURRING)]), n), F.lit(0.0))
+    return df.select("label").distinct().select("label", ((mean >= 0.7) | (n >= 2)).alias("recurring"), rounded(mean).alias("weight"))
+
+
+def known_parties(df: DataFrame) -> DataFrame:
+    """(label, third_party): third parties of the ledger whose name stands in a label.
+
+    A name is looked up by its first word among the label's words, then compared whole,
+    so labels and names meet in an equality join.
+    """
+    parties = df.where("third_party IS NOT NULL").select(F.col("third_party")).distinct().withColumn("up", F.upper("third_party"))
+    parties = parties.withColumn("word", F.element_at(F.split("up", r"\s+"), 1))
+    labels = df.select("label").distinct().withColumn("t", F.upper("label"))
+    words = labels.select("label", "t", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("word"))
+    return words.join(parties, "word").where(F.col("t").contains(F.col("up"))).select("label", "third_party").distinct()

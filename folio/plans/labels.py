@@ -28,13 +28,27 @@ query(
     "nlp05_duplicate_labels",
     f"SELECT norm, min(label) AS example, count(*) AS lines, sum(amount) AS net, {r('CAST(sum(amount) AS DOUBLE) / count(*)', 6)} AS mean FROM (SELECT *, {NORM} AS norm FROM ledger WHERE class IN ('6', '7')) GROUP BY norm HAVING count(*) >= 5 AND abs(sum(amount)) >= 1000",
 )(lambda led: o.duplicate_labels(led.where("class IN ('6', '7')")))
-NAMES = list(dict.fromkeys(n for n, _, _ in o.INTENTS))
-BEST = {n: "greatest(" + ", ".join(f"CASE WHEN regexp_matches(upper(label), '{q(p)}') THEN {w} ELSE 0 END" for k, p, w in o.INTENTS if k == n) + ")" for n in NAMES}
+
+
+def heaviest(table: list, name: str, default: str) -> tuple[str, str]:
+    kinds = list(dict.fromkeys(n for n, _, _ in table))
+    best = {n: "greatest(" + ", ".join(f"CASE WHEN regexp_matches(upper(label), '{q(p)}') THEN {w} ELSE 0 END" for k, p, w in table if k == n) + ")" for n in kinds}
+    found = case([(f"i_{n} = top", f"'{n}'") for n in kinds])
+    sql = f"SELECT label, CASE WHEN top >= 0.5 THEN {found} ELSE '{default}' END AS {name}, {r('CASE WHEN top >= 0.5 THEN top ELSE 0.5 END')} AS confidence FROM (SELECT *, greatest({', '.join(f'i_{n}' for n in kinds)}) AS top FROM lb)"
+    return sql, f"lb AS (SELECT label, {', '.join(f'{e} AS i_{n}' for n, e in best.items())} FROM (SELECT DISTINCT label FROM ledger))"
+
+
+query("lab03_intent", *heaviest(o.INTENTS, "intent", "STANDARD"))(o.intent)
+query("lab03b_operation", *heaviest(o.OPERATIONS, "operation", "INCONNU"))(o.operation)
+FOUND = [f"regexp_matches(upper(label), '{q(p)}')" for p, _ in o.RECURRING]
+query(
+    "lab04_recurring",
+    f"SELECT label, m >= 0.7 OR n >= 2 AS recurring, {r('m')} AS weight FROM (SELECT label, n, coalesce(w / nullif(n, 0), 0) AS m FROM (SELECT label, {' + '.join(f'CAST({f} AS INT)' for f in FOUND)} AS n, CAST({' + '.join(f'CASE WHEN {f} THEN {w} ELSE 0 END' for f, (_, w) in zip(FOUND, o.RECURRING))} AS DOUBLE) AS w FROM (SELECT DISTINCT label FROM ledger)))",
+)(o.recurring)
 query(
-    "lab03_intent",
-    f"SELECT label, CASE WHEN top >= 0.5 THEN {case([(f'i_{n} = top', f'{chr(39)}{n}{chr(39)}') for n in NAMES])} ELSE 'STANDARD' END AS intent, {r('CASE WHEN top >= 0.5 THEN top ELSE 0.5 END')} AS confidence FROM (SELECT *, greatest({', '.join(f'i_{n}' for n in NAMES)}) AS top FROM lb)",
-    f"lb AS (SELECT label, {', '.join(f'{e} AS i_{n}' for n, e in BEST.items())} FROM (SELECT DISTINCT label FROM ledger))",
-)(o.intent)
+    "lab02_known_parties",
+    "SELECT DISTINCT label, third_party FROM (SELECT DISTINCT label || ' ' || coalesce(third_party, '') AS label FROM ledger WHERE site = 'S1') JOIN (SELECT DISTINCT third_party FROM ledger WHERE third_party IS NOT NULL AND site = 'S1') ON contains(upper(label), upper(third_party))",
+)(lambda led: o.known_parties(led.where("site = 'S1'").withColumn("label", F.concat("label", F.lit(" "), F.coalesce("third_party", F.lit(""))))))
 
 A = "abs(CAST(amount AS DOUBLE))"
 FD = "CASE WHEN amount <> 0 THEN CAST(CAST(CAST(floor(abs(amount)) AS BIGINT) AS VARCHAR)[1] AS INT) ELSE 0 END"
