@@ -144,14 +144,15 @@ def recurring(df: DataFrame) -> DataFrame:
     return df.select("label").distinct().select("label", ((mean >= 0.7) | (n >= 2)).alias("recurring"), rounded(mean).alias("weight"))
 
 
-def known_parties(df: DataFrame) -> DataFrame:
-    """(label, third_party): third parties of the ledger whose name stands in a label.
+def known_parties(df: DataFrame, n: int = 4) -> DataFrame:
+    """(label, third_party): third parties of the ledger whose name is contained in a label, upper case.
 
-    A name is looked up by its first word among the label's words, then compared whole,
-    so labels and names meet in an equality join.
+    A name's first n characters are looked up among the label's pieces of n characters,
+    then the whole name is compared, so labels and names meet in an equality join.
+    Shorter names are looked up by their own length likewise.
     """
-    parties = df.where("third_party IS NOT NULL").select(F.col("third_party")).distinct().withColumn("up", F.upper("third_party"))
-    parties = parties.withColumn("word", F.element_at(F.split("up", r"\s+"), 1))
+    parties = df.where("third_party != ''").select("third_party").distinct().withColumn("up", F.upper("third_party")).withColumn("piece", F.substring("up", 1, n))
     labels = df.select("label").distinct().withColumn("t", F.upper("label"))
-    words = labels.select("label", "t", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("word"))
-    return words.join(parties, "word").where(F.col("t").contains(F.col("up"))).select("label", "third_party").distinct()
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, k))))
+    pieces = labels.select("label", "t", F.explode(F.array_distinct(cut)).alias("piece"))
+    return pieces.join(parties, "piece").where(F.col("t").contains(F.col("up"))).select("label", "third_party").distinct()
