@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,12 +54,18 @@ def plain(docs: DataFrame, *cols: str, text: str | None = None) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in cols], *([F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")] if text else []))
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is in kept (one row per key, null included), one row for each key."""
-    ids = kept.select(F.col(key).alias("__kept"))
-    joined = docs.join(ids, docs[key].eqNullSafe(ids["__kept"]), "inner")
-    first = Window.partitionBy(key).orderBy(F.lit(0))
-    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[docs[c] for c in docs.columns])
+def text_id(text: Column) -> Column:
+    """SHA-256 of a text, with null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs whose id and text are in kept (id, text_sha256), null ids included, one row for each."""
+    rows = docs.withColumn("__sha", text_id(F.col(f"`{text_col}`")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")) & (F.col("__sha") == F.col("__kept_sha"))
+    joined = rows.join(kept.select(F.col(f"`{id_col}`").alias("__kept"), F.col("text_sha256").alias("__kept_sha")), same)
+    first = Window.partitionBy(f"`{id_col}`", "__sha").orderBy(F.lit(0))
+    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

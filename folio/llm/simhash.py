@@ -6,11 +6,15 @@ segments; a segment with no error gives its bits as part of a key, one with at m
 two errors gives a Golay codeword that both share. Rows with equal keys meet in one
 sorted run; each run is walked breadth first by exact Hamming distance and emits a
 spanning star of its links, so a run of m rows yields fewer than m edges.
+
+Near copies for the pipeline are found by the exact Jaccard similarity of shingle sets
+instead: a join by prefixes, which misses no pair, and a comparison of whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, chain, repeat
 
 import numpy as np
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import golay
-from folio.llm.common import components, materialize, partitions, plain
+from folio.llm.common import components, materialize, partitions, plain, text_id
 
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -57,12 +61,6 @@ def majority(blocks: Iterable[np.ndarray]) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """64 other bits of the same shingles."""
-    h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(1) ^ h
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64-bit fingerprint of each row's whole text, as a signed long."""
 
@@ -179,36 +177,207 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return rows.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of documents that have near-duplicates; component is the smallest id.
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, id, text_sha256, size, hashes) per row: the sorted XXH64 of its distinct shingles, as bytes.
 
-    Candidates share Golay keys of two segments of one of two SimHashes of their
-    distinct words. A link is verified on a 128-bit SimHash over shingles of five words: the
-    similarity (Jaccard) of 0.8 means a cosine of 2s/(1+s) and so an expected share
-    of differing bits, plus one standard deviation. Null ids are left out.
+    node is a number given to the row. A text without words has the one element 0.
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(128 * share + (128 * share * (1 - share)) ** 0.5)
 
-    def pair(values: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, 2, dtype=np.int32)), pa.array(values))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 1024):
+                b = whole.slice(a, 1024)
+                sets = [np.unique(np.concatenate(list(hashes(words_of(t), shingle)) or [np.zeros(1, np.uint64)])) for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "text_sha256", "size", "hashes"])
+
+    rows = plain(docs, id_col, text=text_col).select(F.col(f"`{id_col}`").alias("id"), text_id(F.col("text")).alias("text_sha256"), "text")
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_sha256 string, size int, hashes binary")
+    return materialize(made.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
+
+
+def common_shingles(sets: DataFrame, max_docs: int = 10_000, most: int = 100_000) -> np.ndarray:
+    """Hashes that are met twice or more in about max_docs sets, the rarest first, most at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                distinct, blocks = list(hashes(sorted(set(words)), 1)), list(hashes(words, shingle))
-                out.append([majority(distinct), majority(map(mixed, distinct)), majority(blocks), majority(map(mixed, blocks))])
-            made = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pair(made[:, :2].ravel()), pair(made[:, 2:].ravel())], ["node", "fps", "proof"])
-
-    rows = plain(docs, id_col, text=text_col).where(F.col(id_col).isNotNull())
-    prints = materialize(rows.mapInArrow(run, "node long, fps array<long>, proof array<long>"), "fingerprints")
-    return components(links(prints, PAIRS_5, most, 2))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate with a smaller id in their group."""
-    gone = near_copies(docs, id_col=id_col, text_col=text_col).where("node != component").select(F.col("node").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["h"])
+
+    share = F.pmod(F.xxhash64("node"), F.lit(max(1, sets.count()))) < max_docs
+    counted = sets.where(share).select("hashes").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column("h").to_numpy()
+    return found[::-1].astype(np.int64).view(np.uint64)
+
+
+def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size, pos): the first elements of each set in one order of all elements.
+
+    Sets of n elements share at least similarity * n of them with each partner, so one is
+    among the first n - similarity * n + 1 of both, in any order. Common ones come last,
+    which keeps runs of equal keys short and leaves nothing out.
+    """
+    common = common_shingles(sets)
+    by_hash = np.argsort(common)
+    shared = sets.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                b = whole.slice(a, 256)
+                keys, counts = [], []
+                for x in b.column(2):
+                    h = np.frombuffer(x.as_buffer(), np.uint64)
+                    first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        late = known[at] == h
+                        if late.any():
+                            h = np.concatenate([h[~late], h[late][np.argsort(rank[at[late]])]])
+                    keys.append(h[:first]), counts.append(min(first, len(h)))
+                rows = np.repeat(np.arange(len(b)), counts)
+                pos = np.concatenate([np.arange(n, dtype=np.int32) for n in counts] or [np.zeros(0, np.int32)])
+                key = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.select(["node", "size"]).take(pa.array(rows)).columns, pa.array(pos)], ["key", "node", "size", "pos"])
+
+    return sets.select("node", "size", "hashes").mapInArrow(run, "key long, node long, size int, pos int")
+
+
+def in_runs(rows: DataFrame, schema: str, made: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """made(columns, starts, ends) over whole runs of two and more rows with equal keys, in the order of node."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.diff(held["key"])) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(held["key"])]])
+            several = ends - starts > 1
+            return made(held, starts[several], ends[several])
+
+        held: dict[str, np.ndarray] | None = None
+        for b in batches:
+            if not len(b):
+                continue
+            new = {n: b.column(n).to_numpy() for n in names}
+            held = {n: np.concatenate([held[n], new[n]]) for n in names} if held else new
+            last = int(np.searchsorted(held["key"], held["key"][-1]))
+            if last:
+                yield from done({n: x[:last] for n, x in held.items()})
+                held = {n: x[last:] for n, x in held.items()}
+        if held:
+            yield from done(held)
+
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def repeated_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys whose key several nodes have."""
+    names = keys.columns
+
+    def made(held: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.zeros(len(held["key"]) + 1, np.int64)
+        np.add.at(edge, starts, 1), np.add.at(edge, ends, -1)
+        kept = np.cumsum(edge[:-1]) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(held[n][kept]) for n in names], names)
+
+    return in_runs(keys, "key long, node long, size int, pos int", made)
+
+
+def candidates(rows: DataFrame, similarity: float, turn: int | None) -> DataFrame:
+    """(src, dst) pairs of one run that are in different components and may be similar.
+
+    rows: (key, node, size, pos, component). In a turn, only pairs of one node of the largest
+    component with each node outside it, as many as rows; without a turn, all pairs.
+    """
+    need = similarity / (1 + similarity)
+
+    def paired(held: dict[str, np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
+        size, left = held["size"].astype(np.int64), held["size"].astype(np.int64) - held["pos"]
+        fits = (held["component"][js] != held["component"][i]) & (np.minimum(left[js], left[i]) >= need * (size[js] + size[i]) - 1e-9)
+        return js[fits]
+
+    def made(held: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        src, dst, held_back = [], [], 0
+        for s, e in zip(starts, ends):
+            if turn is None:
+                roots = [(i, np.arange(i + 1, e)) for i in range(s, e - 1)]
+            else:
+                names, which, sizes = np.unique(held["component"][s:e], return_inverse=True, return_counts=True)
+                inside = s + np.flatnonzero(which == np.argmax(sizes))
+                mixed = held["node"][inside].astype(np.uint64) * np.uint64(2 * turn * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
+                roots = [(inside[np.argmin(mixed)], np.arange(s, e))] if len(names) > 1 else []
+            for i, js in roots:
+                js = paired({n: held[n][s:e] for n in held}, i - s, js - s) + s
+                src.append(np.full(len(js), held["node"][i])), dst.append(held["node"][js])
+                held_back += len(js)
+                if held_back > BLOCK:
+                    yield pairs(src, dst)
+                    src, dst, held_back = [], [], 0
+        if held_back:
+            yield pairs(src, dst)
+
+    def pairs(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.stack([np.concatenate(src), np.concatenate(dst)])
+        found = np.unique(np.sort(both, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
+
+    return in_runs(rows, "src long, dst long", made).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) whose sets have a Jaccard similarity of at least similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fits = []
+            for x, y in zip(b.column(2), b.column(3)):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([one, two]))
+                n = int((both[1:] == both[:-1]).sum())
+                fits.append(n / (len(both) - n) >= similarity)
+            yield b.select(["src", "dst"]).filter(pa.array(fits, pa.bool_()))
+
+    one = sets.select(F.col("node").alias("src"), F.col("hashes").alias("one"))
+    two = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("two"))
+    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "one", "two").mapInArrow(run, "src long, dst long")
+
+
+def near_copies(sets: DataFrame, similarity: float = 0.8, turns: int = 3) -> DataFrame:
+    """(node, component) of the sets that are linked, over any number of links, by a Jaccard
+    similarity of at least similarity; component is the smallest node.
+
+    Every such pair meets under a key (prefix_keys). Pairs are compared on the whole sets.
+    In the first turns each node meets one of each run's largest component, so that
+    large groups need few pairs; then all pairs left between components are compared.
+    """
+    keys = materialize(repeated_keys(prefix_keys(sets, similarity)), "keys")
+    edges, joined = None, None
+    for turn in [*range(turns), None]:
+        rows = keys.withColumn("component", F.col("node"))
+        if joined is not None:
+            rows = keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
+        # written, so that the joins are between plain exchanges and a root's rows can be split
+        pairs = materialize(candidates(rows, similarity, turn), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = materialize(similar(pairs, sets, similarity), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        joined = materialize(components(edges), "components")
+    return joined if joined is not None else keys.select("node", F.col("node").alias("component")).limit(0)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without rows that have a near-duplicate with a smaller id in their group.
+
+    Near-duplicates are texts whose sets of shingles have a Jaccard similarity of at least
+    similarity. Rows are told apart by id and text: null ids rank behind all others, and of
+    rows with one id, or none, the text with the smallest SHA-256 stays. Rows equal in id
+    and text stay or go together.
+    """
+    sets = shingle_sets(docs, shingle, id_col, text_col)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_sha256")
+    members = materialize(sets.select("node", rank.alias("rank")).join(near_copies(sets, similarity), "node"), "members")
+    low = materialize(members.groupBy("component").agg(F.min("rank").alias("low")), "low")
+    gone = members.join(low, "component").where("rank != low").select(F.col("rank.id").alias("__id"), F.col("rank.text_sha256").alias("__sha")).distinct()
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (text_id(F.col(f"`{text_col}`")) == F.col("__sha"))
+    return docs.join(gone, here, "left_anti")
