@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep_ids, materialize, plain
+from folio.llm.common import keep_rows, materialize, plain
 
 CHUNK = r"(?s).{1024,4095}?(?:[.!?]\s|\n|\z)|.{1,4096}"
 
@@ -71,4 +71,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, all columns."""
-    return keep_ids(docs, exact_dedup(docs, id_col, text_col).where("kept").select(id_col), id_col)
+    return keep_rows(docs, exact_dedup(docs, id_col, text_col).where("kept"), id_col, text_col)

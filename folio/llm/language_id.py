@@ -172,7 +172,15 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of docs whose language is identified with a score of at least least, all columns.
 
     Rejected are texts without letters and texts whose words speak for no language.
+    Each row is judged by its own text, whatever its id.
     """
-    model = fit(learned_rows(docs))
-    found = identify(docs, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.join(found.select(F.col("doc_id").alias("__gone")), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(learned_rows(docs)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            made = [scorer.predict(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in made], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
