@@ -19,6 +19,7 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)"
 UNIT = 10**12
 DAMPING = 85
+#: Rounds that the SQL writes out; ranks here go on until they settle.
 ROUNDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,24 +49,29 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) after some rounds of personalised PageRank from seeds (host, seed).
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, rank) of the personalised PageRank from seeds (host, seed), when no rank changes any more.
 
     edges: (src, dst, share, whole), share of whole of a rank goes along. An edge's
-    part is rounded down; ranks without edges onward are not handed back.
+    part is rounded down; ranks without edges onward are not handed back. Ranks are whole
+    numbers that start at their least and only grow, so an equal total means equal ranks.
     """
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for i in range(rounds):
-        part = F.expr("(CAST(rank AS DECIMAL(20,0)) * CAST(share AS DECIMAL(18,0))) div CAST(whole AS DECIMAL(20,0))")
-        got = edges.join(ranks, edges["src"] == ranks["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(part).alias("got"))
-        mixed = F.expr(f"({100 - DAMPING} * coalesce(seed, 0) + {DAMPING} * coalesce(got, 0)) div 100")
-        ranks = seeds.join(got, "host", "full_outer").select("host", mixed.alias("rank")).where("rank > 0")
-        if i % 4 == 3:
-            ranks = materialize(ranks, "ranks")
+    own = F.expr(f"{100 - DAMPING} * seed div 100")
+    ranks, before = materialize(seeds.select("host", own.alias("rank")).where("rank > 0"), "ranks"), None
+    total = lambda r: r.agg(F.sum(F.col("rank").cast("decimal(38,0)"))).first()[0]
+    now = total(ranks)
+    while now != before:
+        for _ in range(4):
+            part = F.expr("(CAST(rank AS DECIMAL(20,0)) * CAST(share AS DECIMAL(18,0))) div CAST(whole AS DECIMAL(20,0))")
+            got = edges.join(ranks, edges["src"] == ranks["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(part).alias("got"))
+            mixed = F.expr(f"({100 - DAMPING} * coalesce(seed, 0) + {DAMPING} * coalesce(got, 0)) div 100")
+            ranks = seeds.join(got, "host", "full_outer").select("host", mixed.alias("rank")).where("rank > 0")
+        ranks = materialize(ranks, "ranks")
+        before, now = now, total(ranks)
     return ranks
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 1.0, rounds: int = ROUNDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row.
 
     A url that is null or without `://` has an empty host and path, fits no rule and
@@ -88,8 +94,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 1.0, rounds
         part = F.expr(f"(CAST({UNIT} AS DECIMAL(20,0)) * CAST(`{kind}` AS DECIMAL(18,0))) div CAST({total[kind] or 1} AS DECIMAL(20,0))")
         return counts.where(F.col(kind) > 0).select("host", part.alias("seed"))
 
-    trust = spread(outward, seeds("allow"), rounds).withColumnRenamed("rank", "trust")
-    distrust = spread(inward, seeds("block"), rounds).withColumnRenamed("rank", "distrust")
+    trust = spread(outward, seeds("allow")).withColumnRenamed("rank", "trust")
+    distrust = spread(inward, seeds("block")).withColumnRenamed("rank", "distrust")
     known = trust.join(distrust, "host", "full_outer").select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("trust", "distrust")])
     joined = rows.join(known, "host", "left")
     method = F.when(F.coalesce("distrust", F.lit(0)) > threshold * F.coalesce("trust", F.lit(0)), "block").otherwise("allow")

@@ -47,3 +47,20 @@ def test_sql_says_the_same(spark):
 
 def test_empty_table(spark):
     assert op.judge(frame(spark, [])).count() == 0
+
+
+def test_ranks_settle_on_deep_and_round_graphs(spark):
+    """A chain of 13 hosts from a seed, and a ring, against ranks walked until nothing changes."""
+    hosts = ["good.org"] + [f"h{i}.io" for i in range(12)]
+    ring = {"h11.io": ["r0.io"], "r0.io": ["r1.io"], "r1.io": ["r0.io", "end.io"]}
+    out = {a: [b] for a, b in zip(hosts, hosts[1:])} | ring
+    rows = [(i, f"http://{h}/", link(*out.get(h, []))) for i, h in enumerate([*hosts, "r0.io", "r1.io", "end.io"])]
+    got = {r["host"]: r["trust"] for r in op.judge(frame(spark, rows)).collect()}
+    want, before = {"good.org": 15 * op.UNIT // 100}, None
+    while want != before:
+        part = {}
+        for a, bs in out.items():
+            for b in bs:
+                part[b] = part.get(b, 0) + want.get(a, 0) // len(bs)
+        before, want = want, {h: (15 * op.UNIT * (h == "good.org") + 85 * part.get(h, 0)) // 100 for h in {"good.org", *part}}
+    assert got == {h: want.get(h, 0) for h in got} and min(got.values()) > 0
