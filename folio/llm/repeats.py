@@ -8,7 +8,10 @@ anchor on) form a class, of which only the first occurrence can be new. Where a
 has several classes, their first occurrences are sorted as suffixes; a stack scan of
 the common-prefix lengths gives the interval tree, and in each interval the classes
 are grouped by how far they agree to the left: where left extensions differ, a
-maximal repeat ends, and it is reported with all its occurrences.
+maximal repeat ends, and it is reported with all its occurrences. All grams of a task
+are in one array, and all its intervals are worked through together. A gram with more
+than HOT classes never meets in one task: its classes are parted by each string of
+100 bytes round the anchor, and only the first of each string and task moves on.
 """
 
 from __future__ import annotations
@@ -30,15 +33,20 @@ WIDTH = SPAN + LENGTH
 PIECE = 1 << 18
 MARGIN = 2 * LENGTH
 GATHER = 8 << 20
+#: Classes of one gram that one task sorts; above, a gram is parted by its strings of LENGTH bytes.
+HOT = 4096
+#: Members of intervals that are compared at a time.
+BLOCK = 1 << 17
 ODD = 0x9E3779B97F4A7C15
 TOP = np.uint64(2**64 - 1)
 
 ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("left", "u1"), ("size", "u1")])
 SPANS = np.dtype([("doc", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
-ASK = np.dtype([("doc", "<i8"), ("at", "<i8"), ("gram", "<u8")])
+ASK = np.dtype([("doc", "<i8"), ("at", "<i8"), ("gram", "<u8"), ("hot", "u1")])
+STRING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<i8")])
 CONTEXT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("left", "u1"), ("size", "u1"), ("bytes", f"({WIDTH},)u1")])
 ROWS = "kind int, bucket int, data binary"
-ANCHORS, SPAN_ROWS, ASK_ROWS, TEXT_ROWS = 0, 1, 2, 3
+ANCHORS, SPAN_ROWS, ASK_ROWS, STRING_ROWS, TEXT_ROWS = 0, 1, 2, 3, 4
 
 _power: dict[str, np.ndarray] = {}
 
@@ -192,74 +200,175 @@ def lcp(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
 
 
-def intervals(heights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(first, last, height) of the common-prefix intervals of at least least, by a stack
-    over the prefix lengths of neighbours."""
-    stack: list[tuple[int, int]] = []
-    for i, h in enumerate([*heights.tolist(), 0]):
-        start = i
-        while stack and stack[-1][1] > h:
-            start, top = stack.pop()
-            if top >= least:
-                yield start, i, top
-        if not stack or stack[-1][1] < h:
-            stack.append((start, h))
+def intervals(heights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(height, parent, leaf) of the common-prefix interval tree by a stack over the prefix lengths of neighbours.
 
+    height and parent of each interval of at least least, parent -1 at a root; leaf is
+    the innermost interval of each suffix, -1 for none.
+    """
+    height: list[int] = []
+    parent: list[int] = []
+    leaf = np.full(len(heights) + 1, -1, np.int64)
+    stack: list[int] = []
+    entered: list[tuple[int, int]] = []
+    for i, h in enumerate([*heights.tolist(), -1]):
+        last = -1
+        while stack and height[stack[-1]] > h:
+            if last >= 0:
+                parent[last] = stack[-1]
+            last = stack.pop()
+        if h >= least:
+            if not stack or height[stack[-1]] < h:
+                stack.append(len(height))
+                height.append(h)
+                parent.append(-1)
+            entered.append((i, stack[-1]))
+        if last >= 0 and stack:
+            parent[last] = stack[-1]
+    at = np.array(entered, np.int64).reshape(-1, 2)
+    # the suffix before a neighbour pair and the one after it: the higher of their intervals is the inner one
+    tall = np.array(height, np.int64)
+    leaf[at[:, 0]] = at[:, 1]
+    after = at[:, 0] + 1
+    higher = (leaf[after] < 0) | (tall[at[:, 1]] > tall[leaf[after]]) if len(at) else np.zeros(0, bool)
+    leaf[after[higher]] = at[higher, 1]
+    return tall, np.array(parent, np.int64), leaf
+
+
+def big_endian(rows: np.ndarray) -> np.ndarray:
+    """Byte rows as columns of big-endian words, first word first."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(">u8").astype(np.uint64).T
+
+
+class Side:
+    """The enhanced suffix array of CONTEXT records to one side of their anchors, gram by gram."""
+
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray, gram: np.ndarray) -> None:
+        self.rows, self.sizes = np.ascontiguousarray(rows), sizes
+        # a string before those that it begins
+        self.order = np.lexsort([sizes, *big_endian(rows)[::-1], gram])
+        self.rank = np.empty_like(self.order)
+        self.rank[self.order] = np.arange(len(self.order))
+        before, after = self.order[:-1], self.order[1:]
+        self.heights = np.where(gram[before] == gram[after], self.common(before, after), -1)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        parts = [lcp(self.rows[a[i : i + BLOCK]], self.rows[b[i : i + BLOCK]], np.minimum(self.sizes[a[i : i + BLOCK]], self.sizes[b[i : i + BLOCK]])) for i in range(0, len(a), BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def groups(side: Side, other: Side, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(members, size of each group, reach on side, reach on other) of the maximal repeats of at least LENGTH bytes.
+
+    Within an interval of side, which has at least least bytes in common, members are in
+    the order of other; where neighbours agree there on too little to make LENGTH bytes
+    with the interval's, a group ends. Its reach on other is where its members' extensions
+    begin to differ; groups within one inner interval reach farther there and are left out
+    here. All intervals of one depth are worked through at once, the deepest first.
+    """
+    height, parent, leaf = intervals(side.heights, least)
+    depth, up = np.zeros(len(parent), np.int64), parent
+    while (up >= 0).any():
+        depth += up >= 0
+        up = np.where(up >= 0, parent[up], -1)
+    at = np.flatnonzero(leaf >= 0)
+    member, now, inner = side.order[at], leaf[at], -2 - at
+    for level in range(int(depth.max()) if len(depth) else -1, -1, -1):
+        here = np.flatnonzero(depth[now] == level)
+        here = here[np.lexsort([other.rank[member[here]], now[here]])]
+        rows, inside = member[here], now[here]
+        new = np.ones(len(rows), bool)
+        agree = other.common(rows[:-1], rows[1:])
+        new[1:] = (inside[1:] != inside[:-1]) | (agree < LENGTH - height[inside[1:]])
+        start = np.flatnonzero(new)
+        size = np.diff(np.concatenate([start, [len(rows)]]))
+        apart = np.minimum.reduceat(inner[here], start) != np.maximum.reduceat(inner[here], start)
+        reach = np.minimum.reduceat(np.concatenate([[LENGTH], np.where(new[1:], LENGTH, agree)]), start)
+        kept = np.repeat(apart, size)
+        yield rows[kept], size[apart], height[inside[start[apart]]], reach[apart]
+        inner[here], now[here] = inside, parent[inside]
+        left = now >= 0
+        member, now, inner = member[left], now[left], inner[left]
+
+
+def repeat_groups(found: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left, right, members) of the maximal repeats of at least LENGTH bytes round the anchors of CONTEXT records.
+
+    The repeat reaches left bytes before and right bytes from the anchor on (no further
+    than the records do); members are all its occurrences, at least two.
+    """
+    right, left = sides(found)
+    for rows, size, ahead, behind in groups(right, left, GRAM):
+        yield from zip(behind.tolist(), ahead.tolist(), np.split(rows, np.cumsum(size)[:-1]))
 
-def in_order(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Order of byte strings of the given sizes, a string before those that it begins."""
-    return np.lexsort([sizes, *rows.T[::-1]]) if len(rows) > 2 else np.arange(len(rows))
 
+def reaches(side: Side, other: Side, least: int, age: np.ndarray) -> np.ndarray:
+    """The farthest that each record's repeat of an older record reaches on side, -1 where it repeats none."""
+    far = np.full(len(age), -1, np.int64)
+    for rows, size, reach, _ in groups(side, other, least):
+        if len(rows):
+            oldest = np.minimum.reduceat(age[rows], np.cumsum(size) - size)
+            again = age[rows] > np.repeat(oldest, size)
+            far[rows[again]] = np.maximum(far[rows[again]], np.repeat(reach, size)[again])
+    return far
 
-def repeat_groups(group: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(left, right, members) of the maximal repeats of at least LENGTH bytes round one gram.
 
-    group: CONTEXT records. The repeat reaches left bytes before and right bytes from
-    the anchor on (no further than the records do); members are all its occurrences,
-    at least two. Within an interval, members are parted by each length at which some
-    of them agree to the left and others differ.
-    """
-    right, left = group["bytes"][:, SPAN:], group["bytes"][:, SPAN - 1 :: -1]
-    to_right, to_left = group["size"].astype(int) - group["left"], group["left"].astype(int)
-    order = in_order(right, to_right)
-    heights = lcp(right[order[:-1]], right[order[1:]], np.minimum(to_right[order[:-1]], to_right[order[1:]]))
-    for a, b, height in intervals(heights, GRAM):
-        inside = order[a : b + 1]
-        inside = inside[in_order(left[inside], to_left[inside])]
-        agree = lcp(left[inside[:-1]], left[inside[1:]], np.minimum(to_left[inside[:-1]], to_left[inside[1:]]))
-        for reach in np.unique(agree[agree >= LENGTH - height]):
-            for part in np.split(inside, np.flatnonzero(agree < reach) + 1):
-                if len(part) > 1:
-                    yield int(reach), int(height), part
+def sides(found: np.ndarray) -> tuple[Side, Side]:
+    """The suffix arrays of CONTEXT records from their anchors on, and of what is before, read backwards."""
+    gram = np.unique(found["gram"], return_inverse=True)[1]
+    left = found["left"].astype(np.int64)
+    return Side(found["bytes"][:, SPAN:], found["size"].astype(np.int64) - left, gram), Side(found["bytes"][:, SPAN - 1 :: -1], left, gram)
 
 
 def repeated_spans(found: np.ndarray) -> np.ndarray:
-    """SPANS of CONTEXT records that also start earlier, over all grams."""
-    found = found[np.argsort(found["gram"], kind="stable")]
-    start = np.flatnonzero(np.concatenate([[True], found["gram"][1:] != found["gram"][:-1]]))
-    size = np.diff(np.concatenate([start, [len(found)]]))
-    out = []
+    """SPANS of CONTEXT records that also start earlier, over all grams.
+
+    The strings that a record repeats all hold its anchor, so they make one span: from its
+    farthest reach to the left, by the tree of what is before, to that to the right.
+    """
+    order = np.lexsort([found["at"], found["doc"]])
+    new = np.ones(len(found), bool)
+    new[1:] = (found["doc"][order[1:]] != found["doc"][order[:-1]]) | (found["at"][order[1:]] != found["at"][order[:-1]])
+    age = np.empty(len(found), np.int64)
+    age[order] = np.cumsum(new)
+    right, left = sides(found)
+    ahead = reaches(right, left, GRAM, age)
+    again = np.flatnonzero(ahead >= 0)
+    behind = reaches(left, right, 0, age)[again]
+    out = np.empty(len(again), SPANS)
+    out["doc"], out["lo"], out["hi"] = found["doc"][again], found["at"][again] - behind, found["at"][again] + ahead[again]
+    return merged(out)
 
-    def add(rows: np.ndarray, left: np.ndarray | int, right: np.ndarray | int) -> None:
-        made = np.empty(len(rows), SPANS)
-        made["doc"], made["lo"], made["hi"] = rows["doc"], rows["at"] - left, rows["at"] + right
+
+def strings(rows: np.ndarray) -> np.ndarray:
+    """STRING records, the first of each string in rows (CONTEXT): every LENGTH bytes round each anchor; SPANS of the others."""
+    up, down = powers(WIDTH + 1)
+    out = []
+    sums = np.zeros((len(rows), WIDTH + 1), np.uint64)
+    np.cumsum((rows["bytes"].astype(np.uint64) + np.uint64(1)) * up[:WIDTH], axis=1, out=sums[:, 1:])
+    left, size = rows["left"].astype(np.int64), rows["size"].astype(np.int64)
+    for s in range(SPAN + 1):
+        fits = np.flatnonzero((left >= s) & (size - left >= LENGTH - s))
+        made = np.empty(len(fits), STRING)
+        a = SPAN - s
+        made["key"] = stirred((sums[fits, a + LENGTH] - sums[fits, a]) * down[a] + rows["gram"][fits] * np.uint64(2 * s + 1))
+        made["doc"], made["lo"] = rows["doc"][fits], rows["at"][fits] - s
         out.append(made)
+    return np.concatenate(out)
+
 
-    # grams with two occurrences, all at once: an interval with two leaves
-    a, b = found[start[size == 2]], found[start[size == 2] + 1]
-    swap = (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & (a["at"] > b["at"]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    right = lcp(a["bytes"][:, SPAN:], b["bytes"][:, SPAN:], np.minimum(a["size"].astype(int) - a["left"], b["size"].astype(int) - b["left"]))
-    left = lcp(a["bytes"][:, SPAN - 1 :: -1], b["bytes"][:, SPAN - 1 :: -1], np.minimum(a["left"], b["left"]).astype(int))
-    hit = (left + right >= LENGTH) & (right >= GRAM) & ((a["doc"] != b["doc"]) | (a["at"] != b["at"]))
-    add(b[hit], left[hit], right[hit])
-    for s, n in zip(start[size > 2], size[size > 2]):
-        group = found[s : s + n]
-        for reach, height, members in repeat_groups(group):
-            rows = group[members]
-            first = rows[np.lexsort((rows["at"], rows["doc"]))[0]]
-            add(rows[(rows["doc"] != first["doc"]) | (rows["at"] != first["at"])], reach, height)
-    return merged(np.concatenate(out))
+def first_strings(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest STRING record of each string, and the SPANS of the later ones."""
+    found = found[np.lexsort((found["lo"], found["doc"], found["key"]))]
+    new = np.ones(len(found), bool)
+    new[1:] = found["key"][1:] != found["key"][:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
+    again = (found["doc"] != found["doc"][first]) | (found["lo"] != found["lo"][first])
+    spans = np.empty(int(again.sum()), SPANS)
+    spans["doc"], spans["lo"], spans["hi"] = found["doc"][again], found["lo"][again], found["lo"][again] + LENGTH
+    return found[new], merged(spans)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +377,7 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row.
 
     Of whole texts in UTF-8 (null: empty) each byte is removed that lies in a string of
@@ -303,22 +412,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from flush()
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, spans = [np.empty(0, ANCHOR)], [np.empty(0, SPANS)]
+        held, spans, parted = np.empty(0, ANCHOR), [np.empty(0, SPANS)], np.empty(0, np.uint64)
+        more: list[np.ndarray] = []
+
+        def asked(rows: np.ndarray, by_string: bool) -> pa.RecordBatch:
+            ask = np.empty(len(rows), ASK)
+            for f in ("doc", "at", "gram"):
+                ask[f] = rows[f]
+            ask["hot"] = by_string
+            return dealt(ASK_ROWS, ask, ask["doc"] % n)
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """Classes of what is held; grams that have too many are asked for at once, now and from here on."""
+            nonlocal held, parted
+            found, first = by_class(np.concatenate([held, *more]))
+            more.clear()
+            spans.append(spans_of(found[later(found, first)]))
+            found = found[first == np.arange(len(found))]
+            grams, count = np.unique(found["gram"], return_counts=True)
+            many = grams[count > hot]
+            if len(many):
+                out = np.isin(found["gram"], many)
+                yield asked(found[out], True)
+                parted, found = np.union1d(parted, many), found[~out]
+            held = found
+
         for b in batches:
             for kind, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                (held if kind == ANCHORS else spans).append(np.frombuffer(data, ANCHOR if kind == ANCHORS else SPANS))
-        found, first = by_class(np.concatenate(held))
-        spans = merged(np.concatenate([*spans, spans_of(found[later(found, first)])]))
+                if kind == SPAN_ROWS:
+                    spans.append(np.frombuffer(data, SPANS))
+                    continue
+                rows = np.frombuffer(data, ANCHOR)
+                if len(parted):
+                    out = np.isin(rows["gram"], parted)
+                    if out.any():
+                        yield asked(rows[out], True)
+                        rows = rows[~out]
+                more.append(rows)
+                if sum(map(len, more)) * ANCHOR.itemsize > GATHER + held.nbytes:
+                    yield from settle()
+        yield from settle()
+        spans = merged(np.concatenate(spans))
         yield dealt(SPAN_ROWS, spans, spans["doc"] % n)
-        found = found[first == np.arange(len(found))]
-        gram = found["gram"]
-        several = np.zeros(len(found), bool)
+        gram = held["gram"]
+        several = np.zeros(len(held), bool)
         several[1:] |= gram[1:] == gram[:-1]
         several[:-1] |= gram[1:] == gram[:-1]
-        ask = np.empty(int(several.sum()), ASK)
-        for f in ASK.names:
-            ask[f] = found[f][several]
-        yield dealt(ASK_ROWS, ask, ask["doc"] % n)
+        yield asked(held[several], False)
 
     width = partitions(spark)
     marks = materialize(texts.mapInArrow(find, ROWS).repartition(width, "bucket", "kind").mapInArrow(classify, ROWS), "anchors")
@@ -348,6 +488,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield known, part.slice(texts_from)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def parted() -> Iterator[pa.RecordBatch]:
+            first, spans = first_strings(np.concatenate(held) if held else np.empty(0, STRING))
+            held.clear()
+            yield dealt(STRING_ROWS, first, (first["key"] >> np.uint64(20)).astype(np.int64) % n)
+            yield dealt(SPAN_ROWS, spans, spans["doc"] % n)
+
         for ask, part in runs(batches, ASK):
             offsets, data = _binary(part.column(2))
             out = []
@@ -358,22 +506,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if not len(rows):
                     continue
                 made = np.zeros(len(rows), CONTEXT)
-                for f in ASK.names:
+                for f in ("doc", "at", "gram"):
                     made[f] = rows[f]
                 text = np.concatenate([np.zeros(SPAN, np.uint8), data[offsets[i] : offsets[i + 1]], np.zeros(LENGTH, np.uint8)])
                 made["bytes"] = text[rows["at"][:, None] + np.arange(WIDTH)]
                 made["left"] = np.minimum(rows["at"], SPAN)
                 made["size"] = made["left"] + np.minimum(size - rows["at"], LENGTH)
-                out.append(made)
+                out.append(made[rows["hot"] == 0])
+                if rows["hot"].any():
+                    held.append(strings(made[rows["hot"] > 0]))
+                    if sum(map(len, held)) * STRING.itemsize > 4 * GATHER:
+                        yield from parted()
             if out:
                 out = np.concatenate(out)
                 yield dealt(ANCHORS, out, (out["gram"] >> np.uint64(20)).astype(np.int64) % n)
+        yield from parted()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.concatenate([np.empty(0, CONTEXT), *[np.frombuffer(x, CONTEXT) for b in batches for x in b.column(2).to_pylist()]])
-        if len(found):
-            spans = repeated_spans(found)
-            yield dealt(SPAN_ROWS, spans, spans["doc"] % n)
+        types = {ANCHORS: CONTEXT, STRING_ROWS: STRING, SPAN_ROWS: SPANS}
+        held: dict[int, list[np.ndarray]] = {k: [np.empty(0, t)] for k, t in types.items()}
+        for b in batches:
+            for kind, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                held[kind].append(np.frombuffer(data, types[kind]))
+        found = np.concatenate(held.pop(ANCHORS))
+        spans = merged(np.concatenate([*held[SPAN_ROWS], first_strings(np.concatenate(held[STRING_ROWS]))[1], repeated_spans(found)]))
+        yield dealt(SPAN_ROWS, spans, spans["doc"] % n)
 
     asked = marks.where(F.col("kind") == ASK_ROWS)
     more = materialize(met(asked).mapInArrow(contexts, ROWS).repartition(width, "bucket").mapInArrow(scan, ROWS), "repeats")

@@ -82,3 +82,22 @@ def test_empty_table_null_and_repeated_ids(spark):
     text = "".join(random.Random(4).choices("abcdefgh", k=300))
     rows = op.remove_repeats(spark.createDataFrame([(None, text), (1, text), (1, text)], "doc_id long, text string"), with_kept=True).collect()
     assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in rows) == [(1, 0), (1, 0), (99, 300)]
+
+
+def test_grams_with_many_surroundings_are_parted(spark):
+    docs = corpus(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in op.remove_repeats(df, hot=2).collect()}
+    assert got == brute(docs)
+
+
+def test_hot_grams_are_known_across_blobs(spark):
+    """One passage with other neighbours in each of many texts, parted and not, gives equal results."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = text(260)
+    docs = [(d, text(r.randint(20, 150)) + passage[r.randint(0, 40) :] + text(60)) for d in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    want = brute(docs)
+    assert {x[0]: tuple(x)[1:] for x in op.remove_repeats(df, hot=50).collect()} == want
+    assert {x[0]: tuple(x)[1:] for x in op.remove_repeats(df).collect()} == want
