@@ -23,6 +23,8 @@ from folio.llm.common import materialize, plain
 WEIGHTS = (5, 2, 1)
 #: The sampler takes populations below 10^9; blocks grow with the total to stay below.
 MOST_BLOCKS = 250_000_000
+#: Rows of a bucket of hashed rows, about.
+BUCKET = 4_000
 
 
 def targets(sizes: list[int], weights: list[int], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -77,16 +79,26 @@ def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Two hashes that tell rows apart by id, source and text.
+ROW = ("r1", "r2")
+
+
+def with_row(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with ROW: rows equal in id, source and text are equal, others have 128 bits to differ."""
+    i, s, t = (F.col(f"`{c}`") for c in (id_col, source_col, text_col))
+    return docs.select("*", F.xxhash64(i, s, s.isNull(), t).alias("r1"), F.xxhash64(t, i, i.isNull(), s).alias("r2"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of the whole text."""
+    """(doc_id, source, r1, r2, size) per row: size is the words of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(t.encode("utf-8", "surrogatepass").split()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            n = [len(t.encode("utf-8", "surrogatepass").split()) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], ["doc_id", "source", *ROW, "size"])
 
-    rows = plain(docs, id_col, source_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema[id_col].dataType.simpleString()}, source string, size long")
+    rows = with_row(plain(docs, id_col, source_col, text=text_col).toDF("doc_id", "source", "text"), "doc_id", "text", "source").select("doc_id", "source", *ROW, "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, r1 long, r2 long, size long")
 
 
 def _lined(sizes: DataFrame, seed: int) -> DataFrame:
@@ -96,23 +108,23 @@ def _lined(sizes: DataFrame, seed: int) -> DataFrame:
     that no window holds a whole source: first sums by bucket, then sums within.
     """
     n = sizes.count()
-    bits = max(4, (n // 50_000).bit_length() + 1)
-    rows = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    bits = max(4, (n // BUCKET).bit_length() + 1)
+    rows = sizes.withColumn("h", F.xxhash64(F.lit(seed), *ROW)).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", *ROW).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .select("doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("at"))
+        .select("doc_id", *ROW, "source", "size", (F.col("base") + F.col("inner")).alias("at"))
     )
 
 
 def mix(sizes: DataFrame, plan: dict[str | None, float], block: int = 256, least_blocks: int = 1000, shard_blocks: int = 4096, seed: int = 7, whole: bool = False) -> DataFrame:
-    """(doc_id, source, shard, position, pass, first_word, words): what the mix takes.
+    """(doc_id, r1, r2, source, shard, position, pass, first_word, words): what the mix takes.
 
-    sizes: (doc_id, source, size), source null or not. plan: words to take of each
+    sizes: what sized() gives, source null or not. plan: words to take of each
     source, one entry a source, so it fits the driver; others are not taken. A source
     has blocks of about block words, smaller ones where that gives fewer than
     least_blocks. Passes over a source take each block once; the last one takes the
@@ -152,15 +164,15 @@ def mix(sizes: DataFrame, plan: dict[str | None, float], block: int = 256, least
     edge = lambda j: F.ceil(j.cast("decimal(19,0)") * F.col("total").cast("decimal(19,0)") / F.col("blocks").cast("decimal(19,0)")).cast("long")
     end = F.col("at") + F.col("size")
     if whole:
-        spans = lines.select("doc_id", "source", place(F.col("at")).alias("block"), F.lit(0).cast("long").alias("first_word"), F.col("size").alias("words"))
+        spans = lines.select("doc_id", *ROW, "source", place(F.col("at")).alias("block"), F.lit(0).cast("long").alias("first_word"), F.col("size").alias("words"))
     else:
         cut = lines.withColumn("block", F.explode(F.sequence(place(F.col("at")), place(end - 1))))
         low, high = F.greatest("at", edge(F.col("block"))), F.least(end, edge(F.col("block") + 1))
-        spans = cut.select("doc_id", "source", "block", (low - F.col("at")).alias("first_word"), (high - low).alias("words"))
-    spans = spans.select("doc_id", F.col("source").alias("s"), F.col("block").alias("b"), "first_word", "words")
+        spans = cut.select("doc_id", *ROW, "source", "block", (low - F.col("at")).alias("first_word"), (high - low).alias("words"))
+    spans = spans.select("doc_id", *ROW, F.col("source").alias("s"), F.col("block").alias("b"), "first_word", "words")
     # the planner can't know how many rows a shard draws and would broadcast them
     taken = drawn.join(spans.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    return taken.select("doc_id", "source", "shard", "position", "pass", "first_word", "words").where("words > 0")
+    return taken.select("doc_id", *ROW, "source", "shard", "position", "pass", "first_word", "words").where("words > 0")
 
 
 def _chosen(of: dict[str | None, tuple[int, ...]], i: int) -> Column:
@@ -192,12 +204,35 @@ def mix_by_weight(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return sizes, mix(sizes, {s: t for s, _, t in sources}, seed=seed, whole=whole), sources
 
 
-def mixed_documents(docs: DataFrame, share: float = 1.5, seed: int = 7) -> DataFrame:
-    """docs as mixed: each whole document as often as the mix takes it, from 0 to 2 times."""
-    sizes, taken, _ = mix_by_weight(docs, share=share, seed=seed, whole=True)
-    copies = taken.groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = sizes.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    # rows repeated under one id share what the mix takes of that id
-    joined = copies.join(rows, copies["doc_id"].eqNullSafe(rows["doc_id"]))
-    each = joined.select(copies["doc_id"].alias("__id"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("__n"))
-    return docs.join(each, docs["doc_id"].eqNullSafe(each["__id"])).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+def taken_of(sizes: DataFrame, taken: DataFrame) -> DataFrame:
+    """(doc_id, source, size, taken, shard, position) for every row of sizes.
+
+    taken: words the mix takes of the row, rows equal in id, source and text share what
+    is taken of them; shard and position of the first block that holds some of them,
+    null where none does.
+    """
+    words = taken.groupBy(*ROW).agg(F.sum("words").alias("all"), F.min(F.struct("shard", "position")).alias("first"))
+    rows = sizes.groupBy("doc_id", "source", "size", *ROW).agg(F.count("*").alias("copies"))
+    each = rows.join(words, [*ROW], "left").select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i"))
+    share = F.expr("coalesce(all, 0) div copies") + F.when(F.col("i") <= F.coalesce("all", F.lit(0)) % F.col("copies"), 1).otherwise(0)
+    return each.select("doc_id", "source", "size", share.alias("taken"), "first.shard", "first.position")
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as mixed: each whole document as often as the mix takes it, from 0 to 2 times.
+
+    Rows come shard by shard in the order of the mix. Of rows equal in id, source and
+    text each takes its part of what the mix takes of them.
+    """
+    _, taken, _ = mix_by_weight(docs, id_col, text_col, source_col, share, seed, whole=True)
+    places = taken.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("shard", "position"))).alias("__places")).select(*[F.col(c).alias(f"__{c}") for c in ROW], "__places")
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = with_row(named.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn("__source", F.col(f"`{source_col}`").cast("string")), id_col, "__text", "__source")
+    keyed = keyed.toDF(*docs.columns, "__text", "__source", "__r1", "__r2").drop("__text", "__source")
+    same = Window.partitionBy("__r1", "__r2")
+    joined = keyed.join(places.hint("merge"), ["__r1", "__r2"])
+    numbered = joined.withColumn("__n", F.count("*").over(same)).withColumn("__i", F.row_number().over(same.orderBy(F.lit(0))))
+    mine = F.filter("__places", lambda _, j: j % F.col("__n") == F.col("__i") - 1)
+    each = numbered.withColumn("__place", F.explode(mine))
+    mixed = each.repartition(F.col("__place.shard")).sortWithinPartitions("__place.shard", "__place.position", "__r1", "__r2")
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])

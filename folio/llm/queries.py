@@ -35,14 +35,9 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, taken, sources = mixing.mix_by_weight(documents(spark, sf_dir))
-    words = taken.groupBy(F.col("doc_id").alias("id")).agg(F.sum("words").alias("taken"))
-    rows = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     plan = spark.createDataFrame(sources, "s string, source_size long, target double")
-    joined = rows.join(words, F.col("doc_id").eqNullSafe(F.col("id")), "left").join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    each = joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("all"), "copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i"))
-    # rows repeated under one id share what is taken of it
-    share = F.expr("all div copies") + F.when(F.col("i") <= F.col("all") % F.col("copies"), 1).otherwise(0)
-    return each.select("doc_id", "size", "source_size", "target", share.alias("taken"))
+    rows = mixing.taken_of(sizes, taken)
+    return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken", "shard", "position")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

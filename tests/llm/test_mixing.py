@@ -105,3 +105,31 @@ def test_empty_table(spark):
     sizes, taken, sources = op.mix_by_weight(df)
     assert (sizes.count(), taken.count(), sources) == (0, 0, [])
     assert op.mixed_documents(df).count() == 0
+
+
+def test_repeated_and_null_ids_share_what_is_taken_of_their_text(spark, tmp_path):
+    """Documents without an id, and ids with several texts, are rows of their own."""
+    r = random.Random(9)
+    rows = [(None, "a", "w " * r.choice([100, 300, 900]) + f"n{i % 40}") for i in range(120)] + [(7, s, f"t{i} " * 250) for i in range(30) for s in ("a", "b")]
+    rows += [(i, "c", "x y z " * 400) for i in range(100, 130)]
+    spark.createDataFrame([(i, t, s, "e") for i, s, t in rows], "doc_id long, text string, source string, shard string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by_size, of = Counter(), {}
+    for i, s, t in rows:
+        by_size[s] += len(t.split())
+    for x in got:
+        assert x["taken"] <= 2 * x["size"]
+        of.setdefault((x["source_size"], x["target"]), []).append(x["taken"])
+    assert sorted(of) == sorted((w, t) for _, w, t in op.weighed(op.sized(spark.read.parquet(f"{tmp_path}/documents.parquet"))))
+    assert all(abs(sum(taken) - target) <= 1 + size / 900 for (size, target), taken in of.items())
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mixed = op.mixed_documents(df)
+    assert mixed.columns == df.columns
+    copies, there = Counter(map(tuple, mixed.collect())), Counter((i, t, s, "e") for i, s, t in rows)
+    assert set(copies) <= set(there) and all(n <= 2 * there[x] for x, n in copies.items())
+    words = Counter()
+    for (_, t, s, _), n in copies.items():
+        words[s] += n * len(t.split())
+    for s, size, target in op.weighed(op.sized(df)):
+        assert abs(words[s] - target) <= 3 * 1200
