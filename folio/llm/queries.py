@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup, language_id, media, mixing, packing, repeats, sharding, simhash, url_filter, warc
 
-SHARD_LIMIT = 32 << 20
+SHARD_LIMIT = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Rows fall into buckets by the leading bits of a hash. All start in one bucket; only
 buckets above the byte limit split, on one more bit, until each fits. The directory
-has an entry for each prefix of the largest depth in use and names the bucket, whose
-own depth may be smaller, that holds it; rows find their shard by one equality join.
+names, for each prefix in use, the bucket, whose own depth may be smaller, that holds
+it; it has levels of some bits each, so that rows find their shard by an equality join
+a level and no level lists prefixes that no row has.
 """
 
 from __future__ import annotations
@@ -28,65 +29,62 @@ def prefix(h: Column, depth: int | Column) -> Column:
     return F.call_function("shiftright", h, (F.lit(BITS) - depth).cast("int"))
 
 
-def buckets(sizes: DataFrame, limit: int) -> DataFrame:
-    """(depth, prefix, bytes, rows, oversized) of the leaves of the directory.
+def directories(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """[(depth, directory)]: the directory by levels, each (cell, depth, bytes, rows, oversized).
 
-    sizes: (h, n_bytes). Some levels are summed at a time; where a bucket of the last
-    of them is still too large, its rows go on, alone. A bucket at full depth holds
-    equal hashes only; it can't split and is marked oversized.
+    sizes: (h, n_bytes). LEVELS bits are looked at a time: a level has an entry for each
+    prefix (cell) of that many bits that rows have, with the bucket that holds it; cells
+    of buckets that are still too large have their entries in the next level, whose rows
+    alone go on. So no directory has more entries than there are distinct hashes. A
+    bucket of all bits holds equal hashes only; it can't split and is marked oversized.
     """
-    leaves, depth, open_ = [], 0, sizes
+    found, depth, open_ = [], 0, sizes
     while True:
         top = min(BITS, depth + LEVELS)
         cells = open_.groupBy(prefix(F.col("h"), top).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
-        every = cells.select("bytes", "rows", "cell", F.explode(F.sequence(F.lit(depth), F.lit(top))).alias("depth"))
-        level = every.groupBy("depth", F.expr(f"shiftright(cell, {top} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-        level = materialize(level, "levels")
-        parent = level.where(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
-        split = level.withColumn("up", F.expr("shiftright(prefix, 1)")).join(parent, ["depth", "up"], "left_semi")
-        reached = split.unionByName(level.where(F.col("depth") == depth).withColumn("up", F.lit(0).cast("long"))) if depth == 0 else split
-        fit = reached.where((F.col("bytes") <= limit) | (F.col("depth") == BITS))
-        leaves.append(fit.select("depth", "prefix", "bytes", "rows", (F.col("bytes") > limit).alias("oversized")))
+        every = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(depth + 1 if found else 0), F.lit(top))).alias("depth"))
+        every = materialize(every.withColumn("prefix", F.expr(f"shiftright(cell, {top} - depth)")), "cells")
+        level = materialize(every.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), "levels")
+        # a bucket is the first prefix on a row's way that fits; the way starts at the level's first depth
+        fits = level.where((F.col("bytes") <= limit) | (F.col("depth") == BITS)).withColumn("oversized", F.col("bytes") > limit)
+        way = every.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"])
+        entry = way.groupBy("cell").agg(F.min_by(F.struct("depth", "bytes", "rows", "oversized"), "depth").alias("e")).select("cell", "e.*")
+        found.append((top, materialize(entry, "directory")))
         over = level.where((F.col("depth") == top) & (F.col("bytes") > limit)).select(F.col("prefix").alias("cell"))
         if top == BITS or over.isEmpty():
-            return materialize(reduce(DataFrame.unionByName, leaves), "buckets")
+            return found
         depth = top
         open_ = open_.withColumn("cell", prefix(F.col("h"), top)).join(over, "cell", "left_semi").drop("cell")
 
 
-def directory(leaves: DataFrame, depth: int) -> DataFrame:
-    """One row for each of the 2^depth entries: (entry, depth, prefix, bytes, rows, oversized)."""
-    span = F.expr(f"shiftleft(CAST(1 AS BIGINT), {depth} - depth)")
-    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
-    return leaves.withColumn("entry", F.explode(F.sequence(first, first + span - 1)))
-
-
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, shard, depth, shard_bytes, shard_rows, oversized) for every row.
 
     n_bytes is the text's length in UTF-8, 0 for null. shard is the bucket's hash
     prefix in binary digits, empty while one shard holds all. Null ids hash as the
-    empty text. A row above the limit, and rows of one id that are together above it,
-    have a shard of their own, named by all bits and marked oversized. An empty table gives an empty result; other
-    columns are ignored.
+    empty text. All rows of an id with a row above the limit, and rows of one id that
+    are together above it, have a shard of their own, named by all bits and marked
+    oversized. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_of(F.col(id_col)).alias("h"))
     rows = materialize(rows, "sizes")
-    leaves = buckets(rows.where(F.col("n_bytes") <= limit).select("h", "n_bytes"), limit)
-    deepest = leaves.agg(F.max(F.when(~F.col("oversized"), F.col("depth")))).first()[0] or 0
-    usual = directory(leaves.where(F.col("depth") <= deepest), deepest)
-    found = rows.withColumn("entry", prefix(F.col("h"), deepest)).join(usual, "entry", "left")
-    large = rows.where(F.col("n_bytes") > limit).groupBy(F.col("h").alias("prefix")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
-    single = leaves.where(F.col("depth") > deepest).select("prefix", "bytes", "rows").unionByName(large).groupBy(F.col("prefix").alias("h"))
-    single = single.agg(F.sum("bytes").alias("o_bytes"), F.sum("rows").alias("o_rows")).withColumn("o_depth", F.lit(BITS))
-    found = found.join(single, "h", "left")
-    for c in ("depth", "bytes", "rows", "oversized"):
-        found = found.withColumn(c, F.when(F.col("n_bytes") <= limit, F.col(c)))
-    depth = F.coalesce("depth", "o_depth")
-    name = F.when(depth == 0, "").otherwise(F.lpad(F.conv(prefix(F.col("h"), depth).cast("string"), 10, 2), depth, F.lit("0")))
+    large = rows.where(F.col("n_bytes") > limit)
+    parts, open_ = [], rows
+    if not large.isEmpty():
+        own = materialize(large.groupBy("h").agg(F.lit(True).alias("oversized")), "large")
+        alone = materialize(rows.join(own, "h"), "alone")
+        sums = alone.groupBy("h").agg(F.lit(BITS).alias("depth"), F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
+        parts.append(alone.join(sums, "h"))
+        open_ = rows.join(own, "h", "left_anti")
+    levels = directories(open_.select("h", "n_bytes"), limit)
+    for top, entries in levels:
+        met = open_.withColumn("cell", prefix(F.col("h"), top)).join(entries, "cell", "left").drop("cell")
+        parts.append(met.where("depth IS NOT NULL"))
+        open_ = met.where("depth IS NULL").select("id", "n_bytes", "h")
+    found = reduce(DataFrame.unionByName, parts)
+    name = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(prefix(F.col("h"), F.col("depth")).cast("string"), 10, 2), F.col("depth"), F.lit("0")))
     return found.select(
-        F.col("id").alias(id_col), "n_bytes", name.alias("shard"), depth.cast("int").alias("depth"), F.coalesce("bytes", "o_bytes").alias("shard_bytes"),
-        F.coalesce("rows", "o_rows").alias("shard_rows"), F.coalesce("oversized", F.lit(True)).alias("oversized"),
+        F.col("id").alias(id_col), "n_bytes", name.alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "oversized"
     )
 
 

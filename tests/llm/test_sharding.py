@@ -63,3 +63,17 @@ def test_writing_and_empty_table(spark, tmp_path):
     op.write_shards(df, f"{tmp_path}/out", 5000)
     assert spark.read.parquet(f"{tmp_path}/out").drop("shard").exceptAll(df).count() == 0
     assert op.shard(spark.createDataFrame([], "doc_id long, text string"), 10).count() == 0
+
+
+def test_shards_of_one_row_have_long_prefixes(spark):
+    """Rows above half the limit each get a shard, so that prefixes are as long as hashes make them."""
+    rows = spark.range(100_000).selectExpr("id AS doc_id", "repeat('x', 60) AS text")
+    got = op.shard(rows, 100)
+    assert got.where("shard_rows != 1 OR shard_bytes != 60 OR oversized").count() == 0
+    assert got.select("shard").distinct().count() == 100_000 and got.agg({"depth": "max"}).first()[0] > 24
+
+
+def test_a_text_of_over_a_megabyte_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "é" * 700_000, "c", 1), (2, "a", "c", 2), (1, "b", "c", 3)], "doc_id long, text string, cell string, h int")
+    got = sorted(map(tuple, op.shard(df, 1000).collect()))
+    assert [(r[0], r[1], r[4], r[5], r[6]) for r in got] == [(1, 1, 1_400_001, 2, True), (1, 1_400_000, 1_400_001, 2, True), (2, 1, 1, 1, False)]
