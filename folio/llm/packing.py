@@ -20,17 +20,20 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import materialize, plain
 
+#: Added token of the vocabulary and its id (fixed value).
+END_OF_TEXT = ("<|endoftext|>", 50256)
 PIECE = "doc_id {id}, start long, length long, loss long, ids_crc32 long, doc_tokens long"
 
 
 def encoder(ranks_path: str):  # noqa: ANN201
-    """The byte-level BPE of the vocabulary file as a function text -> ids."""
+    """The byte-level BPE of the vocabulary file as a function text -> ids; the added token's string is that token."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([END_OF_TEXT]))
+    return lambda text: coder.encode(text, allowed_special="all") if END_OF_TEXT[0] in text else coder.encode_ordinary(text)
 
 
 def pieces(docs: DataFrame, ranks_path: str | None = None, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,13 +104,15 @@ def pack(parts: DataFrame, capacity: int = 2048, max_segments: int = 256, max_lo
     parts: (doc_id, start, length, loss, ...), one row per piece, of at most capacity
     tokens. No sequence exceeds capacity tokens, max_segments pieces or max_loss
     loss-bearing tokens (capacity when not given). Offsets are gapless from 0. Pieces
-    are dealt to groups of about group_size; a null id is an id like any other, equal
-    rows are pieces of their own, an empty table gives an empty result.
+    are dealt to groups of about group_size, equal ones by their number among their
+    like; a null id is an id like any other, equal rows are pieces of their own, an
+    empty table gives an empty result.
     """
-    parts = materialize(parts, "pieces")
+    alike = parts.groupBy(*[F.col(f"`{c}`") for c in parts.columns]).agg(F.count("*").alias("__n"))
+    parts = materialize(alike.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__n"), "pieces")
     groups = max(1, -(-parts.count() // group_size))
     limits = np.array([capacity, max_segments, max_loss or capacity], np.int64)
-    dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
+    dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "__i"), F.lit(groups))).drop("__i")
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -120,7 +125,7 @@ def pack(parts: DataFrame, capacity: int = 2048, max_segments: int = 256, max_lo
         offset = before - before[np.searchsorted(at, at)]
         return table.append_column("sequence_id", pa.array(table["group"].to_numpy() * (1 << 24) + at)).append_column("offset", pa.array(offset)).drop_columns(["group"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields if f.name != "__i")
     return dealt.groupBy("group").applyInArrow(place, schema + ", sequence_id long, offset long")
 
 

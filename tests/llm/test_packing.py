@@ -15,7 +15,6 @@ TEXTS = [None, "", "a", "Les régularisations de décembre <|endoftext|> et 123.
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -77,3 +76,48 @@ def test_limits_of_instruction_data(spark):
 
 def test_empty_table(spark):
     assert op.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_fill(demand, limits):
+    """The rule of fill() piece by piece: the bin opens with the largest piece left, then the largest dot product that fits."""
+    left, at, bin_no = sorted(range(len(demand)), key=lambda i: ([-x for x in demand[i]], i)), {}, 0
+    while left:
+        room, take = list(limits), left[0]
+        while take is not None:
+            at[take] = bin_no
+            left.remove(take)
+            room = [a - b for a, b in zip(room, demand[take])]
+            fits = [i for i in left if all(d <= a for d, a in zip(demand[i], room))]
+            score = lambda i: sum(d / m * (a / m) for d, a, m in zip(demand[i], room, limits))
+            best = max(map(score, fits), default=None)
+            take = next((i for i in fits if score(i) >= best - 1e-12), None)
+        bin_no += 1
+    return [at[i] for i in range(len(demand))]
+
+
+@given(st.lists(st.tuples(st.integers(1, 64), st.just(1), st.integers(0, 32)), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_choice_is_the_largest_dot_product(rows):
+    limits = (64, 8, 32)  # powers of two, so that products are exact
+    got = op.fill(np.array(rows, np.int64).reshape(-1, 3), np.array(limits))
+    want = plain_fill(rows, limits)
+    kinds = lambda at: sorted(sorted(rows[i] for i in range(len(rows)) if at[i] == b) for b in set(at))
+    assert kinds(got.tolist()) == kinds(want)
+
+
+def test_equal_pieces_are_dealt_apart(spark):
+    """Many rows without an id and with one text don't meet in one group."""
+    df = spark.createDataFrame([(None, "same words")] * 3000, "doc_id long, text string")
+    got = op.pack(op.pieces(df), group_size=256).collect()
+    assert len(got) == 3000
+    sizes = {}
+    for r in got:
+        sizes[r["sequence_id"] >> 24] = sizes.get(r["sequence_id"] >> 24, 0) + 1
+    assert max(sizes.values()) < 600 and len(sizes) == 12
+
+
+def test_a_text_of_over_a_megabyte(spark):
+    text = "one long line of words " * 60_000
+    got = op.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    n = len(ids_of([text])[0])
+    assert sum(r["length"] for r in got) == n == got[0]["doc_tokens"] and max(r["length"] for r in got) == 2048
