@@ -30,8 +30,12 @@ class Model:
 
 
 def letters(text: str) -> list[str]:
-    """Runs of letters in lower case."""
-    return LETTERS.findall(text.lower())
+    """Runs of letters (str.isalpha) in lower case."""
+    runs = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    # the pattern also takes numerals that aren't decimal digits, such as fractions
+    return "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
 
 
 def word_grams(word: str, n: int) -> list[str]:
@@ -40,15 +44,18 @@ def word_grams(word: str, n: int) -> list[str]:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 5_000, max_words: int = 30_000, max_grams: int = 100_000) -> Model:
-    """Fit on about max_docs rows (all, when fewer), chosen by a hash of the id; null labels left out.
+    """Fit on about max_docs rows (all, when fewer), chosen by a hash of id and text; null labels left out.
 
-    Words and n-grams are counted by Spark; the most frequent max_words words and
-    max_grams n-grams, ties in code point order, form the model, so its size is
-    bounded. No labelled rows give a model without languages.
+    Each language has an equal part of max_docs, so rare ones are learned too. Words and
+    n-grams are counted by Spark; the most frequent max_words words and max_grams
+    n-grams, ties in code point order, form the model, so its size is bounded. Every
+    label that a row with letters in the sample has is learned. No labelled rows give a
+    model without languages.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull())
-    share = F.pmod(F.xxhash64(id_col), F.lit(max(1, rows.count()))) < max_docs
-    sample = rows.where(share).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    of = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else F.create_map(F.lit(""), F.lit(1))
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.try_element_at(of, F.col("lang"))) < -(-max_docs // max(1, len(sizes))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +81,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     for kind, rows, most in (("w", counted, max_words), ("g", grams_of, max_grams)):
         by = rows.groupBy("token", "lang").agg(F.sum("n").alias("n")).groupBy("token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
         top += [(kind, r["token"], r["by"]) for r in by.orderBy(F.desc("total"), "token").limit(most).collect()]
-    langs = sorted({lang for _, _, by in top for lang in by})
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     total: Counter = Counter()
     size: Counter = Counter()
     order = lambda kind, token: kind if kind == "w" else len(token)
@@ -172,7 +179,8 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of docs whose language is identified with a score of at least least, all columns.
 
     Rejected are texts without letters and texts whose words speak for no language.
-    Each row is judged by its own text, whatever its id.
+    Each row is judged by its own text, whatever its id. Where no row has a label, no
+    language is known and only texts without letters are rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(learned_rows(docs)))
     at = docs.columns.index("text")
@@ -180,7 +188,11 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            made = [scorer.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in made], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if scorer.model.langs:
+                kept = [lang != UNKNOWN and score >= least for lang, score in map(scorer.predict, texts)]
+            else:
+                kept = [bool(letters(t or "")) for t in texts]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,3 +55,46 @@ def test_undetermined_texts_empty_tables_and_clean_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert op.identify(empty, op.fit(empty)).count() == 0
     assert op.Scorer(op.fit(empty)).predict("some text") == ("und", 0.0)
+
+
+def test_numerals_are_no_letters_and_marks_part_words():
+    assert op.letters("½ ² ① ४ 12_3") == []
+    assert op.letters("m² Été-x½y") == ["m", "été", "x", "y"]
+    assert all(op.letters(chr(c)) == [] for c in range(0x2000) if not chr(c).lower().isalpha() and not chr(c).isalpha())
+
+
+def test_rare_languages_are_learned_and_no_labels_reject_nothing_with_letters(spark):
+    rows = [(i, t, k) for i, t, k in corpus(400)] + [(1000 + i, "talo vesi kissa on ja", "fi") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = op.fit(op.learned_rows(df), max_docs=100)
+    assert m.langs == ["de", "en", "fi", "fr"] and op.Scorer(m).predict("kissa on talo")[0] == "fi"
+    bare = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (None, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in op.drop_unidentified(bare).collect()] == [1]
+
+
+def test_score_is_that_of_a_plain_version(spark):
+    """Words by their log frequency, others by the longest n-grams of which any is known; all texts, long ones too."""
+    import math
+
+    rows = corpus()
+    m = model(spark, rows)
+    texts = [t for _, t, _ in rows[:30]] + ["maisons hauses waters zzz", "the " * 300_000 + "eau", "x"]
+
+    def word(w):
+        if w in m.words:
+            return list(m.words[w])
+        for n in (5, 4, 3, 2, 1):
+            framed = w if n == 1 else "<" + w + ">"
+            known = [m.grams[framed[i : i + n]] for i in range(len(framed) - n + 1) if framed[i : i + n] in m.grams]
+            if known:
+                return [sum(g[k] for g in known) / len(known) for k in range(len(m.langs))]
+        return [0.0] * len(m.langs)
+
+    scorer = op.Scorer(m)
+    for t in texts:
+        total = [0.0] * len(m.langs)
+        for w in t.lower().split():
+            total = [a + b for a, b in zip(total, word(w))]
+        p = [math.exp(x - max(total)) for x in total]
+        lang, score = scorer.predict(t)
+        assert lang == m.langs[max(range(len(p)), key=lambda k: (total[k], -k))] and abs(score - max(p) / sum(p)) < 2e-6
