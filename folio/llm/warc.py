@@ -3,8 +3,8 @@
 Records are range-sorted by id into shards whose bounds depend on the rows alone.
 Each shard is written as files that roll when their compressed size reaches a limit,
 one gzip member per record, headers and digests made anew. Files are written under
-temporary names; only those that a finished task reports are renamed, then the
-manifest, itself renamed into place, commits the archive.
+temporary names; tasks give those that finished tasks report their final names, then
+the manifest, a table of files that Spark commits, makes the archive readable.
 """
 
 from __future__ import annotations
@@ -23,13 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 
-from folio.llm.common import scratch_dir
+from folio.llm.common import materialize, scratch_dir
 
 DATE = "2024-01-01T00:00:00Z"
-SAMPLE = 100_000
+#: Ids that bounds are taken from: so many at least, and so many a shard.
+SAMPLE, SHARD_SAMPLE = 100_000, 20
 LEAST = 100
+#: Tasks that read an archive, one per file up to here.
+MOST_TASKS = 20_000
 SPLIT = b"\r\n\r\n"
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
+ENTRY = "file string, records long, bytes long, first_id long, last_id long, sha256 string"
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -84,40 +88,46 @@ def decisions(pages: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     return rows.join(first, "digest").where("page_id IS NULL OR page_id != refers_to").where("refers_to IS NOT NULL").select("page_id", "digest", "refers_to").distinct()
 
 
-def bounds(pages: DataFrame, shard_bytes: int, id_col: str, payload_col: str) -> list[float]:
-    """Inner shard bounds by id: quantiles by bytes of at most about SAMPLE ids that a hash picks."""
-    size = F.coalesce(F.octet_length(F.col(payload_col)), F.lit(0)) + 1000
-    total = pages.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    shards = -(-(total["b"] or 0) // shard_bytes)
+def bounds(pages: DataFrame, shard_bytes: int, id_col: str, payload_col: str) -> tuple[int, int, list[float]]:
+    """(shards of null ids, least id, inner bounds of ids less the least one).
+
+    Bounds are quantiles by bytes of ids that a hash picks, SHARD_SAMPLE of them a shard;
+    rows without an id, which have no range, are shared out by payload.
+    """
+    size, ident = F.coalesce(F.octet_length(F.col(payload_col)), F.lit(0)) + 1000, F.col(id_col)
+    total = pages.agg(F.count(ident).alias("n"), F.sum(F.when(ident.isNotNull(), size)).alias("b"), F.sum(F.when(ident.isNull(), size)).alias("none"), F.min(ident).alias("low")).first()
+    shards, none, low = -(-(total["b"] or 0) // shard_bytes), -(-(total["none"] or 0) // shard_bytes), total["low"] or 0
     if shards < 2:
-        return []
-    some = pages.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(total["n"])) < SAMPLE))
-    picked = some.select(F.col(id_col).cast("double").alias("id"), size.alias("size")).orderBy("id", "size").toPandas()
+        return none, low, []
+    some = pages.where(ident.isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(total["n"])) < max(SAMPLE, SHARD_SAMPLE * shards)))
+    picked = some.select((ident - low).cast("double").alias("id"), size.alias("size")).orderBy("id", "size").toPandas()
     if picked.empty:
-        return []
+        return none, low, []
     step = picked["size"].cumsum() * shards // (picked["size"].sum() + 1)
-    return sorted(set(picked["id"][step.diff() > 0]))
+    return none, low, sorted(set(picked["id"][step.diff() > 0]))
 
 
-def write_warc(pages: DataFrame, path: str, shard_bytes: int = 256 << 20, file_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[dict]:
-    """Write pages under path and return the manifest's entries, one per file.
+def write_warc(pages: DataFrame, path: str, shard_bytes: int = 256 << 20, file_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Write pages under path and return the manifest (ENTRY), a row per file.
 
-    A null payload is empty; a null url becomes urn:page:<id>; a null id is kept and
-    sorts first. Repeated rows give repeated records. An empty table gives a manifest
-    without files. The files' bytes depend on the rows and the limits alone. path is a
+    A null payload is empty; a null url becomes urn:page:<id>; null ids are kept, in
+    shards of their own before the others. Repeated rows give repeated records. An empty
+    table gives a manifest without files. The files' bytes depend on the rows and the limits alone. path is a
     URI that every executor can write to.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    inner = bounds(pages, shard_bytes, id_col, payload_col)
+    none, low, inner = bounds(pages, shard_bytes, id_col, payload_col)
     said = decisions(pages, id_col, payload_col)
     both = rows.select("page_id", F.lit(1).alias("kind"), F.sha2("payload", 256).alias("digest"), "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(
         said.select("page_id", F.lit(0).alias("kind"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     )
     if inner:
-        keyed = both.withColumn("at", F.coalesce(F.col("page_id").cast("double"), F.lit(float("-inf"))))
-        both = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="at", outputCol="shard").transform(keyed).withColumn("shard", F.col("shard").cast("int")).drop("at")
+        keyed = both.withColumn("at", (F.col("page_id") - low).cast("double"))
+        both = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="at", outputCol="range", handleInvalid="keep").transform(keyed)
     else:
-        both = both.withColumn("shard", F.lit(0))
+        both = both.withColumn("range", F.lit(0))
+    alone = F.pmod(F.xxhash64("digest"), F.lit(max(1, none)))
+    both = both.withColumn("shard", F.when(F.col("page_id").isNull(), alone).otherwise(F.col("range") + none).cast("int"))
     temporary = f"{path}/_temporary"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,24 +168,31 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = 256 << 20, file_b
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(m) for m in made], pa.string())], ["entry"])
 
     laid = both.select("shard", "page_id", "kind", "digest", "url", "payload", "refers_to")
-    sorted_ = laid.repartition(len(inner) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
-    entries = sorted((json.loads(r["entry"]) for r in sorted_.mapInArrow(write, "entry string").collect()), key=lambda e: e["file"])
-    _commit(path, temporary, entries)
-    return entries
-
-
-def _commit(path: str, temporary: str, entries: list[dict]) -> None:
-    """Rename the reported files, then put the manifest in place; leftovers of lost tasks go."""
-    fs, final = pafs.FileSystem.from_uri(path)
-    _, temp = pafs.FileSystem.from_uri(temporary)
-    fs.create_dir(final, recursive=True)
-    for e in entries:
-        fs.move(f"{temp}/{e.pop('temporary')}", f"{final}/{e['file']}")
-    with fs.open_output_stream(f"{final}/_{MANIFEST}", compression=None) as out:
-        out.write(json.dumps(entries, indent=1).encode())
-    fs.move(f"{final}/_{MANIFEST}", f"{final}/{MANIFEST}")
+    sorted_ = laid.repartition(none + len(inner) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    written = materialize(sorted_.mapInArrow(write, "entry string"), "written")
+    return _commit(written, path, temporary)
+
+
+def _commit(written: DataFrame, path: str, temporary: str) -> DataFrame:
+    """Tasks rename the files that written reports, then the manifest is put in place; leftovers of lost tasks go."""
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, final), (_, temp) = pafs.FileSystem.from_uri(path), pafs.FileSystem.from_uri(temporary)
+        fs.create_dir(final, recursive=True)
+        for b in batches:
+            for e in map(json.loads, b.column(0).to_pylist()):
+                # a task that runs again finds what it has renamed
+                if fs.get_file_info(f"{temp}/{e['temporary']}").type != pafs.FileType.NotFound:
+                    fs.move(f"{temp}/{e['temporary']}", f"{final}/{e['file']}")
+            yield b
+
+    spark = written.sparkSession
+    entries = written.mapInArrow(rename, "entry string").select(F.from_json("entry", ENTRY).alias("e")).select("e.*")
+    entries.write.json(f"{path}/{MANIFEST}")
+    fs, temp = pafs.FileSystem.from_uri(temporary)
     if fs.get_file_info(temp).type != pafs.FileType.NotFound:
         fs.delete_dir(temp)
+    return spark.read.schema(ENTRY).json(f"{path}/{MANIFEST}")
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -205,10 +222,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     response, length and digest are computed from the payload read; a revisit has a
     null payload and its headers' figures of the full payload.
     """
-    fs, folder = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as f:
-        files = [(f"{path}/{e['file']}",) for e in json.loads(f.read())]
-
+    files = spark.read.schema(ENTRY).json(f"{path}/{MANIFEST}").select(F.concat(F.lit(f"{path}/"), "file").alias("uri"))
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri in b.column(0).to_pylist():
@@ -228,7 +242,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             rows, size = [], 0
                 yield _batch(rows)
 
-    names = spark.createDataFrame(files, "uri string").repartition(max(1, len(files))) if files else spark.createDataFrame([], "uri string")
+    names = files.repartition(max(1, min(files.count(), MOST_TASKS)))
     return names.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
