@@ -7,8 +7,10 @@ two errors gives a Golay codeword that both share. Rows with equal keys meet in
 sorted run; each run is walked breadth first by exact Hamming distance and emits a
 spanning star of its links, so a run of m rows yields fewer than m edges.
 
-Near copies for the pipeline are found by the exact Jaccard similarity of shingle sets
-instead: a join by prefixes, which misses no pair, and a comparison of whole sets.
+Near copies for the pipeline are linked in the same way by fingerprints of five-word
+shingles, and each link is compared on the whole shingle sets. Similar sets whose
+fingerprints are farther apart are then found between the groups: a join by prefixes,
+which misses no pair of a given Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import accumulate, chain, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import golay
@@ -91,17 +93,17 @@ def segment_keys(fp: np.ndarray, plans: tuple, turn: int = 0) -> Iterator[tuple[
 
 
 def _stars(node: np.ndarray, proof: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(root, linked nodes) for each group of rows whose proofs link within most bits."""
+    """(node, nodes within most bits of it) for a spanning tree of each group of linked rows."""
     left = np.arange(len(node))
     while len(left) > 1:
-        root, queue, left = left[0], [left[0]], left[1:]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             hit = np.bitwise_count(proof[left] ^ proof[at]).sum(axis=1) <= most
             if hit.any():
                 new, left = left[hit], left[~hit]
                 queue.extend(new)
-                yield node[root], node[new]
+                yield node[at], node[new]
 
 
 def links(nodes: DataFrame, plans: tuple, most: int, width: int = 1) -> DataFrame:
@@ -178,7 +180,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
 
 
 def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, id, text_sha256, size, hashes) per row: the sorted XXH64 of its distinct shingles, as bytes.
+    """(node, id, text_sha256, size, fp, hashes) per row: the sorted XXH64 of its distinct shingles, as bytes, and their fingerprint.
 
     node is a number given to the row. A text without words has the one element 0.
     """
@@ -188,10 +190,12 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
             for a in range(0, len(whole), 1024):
                 b = whole.slice(a, 1024)
                 sets = [np.unique(np.concatenate(list(hashes(words_of(t), shingle)) or [np.zeros(1, np.uint64)])) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "text_sha256", "size", "hashes"])
+                fps = np.fromiter((majority(x[i : i + BLOCK] for i in range(0, len(x), BLOCK)) for x in sets), np.uint64, len(sets)).view(np.int64)
+                cols = [b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "text_sha256", "size", "fp", "hashes"])
 
     rows = plain(docs, id_col, text=text_col).select(F.col(f"`{id_col}`").alias("id"), text_id(F.col("text")).alias("text_sha256"), "text")
-    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_sha256 string, size int, hashes binary")
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_sha256 string, size int, fp long, hashes binary")
     return materialize(made.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
 
 
@@ -209,6 +213,14 @@ def common_shingles(sets: DataFrame, max_docs: int = 10_000, most: int = 100_000
     return found[::-1].astype(np.int64).view(np.uint64)
 
 
+def simhash_pairs(sets: DataFrame, most: int = 2) -> DataFrame:
+    """(src, dst) pairs that connect all sets whose fingerprints are equal or linked at most most bits apart."""
+    nodes = materialize(sets.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    equal = sets.select("node", "fp").join(nodes, "fp").where("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    apart = links(nodes.select(F.col("first").alias("node"), F.array("fp").alias("fps"), F.array("fp").alias("proof")), EXACT_2, most)
+    return equal.unionByName(apart.distinct())
+
+
 def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
     """(key, node, size, pos): the first elements of each set in one order of all elements.
 
@@ -226,7 +238,7 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
             for a in range(0, len(whole), 256):
                 b = whole.slice(a, 256)
                 keys, counts = [], []
-                for x in b.column(2):
+                for x in b.column("hashes"):
                     h = np.frombuffer(x.as_buffer(), np.uint64)
                     first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
                     if len(known):
@@ -243,85 +255,100 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.select("node", "size", "hashes").mapInArrow(run, "key long, node long, size int, pos int")
 
 
-def in_runs(rows: DataFrame, schema: str, made: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """made(columns, starts, ends) over whole runs of two and more rows with equal keys, in the order of node."""
-    names = rows.columns
+def sorted_runs(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(held["key"])) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(held["key"])]])
-            several = ends - starts > 1
-            return made(held, starts[several], ends[several])
 
-        held: dict[str, np.ndarray] | None = None
+def repeated_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys whose key several rows have."""
+    names = keys.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        met = False
         for b in batches:
             if not len(b):
                 continue
-            new = {n: b.column(n).to_numpy() for n in names}
-            held = {n: np.concatenate([held[n], new[n]]) for n in names} if held else new
-            last = int(np.searchsorted(held["key"], held["key"][-1]))
-            if last:
-                yield from done({n: x[:last] for n, x in held.items()})
-                held = {n: x[last:] for n, x in held.items()}
-        if held:
-            yield from done(held)
-
-    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
-
-
-def repeated_keys(keys: DataFrame) -> DataFrame:
-    """The rows of keys whose key several nodes have."""
-    names = keys.columns
+            key = b.column(0).to_numpy()
+            if held is not None and (met or held.column(0)[0].as_py() == key[0]):
+                yield held
+            kept = np.zeros(len(key), bool)
+            kept[1:] = key[1:] == key[:-1]
+            kept[:-1] |= kept[1:]
+            kept[0] |= held is not None and held.column(0)[0].as_py() == key[0]
+            # the last row may have its like in the next batch
+            held, met = b.slice(len(b) - 1), bool(kept[-1])
+            kept[-1] = False
+            yield b.filter(pa.array(kept))
+        if held is not None and met:
+            yield held
+
+    return sorted_runs(keys).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.select(*names).schema))
+
+
+def may_be_similar(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
+    """Whether two sets with equal first keys at these places can have enough elements in common."""
+    need = similarity / (1 + similarity)
+    return F.least(a("size") - a("pos"), b("size") - b("pos")) >= need * (a("size") + b("size")) - 1e-9
 
-    def made(held: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.zeros(len(held["key"]) + 1, np.int64)
-        np.add.at(edge, starts, 1), np.add.at(edge, ends, -1)
-        kept = np.cumsum(edge[:-1]) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(held[n][kept]) for n in names], names)
 
-    return in_runs(keys, "key long, node long, size int, pos int", made)
+def star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(src, dst): one node of the largest component of each key with the nodes outside it, as many as rows at most.
 
+    rows: (key, node, size, pos, component). The node changes from turn to turn.
+    """
+    one = F.struct(F.xxhash64(F.lit(turn), "node").alias("mixed"), "node", "size", "pos")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(one).alias("root"))
+    # written, so that the join is between plain exchanges and a hot key's rows can be split
+    roots = materialize(parts.groupBy("key").agg(F.max(F.struct("n", "component", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top.component", "top.root"), "roots")
+    met = rows.join(roots.withColumnRenamed("component", "other"), "key").where("component != other")
+    fits = may_be_similar(lambda c: F.col(c), lambda c: F.col(f"root.{c}"), similarity)
+    return met.where(fits).select(F.least("node", "root.node").alias("src"), F.greatest("node", "root.node").alias("dst")).distinct()
 
-def candidates(rows: DataFrame, similarity: float, turn: int | None) -> DataFrame:
-    """(src, dst) pairs of one run that are in different components and may be similar.
 
-    rows: (key, node, size, pos, component). In a turn, only pairs of one node of the largest
-    component with each node outside it, as many as rows; without a turn, all pairs.
-    """
+def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): all pairs with a key in common that are in different components and may be similar."""
     need = similarity / (1 + similarity)
 
-    def paired(held: dict[str, np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
-        size, left = held["size"].astype(np.int64), held["size"].astype(np.int64) - held["pos"]
-        fits = (held["component"][js] != held["component"][i]) & (np.minimum(left[js], left[i]) >= need * (size[js] + size[i]) - 1e-9)
-        return js[fits]
-
-    def made(held: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        src, dst, held_back = [], [], 0
-        for s, e in zip(starts, ends):
-            if turn is None:
-                roots = [(i, np.arange(i + 1, e)) for i in range(s, e - 1)]
-            else:
-                names, which, sizes = np.unique(held["component"][s:e], return_inverse=True, return_counts=True)
-                inside = s + np.flatnonzero(which == np.argmax(sizes))
-                mixed = held["node"][inside].astype(np.uint64) * np.uint64(2 * turn * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
-                roots = [(inside[np.argmin(mixed)], np.arange(s, e))] if len(names) > 1 else []
-            for i, js in roots:
-                js = paired({n: held[n][s:e] for n in held}, i - s, js - s) + s
-                src.append(np.full(len(js), held["node"][i])), dst.append(held["node"][js])
-                held_back += len(js)
-                if held_back > BLOCK:
-                    yield pairs(src, dst)
-                    src, dst, held_back = [], [], 0
-        if held_back:
-            yield pairs(src, dst)
-
     def pairs(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
         both = np.stack([np.concatenate(src), np.concatenate(dst)])
         found = np.unique(np.sort(both, axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
 
-    return in_runs(rows, "src long, dst long", made).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "size", "pos", "component"]
+        held = {n: np.zeros(0, np.int64) for n in names}
+
+        def done(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.diff(held["key"])) + 1
+            src, dst, n = [], [], 0
+            for s, e in zip([0, *cut], [*cut, len(held["key"])]):
+                node, size, left, part = (held[c][s:e] for c in ("node", "size", "left", "component"))
+                if e - s < 2 or (part == part[0]).all():
+                    continue
+                for i in range(e - s - 1):
+                    fits = (part[i + 1 :] != part[i]) & (np.minimum(left[i + 1 :], left[i]) >= need * (size[i + 1 :] + size[i]) - 1e-9)
+                    new = node[i + 1 :][fits]
+                    src.append(np.full(len(new), node[i])), dst.append(new)
+                    n += len(new)
+                    if n > BLOCK:
+                        yield pairs(src, dst)
+                        src, dst, n = [], [], 0
+            if n:
+                yield pairs(src, dst)
+
+        for b in batches:
+            if not len(b):
+                continue
+            held = {n: np.concatenate([held[n], b.column(n).to_numpy()]) for n in names}
+            last = int(np.searchsorted(held["key"], held["key"][-1]))
+            if last:
+                yield from done({n: x[:last] for n, x in held.items()} | {"left": (held["size"] - held["pos"])[:last]})
+                held = {n: x[last:] for n, x in held.items()}
+        if len(held["key"]):
+            yield from done(held | {"left": held["size"] - held["pos"]})
+
+    return sorted_runs(rows.select("key", "node", "size", "pos", "component")).mapInArrow(run, "src long, dst long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -342,27 +369,44 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", "one", "two").mapInArrow(run, "src long, dst long")
 
 
-def near_copies(sets: DataFrame, similarity: float = 0.8, turns: int = 3) -> DataFrame:
+def joined_by(edges: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(node, component) of joined (as components() gives it) after edges are added."""
+    if joined is None:
+        return materialize(components(edges), "components")
+    name = {c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in ("src", "dst")}
+    ends = edges.join(name["src"], "src", "left").join(name["dst"], "dst", "left")
+    ends = materialize(ends.select("src", "dst", *[F.coalesce(f"{c}_part", c).alias(f"{c}_part") for c in name]), "ends")
+    merged = components(ends.select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst"))).toDF("part", "now")
+    every = joined.unionByName(ends.select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col(f"{c}_part").alias("component")) for c in name])).alias("e")).select("e.*")).distinct()
+    return materialize(every.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("now", "component").alias("component")), "components")
+
+
+def near_copies(sets: DataFrame, similarity: float = 0.8, turns: int = 2) -> DataFrame:
     """(node, component) of the sets that are linked, over any number of links, by a Jaccard
     similarity of at least similarity; component is the smallest node.
 
-    Every such pair meets under a key (prefix_keys). Pairs are compared on the whole sets.
-    In the first turns each node meets one of each run's largest component, so that
-    large groups need few pairs; then all pairs left between components are compared.
+    First come the pairs with fingerprints within 2 bits. Every other such pair meets under
+    a key (prefix_keys): in some turns each node outside a key's largest component meets one
+    node of it, so that large groups need few pairs; then all pairs left between components
+    meet. All pairs are compared on the whole sets.
     """
+    joined = None
     keys = materialize(repeated_keys(prefix_keys(sets, similarity)), "keys")
-    edges, joined = None, None
-    for turn in [*range(turns), None]:
-        rows = keys.withColumn("component", F.col("node"))
-        if joined is not None:
-            rows = keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
+
+    def rows() -> DataFrame:
+        if joined is None:
+            return keys.withColumn("component", F.col("node"))
+        return keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
+
+    steps = [lambda: simhash_pairs(sets), *[lambda i=i: star_pairs(rows(), similarity, i) for i in range(turns)], lambda: rest_pairs(rows(), similarity)]
+    for step in steps:
         # written, so that the joins are between plain exchanges and a root's rows can be split
-        pairs = materialize(candidates(rows, similarity, turn), "pairs")
+        pairs = materialize(step(), "pairs")
         if pairs.isEmpty():
             continue
         found = materialize(similar(pairs, sets, similarity), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        joined = materialize(components(edges), "components")
+        if not found.isEmpty():
+            joined = joined_by(found, joined)
     return joined if joined is not None else keys.select("node", F.col("node").alias("component")).limit(0)
 
 
@@ -370,7 +414,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs without rows that have a near-duplicate with a smaller id in their group.
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of at least
-    similarity. Rows are told apart by id and text: null ids rank behind all others, and of
+    similarity, found from SimHash links on (near_copies). Rows are told apart by id and text: null ids rank behind all others, and of
     rows with one id, or none, the text with the smallest SHA-256 stays. Rows equal in id
     and text stay or go together.
     """
