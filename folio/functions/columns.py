@@ -50,8 +50,15 @@ def number(col: Column) -> Column:
 
 
 def rounded(col: Column, places: int = 4) -> Column:
-    """A rounded double, never a negative zero."""
-    return F.round(col.cast("double"), places) + F.lit(0.0)
+    """A rounded double, never a negative zero.
+
+    To few places it is rounded as a decimal, so that halves don't hang on the last bits
+    that the order of a sum leaves in a double.
+    """
+    exact = F.round(col.cast("double"), places)
+    if places < 6:
+        exact = F.coalesce(F.round(col.cast("double").try_cast("decimal(28,6)"), places).cast("double"), exact)
+    return exact + F.lit(0.0)
 
 
 def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:

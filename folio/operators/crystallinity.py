@@ -25,7 +25,7 @@ UNIVERSE_ROWS = [(u, *map(float, rest)) for u, *rest in (line.split("|") for lin
 TYPICAL = {"CRISTALLIN": ["613", "616", "626"], "NOMINATIF": ["641", "706", "707"], "INVENTAIRE": ["681", "686", "281", "291"], "VENTILATION": ["791"], "COMPOSITE": ["618", "627", "471"]}
 
 # Patterns of references to assets in upper-case labels.
-ASSET_PATTERNS = ("IMMO", r"N[°O]?\s*\d{3,}", r"REF[\.:\-\s]?\d+", r"ACTIF\s*\d+", r"DOT\.\s*\d+")
+ASSET_PATTERNS = (r"IMMO[\.:\-\s]?\d+", r"N[°O]?\s*\d{3,}", r"REF[\.:\-\s]?\d+", r"ACTIF\s*\d+", r"DOT\.\s*\d+")
 
 
 def expected_universe(family: Column) -> Column:
@@ -38,19 +38,6 @@ def _entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return counts.withColumn("p", p).groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count("*").alias("k"))
 
 
-def label_entropy(df: DataFrame) -> DataFrame:
-    e = _entropy(df.where("label != ''").groupBy(*COUPLE, "label").agg(F.count("*").alias("n")), COUPLE)
-    return e.select(*COUPLE, rounded(F.col("h")).alias("entropy"), F.col("k").alias("labels"))
-
-
-def label_ratios(df: DataFrame) -> DataFrame:
-    """Share of labels that refer to assets, and of amounts that occur twice or more in the couple."""
-    asset = F.upper("label").rlike("|".join(ASSET_PATTERNS))
-    lines = df.groupBy(*COUPLE).agg(F.count("*").alias("lines"), F.avg(asset.cast("int")).alias("a"))
-    m = df.groupBy(*COUPLE, F.abs("amount").alias("v")).agg(F.count("*").alias("n")).groupBy(*COUPLE).agg(F.sum(F.when((F.col("n") >= 2) & (F.col("v") > 0), F.col("n")).otherwise(0)).alias("m"))
-    return lines.join(m, COUPLE).select(*COUPLE, "lines", rounded(F.col("a")).alias("asset_ratio"), rounded(F.when(F.col("lines") >= 2, F.col("m") / F.col("lines")).otherwise(0.0)).alias("mirror_ratio"))
-
-
 def monthly_volume(df: DataFrame) -> DataFrame:
     return df.groupBy(*COUPLE, "period").agg(number(F.sum(F.abs("amount"))).alias("v"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.columns import contains_any, first_of, matches_any, number, ratio, rounded, sum_if, total
+from folio.functions.columns import any_of, contains_any, first_of, number, ratio, rounded, sum_if, total
 from folio.operators.classify import accounts_of, classify_account
 from folio.sources import dims
 
@@ -46,11 +48,11 @@ def journal_concentration(df: DataFrame, year: int, threshold: float = 50) -> Da
     return by_journal.unionByName(dec.select(*_finding("journal_december", F.lit("OD en décembre"), F.col("a"), F.col("p"), F.when(F.col("p") > 60, "HIGH").otherwise("MEDIUM"), F.col("n"))))
 
 
-def account_concentration(df: DataFrame, year: int, minimum: float = 10_000) -> DataFrame:
-    """Months whose net is over 80 % of the account's volume."""
+def account_concentration(df: DataFrame, year: int, minimum: float = 10_000, threshold: float = 80) -> DataFrame:
+    """Months whose net is over the threshold of the account's volume."""
     rows = of_year(df, year)
     m = rows.groupBy("account", "period").agg(F.abs(F.sum("amount")).alias("a"), F.sum(F.abs("amount")).alias("v"), F.count("*").alias("lines"))
-    m = m.withColumn("all", F.sum("v").over(Window.partitionBy("account"))).where(F.col("all") >= minimum).withColumn("p", ratio(F.col("a"), F.col("all")) * 100).where("p > 80")
+    m = m.withColumn("all", F.sum("v").over(Window.partitionBy("account"))).where(F.col("all") >= minimum).withColumn("p", ratio(F.col("a"), F.col("all")) * 100).where(F.col("p") > threshold)
     level = F.when(F.col("p") > 95, "CRITICAL").otherwise("HIGH")
     return m.select(*_finding("account", F.format_string("%s (%s)", "account", "period"), F.col("a"), F.col("p"), level, F.col("lines")))
 
@@ -64,16 +66,18 @@ def targets(df: DataFrame) -> DataFrame:
 
 
 def round_amounts(df: DataFrame, year: int, tolerance: float = 0.01, least: int = 2) -> DataFrame:
-    """Lines within tolerance of a round target, by account and target. Amounts are joined to nine targets."""
+    """Lines within tolerance of a round target, by account and target, with up to three labels. Amounts are joined to nine targets."""
     rows = of_year(df, year)
     volume = rows.groupBy("account").agg(F.sum(F.abs("amount")).alias("volume"))
     a = F.abs("amount")
     sums = rows.groupBy("account", a.alias("a")).agg(F.count("*").alias("n"))
-    hits = sums.join(targets(df), (F.col("a") >= F.col("target") * (1 - tolerance)) & (F.col("a") <= F.col("target") * (1 + tolerance)))
+    near = (F.col("a") >= F.col("target") * (1 - tolerance)) & (F.col("a") <= F.col("target") * (1 + tolerance))
+    hits = sums.join(targets(df), near)
+    samples = first_few(rows.groupBy("account", a.alias("a"), "label").agg(F.lit(1).alias("one")).join(targets(df), near), ["account", "target"], "label", 3, "samples")
     found = hits.groupBy("account", "target", "target_name").agg(F.sum("n").alias("lines"), F.sum(F.col("a") * F.col("n")).alias("amount")).where(F.col("lines") >= least)
-    j = found.join(volume, "account").withColumn("p", ratio(F.col("amount"), F.col("volume")) * 100)
+    j = found.join(volume, "account").join(samples, ["account", "target"], "left").withColumn("p", ratio(F.col("amount"), F.col("volume")) * 100)
     level = first_of([((F.col("p") > 50) | (F.col("lines") > 10), "HIGH"), ((F.col("p") > 30) | (F.col("lines") > 5), "MEDIUM")], "LOW")
-    return j.select("account", "target", "target_name", "lines", number(F.col("amount")).alias("amount"), rounded(F.col("p")).alias("pct"), level.alias("severity"))
+    return j.select("account", "target", "target_name", "lines", number(F.col("amount")).alias("amount"), rounded(F.col("p")).alias("pct"), level.alias("severity"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def repeated_amounts(df: DataFrame, year: int) -> DataFrame:
@@ -190,15 +194,73 @@ def accrual_analysis(df: DataFrame, year: int) -> DataFrame:
     return a.groupBy("accrual_type").agg(F.count("*").alias("lines"), total(F.col("amount")).alias("net"), F.count_if(F.col("month") == 12).alias("december_lines"), rounded(F.avg("confidence")).alias("mean_confidence"))
 
 
-def contextualize(df: DataFrame, year: int) -> DataFrame:
-    """Account concentrations and spikes with what the chart says: expected or not, and a recommendation."""
-    spikes = year_end_spikes(df, year, n=1000).select("account", "december", "ratio")
-    chart = classify_account(accounts_of(of_year(df, year)))
-    normal = F.coalesce(F.col("frequency").isin("annuelle", "exceptionnelle"), F.lit(False))
-    return spikes.join(chart, "account").select(
-        "account", "category", "december", "ratio", normal.alias("expected"), first_of([(normal, "LOW"), (F.col("is_provision"), "MEDIUM")], "HIGH").alias("severity"),
-        first_of([(normal, "Aucune action"), (F.col("is_provision"), "Vérifier la provision")], "Analyser les écritures de décembre").alias("recommendation"),
-    )
+def accrual_risk(df: DataFrame, year: int) -> DataFrame:
+    """One row: lines, accruals, net impact, suspect journals, certain accruals, and a risk from 0 to 1."""
+    rows = accrual_confidence(of_year(df, year))
+    kept = F.col("confidence") >= 0.25
+    g = rows.agg(F.count("*").alias("lines"), F.count_if(kept).alias("accruals"), sum_if(F.col("amount"), kept).alias("impact"), F.count_if(F.col("confidence") > 0.7).alias("certain"))
+    j = journal_screen(df, year).agg(F.count_if("suspect").alias("suspect_journals"))
+    risk = F.least(2 * ratio(F.col("accruals"), F.col("lines")), F.lit(0.3)) + 0.15 * F.col("suspect_journals") + F.when(F.col("certain") > 10, 0.2).otherwise(0.0)
+    return g.crossJoin(j).withColumn("risk", rounded(F.least(risk, F.lit(1.0))))
+
+
+# Account prefixes whose entries come at the year's end anyway, and categories of the chart with round amounts.
+ALLOWANCES, ACCRUAL_BALANCES, ROUND_CATEGORIES = ["68", "78"], ["486", "487", "408", "418", "428", "438", "448"], ["dotations", "reprises", "is", "taxes"]
+MOST_ACCRUALS = 50
+SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+
+
+def contextualize(df: DataFrame, year: int, threshold: float = 80, most: int = MOST_ACCRUALS) -> DataFrame:
+    """Concentrated accounts, round amounts and the most certain accruals with what the chart says: expected or not, severity, what to do."""
+    rows = of_year(df, year)
+    chart = classify_account(accounts_of(rows))
+    a2, a3, first = F.substring("account", 1, 2), F.substring("account", 1, 3), F.substring("account", 1, 1)
+
+    c = account_concentration(df, year, threshold=threshold).select(F.regexp_extract("value", r"^(\d{5,})", 1).alias("account"), "amount", "pct").where("account != ''").join(chart, "account")
+    usual = [
+        (first.isin("1", "2"), "CONCENTRATION_EXPLIQUEE"), (a2.isin(*ALLOWANCES), "PROVISION_NORMALE"), (a3.isin(*ACCRUAL_BALANCES), "REGULARISATION_NORMALE"), (F.col("behavior") == "regularisation", "REGULARISATION_NORMALE"),
+        (F.col("is_provision"), "PROVISION_NORMALE"), (F.col("frequency").isin("annuelle", "exceptionnelle"), "CONCENTRATION_EXPLIQUEE"),
+    ]
+    c = c.withColumn("category", first_of(usual, "CONCENTRATION_ANORMALE")).withColumn("expected", F.col("category") != "CONCENTRATION_ANORMALE")
+    advice = first_of([(F.col("expected"), ""), (F.col("pct") > 80, "Vérifier si provision ou régularisation justifiée")], "Analyser la nature des écritures concentrées")
+    c = c.select("account", F.lit("concentration").alias("kind"), "category", number(F.col("amount")).alias("amount"), "pct", "expected", first_of([(F.col("expected"), "LOW"), (F.col("pct") > 90, "HIGH")], "MEDIUM").alias("severity"), advice.alias("recommendation"))
+
+    r = round_amounts(df, year).select("account", "target", "amount", "pct").join(chart, "account").withColumn("expected", F.coalesce(F.col("category").isin(*ROUND_CATEGORIES), F.lit(False)))
+    r = r.select("account", F.lit("round_amount").alias("kind"), F.when(F.col("expected"), "MONTANT_ROND_JUSTIFIE").otherwise("MONTANT_ROND_SUSPECT").alias("category"), "amount", "pct", "expected",
+                 F.when(F.col("expected"), "LOW").otherwise("MEDIUM").alias("severity"), F.when(F.col("expected"), "").otherwise("Vérifier la nature des écritures").alias("recommendation"))
+
+    # equal lines are alike in every column that is shown, so it doesn't matter which of them are among the first
+    g = accruals(df, year).orderBy(F.desc("confidence"), F.desc(F.abs("amount")), "voucher", "account", "accrual_type").limit(most).join(F.broadcast(chart.select("account", "is_typical_accrual")), "account")
+    g = g.select("account", F.lower("accrual_type").alias("kind"), F.when(F.col("is_typical_accrual"), "REGULARISATION_NORMALE").otherwise("REGULARISATION_EXCESSIVE").alias("category"), number(F.col("amount")).alias("amount"),
+                 rounded(F.col("confidence") * 100).alias("pct"), F.col("is_typical_accrual").alias("expected"), F.when(F.col("is_typical_accrual"), "LOW").otherwise("MEDIUM").alias("severity"), F.lit("").alias("recommendation"))
+    return reduce(DataFrame.unionByName, [c, r, g])
+
+
+# Grade of the data | what it takes from confidence.
+GRADE_PENALTY = {"A": 0.0, "B": 0.1, "C": 0.2, "D": 0.4}
+
+
+def overall(found: DataFrame, detection: DataFrame, accrual: DataFrame, grade: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row: risk of the whole (detections, accruals, share of unexpected findings), confidence in it, findings, whether a warning is due.
+
+    found: contextualize(); detection: detection_summary(); accrual: accrual_risk(); grade:
+    quality(); lines: the ledger's lines.
+    """
+    f = found.agg(F.count("*").alias("findings"), F.count_if("expected").alias("expected"), F.count_if(~F.col("expected") & F.col("severity").isin("HIGH", "CRITICAL")).alias("unexplained"))
+    j = f.crossJoin(detection.select(F.col("risk").alias("d"))).crossJoin(accrual.select(F.col("risk").alias("a"))).crossJoin(grade.select("grade")).crossJoin(lines.agg(F.count("*").alias("lines")))
+    odd = ratio(F.col("findings") - F.col("expected"), F.col("findings"))
+    risk = rounded(F.least(0.3 * F.col("d") + 0.3 * F.col("a") + 0.4 * odd, F.lit(1.0)))
+    penalty = first_of([(F.col("grade") == g, v) for g, v in GRADE_PENALTY.items()], 0.3)
+    confidence = rounded(F.greatest(1 - penalty - F.when(F.col("lines") < 1000, 0.1).otherwise(0.0), F.lit(0.1)))
+    advice = first_of([(F.col("risk") > 0.7, "Risque élevé: audit approfondi recommandé"), (F.col("risk") > 0.4, "Risque modéré: vérifier les anomalies prioritaires")], "")
+    return j.withColumn("risk", risk).select("risk", confidence.alias("confidence"), "lines", "findings", "expected", (F.col("findings") - F.col("expected")).alias("suspect"), "unexplained", "grade", advice.alias("advice"))
+
+
+def recommendations(found: DataFrame, most: int = 10) -> DataFrame:
+    """Distinct recommendations of unexpected findings, the gravest first, at most most of them."""
+    order = first_of([(F.col("severity") == s, i) for i, s in enumerate(SEVERITIES)], len(SEVERITIES))
+    g = found.where("recommendation != ''").groupBy("recommendation").agg(F.min(order).alias("order"), F.count("*").alias("findings"))
+    return g.orderBy("order", F.desc("findings"), "recommendation").limit(most).select("recommendation", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("order") + 1).alias("severity"), "findings")
 
 
 # Patterns searched in lower-cased labels, by group and category. A word
@@ -237,16 +299,28 @@ OD_JOURNALS = ("OD", "AN", "RAN", "EXT", "EXTOURNE")
 CLOSING_JOURNALS = ("SIT", "SITUATION", "CLO", "CLOTURE", "BILAN", "BIL")
 
 
-def categories(label: Column) -> Column:
-    """Array of the categories whose patterns the label has."""
-    low = F.lower(F.coalesce(label, F.lit("")))
-    return F.array_compact(F.array(*[F.when(matches_any(low, ps), F.struct(F.lit(g).alias("pattern_group"), F.lit(c).alias("category"))) for g, cs in PATTERNS.items() for c, ps in cs.items()]))
+def has(low: Column, pattern: str) -> Column:
+    """Whether a lower-case text has the pattern; its fixed parts are looked for first, as that is far cheaper."""
+    core = pattern.removeprefix(B).removesuffix(E)
+    parts = [low.contains(part) for part in re.split(r"\.[?*]", core)]
+    fixed = reduce(lambda x, y: x & y, parts)
+    return fixed if core == pattern and len(parts) == 1 else fixed & low.rlike(pattern)
+
 
+def categories(low: Column, wanted: Callable[[str, str], bool] = lambda group, category: True) -> Column:
+    """Array of the (wanted) categories whose patterns a lower-case label has."""
+    found = [F.when(any_of(has(low, p) for p in ps), F.struct(F.lit(g).alias("pattern_group"), F.lit(c).alias("category"))) for g, cs in PATTERNS.items() for c, ps in cs.items() if wanted(g, c)]
+    return F.array_compact(F.array(*found))
 
-def with_categories(df: DataFrame) -> DataFrame:
-    """Patterns are searched once per distinct label, then joined back."""
-    labels = df.select("label").distinct().select("label", categories(F.col("label")).alias("categories"))
-    return df.join(labels, "label", "left")
+
+def lowered(df: DataFrame) -> DataFrame:
+    return df.withColumn("low", F.lower(F.coalesce("label", F.lit(""))))
+
+
+def first_few(df: DataFrame, keys: list[str], col: str, n: int, name: str) -> DataFrame:
+    """(keys, name): the n first values of col by key in their order, joined by |."""
+    few = df.select(*keys, col).distinct().withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(col))).where(F.col("rn") <= n)
+    return few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(col)), "|").alias(name))
 
 
 def is_od(journal: Column) -> Column:
@@ -263,21 +337,33 @@ def journals(df: DataFrame, year: int) -> DataFrame:
     return g.join(top, "journal").withColumns({"is_od": contains_any(j, OD_JOURNALS), "is_closing": contains_any(j, CLOSING_JOURNALS)})
 
 
+def journal_months(df: DataFrame, year: int) -> DataFrame:
+    """Lines of each journal and month, and their share of the journal's."""
+    g = of_year(df, year).groupBy("journal", "month").agg(F.count("*").alias("lines"))
+    return g.withColumn("pct", rounded(F.col("lines") / F.sum("lines").over(Window.partitionBy("journal")) * 100))
+
+
 def label_patterns(df: DataFrame, year: int) -> DataFrame:
-    """Hits, totals and up to ten accounts of each category."""
-    rows = with_categories(of_year(df, year)).select("account", "debit", "credit", F.explode("categories").alias("c"))
-    return rows.groupBy("c.pattern_group", "c.category").agg(
-        F.count("*").alias("hits"), total(F.col("debit")).alias("debit"), total(F.col("credit")).alias("credit"), F.array_join(F.slice(F.array_sort(F.collect_set("account")), 1, 10), ",").alias("accounts")
-    )
+    """Hits, totals, up to ten accounts and five labels of each category, the first in their order.
+
+    Patterns are searched once per label and account.
+    """
+    rows = of_year(df, year).groupBy("label", "account").agg(F.count("*").alias("n"), F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+    found = lowered(rows).withColumn("c", F.explode(categories(F.col("low")))).select("c.*", "label", "account", "n", "debit", "credit")
+    keys = ["pattern_group", "category"]
+    sums = found.groupBy(*keys).agg(F.sum("n").alias("hits"), total(F.col("debit")).alias("debit"), total(F.col("credit")).alias("credit"))
+    return sums.join(first_few(found, keys, "account", 10, "accounts"), keys).join(first_few(found, keys, "label", 5, "examples"), keys)
 
 
 def account_content(df: DataFrame, year: int) -> DataFrame:
-    """For every account: volume, largest journal, share of adjusting journals, first category's lines, lines from 5000 on."""
-    rows = with_categories(of_year(df, year)).withColumn("v", F.abs("amount"))
+    """For every account: volume, largest journal, share of adjusting journals, categorized lines, first category, lines from 5000 on, up to 20 labels."""
+    rows = of_year(df, year).withColumn("v", F.abs("amount"))
     j = rows.groupBy("account", "journal").agg(F.sum("v").alias("v"), F.sum(F.when(is_od(F.col("journal")), F.col("v")).otherwise(0)).alias("od"))
     by = j.groupBy("account").agg(F.sum("v").alias("volume"), F.max_by("journal", F.struct("v", "journal")).alias("main_journal"), rounded(ratio(F.sum("od"), F.sum("v")) * 100).alias("od_pct"))
-    c = rows.groupBy("account").agg(F.count_if(F.size("categories") > 0).alias("categorized"), F.count_if(F.col("v") >= 5000).alias("large_lines"), F.count_distinct("label").alias("labels"))
-    return by.join(c, "account")
+    labels = rows.groupBy("account", "label").agg(F.count("*").alias("n"), F.count_if(F.col("v") >= 5000).alias("large"))
+    found = lowered(labels).withColumn("first", F.get(categories(F.col("low")), F.lit(0))["category"])
+    c = found.groupBy("account").agg(F.coalesce(F.sum(F.when(F.col("first").isNotNull(), F.col("n"))), F.lit(0)).alias("categorized"), F.sum("large").alias("large_lines"), F.count("label").alias("labels"), F.min("first").alias("first_category"))
+    return by.join(c, "account").join(first_few(labels, ["account"], "label", 20, "first_labels"), "account")
 
 
 def od_concentration(df: DataFrame, year: int) -> DataFrame:
@@ -291,8 +377,8 @@ def od_concentration(df: DataFrame, year: int) -> DataFrame:
 
 def accrual_entries(df: DataFrame, year: int) -> DataFrame:
     """Lines of accrual categories, of tax relief or refunds, or of adjusting journals."""
-    hit = F.exists("categories", lambda c: (c["pattern_group"] == "REGUL") | c["category"].isin("DEGREVEMENT", "REMBOURSEMENT"))
-    return with_categories(of_year(df, year)).where(hit | is_od(F.col("journal"))).drop("categories")
+    hit = categories(F.col("low"), lambda g, c: g == "REGUL" or c in ("DEGREVEMENT", "REMBOURSEMENT"))
+    return lowered(of_year(df, year)).where(is_od(F.col("journal")) | (F.size(hit) > 0)).drop("low")
 
 
 def content_summary(df: DataFrame, year: int) -> DataFrame:

@@ -83,19 +83,25 @@ def sides(df: DataFrame) -> DataFrame:
     return df.where("voucher IS NOT NULL").groupBy("voucher", "site", "period", "account", (F.col("debit") > 0).alias("debited")).agg(F.count("*").alias("lines"), F.sum(F.abs("amount")).alias("amount"))
 
 
+def opposed(s: DataFrame) -> DataFrame:
+    """Each row of sides() with each account on the other side of its voucher (other) and that one's lines (n).
+
+    Sums by voucher move once more, by voucher alone; both sides of the join share that shuffle.
+    """
+    at = s.repartition("voucher")
+    other = at.groupBy("voucher", F.col("debited").alias("d"), F.col("account").alias("other")).agg(F.sum("lines").alias("n"))
+    return at.join(other.hint("merge"), "voucher").where("d != debited").drop("d")
+
+
 def arcs(df: DataFrame) -> DataFrame:
     """(voucher, source, dest, pairs): debit account × credit account of each voucher, with the number of line pairs."""
-    s = sides(df).groupBy("voucher", "account", "debited").agg(F.sum("lines").alias("lines"))
-    d = s.where("debited").select("voucher", F.col("account").alias("source"), F.col("lines").alias("a"))
-    c = s.where("NOT debited").select("voucher", F.col("account").alias("dest"), F.col("lines").alias("b"))
-    return d.join(c, "voucher").select("voucher", "source", "dest", (F.col("a") * F.col("b")).alias("pairs"))
+    j = opposed(sides(df)).where("debited")
+    return j.groupBy("voucher", F.col("account").alias("source"), F.col("other").alias("dest")).agg(F.sum(F.col("lines") * F.col("n")).alias("pairs"))
 
 
 def flow(df: DataFrame) -> DataFrame:
     """(site, period, source, dest, volume, entries): each line's amount counted once for each opposite line of its voucher."""
-    s = sides(df)
-    opposite = s.groupBy("voucher", (~F.col("debited")).alias("debited"), F.col("account").alias("other")).agg(F.sum("lines").alias("n"))
-    j = s.join(opposite, ["voucher", "debited"])
+    j = opposed(sides(df))
     source, dest = F.when(F.col("debited"), F.col("account")).otherwise(F.col("other")), F.when(F.col("debited"), F.col("other")).otherwise(F.col("account"))
     return j.groupBy("site", "period", source.alias("source"), dest.alias("dest")).agg(F.sum(F.col("amount") * F.col("n")).cast("decimal(28,2)").alias("volume"), F.sum(F.col("lines") * F.col("n")).alias("entries"))
 
@@ -125,10 +131,14 @@ def signature(f: DataFrame) -> DataFrame:
 def steps(f: DataFrame) -> DataFrame:
     """Arcs of each month against the month present before it: (period, source, dest, before, now)."""
     m = by_period(f)
-    order = m.select("period").distinct().withColumn("next", F.lead("period").over(Window.orderBy("period"))).where("next IS NOT NULL")
-    now = m.join(F.broadcast(order.select(F.col("next").alias("period"))), "period", "left_semi").select("period", "source", "dest", F.col("volume").alias("now"))
-    before = m.join(F.broadcast(order), "period").select(F.col("next").alias("period"), "source", "dest", F.col("volume").alias("before"))
-    return now.join(before, ["period", "source", "dest"], "full_outer")
+    # with the volume, so that both uses of the arcs share their shuffle
+    order = m.groupBy("period").agg(F.max("volume").alias("v")).select("period", F.lead("period").over(Window.orderBy("period")).alias("next"), F.lag("period").over(Window.orderBy("period")).alias("last"))
+    seen = F.array(
+        F.struct(F.when(F.col("last").isNotNull(), F.col("period")).alias("period"), F.col("volume").alias("now"), F.lit(None).cast("decimal(38,2)").alias("before")),
+        F.struct(F.col("next").alias("period"), F.lit(None).cast("decimal(38,2)").alias("now"), F.col("volume").alias("before")),
+    )
+    e = m.join(F.broadcast(order), "period").select("source", "dest", F.explode(seen).alias("e")).select("source", "dest", "e.*").where("period IS NOT NULL")
+    return e.groupBy("period", "source", "dest").agg(F.max("before").alias("before"), F.max("now").alias("now"))
 
 
 def stability(f: DataFrame, epsilon: float = 1e-10) -> DataFrame:
@@ -271,9 +281,9 @@ def proximity(df: DataFrame) -> DataFrame:
     return j.select("a", "b", rounded(1 - number(F.col("v")) / F.greatest(number(F.col("t_a")), number(F.col("t_b")), F.lit(1.0))).alias("emergent"), rounded(chart_distance(F.col("a"), F.col("b"))).alias("chart"), "arcs")
 
 
-def divergences(p: DataFrame) -> DataFrame:
+def divergences(p: DataFrame, close: float = 0.3, far: float = 0.5, apart: float = 0.7) -> DataFrame:
     """Pairs close in flow but far in the chart, or the reverse."""
-    kind = first_of([((F.col("emergent") < 0.3) & (F.col("chart") > 0.5), "COUPLAGE_INATTENDU"), ((F.col("emergent") > 0.7) & (F.col("chart") < 0.3), "DECOUPLAGE")])
+    kind = first_of([((F.col("emergent") < close) & (F.col("chart") > far), "COUPLAGE_INATTENDU"), ((F.col("emergent") > apart) & (F.col("chart") < close), "DECOUPLAGE")])
     return p.withColumn("divergence", kind).where("divergence IS NOT NULL").select("a", "b", "emergent", "chart", "divergence")
 
 

@@ -144,15 +144,27 @@ def recurring(df: DataFrame) -> DataFrame:
     return df.select("label").distinct().select("label", ((mean >= 0.7) | (n >= 2)).alias("recurring"), rounded(mean).alias("weight"))
 
 
-def known_parties(df: DataFrame, n: int = 4) -> DataFrame:
+def known_parties(df: DataFrame, n: int = 8) -> DataFrame:
     """(label, third_party): third parties of the ledger whose name is contained in a label, upper case.
 
-    A name's first n characters are looked up among the label's pieces of n characters,
-    then the whole name is compared, so labels and names meet in an equality join.
-    Shorter names are looked up by their own length likewise.
+    Each name is looked up by the piece of n characters that fewest names have (shorter
+    names by themselves) among the label's pieces, then compared whole, so labels and names
+    meet in an equality join, also where most names begin alike.
     """
-    parties = df.where("third_party != ''").select("third_party").distinct().withColumn("up", F.upper("third_party")).withColumn("piece", F.substring("up", 1, n))
+    up = F.col("up")
+    parties = df.where("third_party != ''").select("third_party").distinct().withColumn("up", F.upper("third_party"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(up) - n + 1, F.lit(1))), lambda i: F.substring(up, i, F.lit(n))))
+    of = parties.select("third_party", "up", F.explode(pieces).alias("piece"))
+    count = of.groupBy("piece").agg(F.count("*").alias("names"))
+    rarest = of.join(count, "piece").groupBy("third_party", "up").agg(F.min_by("piece", F.struct("names", "piece")).alias("piece"))
+    # at most n lengths
+    sizes = sorted(r[0] for r in parties.select(F.least(F.length("up"), F.lit(n))).distinct().collect())
     labels = df.select("label").distinct().withColumn("t", F.upper("label"))
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, k))))
-    pieces = labels.select("label", "t", F.explode(F.array_distinct(cut)).alias("piece"))
-    return pieces.join(parties, "piece").where(F.col("t").contains(F.col("up"))).select("label", "third_party").distinct()
+
+    def cut(k: int) -> Column:
+        whole = F.transform(F.sequence(F.lit(1), F.length("t") - (k - 1)), lambda i: F.substring("t", i, F.lit(k)))
+        return F.when(F.length("t") >= k, whole).otherwise(F.array().cast("array<string>"))
+
+    kept = [cut(k) for k in sizes]
+    met = labels.select("label", "t", F.explode(F.array_distinct(F.concat(*kept) if kept else F.array().cast("array<string>"))).alias("piece"))
+    return met.join(rarest, "piece").where(F.col("t").contains(up)).select("label", "third_party").distinct()

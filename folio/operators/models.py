@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.columns import number, rounded
+from folio.functions.tables import written
 
 OD = ("OD", "AN", "RAN", "EXT", "EXTOURNE")
 CLOSING = ("SIT", "SITUATION", "CLO", "CLOTURE", "BIL", "BILAN")
+#: Quantiles over all lines are right to within one of so many parts of them.
+ACCURACY = 10_000
 MODEL_COLUMNS = ("log_amount", "month", "weekday", "day", "month_end", "weekend", "round_100", "round_1000", "z_account", "is_od", "day_lines")
 
 
@@ -47,15 +50,18 @@ def weak_labels(df: DataFrame) -> DataFrame:
     return f.crossJoin(F.broadcast(s)).withColumn("weak_label", rules.cast("int")).drop("p95", "p99", "nines")
 
 
-def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, lines: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Line features with an isolation-forest score (higher is odder) and whether it is among the top share.
 
+    lines: features() of df, if there already, with columns to keep. The limit of the share
+    is a quantile to within 1 / ACCURACY of the lines.
+
     Each tree is built by a task on about sample lines, chosen for it by a hash (the forest's
     documented bound); all lines are scored, with the forest broadcast: at most trees × 2 × sample nodes.
     """
     cols = list(MODEL_COLUMNS)
-    lines = features(df)
-    n = max(1, df.count())
+    lines = features(df) if lines is None else lines
+    n = max(1, lines.count())
     key = F.xxhash64("voucher", "account", "label", "amount", "date")
     share = min(1.0, trees * sample / n)
     picked = lines.where(F.pmod(key, F.lit(1_000_000)) < int(1_000_000 * share) + 1).select(*[F.col(c).cast("double").alias(c) for c in cols], F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(trees)).alias("tree"))
@@ -104,13 +110,14 @@ def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination:
             depth += d + usual(t[at, 4])
         return pd.Series(np.round(2.0 ** (-depth / max(1, len(shared.value)) / usual(np.array([float(sample)]))[0]), 6))
 
-    scored = lines.withColumn("score", score(*[F.col(c).cast("double") for c in cols]))
-    limit = F.broadcast(scored.agg(F.percentile("score", 1 - contamination).alias("limit")))
-    return scored.crossJoin(limit).select("date", "account", "voucher", "label", "amount", "score", (F.col("score") > F.col("limit")).alias("is_outlier"))
+    shown = ["date", "account", "voucher", "label", "amount", *keep]
+    scored = written(lines.withColumn("score", score(*[F.col(c).cast("double") for c in cols])).select(*shown, "score"), "scores")
+    limit = F.broadcast(scored.agg(F.percentile_approx("score", 1 - contamination, ACCURACY).alias("limit")))
+    return scored.crossJoin(limit).select(*shown, "score", (F.col("score") > F.col("limit")).alias("is_outlier"))
 
 
-def reconstruction(df: DataFrame, k: int = 4, share: float = 0.95) -> DataFrame:
-    """Line features with the error of their linear reconstruction from k components and whether it is above the quantile."""
+def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
+    """Line features with the error of their linear reconstruction from k components."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -120,6 +127,11 @@ def reconstruction(df: DataFrame, k: int = 4, share: float = 0.95) -> DataFrame:
     made = PCA(k=k, inputCol="z", outputCol="y").fit(scaled).transform(scaled)
     square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, v: s + v * v)
     # components are orthonormal, so the error is the squared length that they leave
-    errors = made.withColumn("error", rounded(F.greatest(square("z") - square("y"), F.lit(0.0))))
-    limit = F.broadcast(errors.agg(F.percentile("error", share).alias("limit")))
+    return made.withColumn("error", rounded(F.greatest(square("z") - square("y"), F.lit(0.0)))).select(*lines.columns, "error")
+
+
+def reconstruction(df: DataFrame, k: int = 4, share: float = 0.95) -> DataFrame:
+    """Lines with their reconstruction error and whether it is above the quantile (to within 1 / ACCURACY of the lines)."""
+    errors = written(reconstruction_errors(df, k), "errors")
+    limit = F.broadcast(errors.agg(F.percentile_approx("error", share, ACCURACY).alias("limit")))
     return errors.crossJoin(limit).select("date", "account", "voucher", "label", "amount", "error", (F.col("error") > F.col("limit")).alias("is_outlier"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import rounded, total
-from folio.operators import passage, runrate
+from folio.functions.tables import written
+from folio.operators import passage, qualify, runrate
 
 
 def comparison_tables(df: DataFrame, year: int, before: int, top: int = 5) -> dict[str, DataFrame]:
@@ -28,6 +29,76 @@ def passage_tables(df: DataFrame, year: int) -> dict[str, DataFrame]:
     return {"synthesis": passage.passage_annual(df, year), "monthly": monthly, "alerts": passage.alerts(df, year), "adjustments": passage.adjustments(df, year)}
 
 
+# Recommendations by level of the score, by weak universe, for the first anomaly; {0} anomalies, {1} amount.
+URGENT = "URGENT: Mettre en place un plan d'action immédiat pour corriger les défaillances critiques."
+SUPERVISE = "Renforcer les contrôles de supervision sur les écritures manuelles et exceptionnelles."
+KEEP = "Maintenir le niveau de contrôle actuel et documenter les bonnes pratiques."
+BY_UNIVERSE = [
+    ("CUT_OFF", "Revoir les procédures de cut-off: {0} anomalie(s) détectée(s) pour une matérialité de {1}€."), ("PONCTUEL", "Renforcer la revue des opérations exceptionnelles: {0} écriture(s) à investiguer."),
+    ("NOMINATIF_TIERS", "Analyser les écarts sur comptes auxiliaires: {0} anomalie(s) totalisant {1}€."), ("INVENTAIRE", "Vérifier les mouvements de stocks/immobilisations: {0} variation(s) anormale(s)."),
+    ("CRISTALLIN", "Investiguer les charges fixes et récurrentes: {0} anomalie(s) détectée(s)."), ("NOMINATIF_OPERATIONNEL", "Investiguer les comptes de personnel et opérationnels: {0} anomalie(s) détectée(s)."),
+    ("PROCESSUS", "Investiguer les processus d'achat et de vente: {0} anomalie(s) détectée(s)."), ("VENTILATION", "Investiguer les analytique et ventilation: {0} anomalie(s) détectée(s)."),
+    ("TRESORERIE", "Investiguer les trésorerie et rapprochements: {0} anomalie(s) détectée(s)."), ("COMPOSITE", "Investiguer les écritures composites: {0} anomalie(s) détectée(s)."),
+]
+WEAK, STRONG, TO_MEND = 75, 90, 60
+
+
+def whole(col: str) -> Column:
+    """A number without decimals, thousands parted by commas."""
+    return F.format_string("%,d", F.round(col).cast("long"))
+
+
+def score_report(q: DataFrame) -> DataFrame:
+    """(section, rank, name, value, text) of the report on qualify()'s anomalies: score, weak and strong universes, recommendations, first anomalies.
+
+    Universes are few and of anomalies only the first are shown; at most 5 recommendations.
+    """
+    i = written(qualify.impact(q), "impact")
+    universes, one = qualify.universe_scores(i), qualify.score(i)
+    first = i.orderBy(F.desc("impact"), "id").limit(5).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), "id")))
+    row = lambda df, section, rank, name, value, text: df.select(F.lit(section).alias("section"), rank.cast("int").alias("rank"), name.alias("name"), value.cast("double").alias("value"), text.alias("text"))
+    low, high = Window.orderBy("score", "universe"), Window.orderBy(F.desc("score"), "universe")
+    weak = universes.where((F.col("score") < WEAK) & (F.col("anomalies") > 0)).withColumn("rank", F.row_number().over(low)).where("rank <= 3")
+    strong = universes.where(F.col("score") >= STRONG).withColumn("rank", F.row_number().over(high)).where("rank <= 3")
+    dim = F.broadcast(q.sparkSession.createDataFrame(BY_UNIVERSE, "universe string, template string"))
+    mend = universes.where((F.col("score") < TO_MEND) & (F.col("anomalies") > 0)).join(dim, "universe").withColumn("n", F.row_number().over(low)).where("n <= 3")
+    said = F.replace(F.replace(F.col("template"), F.lit("{0}"), F.col("anomalies").cast("string")), F.lit("{1}"), whole("amount"))
+    general = [(F.col("level") == "CRITIQUE", 1, URGENT), (F.col("level").isin("CRITIQUE", "ATTENTION"), 2, SUPERVISE), (F.col("level").isin("EXCELLENT", "BON"), 20, KEEP)]
+    advice = one.select(F.inline(F.array(*[F.struct(F.when(cond, n).alias("n"), F.lit(text).alias("text")) for cond, n, text in general]))).where("n IS NOT NULL")
+    advice = advice.unionByName(mend.select((F.col("n") + 2).alias("n"), said.alias("text")))
+    top = first.where("rank = 1").select(F.lit(10).alias("n"), F.concat(F.lit("Priorité: Analyser l'anomalie ["), "family", F.lit("] "), "test", F.lit(", montant: "), whole("amount"), F.lit("€.")).alias("text"))
+    advice = advice.unionByName(top).withColumn("rank", F.row_number().over(Window.orderBy("n"))).where("rank <= 5")
+    no = F.lit("")
+    parts = [
+        row(one, "score", F.lit(1), F.col("level"), F.col("score"), F.col("top")), row(weak, "weak", F.col("rank"), F.col("universe"), F.col("score"), F.col("anomalies").cast("string")),
+        row(strong, "strong", F.col("rank"), F.col("universe"), F.col("score"), F.col("anomalies").cast("string")), row(advice, "recommendation", F.col("rank"), no, F.lit(None), F.col("text")),
+        row(first, "anomaly", F.col("rank"), F.col("id"), F.col("impact"), F.col("family")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def report_json(report: DataFrame) -> DataFrame:
+    """One row: score_report as a JSON document."""
+    entry = F.struct("section", "rank", "name", "value", "text")
+    return report.agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("document"))
+
+
+def single_year_tables(df: DataFrame, year: int, columns: list[str]) -> dict[str, DataFrame]:
+    """Summary, anomalies, accruals, notes and surprising couples of one year."""
+    from folio.operators import crystallinity, detect, robust
+
+    rows = detect.of_year(df, year)
+    found, grade = detect.contextualize(df, year), robust.quality(rows, columns)
+    all_ = detect.overall(found, detect.detection_summary(df, year), detect.accrual_risk(df, year), grade, rows)
+    accruals = detect.accruals(df, year).select("accrual_type", "journal", "account", "label", "amount", "date", "confidence")
+    summary = all_.crossJoin(rows.agg(F.count_distinct("account").alias("accounts"))).withColumn("year", F.lit(year))
+    surprises = crystallinity.icc_views(crystallinity.icc(rows)).orderBy(F.desc("surprise"), "account", "site").limit(20)
+    return {"summary": summary, "anomalies": found, "accruals": accruals, "notes": detect.recommendations(found), "surprises": surprises}
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").format(form).options(header=True).save(f"{folder}/{name}")

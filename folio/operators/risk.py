@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.columns import first_of, number, rounded
+from folio.functions.tables import written
 from folio.operators import digits, labels, models
 
 # Weight of each model; those that didn't run share theirs out.
@@ -27,16 +28,33 @@ def combined(scores: DataFrame, active: list[str], weights: dict[str, float] | N
     return j.withColumn("risk", rounded(final)).withColumns({"level": first_of([(F.col("risk") >= t, n) for t, n in LEVELS], "MINIMAL"), "top_factor": first_of([(part[c] == top, c) for c in active])})
 
 
+MODELS = ["benford", "isolation", "reconstruction", "nlp"]
+EXPLAIN_OVER = 60
+
+
 def line_risk(df: DataFrame) -> DataFrame:
-    """Lines with their combined risk from digits, isolation forest and label keywords."""
+    """Lines with their combined risk from digits, isolation forest, reconstruction and label keywords."""
     odd = F.broadcast(digits.benford(df).where("place = 1").select("digit", F.greatest(number(F.col("z")), F.lit(0.0)).alias("benford")))
-    rows = models.isolation(df).withColumn("digit", digits.digit(F.col("amount"), 1))
+    errors = written(models.reconstruction_errors(df), "errors")
+    rows = models.isolation(df, lines=errors, keep=("error",)).withColumn("digit", digits.digit(F.col("amount"), 1))
     rows = rows.join(odd, "digit", "left").join(labels.keyword_score(df).select("label", number(F.col("keyword_score")).alias("nlp")), "label", "left")
-    made = rows.select("date", "account", "voucher", "label", "amount", F.coalesce("benford", F.lit(0.0)).alias("benford"), F.col("score").alias("isolation"), F.coalesce("nlp", F.lit(0.0)).alias("nlp"))
-    return combined(made, ["benford", "isolation", "nlp"])
+    made = rows.select("date", "account", "voucher", "label", "amount", F.coalesce("benford", F.lit(0.0)).alias("benford"), F.col("score").alias("isolation"), F.col("error").alias("reconstruction"), F.coalesce("nlp", F.lit(0.0)).alias("nlp"))
+    return combined(written(made, "parts"), MODELS)
+
+
+def risk_views(scored: DataFrame, active: list[str], level: str | None = None, least: float | None = None, top: int | None = None) -> DataFrame:
+    """Lines of a level or of at least a risk, the top ones by risk, each with the models that explain it (over 60, the largest first)."""
+    kept = scored
+    if level is not None:
+        kept = kept.where(F.col("level") == level)
+    if least is not None:
+        kept = kept.where(F.col("risk") >= least)
+    why = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c) > EXPLAIN_OVER, F.struct((-F.col(c)).alias("neg"), F.lit(c).alias("model"))) for c in active])))
+    shown = kept.withColumn("explanation", F.array_join(F.transform(why, lambda x: x["model"]), ","))
+    return shown.orderBy(F.desc("risk"), "date", "voucher", "account", "label").limit(top) if top else shown
 
 
 def risk_summary(scored: DataFrame, active: list[str]) -> DataFrame:
     """One row: lines, mean, median and deviation of the risk, lines per level, correlation of each model with it."""
     level = [F.count_if(F.col("level") == n).alias(n.lower()) for _, n in [*LEVELS, (0, "MINIMAL")]]
-    return scored.agg(F.count("*").alias("lines"), rounded(F.avg("risk")).alias("mean"), rounded(F.percentile("risk", 0.5)).alias("median"), rounded(F.stddev_samp("risk")).alias("std"), *level, *[rounded(F.corr(c, "risk")).alias(f"corr_{c}") for c in active])
+    return scored.agg(F.count("*").alias("lines"), rounded(F.avg("risk")).alias("mean"), rounded(F.percentile_approx("risk", 0.5, models.ACCURACY)).alias("median"), rounded(F.stddev_samp("risk")).alias("std"), *level, *[rounded(F.corr(c, "risk")).alias(f"corr_{c}") for c in active])

@@ -59,11 +59,12 @@ def sig_discord(df: DataFrame) -> DataFrame:
 
 
 def sig_missing(df: DataFrame) -> DataFrame:
-    """Crystalline families with fewer than 12 months."""
-    n = active_months(df, None, "prefix_3").groupBy(F.col("prefix_3").alias("family")).agg(F.count("*").alias("k")).where((F.col("k") >= 2) & (F.col("k") < MONTHS_EXPECTED))
+    """Crystalline families with fewer than 12 months in a year in which they have two or more."""
+    months = active_months(df, None, "prefix_3").groupBy(F.col("prefix_3").alias("family"), F.substring("period", 1, 4).alias("year"))
+    n = months.agg(F.count("*").alias("k")).where((F.col("k") >= 2) & (F.col("k") < MONTHS_EXPECTED))
     gap = MONTHS_EXPECTED - F.col("k")
     p = F.when(gap >= 2, rounded(F.greatest(1 - gap / MONTHS_EXPECTED, F.lit(0.01))))
-    return n.where(universe_of(F.col("family")) == "CRISTALLIN").select(*_signal("L2-MISSING", F.lit(None).cast("string"), F.col("k"), F.lit(MONTHS_EXPECTED), gap, p, F.lit("rule_based")))
+    return n.where(universe_of(F.col("family")) == "CRISTALLIN").select(*_signal("L2-MISSING", F.col("year"), F.col("k"), F.lit(MONTHS_EXPECTED), gap, p, F.lit("rule_based")))
 
 
 def sig_conc(df: DataFrame) -> DataFrame:
@@ -126,3 +127,28 @@ def calibrate(df: DataFrame, year: int) -> DataFrame:
     dim = F.broadcast(df.sparkSession.createDataFrame(CALIBRATION, "universe string, share double, variation double"))
     j = g.withColumn("universe", universe_of(F.col("family"))).join(dim, "universe")
     return j.select("family", "universe", rounded(F.col("cv")).alias("cv"), rounded(1.5 + 2 * F.col("cv")).alias("dead_band"), rounded(F.greatest(F.col("volume") * F.col("share"), F.lit(FLOOR)), 3).alias("materiality"), "variation")
+
+
+# Text in a family's list of exclusions | column of the metric's context that meets it.
+LISTED = [("montant_rond", "is_round"), ("meme_montant_12_mois", "same_12"), ("label_identique", "repeated_label"), ("solde_zero", "zero_balance"), ("extourne_dans_delai", "reversed_in_time")]
+BASE_BAND, BAND_PER_CV, USUAL_CV = 1.5, 2.0, 1.0
+
+
+def make_signals(metrics: DataFrame, referential: DataFrame, test: str) -> DataFrame:
+    """Signals of a universe test: threshold from the family's variation, what is above it, and which listed rules speak for and against.
+
+    metrics: (family, period, site, metric, keywords array<string>, and a boolean for each
+    context column of LISTED); referential: (family, cv, signal_if, no_signal_if), arrays of
+    texts, one row a family; a family without one has the usual variation and no lists.
+    """
+    empty = F.array().cast("array<string>")
+    j = metrics.join(referential.select("family", "cv", "signal_if", "no_signal_if"), "family", "left")
+    threshold = rounded(BASE_BAND + BAND_PER_CV * F.coalesce("cv", F.lit(USUAL_CV)))
+    meets = lambda text: first_of([(text.contains(t), F.coalesce(F.col(c), F.lit(False))) for t, c in LISTED], False)
+    against = F.filter(F.coalesce("no_signal_if", empty), meets)
+    speaks = lambda text: F.exists(F.coalesce("keywords", empty), lambda k: F.lower(text).contains(k))
+    name = F.concat_ws("_", F.lit(test), "family", F.replace("period", F.lit("-"), F.lit("")), "site")
+    return j.withColumn("threshold", threshold).select(
+        name.alias("id"), "family", F.lit(test).alias("test"), "period", "site", "metric", "threshold", rounded(F.greatest(F.col("metric") - F.col("threshold"), F.lit(0.0))).alias("delta"),
+        F.array_join(against, ",").alias("excluded_by"), F.array_join(F.filter(F.coalesce("signal_if", empty), speaks), ",").alias("supported_by"),
+    )

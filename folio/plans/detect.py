@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import detect as o
+from folio.operators import robust
 from folio.plans.classification import CLASSIFIED
 from folio.plans.registry import YEAR, case, in_list, query, r, values
 from folio.sources import dims
@@ -31,19 +32,21 @@ rd AS (SELECT account, target, target_name, lines, CAST(amount AS DOUBLE) AS amo
   JOIN (SELECT account, sum(abs(amount)) AS volume FROM y GROUP BY account) USING (account) WHERE lines >= 2)),
 rp AS (SELECT account, amount, lines, CAST(abs(amount) * lines AS DOUBLE) AS volume, CASE WHEN lines > 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (SELECT amount, count(*) AS lines, min(account) AS account FROM y GROUP BY amount)
   WHERE lines >= 3 AND abs(amount) > 1000 AND NOT EXISTS (SELECT 1 FROM tg WHERE abs(abs(amount) - target) < target * 0.01))"""
-query("con01_month", "SELECT * FROM mc", CON)(lambda led: o.month_concentration(pnl(led), YEAR))
+query("con01_month", "SELECT * FROM mc", CON.replace("GROUP BY period)) WHERE p > 50)", "GROUP BY period)) WHERE p > 5)"))(lambda led: o.month_concentration(pnl(led), YEAR, 5))
 query("con02_journal", "SELECT * FROM jc", CON)(lambda led: o.journal_concentration(pnl(led), YEAR))
-query("con03_account", "SELECT * FROM ac", CON)(lambda led: o.account_concentration(pnl(led), YEAR))
-query("con04_round_amounts", "SELECT * FROM rd", CON)(lambda led: o.round_amounts(pnl(led), YEAR))
+query("con03_account", "SELECT * FROM ac", CON.replace("al >= 10000 AND p > 80", "al >= 10000 AND p > 8"))(lambda led: o.account_concentration(pnl(led), YEAR, threshold=8))
+query(
+    "con04_round_amounts",
+    "SELECT rd.*, coalesce(samples, '') AS samples FROM rd LEFT JOIN (SELECT account, target, array_to_string(list_sort(list(DISTINCT label))[1:3], '|') AS samples FROM y JOIN tg ON abs(amount) >= target * 0.99 AND abs(amount) <= target * 1.01 GROUP BY ALL) USING (account, target)", CON,
+)(lambda led: o.round_amounts(pnl(led), YEAR))
 query("con05_repeated", "SELECT * FROM rp", CON)(lambda led: o.repeated_amounts(pnl(led), YEAR))
 W = lambda t: case([(f"severity = '{k}'", str(v)) for k, v in t.items()], "0")
-query(
-    "con06_summary",
+DETECTION = (
     f"SELECT count(*) FILTER (kind = 'month') AS months, count(*) FILTER (kind IN ('journal', 'journal_december')) AS journals, count(*) FILTER (kind = 'account') AS accounts, count(*) FILTER (kind IN ('round', 'repeated')) AS round_amounts, "
-    f"count(*) AS findings, {r('least(coalesce(sum(w), 0), 1)')} AS risk FROM (SELECT kind, {W(o.CONCENTRATION_WEIGHTS)} AS w FROM (SELECT kind, severity FROM mc UNION ALL SELECT kind, severity FROM jc UNION ALL SELECT kind, severity FROM ac) "
-    f"UNION ALL SELECT 'round', {W(o.ROUND_WEIGHTS)} FROM rd UNION ALL SELECT 'repeated', {W(o.ROUND_WEIGHTS)} FROM rp)",
-    CON,
-)(lambda led: o.detection_summary(pnl(led), YEAR))
+    f"count(*) AS findings, {r('least(coalesce(sum(w), 0), 1)')} AS risk FROM (SELECT kind, {W(o.CONCENTRATION_WEIGHTS)} AS w FROM (SELECT kind, severity FROM mc UNION ALL SELECT kind, severity FROM jc UNION ALL SELECT kind, severity FROM ac WHERE pct > 80) "
+    f"UNION ALL SELECT 'round', {W(o.ROUND_WEIGHTS)} FROM rd UNION ALL SELECT 'repeated', {W(o.ROUND_WEIGHTS)} FROM rp)"
+)
+query("con06_summary", DETECTION, CON)(lambda led: o.detection_summary(pnl(led), YEAR))
 SPIKES = f"""{Y}, sp AS (SELECT account, december, {r('m', 2)} AS monthly_mean, {r('CAST(december AS DOUBLE) / m')} AS ratio, CASE WHEN CAST(december AS DOUBLE) / m > 10 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM
   (SELECT account, abs(coalesce(sum(amount) FILTER (month = 12), 0)) AS december, CAST(abs(coalesce(sum(amount) FILTER (month <> 12), 0)) AS DOUBLE) / 11 AS m FROM y GROUP BY account) WHERE m > 0 AND december > m * 5 AND december > 10000)"""
 query("pat01_year_end_spikes", "SELECT * FROM sp ORDER BY december DESC, account LIMIT 5", SPIKES)(lambda led: o.year_end_spikes(led, YEAR))
@@ -96,12 +99,43 @@ query(
     "reg03_accrual_analysis",
     f"SELECT accrual_type, count(*) AS lines, sum(amount) AS net, count(*) FILTER (month = 12) AS december_lines, {r('avg(confidence)')} AS mean_confidence FROM conf WHERE confidence >= 0.25 GROUP BY accrual_type", ACC,
 )(lambda led: o.accrual_analysis(led, YEAR))
+CTX = f"""{CON.replace("al >= 10000 AND p > 80", "al >= 10000 AND p > 8")}, {ACC[len(Y) + 2:]}, {CLASSIFIED},
+cc AS (SELECT *, CASE WHEN account[1] IN ('1', '2') THEN 'CONCENTRATION_EXPLIQUEE' WHEN account[1:2] IN {in_list(o.ALLOWANCES)} THEN 'PROVISION_NORMALE' WHEN account[1:3] IN {in_list(o.ACCRUAL_BALANCES)} OR behavior = 'regularisation' THEN 'REGULARISATION_NORMALE' WHEN is_provision THEN 'PROVISION_NORMALE'
+  WHEN frequency IN ('annuelle', 'exceptionnelle') THEN 'CONCENTRATION_EXPLIQUEE' ELSE 'CONCENTRATION_ANORMALE' END AS kind_of FROM (SELECT regexp_extract(value, '^(\\d+)', 1) AS account, amount, pct FROM ac) WHERE_JOIN),
+cr AS (SELECT *, coalesce(category IN {in_list(o.ROUND_CATEGORIES)}, false) AS e FROM rd JOIN cls USING (account)),
+cg AS (SELECT conf.*, is_typical_accrual AS e FROM (SELECT * FROM conf WHERE confidence >= 0.25 ORDER BY confidence DESC, abs(amount) DESC, voucher, account, accrual_type LIMIT {o.MOST_ACCRUALS}) conf JOIN cls USING (account)),
+ctx AS (SELECT account, 'concentration' AS kind, kind_of AS category, CAST(amount AS DOUBLE) AS amount, pct, kind_of <> 'CONCENTRATION_ANORMALE' AS expected, CASE WHEN kind_of <> 'CONCENTRATION_ANORMALE' THEN 'LOW' WHEN pct > 90 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  CASE WHEN kind_of <> 'CONCENTRATION_ANORMALE' THEN '' WHEN pct > 80 THEN 'Vérifier si provision ou régularisation justifiée' ELSE 'Analyser la nature des écritures concentrées' END AS recommendation FROM cc
+  UNION ALL SELECT account, 'round_amount', CASE WHEN e THEN 'MONTANT_ROND_JUSTIFIE' ELSE 'MONTANT_ROND_SUSPECT' END, amount, pct, e, CASE WHEN e THEN 'LOW' ELSE 'MEDIUM' END, CASE WHEN e THEN '' ELSE 'Vérifier la nature des écritures' END FROM cr
+  UNION ALL SELECT account, lower(accrual_type), CASE WHEN e THEN 'REGULARISATION_NORMALE' ELSE 'REGULARISATION_EXCESSIVE' END, CAST(amount AS DOUBLE), {r('confidence * 100')}, e, CASE WHEN e THEN 'LOW' ELSE 'MEDIUM' END, '' FROM cg),
+ar AS (SELECT *, {r('least(least(2 * coalesce(accruals / nullif(lines, 0), 0), 0.3) + 0.15 * suspect_journals + CASE WHEN certain > 10 THEN 0.2 ELSE 0 END, 1)')} AS risk FROM (SELECT count(*) AS lines, count(*) FILTER (confidence >= 0.25) AS accruals, coalesce(sum(amount) FILTER (confidence >= 0.25), 0) AS impact, count(*) FILTER (confidence > 0.7) AS certain FROM conf),
+  (SELECT count(*) FILTER (k = 'od' AND d > 50) AS suspect_journals FROM (SELECT {JK} AS k, avg(CASE WHEN month = 12 THEN 1 ELSE 0 END) * 100 AS d FROM conf GROUP BY journal)))""".replace("WHERE_JOIN", "JOIN cls USING (account)")
+query("reg03b_risk", "SELECT * FROM ar", CTX)(lambda led: o.accrual_risk(pnl(led), YEAR))
+query("reg03c_provisions", "SELECT account, accrual_type, count(*) AS lines, sum(amount) AS net FROM conf WHERE confidence >= 0.25 AND accrual_type IN ('PROVISION', 'AMORTISSEMENT') GROUP BY ALL", ACC)(
+    lambda led: o.accruals(led, YEAR).where("accrual_type IN ('PROVISION', 'AMORTISSEMENT')").groupBy("account", "accrual_type").agg(F.count("*").alias("lines"), F.sum("amount").alias("net"))
+)
+query("ctx01_contextualize", "SELECT * FROM ctx", CTX)(lambda led: o.contextualize(pnl(led), YEAR, 8))
+
+
+def overall(led: DataFrame) -> DataFrame:
+    rows = pnl(led)
+    grade = robust.quality(led, ["account", "journal", "label", "third_party"])
+    return o.overall(o.contextualize(rows, YEAR, 8), o.detection_summary(rows, YEAR), o.accrual_risk(rows, YEAR), grade, o.of_year(rows, YEAR))
+
+
+NULLS = " + ".join(f"avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in ("account", "journal", "label", "third_party"))
+query(
+    "ctx02_overall",
+    f"SELECT risk, {r('greatest(1 - ' + case([(f"grade = '{g}'", str(v)) for g, v in o.GRADE_PENALTY.items()], '0.3') + ' - CASE WHEN lines < 1000 THEN 0.1 ELSE 0 END, 0.1)')} AS confidence, lines, findings, expected, findings - expected AS suspect, unexplained, grade, "
+    "CASE WHEN risk > 0.7 THEN 'Risque élevé: audit approfondi recommandé' WHEN risk > 0.4 THEN 'Risque modéré: vérifier les anomalies prioritaires' ELSE '' END AS advice FROM "
+    f"(SELECT *, {r('least(0.3 * d + 0.3 * a + 0.4 * coalesce((findings - expected) / nullif(findings, 0), 0), 1)')} AS risk FROM (SELECT count(*) AS findings, count(*) FILTER (expected) AS expected, count(*) FILTER (NOT expected AND severity IN ('HIGH', 'CRITICAL')) AS unexplained FROM ctx), "
+    f"(SELECT risk AS d FROM ({{DETECTION}})), (SELECT risk AS a FROM ar), (SELECT CASE WHEN n < 2 THEN 'A' WHEN n < 5 THEN 'B' WHEN n < 10 THEN 'C' WHEN n < 20 THEN 'D' ELSE 'E' END AS grade FROM (SELECT {r(f'({NULLS}) / 4 * 100')} AS n FROM ledger)), (SELECT count(*) AS lines FROM y))".replace("{DETECTION}", DETECTION),
+    CTX,
+)(overall)
 query(
-    "ctx01_contextualize",
-    "SELECT account, category, december, ratio, n AS expected, CASE WHEN n THEN 'LOW' WHEN is_provision THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE WHEN n THEN 'Aucune action' WHEN is_provision THEN 'Vérifier la provision' ELSE 'Analyser les écritures de décembre' END AS recommendation "
-    "FROM (SELECT *, coalesce(frequency IN ('annuelle', 'exceptionnelle'), false) AS n FROM sp JOIN cls USING (account))",
-    SPIKES + ", " + CLASSIFIED,
-)(lambda led: o.contextualize(led, YEAR))
+    "ctx02b_recommendations",
+    f"SELECT recommendation, min(severity) AS severity, count(*) AS findings FROM ctx WHERE recommendation <> '' GROUP BY recommendation ORDER BY min({case([(f"severity = '{x}'", str(i)) for i, x in enumerate(o.SEVERITIES)])}), findings DESC, recommendation LIMIT 10", CTX,
+)(lambda led: o.recommendations(o.contextualize(pnl(led), YEAR, 8)))
 
 
 def any_pattern(ps: list[str]) -> str:
@@ -114,16 +148,19 @@ OD, CLOSING = PARTS(o.OD_JOURNALS), PARTS(o.CLOSING_JOURNALS)
 CNT = f"""{Y}, cat AS ({' UNION ALL '.join(f"SELECT '{g}' AS pattern_group, '{c}' AS category, label FROM (SELECT DISTINCT label FROM y) WHERE {e}" for g, c, e in CATS)}),
 jn AS (SELECT journal, lines, debit, credit, accounts, {OD} AS is_od, {CLOSING} AS is_closing, top_accounts FROM (SELECT journal, count(*) AS lines, sum(debit) AS debit, sum(credit) AS credit, count(DISTINCT account) AS accounts FROM y GROUP BY journal)
   JOIN (SELECT journal, string_agg(account, ',' ORDER BY rn) AS top_accounts FROM (SELECT journal, account, row_number() OVER (PARTITION BY journal ORDER BY abs(sum(amount)) DESC, account) AS rn FROM y GROUP BY journal, account) WHERE rn <= 5 GROUP BY journal) USING (journal)),
-lp AS (SELECT pattern_group, category, count(*) AS hits, sum(debit) AS debit, sum(credit) AS credit, array_to_string(list_sort(list(DISTINCT account))[1:10], ',') AS accounts FROM y JOIN cat USING (label) GROUP BY ALL),
+lp AS (SELECT pattern_group, category, count(*) AS hits, sum(debit) AS debit, sum(credit) AS credit, array_to_string(list_sort(list(DISTINCT account))[1:10], '|') AS accounts, array_to_string(list_sort(list(DISTINCT label))[1:5], '|') AS examples FROM y JOIN cat USING (label) GROUP BY ALL),
 odc AS (SELECT CAST(m AS INT) AS month, coalesce(lines, 0) AS lines, coalesce(od_lines, 0) AS od_lines, CAST(coalesce(v, 0) AS DOUBLE) AS volume, CAST(coalesce(w, 0) AS DOUBLE) AS od_volume, {r('coalesce(CAST(w AS DOUBLE) / CAST(v AS DOUBLE), 0) * 100')} AS od_pct FROM (SELECT unnest(range(1, 13)) AS m)
   LEFT JOIN (SELECT month, count(*) AS lines, count(*) FILTER ({OD} OR {CLOSING}) AS od_lines, sum(abs(amount)) AS v, coalesce(sum(abs(amount)) FILTER ({OD} OR {CLOSING}), 0) AS w FROM y GROUP BY month) ON month = m),
 ae AS (SELECT * FROM y WHERE {OD} OR {CLOSING} OR label IN (SELECT label FROM cat WHERE pattern_group = 'REGUL' OR category IN ('DEGREVEMENT', 'REMBOURSEMENT')))"""
 query("cnt01_journals", "SELECT * FROM jn", CNT)(lambda led: o.journals(led, YEAR))
+query("cnt01b_journal_months", f"SELECT journal, month, count(*) AS lines, {r('count(*) / sum(count(*)) OVER (PARTITION BY journal) * 100')} AS pct FROM y GROUP BY journal, month", Y)(lambda led: o.journal_months(led, YEAR))
 query("cnt02_label_patterns", "SELECT * FROM lp", CNT)(lambda led: o.label_patterns(led, YEAR))
+ORDER = case([(f"category = '{c}'", str(i)) for i, (_, c, _) in enumerate(CATS)])
 query(
     "cnt03_account_content",
-    f"SELECT account, volume, main_journal, {r('CAST(od AS DOUBLE) / CAST(volume AS DOUBLE) * 100')} AS od_pct, categorized, large_lines, labels FROM (SELECT account, sum(v) AS volume, arg_max(journal, (v, journal)) AS main_journal, sum(CASE WHEN {OD} OR {CLOSING} THEN v ELSE 0 END) AS od FROM (SELECT account, journal, sum(abs(amount)) AS v FROM y GROUP BY ALL) GROUP BY account) "
-    "JOIN (SELECT account, count(*) FILTER (label IN (SELECT label FROM cat)) AS categorized, count(*) FILTER (abs(amount) >= 5000) AS large_lines, count(DISTINCT label) AS labels FROM y GROUP BY account) USING (account)",
+    f"SELECT account, volume, main_journal, {r('CAST(od AS DOUBLE) / CAST(volume AS DOUBLE) * 100')} AS od_pct, categorized, large_lines, labels, first_category, first_labels FROM (SELECT account, sum(v) AS volume, arg_max(journal, (v, journal)) AS main_journal, sum(CASE WHEN {OD} OR {CLOSING} THEN v ELSE 0 END) AS od FROM (SELECT account, journal, sum(abs(amount)) AS v FROM y GROUP BY ALL) GROUP BY account) "
+    "JOIN (SELECT account, count(fc) AS categorized, count(*) FILTER (abs(amount) >= 5000) AS large_lines, count(DISTINCT label) AS labels, min(fc) AS first_category, array_to_string(list_sort(list(DISTINCT label))[1:20], '|') AS first_labels "
+    f"FROM y LEFT JOIN (SELECT label, arg_min(category, {ORDER}) AS fc FROM cat GROUP BY label) USING (label) GROUP BY account) USING (account)",
     CNT,
 )(lambda led: o.account_content(led, YEAR))
 query("cnt04_od_concentration", "SELECT * FROM odc", CNT)(lambda led: o.od_concentration(led, YEAR))

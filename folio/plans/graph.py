@@ -49,8 +49,8 @@ query(
 )(o.conformity)
 query(
     "gra10_suggest",
-    f"SELECT family, prefix, pairs, {r('share')} AS share FROM (SELECT *, pairs / sum(pairs) OVER (PARTITION BY family) AS share FROM (SELECT family, template, counterparty[1:3] AS prefix, conform, sum(pairs) AS pairs FROM jd GROUP BY ALL)) WHERE template IS NOT NULL AND NOT conform AND pairs >= 10 AND share >= 0.1", TPL,
-)(o.suggest)
+    f"SELECT family, prefix, pairs, {r('share')} AS share FROM (SELECT *, pairs / sum(pairs) OVER (PARTITION BY family) AS share FROM (SELECT family, template, counterparty[1:3] AS prefix, conform, sum(pairs) AS pairs FROM jd GROUP BY ALL)) WHERE template IS NOT NULL AND NOT conform AND pairs >= 10 AND share >= 0.02", TPL,
+)(lambda led: o.suggest(led, share=0.02))
 KIND = case([("(" + " OR ".join(f"starts_with(account, '{p}')" for p in ps) + ")", f"'{k}'") for k, ps in o.CIRCUITS.items()])
 CIR = LN + f""", ck AS (SELECT *, {KIND} AS kind FROM ln),
 hits AS (SELECT b.account AS balance, b.site, p.account, count(*) AS hits FROM ck b JOIN ln p ON b.voucher = p.voucher AND b.deb <> p.deb AND p.class IN ('6', '7') WHERE b.kind IS NOT NULL GROUP BY ALL),
@@ -85,8 +85,8 @@ tt AS (SELECT x, sum(v) AS t FROM (SELECT source AS x, v FROM pm UNION ALL SELEC
 px AS (SELECT a, b, {r('1 - CAST(v AS DOUBLE) / greatest(CAST(ta.t AS DOUBLE), CAST(tb.t AS DOUBLE), 1)')} AS emergent, {r(f'1 - {PREFIX} / greatest(len(a), len(b))')} AS chart, arcs
   FROM (SELECT least(source, dest) AS a, greatest(source, dest) AS b, sum(v) AS v, sum(n) AS arcs FROM pm GROUP BY ALL) JOIN tt ta ON ta.x = a JOIN tt tb ON tb.x = b)"""
 query("top01_proximity", "SELECT * FROM px", PX)(o.proximity)
-query("top03_divergences", "SELECT a, b, emergent, chart, d AS divergence FROM (SELECT *, CASE WHEN emergent < 0.3 AND chart > 0.5 THEN 'COUPLAGE_INATTENDU' WHEN emergent > 0.7 AND chart < 0.3 THEN 'DECOUPLAGE' END AS d FROM px) WHERE d IS NOT NULL", PX)(
-    lambda led: o.divergences(o.proximity(led))
+query("top03_divergences", "SELECT a, b, emergent, chart, d AS divergence FROM (SELECT *, CASE WHEN emergent < 0.65 AND chart > 0.5 THEN 'COUPLAGE_INATTENDU' WHEN emergent > 0.7 AND chart < 0.65 THEN 'DECOUPLAGE' END AS d FROM px) WHERE d IS NOT NULL", PX)(
+    lambda led: o.divergences(o.proximity(led), close=0.65)
 )
 query("top03b_proximity_stats", f"SELECT count(*) AS pairs, {r('avg(emergent)')} AS mean_emergent, {r('avg(chart)')} AS mean_chart, {r('coalesce(corr(emergent, chart), 0)')} AS correlation FROM px", PX)(lambda led: o.proximity_stats(o.proximity(led)))
 query(

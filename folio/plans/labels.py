@@ -47,8 +47,8 @@ query(
 )(o.recurring)
 query(
     "lab02_known_parties",
-    "SELECT DISTINCT label, third_party FROM (SELECT DISTINCT label || ' ' || coalesce(third_party, '') AS label FROM ledger WHERE site = 'S1') JOIN (SELECT DISTINCT third_party FROM ledger WHERE third_party IS NOT NULL AND site = 'S1') ON contains(upper(label), upper(third_party))",
-)(lambda led: o.known_parties(led.where("site = 'S1'").withColumn("label", F.concat("label", F.lit(" "), F.coalesce("third_party", F.lit(""))))))
+    "SELECT DISTINCT label, third_party FROM (SELECT DISTINCT label || ' ' || coalesce(third_party, '') AS label FROM ledger) JOIN (SELECT DISTINCT third_party FROM ledger WHERE third_party IS NOT NULL) ON contains(upper(label), upper(third_party))",
+)(lambda led: o.known_parties(led.withColumn("label", F.concat("label", F.lit(" "), F.coalesce("third_party", F.lit(""))))))
 
 A = "abs(CAST(amount AS DOUBLE))"
 FD = "CASE WHEN amount <> 0 THEN CAST(CAST(CAST(floor(abs(amount)) AS BIGINT) AS VARCHAR)[1] AS INT) ELSE 0 END"
@@ -67,4 +67,5 @@ query(
 query("ml02_isolation")(lambda led: dated(models.isolation(led)))
 query("ml05_reconstruction")(lambda led: dated(models.reconstruction(led)))
 query("rsk01_line_risk")(lambda led: dated(risk.line_risk(led)))
-query("rsk03_risk_summary")(lambda led: risk.risk_summary(risk.line_risk(led), ["benford", "isolation", "nlp"]))
+query("rsk02_risk_views")(lambda led: dated(risk.risk_views(risk.line_risk(led), risk.MODELS, least=40)))
+query("rsk03_risk_summary")(lambda led: risk.risk_summary(risk.line_risk(led), risk.MODELS))

@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from folio.plans import classification, core, detect, embedding, graph, labels, passage, regularity, reports, robust, runrate, signals  # noqa: F401
+from folio.plans import classification, core, detect, embedding, graph, labels, passage, qualify, questions, regularity, reports, robust, runrate, signals, universe  # noqa: F401

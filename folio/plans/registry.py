@@ -59,8 +59,10 @@ def query(name: str, sql: str | None = None, head: str = "") -> Callable[[Callab
 
 
 def r(expr: str, places: int = 4) -> str:
-    """Rounded double in SQL, never a negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {places}) + 0)"
+    """Rounded double in SQL, never a negative zero; to few places by way of a decimal."""
+    if places >= 6:
+        return f"(round(CAST({expr} AS DOUBLE), {places}) + 0)"
+    return f"(CAST(round(TRY_CAST(CAST({expr} AS DOUBLE) AS DECIMAL(28,6)), {places}) AS DOUBLE) + 0)"
 
 
 def values(name: str, columns: str, rows: list[tuple]) -> str:

@@ -9,12 +9,6 @@ from folio.plans.registry import YEAR, case, in_list, query, r, values
 C = "account, site"
 A = "abs(CAST(amount AS DOUBLE))"
 MV = f"mv AS (SELECT {C}, period, CAST(sum(abs(amount)) AS DOUBLE) AS v FROM ledger GROUP BY ALL)"
-query("uni02_entropy", f"SELECT {C}, {r('-sum(p * log2(p))')} AS entropy, count(*) AS labels FROM (SELECT *, n / sum(n) OVER (PARTITION BY {C}) AS p FROM (SELECT {C}, label, count(*) AS n FROM ledger GROUP BY ALL)) GROUP BY {C}")(o.label_entropy)
-query(
-    "uni03_label_ratios",
-    f"SELECT account, site, lines, {r('a')} AS asset_ratio, {r('CASE WHEN lines >= 2 THEN m / lines ELSE 0 END')} AS mirror_ratio FROM (SELECT {C}, count(*) AS lines, avg(CASE WHEN regexp_matches(upper(label), '{'|'.join(o.ASSET_PATTERNS)}') THEN 1 ELSE 0 END) AS a FROM ledger GROUP BY ALL) "
-    f"JOIN (SELECT {C}, sum(CASE WHEN n >= 2 AND v > 0 THEN n ELSE 0 END) AS m FROM (SELECT {C}, abs(amount) AS v, count(*) AS n FROM ledger GROUP BY ALL) GROUP BY ALL) USING (account, site)",
-)(o.label_ratios)
 query(
     "uni04_regularity",
     f"SELECT {C}, months, {r('CASE WHEN months < 2 THEN 0.5 WHEN months >= 11 THEN least(1 - least(cv, 1) + 0.1, 1) ELSE 1 - least(cv, 1) END')} AS regularity FROM (SELECT {C}, count(*) AS months, coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) AS cv FROM mv GROUP BY ALL)", MV,

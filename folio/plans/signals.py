@@ -26,7 +26,7 @@ dm AS (SELECT family, quantile_cont(v, 0.5) AS median, count(*) AS months FROM m
 dw AS (SELECT family, period, avg(v) OVER w AS a, count(*) OVER w AS k FROM m WINDOW w AS (PARTITION BY family ORDER BY period ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
 ds AS (SELECT family, any_value(median) AS median, any_value(months) AS months, arg_min(period, (-score, period)) AS start, max(score) AS score FROM (SELECT family, period, median, months, k, round(abs(a - median), 4) AS score FROM dw JOIN dm USING (family)) WHERE k = 3 GROUP BY family),
 s2 AS ({signal('L2-DISCORD', 'start', 'v', 'median', 'score', '0.0', "'discord'")} FROM (SELECT ds.*, m.v FROM ds JOIN m ON m.family = ds.family AND m.period = ds.start) WHERE months >= 6 AND {U} IN ('CRISTALLIN', 'PROCESSUS')),
-s3 AS ({signal('L2-MISSING', 'NULL', 'k', '12', '12 - k', f"CASE WHEN 12 - k >= 2 THEN {r('greatest(1 - (12 - k) / 12, 0.01)')} END", "'rule_based'")} FROM (SELECT family, count(*) AS k FROM m GROUP BY family) WHERE k >= 2 AND k < 12 AND {U} = 'CRISTALLIN'),
+s3 AS ({signal('L2-MISSING', 'y', 'k', '12', '12 - k', f"CASE WHEN 12 - k >= 2 THEN {r('greatest(1 - (12 - k) / 12, 0.01)')} END", "'rule_based'")} FROM (SELECT family, period[1:4] AS y, count(*) AS k FROM m GROUP BY ALL) WHERE k >= 2 AND k < 12 AND {U} = 'CRISTALLIN'),
 sh AS (SELECT * FROM (SELECT family, period, round(coalesce(abs(v) / nullif(sum(abs(v)) OVER (PARTITION BY family), 0), 0), 9) AS s, count(*) OVER (PARTITION BY family) AS n FROM fs) WHERE n >= 3),
 sc AS (SELECT family, quantile_cont(s, 0.5) AS median, stddev_pop(s) AS sd, max(s) AS top, any_value(n) AS n, arg_min(period, (-s, period)) AS period FROM sh GROUP BY family),
 sm AS (SELECT family, quantile_cont(abs(s - median), 0.5) AS mad FROM sh JOIN sc USING (family) GROUP BY family),
@@ -45,7 +45,7 @@ qb AS (SELECT id, family, universe, test, {r('am', 2)} AS amount, {r('lim', 2)}
 query("sig01_family_series", "SELECT * FROM fs", SIG)(o.family_series)
 query("sig02_var", "SELECT * FROM s1", SIG)(lambda led: o.sig_var(led, ALPHA))
 query("sig03_discord", "SELECT * FROM s2", SIG)(o.sig_discord)
-query("sig04_missing", f"SELECT {ROW} FROM s3", SIG.replace("FROM ledger  GROUP BY ALL)", "FROM ledger WHERE year = 2000 AND month <= 9 GROUP BY ALL)"))(lambda led: o.sig_missing(led.where("year = 2000 AND month <= 9")))
+query("sig04_missing", f"SELECT {ROW} FROM s3", SIG)(o.sig_missing)
 query("sig05_conc", "SELECT * FROM s4", SIG)(o.sig_conc)
 query("sig06_signals", "SELECT * FROM sg", SIG)(lambda led: o.signals(led, ALPHA))
 query(

@@ -135,6 +135,13 @@ def unbalanced(df: DataFrame, gap: float = 0.01) -> DataFrame:
     return sums.withColumn("gap", F.abs(F.col("debit") - F.col("credit"))).where(F.col("gap") >= gap)
 
 
+def balance(df: DataFrame, keys: list[str], gap: float = 0.01) -> DataFrame:
+    """Debit, credit, vouchers, how many of them are unbalanced, and their gaps, by keys."""
+    sums = df.groupBy(*keys, "voucher").agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+    off = F.abs(F.col("debit") - F.col("credit"))
+    return sums.groupBy(*keys).agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"), F.count("*").alias("vouchers"), F.count_if(off >= gap).alias("unbalanced"), F.sum(off).alias("gap"))
+
+
 def ledger_stats(df: DataFrame) -> DataFrame:
     """Entries, accounts, sites, journals, dates, and distinct (account, site) pairs."""
     return df.agg(
