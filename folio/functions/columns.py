@@ -65,3 +65,11 @@ def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
     """a / b as a double; default where b is zero."""
     r = F.try_divide(a.cast("double"), b.cast("double"))
     return r if default is None else F.coalesce(r, F.lit(default))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over the rows where both are there; null where one is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

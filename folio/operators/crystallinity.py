@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.columns import first_of, number, ratio, rounded
+from folio.functions.columns import correlation, first_of, number, ratio, rounded
 from folio.operators.graph import sides
 
 COUPLE = ["account", "site"]
@@ -75,7 +75,7 @@ def token_entropy(df: DataFrame) -> DataFrame:
 def temporal(df: DataFrame) -> DataFrame:
     """Variation and lag-one autocorrelation of monthly volumes, and a score from both; 0 with fewer than 3 months."""
     m = monthly_volume(df).withColumn("before", F.lag("v").over(Window.partitionBy(*COUPLE).orderBy("period")))
-    g = m.groupBy(*COUPLE).agg(F.count("*").alias("months"), ratio(F.stddev_pop("v"), F.avg("v"), 1.0).alias("cv"), F.corr("before", "v").alias("r"))
+    g = m.groupBy(*COUPLE).agg(F.count("*").alias("months"), ratio(F.stddev_pop("v"), F.avg("v"), 1.0).alias("cv"), correlation("before", "v").alias("r"))
     r = F.when(F.isnan("r") | F.col("r").isNull(), 0.0).otherwise(F.col("r"))
     some = F.col("months") >= 3
     score = (1 - F.least(F.col("cv"), F.lit(2.0)) / 2) * 0.5 + (r + 1) / 2 * 0.5

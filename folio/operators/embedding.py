@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import rounded
+from folio.functions.tables import written
 
 GROUP = ["site", "period"]
 
@@ -52,3 +53,75 @@ def embedding_stats(e: DataFrame) -> DataFrame:
     j = e.crossJoin(centre).withColumn("before", F.lag("vector").over(w))
     cosine = F.try_divide(dot("vector", "before"), F.sqrt(dot("vector", "vector") * dot("before", "before")))
     return j.select(*GROUP, rounded(gap("vector", "centre"), 6).alias("to_mean"), rounded(gap("vector", "before"), 6).alias("to_previous"), rounded(cosine, 6).alias("cosine_previous"))
+
+
+def standardized(e: DataFrame) -> DataFrame:
+    """e with z, the vector with each place brought to mean 0 and deviation 1 (a constant one to 0)."""
+    at = e.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    scale = F.broadcast(at.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m", "s"))), lambda x: F.struct(x["m"], x["s"])).alias("scale")))
+    z = F.zip_with("vector", "scale", lambda v, k: F.when(k["s"] > 1e-12, (v - k["m"]) / k["s"]).otherwise(0.0))
+    return e.crossJoin(scale).withColumn("z", z).drop("scale")
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def clusters(e: DataFrame, eps: float = 0.5) -> DataFrame:
+    """(site, period, z, cluster, nearest): groups linked by steps of at most eps between standardized vectors, -1 for one alone.
+
+    That is what density clusters are when two points make a dense place. Points meet where
+    the first place of z is in the same or the next stretch of length eps. Clusters are
+    numbered by their first site and period; nearest is the distance to the nearest point
+    within eps, null where there is none.
+    """
+    rows = written(standardized(e).select(*GROUP, "z", F.floor(F.col("z")[0] / eps).alias("cell")), "vectors")
+    a = rows.select(F.struct(*GROUP).alias("a"), F.col("z").alias("za"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    b = rows.select(F.struct(*GROUP).alias("b"), F.col("z").alias("zb"), "cell")
+    links = written(a.join(b, "cell").where("a != b").withColumn("d", _apart("za", "zb")).where(F.col("d") <= eps).select("a", "b", "d"), "links")
+    near = links.groupBy("a").agg(F.min("d").alias("nearest"))
+    label = written(near.select("a", F.col("a").alias("low")), "labels")
+    before = None
+    while True:
+        # each point takes the least label among its neighbours, then its label's label
+        step = links.join(label.select(F.col("a").alias("b"), F.col("low").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other")).join(label, "a").select("a", F.least("low", "other").alias("low"))
+        jump = step.select(F.col("a").alias("low"), F.col("low").alias("next"))
+        label = written(step.join(jump, "low").select("a", F.least("low", "next").alias("low")), "labels")
+        now = label.agg(F.count_distinct("low").alias("n"), F.sum(F.xxhash64("a", "low").cast("decimal(38,0)")).alias("s")).first()
+        if now == before:
+            break
+        before = now
+    numbers = label.select("low").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("low")) - 1)
+    named = label.join(numbers, "low").join(near, "a").select("a.*", "cluster", "nearest")
+    return rows.join(named, GROUP, "left").select(*GROUP, "z", F.coalesce("cluster", F.lit(-1)).alias("cluster"), rounded(F.col("nearest"), 6).alias("nearest"))
+
+
+def cluster_members(c: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """Distance of each point to its cluster's mean (one alone: to the mean of all), and whether it is an outlier: alone, or over threshold deviations farther than the mean distance."""
+    flat = c.select("cluster", F.posexplode("z").alias("i", "v"))
+    line = lambda g: F.transform(F.array_sort(g), lambda x: x["m"])
+    own = flat.groupBy("cluster", "i").agg(F.avg("v").alias("m")).groupBy("cluster").agg(line(F.collect_list(F.struct("i", "m"))).alias("own"))
+    every = F.broadcast(flat.groupBy("i").agg(F.avg("v").alias("m")).agg(line(F.collect_list(F.struct("i", "m"))).alias("every")))
+    j = c.join(own, "cluster").crossJoin(every).withColumn("distance", F.when(F.col("cluster") < 0, _apart("z", "every")).otherwise(_apart("z", "own")))
+    w = Window.partitionBy("cluster")
+    far = F.coalesce(F.try_divide(F.col("distance") - F.avg("distance").over(w), F.nullif(F.round(F.stddev_pop("distance").over(w), 12), F.lit(0.0))) > threshold, F.lit(False))
+    return j.select(*GROUP, "cluster", "nearest", rounded(F.col("distance"), 6).alias("distance"), ((F.col("cluster") < 0) | far).alias("is_outlier"))
+
+
+def cluster_info(m: DataFrame, top: int = 3) -> DataFrame:
+    """Members, radius, and the most frequent sites and months of each cluster."""
+    m = m.where("cluster >= 0")
+
+    def most(col: str) -> DataFrame:
+        n = m.groupBy("cluster", col).agg(F.count("*").alias("n")).withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), col))).where(F.col("rn") <= top)
+        return n.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", col))), lambda x: x[col]), ",").alias(f"{col}s"))
+
+    sizes = m.groupBy("cluster").agg(F.count("*").alias("members"), F.max("distance").alias("radius"), F.count_if("is_outlier").alias("outliers"))
+    return sizes.join(most("site"), "cluster").join(most("period"), "cluster")
+
+
+def cluster_jumps(m: DataFrame) -> DataFrame:
+    """Changes of cluster between a site's months."""
+    w = Window.partitionBy("site").orderBy("period")
+    j = m.select("site", F.lag("period").over(w).alias("from_period"), F.col("period").alias("to_period"), F.lag("cluster").over(w).alias("from_cluster"), F.col("cluster").alias("to_cluster"))
+    return j.where("from_cluster != to_cluster").withColumn("kind", F.when(F.col("to_cluster") < 0, "outlier").otherwise("cluster_change"))

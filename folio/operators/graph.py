@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.columns import any_of, first_of, number, ratio, rounded, sum_if
+from folio.functions.columns import any_of, correlation, first_of, number, ratio, rounded, sum_if
 
 # Account family | kind of template | expected prefixes of counterparties.
 TEMPLATES = """
@@ -288,7 +288,7 @@ def divergences(p: DataFrame, close: float = 0.3, far: float = 0.5, apart: float
 
 
 def proximity_stats(p: DataFrame) -> DataFrame:
-    return p.agg(F.count("*").alias("pairs"), rounded(F.avg("emergent")).alias("mean_emergent"), rounded(F.avg("chart")).alias("mean_chart"), rounded(F.coalesce(F.corr("emergent", "chart"), F.lit(0.0))).alias("correlation"))
+    return p.agg(F.count("*").alias("pairs"), rounded(F.avg("emergent")).alias("mean_emergent"), rounded(F.avg("chart")).alias("mean_chart"), rounded(F.coalesce(correlation("emergent", "chart"), F.lit(0.0))).alias("correlation"))
 
 
 def expected_coupling(p: DataFrame) -> DataFrame:

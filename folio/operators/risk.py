@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.columns import first_of, number, rounded
+from folio.functions.columns import correlation, first_of, number, rounded
 from folio.functions.tables import written
 from folio.operators import digits, labels, models
 
@@ -57,4 +57,4 @@ def risk_views(scored: DataFrame, active: list[str], level: str | None = None, l
 def risk_summary(scored: DataFrame, active: list[str]) -> DataFrame:
     """One row: lines, mean, median and deviation of the risk, lines per level, correlation of each model with it."""
     level = [F.count_if(F.col("level") == n).alias(n.lower()) for _, n in [*LEVELS, (0, "MINIMAL")]]
-    return scored.agg(F.count("*").alias("lines"), rounded(F.avg("risk")).alias("mean"), rounded(F.percentile_approx("risk", 0.5, models.ACCURACY)).alias("median"), rounded(F.stddev_samp("risk")).alias("std"), *level, *[rounded(F.corr(c, "risk")).alias(f"corr_{c}") for c in active])
+    return scored.agg(F.count("*").alias("lines"), rounded(F.avg("risk")).alias("mean"), rounded(F.percentile_approx("risk", 0.5, models.ACCURACY)).alias("median"), rounded(F.stddev_samp("risk")).alias("std"), *level, *[rounded(correlation(c, "risk")).alias(f"corr_{c}") for c in active])

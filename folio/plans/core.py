@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.tables import shared_path
 from folio.plans.registry import query
-from folio.sources import canonical
+from folio.sources import canonical, readers
 
 LINE = "CAST(date AS VARCHAR) AS date, account, journal, voucher, label, site, third_party, debit, credit, amount, year, month, period, class, prefix_2, prefix_3, pnl_amount"
 
@@ -16,6 +17,25 @@ def dated(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in columns or ("date",)})
 
 
+def exported(led: DataFrame) -> DataFrame:
+    """The ledger as an export in ISO-8859-1 with accents in headers and labels, read back."""
+    path = shared_path(led.sparkSession, "export")
+    columns = {"Date écriture": F.date_format("date", "dd/MM/yyyy"), "N° COMPTE": F.col("account"), "Code Journal": F.col("journal"), "N° pièce": F.col("voucher"), "Libellé écriture": F.concat(F.lit("Écriture "), "label"), "DÉBIT": F.col("debit"), "Crédit": F.col("credit"), "Section analytique": F.col("site")}
+    led.select(*[c.alias(name) for name, c in columns.items()]).write.csv(path, sep=";", header=True, encoding="ISO-8859-1")
+    return readers.read_delimited(led.sparkSession, path)
+
+
+@query("src01_read_delimited", "SELECT journal AS code, count(*) AS lines, sum(debit) AS debit, count(*) AS accented FROM ledger GROUP BY journal")
+def src01(led: DataFrame) -> DataFrame:
+    df = exported(led)
+    return df.groupBy(F.col("`Code Journal`").alias("code")).agg(F.count("*").alias("lines"), F.sum(F.col("DÉBIT").cast("decimal(18,2)")).alias("debit"), F.count_if(F.col("`Libellé écriture`").startswith("Écriture ")).alias("accented"))
+
+
+@query("src02_to_canonical", "SELECT account, period, journal, site AS axis_1, count(*) AS lines, sum(amount) AS net, min('Écriture ' || label) AS label FROM ledger GROUP BY ALL")
+def src02(led: DataFrame) -> DataFrame:
+    return readers.to_canonical(exported(led)).groupBy("account", "period", "journal", "axis_1").agg(F.count("*").alias("lines"), F.sum("amount").alias("net"), F.min("label").alias("label"))
+
+
 @query("src03_canonicalize", f"SELECT {LINE}, CAST(NULL AS VARCHAR) AS account_label, CAST(NULL AS VARCHAR) AS axis_1, CAST(NULL AS VARCHAR) AS axis_2, CAST(NULL AS VARCHAR) AS axis_3 FROM ledger")
 def src03(led: DataFrame) -> DataFrame:
     raw = led.select(F.date_format("date", "dd/MM/yyyy").alias("date"), "account", "journal", "voucher", "label", F.col("debit").cast("string").alias("debit"), F.col("credit").cast("string").alias("credit"), "site", "third_party")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.operators import labels as o
-from folio.operators import models, risk
+from folio.operators import entities, models, risk, similarity
 from folio.plans.core import dated
 from folio.plans.registry import case, query, r
 
@@ -69,3 +69,22 @@ query("ml05_reconstruction")(lambda led: dated(models.reconstruction(led)))
 query("rsk01_line_risk")(lambda led: dated(risk.line_risk(led)))
 query("rsk02_risk_views")(lambda led: dated(risk.risk_views(risk.line_risk(led), risk.MODELS, least=40)))
 query("rsk03_risk_summary")(lambda led: risk.risk_summary(risk.line_risk(led), risk.MODELS))
+
+TERMS = f"""wl AS (SELECT coalesce(label, '') AS label, count(*) AS lines FROM ledger GROUP BY 1),
+ww AS (SELECT label, lines, regexp_extract_all({NORM.format('label')}, '{similarity.TOKEN}') AS ws FROM wl),
+tm AS (SELECT label, lines, term, count(*) AS tf FROM (SELECT label, lines, unnest(ws) AS term FROM ww UNION ALL SELECT label, lines, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) FROM ww WHERE len(ws) > 1) GROUP BY ALL),
+kn AS (SELECT term, df FROM (SELECT term, sum(lines) AS df, sum(tf * lines) AS c FROM tm GROUP BY term) WHERE df >= {similarity.LEAST_LINES} ORDER BY c DESC, term LIMIT {similarity.MOST_TERMS}),
+rw AS (SELECT label, lines, term, idf, tf * idf AS x FROM tm JOIN (SELECT term, 1 + ln((1 + (SELECT sum(lines) FROM wl)) / (1 + df)) AS idf FROM kn) USING (term)),
+wt AS (SELECT label, lines, term, idf, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS w FROM rw),
+ce AS (SELECT term, sum(w * lines) / (SELECT sum(lines) FROM wl) AS c FROM wt GROUP BY term),
+di AS (SELECT wl.label, wl.lines, {r('sqrt(greatest(coalesce(ww, 0) - 2 * coalesce(wc, 0) + (SELECT coalesce(sum(c * c), 0) FROM ce), 0))', 6)} AS distance FROM wl LEFT JOIN (SELECT label, sum(w * c) AS wc, 1 AS ww FROM wt JOIN ce USING (term) GROUP BY label) USING (label))"""
+query("nlp03_lexical_distance", f"SELECT label, lines, distance, {r('(distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER () + 1e-10) * 50')} AS score FROM di", TERMS)(similarity.lexical_distance)
+ASKED = "regul provision extourne fnp"
+query(
+    "nlp06_similar_labels",
+    f"SELECT label, {r('sum(w * q)', 6)} AS similarity FROM wt JOIN (SELECT term, x / sqrt(sum(x * x) OVER ()) AS q FROM (SELECT term, any_value(idf) * count(*) AS x FROM (SELECT unnest({['regul', 'provision', 'extourne', 'fnp', 'regul provision', 'provision extourne', 'extourne fnp']}) AS term) JOIN (SELECT DISTINCT term, idf FROM wt) USING (term) GROUP BY term)) USING (term) GROUP BY label ORDER BY similarity DESC, label LIMIT 10", TERMS,
+)(lambda led: similarity.similar_labels(led, ASKED))
+
+query("lab01_entities")(lambda led: entities.entities(led).select("label", F.inline("entities")))
+query("lab05_features")(entities.label_features)
+query("lab06_attach")(lambda led: entities.attach_labels(led).groupBy("account", "reference", "period_ref", "intent", "recurring").agg(F.count("*").alias("lines"), F.sum("amount").alias("net")))

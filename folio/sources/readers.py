@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from folio.sources.canonical import canonicalize
 
 REQUIRED = ("date", "account", "debit", "credit")
-ENCODINGS, DELIMITERS = ("UTF-8", "ISO-8859-1", "windows-1252"), (";", ",", "\t")
+DELIMITERS = (";", ",", "\t")
+#: Control characters of ISO-8859-1, and what windows-1252 prints in their place.
+PRINTED = [(chr(b), bytes([b]).decode("windows-1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+C1 = ("".join(a for a, _ in PRINTED), "".join(b for _, b in PRINTED))
 
 # Layout -> canonical column -> headers of exports.
 LAYOUTS = {
@@ -49,32 +52,50 @@ def bare(name: str) -> str:
     return "".join(c for c in flat if c.isalnum())
 
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 where every line is that; else windows-1252 where some line has a character that only it prints; else ISO-8859-1.
+
+    All lines are looked at, up to the first that decides.
+    """
+    lines = spark.read.text(path)
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return "UTF-8"
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    controls = latin.rlike("[\\x{80}-\\x{9F}]") & ~latin.rlike("[\\x{81}\\x{8D}\\x{8F}\\x{90}\\x{9D}]")
+    return "ISO-8859-1" if lines.where(controls).isEmpty() else "windows-1252"
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """The first encoding and delimiter that give more than one column and no broken characters; all columns as text."""
-    for encoding in ENCODINGS:
-        for delimiter in DELIMITERS:
-            df = spark.read.csv(path, sep=delimiter, encoding=encoding, header=True, inferSchema=False)
-            if len(df.columns) > 1 and not any("�" in c for c in df.columns):
-                return df
+    """The file in its encoding (encoding_of), by the first delimiter that gives more than one column; all columns as text."""
+    encoding = encoding_of(spark, path)
+    printed = encoding == "windows-1252"
+    for delimiter in DELIMITERS:
+        df = spark.read.csv(path, sep=delimiter, encoding="ISO-8859-1" if printed else encoding, header=True, inferSchema=False)
+        if len(df.columns) > 1:
+            # the reader doesn't know windows-1252, which differs from ISO-8859-1 in these characters only
+            return df.select(*[F.translate(f"`{c}`", *C1).alias(c.translate(str.maketrans(*C1))) for c in df.columns]) if printed else df
     raise ValueError(f"{path} has no delimiter among {DELIMITERS}")
 
 
 def layout_of(columns: list[str]) -> str:
-    """The layout whose headers fit best; required columns weigh 2, the generic one loses ties."""
-    have = set(columns)
-    score = {name: sum((2 if c in REQUIRED else 1) for c, hs in fields.items() if have & set(hs)) for name, fields in LAYOUTS.items()}
-    return max(score, key=score.get)
+    """The layout with the largest part of its headers found, whatever their case; required columns weigh 2, the first wins ties."""
+    have = {c.lower() for c in columns}
+    weight = lambda c: 2 if c in REQUIRED else 1
+    part = {name: sum(weight(c) for c, hs in fields.items() if have & {h.lower() for h in hs}) / sum(map(weight, fields)) for name, fields in LAYOUTS.items()}
+    return max(part, key=part.get) if any(part.values()) else "generic"
 
 
 def map_headers(columns: list[str]) -> dict[str, str]:
-    """canonical column -> header. Exact headers of the layout first, then similar names; an
-    error with suggestions when a required column is missing. Only names are looked at."""
+    """canonical column -> header. Headers of the layout first, whatever their case, then
+    similar names; an error with suggestions when a required column is missing. Only names
+    are looked at."""
     found: dict[str, str] = {}
+    of = {c.lower(): c for c in reversed(columns)}
     for layout in dict.fromkeys((layout_of(columns), "generic")):
         if layout == "generic" and sum(c in found for c in REQUIRED) == len(REQUIRED):
             break
         for target, headers in LAYOUTS[layout].items():
-            if target not in found and (hit := next((h for h in headers if h in columns and h not in found.values()), None)):
+            if target not in found and (hit := next((of[h.lower()] for h in headers if h.lower() in of and of[h.lower()] not in found.values()), None)):
                 found[target] = hit
     known = {t: {bare(h) for fields in LAYOUTS.values() for h in fields.get(t, [])} for t in LAYOUTS["generic"]}
     for target, names in known.items():
