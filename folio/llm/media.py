@@ -1,10 +1,11 @@
 """Media columns: samples in WAV files, read back, and spectral-peak fingerprints.
 
-A payload is stored as mono 8-bit samples. Its fingerprint comes from short-time
-Fourier transforms: windows of 192 samples with a hop of 192 (a payload is a whole
-number of them), the strongest bin of each window as its peak, the strongest peak of
-each stretch of 4 windows as an anchor, and pairs of each anchor with the next three.
-A pair is an array element (window, bin, later bin, windows between).
+A payload is stored as mono 8-bit samples. Its fingerprint comes from short-time Fourier
+transforms: windows of 192 samples that overlap by seven eighths, so that a passage at
+another place, by any number of samples, is seen in nearly the same windows. The
+strongest bin of each window is its peak; peaks that are the largest within 8 windows
+to both sides are anchors, and each is paired with the next three. A pair is an array
+element (window, bin, later bin, windows between).
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from folio.llm.common import plain
 
 FRAME = 192
 RATE = 16_000
-STRETCH = 4
+HOP = FRAME // 8
+REACH = 8
 FAN = 3
 STEP = 4096
 SCHEMA = (
@@ -51,10 +53,11 @@ def from_wav(media: bytes) -> bytes:
 
 
 def window_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strongest bin above the constant part, and its energy, of each window."""
+    """Strongest bin above the constant part, and its energy, of each window; the windows come in blocks."""
+    windows = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     bins, energy = [], []
-    for a in range(0, len(samples), FRAME * STEP):
-        frames = (samples[a : a + FRAME * STEP].astype(np.float32) - np.float32(128)).reshape(-1, FRAME) * HANN
+    for a in range(0, len(windows), STEP):
+        frames = (windows[a : a + STEP].astype(np.float32) - np.float32(128)) * HANN
         found = np.fft.rfft(frames, axis=1)
         power = np.round(found.real**2 + found.imag**2, 1)
         power[:, :2] = -1
@@ -63,16 +66,25 @@ def window_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(bins), np.concatenate(energy)
 
 
+def anchors(energy: np.ndarray) -> np.ndarray:
+    """Windows whose energy is the largest within REACH to both sides; of equal ones nearer than that the first."""
+    room = np.full(REACH, -np.inf)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([room, energy, room]), 2 * REACH + 1)
+    kept, last = [], -REACH - 1
+    for i in np.flatnonzero(energy >= around.max(axis=1)).tolist():
+        if i - last > REACH:
+            kept.append(i)
+            last = i
+    return np.array(kept, np.int64)
+
+
 def pairs(bins: np.ndarray, energy: np.ndarray) -> np.ndarray:
-    """Codes of anchor pairs: window << 32 | bin << 20 | later bin << 8 | windows between."""
-    n = -(-len(bins) // STRETCH)
-    table = np.full(n * STRETCH, -1.0)
-    table[: len(energy)] = energy
-    at = table.reshape(n, STRETCH).argmax(axis=1) + np.arange(n) * STRETCH
+    """Codes of anchor pairs: window << 32 | bin << 20 | later bin << 8 | windows between (255 at most)."""
+    at = anchors(energy)
     f = bins[at].astype(np.int64)
     out = [at << 32 | f << 20]
-    for k in range(1, min(FAN, n - 1) + 1):
-        out.append((at[:-k] << 32) | (f[:-k] << 20) | (f[k:] << 8) | (at[k:] - at[:-k]))
+    for k in range(1, min(FAN, len(at) - 1) + 1):
+        out.append((at[:-k] << 32) | (f[:-k] << 20) | (f[k:] << 8) | np.minimum(at[k:] - at[:-k], 255))
     return np.sort(np.concatenate(out[1:] or out))
 
 
