@@ -181,6 +181,17 @@ def is_round(col: Column, multiples: tuple[int, ...] = (1000, 500, 100), toleran
     return (a > 0) & out
 
 
+def same_amount(df: DataFrame, least: int = 12, tolerance: float = 0.01) -> DataFrame:
+    """(account, months, near, same): months of each account whose net is within tolerance of the median of all, and whether these are least or more.
+
+    An account with fewer months, or with a median of 0, has none.
+    """
+    m = active_months(df, None)
+    mid = m.groupBy("account").agg(F.percentile("v", 0.5).alias("median"), F.count("*").alias("months"))
+    near = F.count_if((F.col("months") >= least) & (F.col("median") != 0) & (F.abs(F.col("v") - F.col("median")) <= tolerance * F.abs("median")))
+    return m.join(mid, "account").groupBy("account", "months").agg(near.alias("near")).withColumn("same", F.col("near") >= least)
+
+
 def dead_band(cv: Column) -> Column:
     return F.lit(1.5) + 2 * cv
 

@@ -220,3 +220,9 @@ def top_variations(df: DataFrame, year: int, before: int, n: int = 10, class_: s
     rows = df.where(F.col("year").isin(year, before) & (F.col("class") == class_))
     sums = rows.groupBy("account").agg(sum_if(F.col("pnl_amount"), F.col("year") == year).alias("n"), sum_if(F.col("pnl_amount"), F.col("year") == before).alias("n1"))
     return sums.withColumn("variation", F.col("n") - F.col("n1")).orderBy(F.abs("variation").desc(), "account").limit(n)
+
+
+def top_bridge(df: DataFrame, year: int, before: int, n: int = 10, class_: str = "6") -> DataFrame:
+    """The bridge of the n accounts of a class that vary most."""
+    top = top_variations(df, year, before, n, class_).select("account")
+    return bridge(df, year, before).join(F.broadcast(top), "account", "left_semi")

@@ -95,6 +95,11 @@ NEAR = " OR ".join(f"(a >= {k} AND least(fmod(a, {k}), {k} - fmod(a, {k})) <= {0
 query("sta07_is_round", f"SELECT account, count(*) AS lines, count(*) FILTER (a > 0 AND ({NEAR})) AS round_lines FROM (SELECT account, abs(CAST(amount AS DOUBLE)) AS a FROM ledger) GROUP BY account")(
     lambda led: led.groupBy("account").agg(F.count("*").alias("lines"), F.count_if(o.is_round(F.col("amount"))).alias("round_lines"))
 )
+query(
+    "sta07b_same_amount",
+    "SELECT account, months, near, near >= 3 AS same FROM (SELECT account, months, count(*) FILTER (months >= 3 AND median <> 0 AND abs(v - median) <= 0.1 * abs(median)) AS near FROM m JOIN (SELECT account, quantile_cont(v, 0.5) AS median, count(*) AS months FROM m GROUP BY account) USING (account) GROUP BY account, months)",
+    months(year=None),
+)(lambda led: o.same_amount(led, 3, 0.1))
 CONF = months("prefix_3 AS family", None) + f""", w AS (SELECT *, period = max(period) OVER (PARTITION BY family) AS new FROM m),
 c AS (SELECT family, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS sd, stddev_samp(v) AS ss, avg(v) AS mean, count(*) AS n FROM w WHERE NOT new GROUP BY family),
 sp AS (SELECT family, quantile_cont(abs(v - median), 0.5) AS raw FROM w JOIN c USING (family) WHERE NOT new GROUP BY family),

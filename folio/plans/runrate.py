@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.operators import runrate as o
-from folio.plans.registry import BEFORE, YEAR, query, r
+from folio.plans.registry import BEFORE, ORACLES, YEAR, query, r
 
 
 def grid(y: int, n: str = "") -> str:
@@ -141,3 +141,4 @@ query(
     "brg04_top_variations",
     f"SELECT *, n - n1 AS variation FROM (SELECT account, coalesce(sum(pnl_amount) FILTER (year = {YEAR}), 0) AS n, coalesce(sum(pnl_amount) FILTER (year = {BEFORE}), 0) AS n1 FROM ledger WHERE year IN ({YEAR}, {BEFORE}) AND class = '6' GROUP BY account) ORDER BY abs(n - n1) DESC, account LIMIT 10",
 )(lambda led: o.top_variations(led, YEAR, BEFORE))
+query("brg04b_top_bridge", f"SELECT * FROM br WHERE account IN (SELECT account FROM ({ORACLES['brg04_top_variations']}))", BRIDGE)(lambda led: o.top_bridge(led, YEAR, BEFORE))
