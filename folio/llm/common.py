@@ -45,6 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that materialize() wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,6 +63,14 @@ def plain(docs: DataFrame, *cols: str, text: str | None = None) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in cols], *([F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")] if text else []))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, with a prefix that no column of docs has."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def text_id(text: Column) -> Column:
     """SHA-256 of a text, with null as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
@@ -61,11 +78,12 @@ def text_id(text: Column) -> Column:
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs whose id and text are in kept (id, text_sha256), null ids included, one row for each."""
-    rows = docs.withColumn("__sha", text_id(F.col(f"`{text_col}`")))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")) & (F.col("__sha") == F.col("__kept_sha"))
-    joined = rows.join(kept.select(F.col(f"`{id_col}`").alias("__kept"), F.col("text_sha256").alias("__kept_sha")), same)
-    first = Window.partitionBy(f"`{id_col}`", "__sha").orderBy(F.lit(0))
-    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    sha, kept_id, kept_sha, n = fresh(docs, "sha", "kept", "kept_sha", "n")
+    rows = docs.withColumn(sha, text_id(F.col(f"`{text_col}`")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
+    joined = rows.join(kept.select(F.col(f"`{id_col}`").alias(kept_id), F.col("text_sha256").alias(kept_sha)), same)
+    first = Window.partitionBy(f"`{id_col}`", sha).orderBy(F.lit(0))
+    return joined.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -74,14 +92,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges: (src, dst). Returns (node, component) with the smallest node of each
     component, for every node that has an edge to another one. Each step is a
     grouped minimum and a join, written to the shared folder; the driver sees only
-    counts. Self links and nulls are ignored, repeats are harmless.
+    whether some node still has two edges to smaller nodes, or one to a node that has such
+    an edge itself. Self links and nulls are ignored, repeats are harmless.
     """
-    spark = edges.sparkSession
     pairs = materialize(
         edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges"
     )
-    before = None
     for _ in range(max_rounds):
+        lower = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "lower")
+        if lower.where("n > 1").isEmpty() and pairs.join(lower.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # minima are written, so that joins are between plain exchanges and a hub's rows can be split
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
@@ -90,9 +111,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.where("u != v").distinct(), "edges")
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        before = now
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

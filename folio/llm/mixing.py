@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, plain
+from folio.llm.common import fresh, materialize, plain
 
 WEIGHTS = (5, 2, 1)
 #: The sampler takes populations below 10^9; blocks grow with the total to stay below.
@@ -225,14 +225,14 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, seed: int = 7, id_col:
     text each takes its part of what the mix takes of them.
     """
     _, taken, _ = mix_by_weight(docs, id_col, text_col, source_col, share, seed, whole=True)
-    places = taken.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("shard", "position"))).alias("__places")).select(*[F.col(c).alias(f"__{c}") for c in ROW], "__places")
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = with_row(named.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn("__source", F.col(f"`{source_col}`").cast("string")), id_col, "__text", "__source")
-    keyed = keyed.toDF(*docs.columns, "__text", "__source", "__r1", "__r2").drop("__text", "__source")
-    same = Window.partitionBy("__r1", "__r2")
-    joined = keyed.join(places.hint("merge"), ["__r1", "__r2"])
-    numbered = joined.withColumn("__n", F.count("*").over(same)).withColumn("__i", F.row_number().over(same.orderBy(F.lit(0))))
-    mine = F.filter("__places", lambda _, j: j % F.col("__n") == F.col("__i") - 1)
-    each = numbered.withColumn("__place", F.explode(mine))
-    mixed = each.repartition(F.col("__place.shard")).sortWithinPartitions("__place.shard", "__place.position", "__r1", "__r2")
+    r1, r2, text, source, places_, n, i, place = fresh(docs, "r1", "r2", "text", "source", "places", "n", "i", "place")
+    places = taken.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("shard", "position")))).toDF(r1, r2, places_)
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text), F.col(f"`{source_col}`").cast("string").alias(source))
+    keyed = with_row(named, id_col, text, source).toDF(*docs.columns, text, source, r1, r2).drop(text, source)
+    same = Window.partitionBy(r1, r2)
+    joined = keyed.join(places.hint("merge"), [r1, r2])
+    numbered = joined.withColumn(n, F.count("*").over(same)).withColumn(i, F.row_number().over(same.orderBy(F.lit(0))))
+    mine = F.filter(places_, lambda _, j: j % F.col(n) == F.col(i) - 1)
+    each = numbered.withColumn(place, F.explode(mine))
+    mixed = each.repartition(F.col(f"{place}.shard")).sortWithinPartitions(f"{place}.shard", f"{place}.position", r1, r2)
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize
+from folio.llm.common import fresh, materialize
 
 BITS = 60
 LEVELS = 12
@@ -89,7 +89,8 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """docs as Parquet, a folder for each shard, its rows in the order of ids."""
-    of = shard(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("shard").alias("__shard")).distinct()
-    joined = docs.join(of, docs[id_col].eqNullSafe(of["__id"])).drop("__id").withColumn("shard", F.concat(F.lit("s"), F.col("__shard"))).drop("__shard")
-    joined.repartition("shard").sortWithinPartitions("shard", id_col).write.partitionBy("shard").parquet(path)
+    """docs as Parquet, a folder for each shard (column __shard, or a longer name where docs has such), its rows in the order of ids."""
+    ident, name = fresh(docs, "id", "shard")
+    of = shard(docs, limit, id_col, text_col).select(F.col(id_col).alias(ident), F.concat(F.lit("s"), "shard").alias(name)).distinct()
+    joined = docs.join(of, docs[id_col].eqNullSafe(of[ident])).drop(ident)
+    joined.repartition(name).sortWithinPartitions(name, id_col).write.partitionBy(name).parquet(path)

@@ -9,8 +9,7 @@ spanning star of its links, so a run of m rows yields fewer than m edges.
 
 Near copies for the pipeline are linked in the same way by fingerprints of five-word
 shingles, and each link is compared on the whole shingle sets. Similar sets whose
-fingerprints are farther apart are then found between the groups: a join by prefixes,
-which misses no pair of a given Jaccard similarity.
+fingerprints are farther apart are then found between the groups by prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import golay
-from folio.llm.common import components, materialize, partitions, plain, text_id
+from folio.llm.common import components, discard, fresh, materialize, partitions, plain, text_id
 
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -35,6 +34,10 @@ EXACT_2 = (((0,), (1,)), ((1,), (2,)), ((2,), (0,)))
 #: Keys for at most 5 differing bits: two of three segments have at most 2 errors each.
 PAIRS_5 = (((), (0, 1)), ((), (1, 2)), ((), (0, 2)))
 BLOCK = 1 << 16
+#: Keys that two similar sets share at least, as prefixes are longer by as many less one.
+SHARED = 4
+#: Nodes of a key up to which all pairs are looked at, and nodes that all others meet beyond.
+SMALL, HUBS = 12, 4
 
 
 def words_of(text: str) -> list[bytes]:
@@ -224,9 +227,9 @@ def simhash_pairs(sets: DataFrame, most: int = 2) -> DataFrame:
 def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
     """(key, node, size, pos): the first elements of each set in one order of all elements.
 
-    Sets of n elements share at least similarity * n of them with each partner, so one is
-    among the first n - similarity * n + 1 of both, in any order. Common ones come last,
-    which keeps runs of equal keys short and leaves nothing out.
+    Sets of n elements share at least similarity * n of them with each partner, so SHARED
+    are among the first n - similarity * n + SHARED of both, in any order. Common ones come
+    last, which keeps runs of equal keys short and leaves nothing out.
     """
     common = common_shingles(sets)
     by_hash = np.argsort(common)
@@ -240,7 +243,7 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
                 keys, counts = [], []
                 for x in b.column("hashes"):
                     h = np.frombuffer(x.as_buffer(), np.uint64)
-                    first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                    first = min(len(h), len(h) - math.ceil(similarity * len(h) - 1e-9) + SHARED)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         late = known[at] == h
@@ -287,55 +290,71 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
 
 
 def may_be_similar(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
-    """Whether two sets with equal first keys at these places can have enough elements in common."""
+    """Whether two sets can have enough elements in common, if these places hold one of the first SHARED of them."""
     need = similarity / (1 + similarity)
-    return F.least(a("size") - a("pos"), b("size") - b("pos")) >= need * (a("size") + b("size")) - 1e-9
+    return F.least(a("size") - a("pos"), b("size") - b("pos")) + (SHARED - 1) >= need * (a("size") + b("size")) - 1e-9
 
 
-def star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """(src, dst): one node of the largest component of each key with the nodes outside it, as many as rows at most.
+def with_degree(keys: DataFrame) -> DataFrame:
+    """keys with degree, the number of keys of the node: of a group's members, the one that others are copies of has most."""
+    degree = materialize(keys.groupBy("node").agg(F.count("*").alias("degree")), "degree")
+    return keys.join(degree, "node")
 
-    rows: (key, node, size, pos, component). The node changes from turn to turn.
+
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the node of largest degree of each key with all others that have the key, as many as rows at most.
+
+    rows: (key, node, size, pos, degree).
     """
-    one = F.struct(F.xxhash64(F.lit(turn), "node").alias("mixed"), "node", "size", "pos")
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(one).alias("root"))
+    hub = F.struct("degree", "node", "size", "pos")
     # written, so that the join is between plain exchanges and a hot key's rows can be split
-    roots = materialize(parts.groupBy("key").agg(F.max(F.struct("n", "component", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top.component", "top.root"), "roots")
-    met = rows.join(roots.withColumnRenamed("component", "other"), "key").where("component != other")
+    roots = materialize(rows.groupBy("key").agg(F.max(hub).alias("root")), "roots")
     fits = may_be_similar(lambda c: F.col(c), lambda c: F.col(f"root.{c}"), similarity)
-    return met.where(fits).select(F.least("node", "root.node").alias("src"), F.greatest("node", "root.node").alias("dst")).distinct()
+    met = rows.join(roots, "key").where(F.col("node") != F.col("root.node")).where(fits)
+    return met.select(F.least("node", "root.node").alias("src"), F.greatest("node", "root.node").alias("dst")).distinct()
 
 
 def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): all pairs with a key in common that are in different components and may be similar."""
+    """(src, dst): pairs of different components that may be similar and share a key.
+
+    rows: (key, node, size, pos, degree, component). Of keys that at most SMALL nodes have,
+    all such pairs; of others, up to HUBS nodes with all others: those of largest degree that
+    are in components of their own. So there are a few pairs a row, however large a run is.
+    """
     need = similarity / (1 + similarity)
+    names = ["key", "node", "size", "pos", "degree", "component"]
 
-    def pairs(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.stack([np.concatenate(src), np.concatenate(dst)])
-        found = np.unique(np.sort(both, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.stack([np.concatenate(c) for c in zip(*found)]), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([*map(pa.array, both)], ["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "size", "pos", "component"]
         held = {n: np.zeros(0, np.int64) for n in names}
 
         def done(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.diff(held["key"])) + 1
-            src, dst, n = [], [], 0
+            found, n = [], 0
             for s, e in zip([0, *cut], [*cut, len(held["key"])]):
-                node, size, left, part = (held[c][s:e] for c in ("node", "size", "left", "component"))
+                node, size, pos, degree, part = (held[c][s:e] for c in names[1:])
                 if e - s < 2 or (part == part[0]).all():
                     continue
-                for i in range(e - s - 1):
-                    fits = (part[i + 1 :] != part[i]) & (np.minimum(left[i + 1 :], left[i]) >= need * (size[i + 1 :] + size[i]) - 1e-9)
-                    new = node[i + 1 :][fits]
-                    src.append(np.full(len(new), node[i])), dst.append(new)
+                if e - s <= SMALL:
+                    roots = range(e - s - 1)
+                else:
+                    order = np.lexsort((node, -degree))
+                    roots = order[np.sort(np.unique(part[order], return_index=True)[1])[:HUBS]]
+                left = size - pos + SHARED - 1
+                for i in roots:
+                    others = slice(i + 1, None) if e - s <= SMALL else slice(None)
+                    fits = (part[others] != part[i]) & (np.minimum(left[others], left[i]) >= need * (size[others] + size[i]) - 1e-9)
+                    new = node[others][fits]
+                    found.append((np.full(len(new), node[i]), new))
                     n += len(new)
                     if n > BLOCK:
-                        yield pairs(src, dst)
-                        src, dst, n = [], [], 0
+                        yield pairs(found)
+                        found, n = [], 0
             if n:
-                yield pairs(src, dst)
+                yield pairs(found)
 
         for b in batches:
             if not len(b):
@@ -343,16 +362,16 @@ def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             held = {n: np.concatenate([held[n], b.column(n).to_numpy()]) for n in names}
             last = int(np.searchsorted(held["key"], held["key"][-1]))
             if last:
-                yield from done({n: x[:last] for n, x in held.items()} | {"left": (held["size"] - held["pos"])[:last]})
+                yield from done({n: x[:last] for n, x in held.items()})
                 held = {n: x[last:] for n, x in held.items()}
         if len(held["key"]):
-            yield from done(held | {"left": held["size"] - held["pos"]})
+            yield from done(held)
 
-    return sorted_runs(rows.select("key", "node", "size", "pos", "component")).mapInArrow(run, "src long, dst long").distinct()
+    return sorted_runs(rows.select(*names)).mapInArrow(run, "src long, dst long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (src, dst) whose sets have a Jaccard similarity of at least similarity."""
+    """The (src, dst) whose sets have a Jaccard similarity of at least similarity, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -364,50 +383,38 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 fits.append(n / (len(both) - n) >= similarity)
             yield b.select(["src", "dst"]).filter(pa.array(fits, pa.bool_()))
 
-    one = sets.select(F.col("node").alias("src"), F.col("hashes").alias("one"))
-    two = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("two"))
-    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "one", "two").mapInArrow(run, "src long, dst long")
-
-
-def joined_by(edges: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """(node, component) of joined (as components() gives it) after edges are added."""
-    if joined is None:
-        return materialize(components(edges), "components")
-    name = {c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in ("src", "dst")}
-    ends = edges.join(name["src"], "src", "left").join(name["dst"], "dst", "left")
-    ends = materialize(ends.select("src", "dst", *[F.coalesce(f"{c}_part", c).alias(f"{c}_part") for c in name]), "ends")
-    merged = components(ends.select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst"))).toDF("part", "now")
-    every = joined.unionByName(ends.select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col(f"{c}_part").alias("component")) for c in name])).alias("e")).select("e.*")).distinct()
-    return materialize(every.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("now", "component").alias("component")), "components")
+    # sets that are in a pair are picked out first, so that the others don't move; written, as the planner then knows how many they are
+    met = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "met")
+    few = materialize(sets.select("node", "hashes").join(met, "node", "left_semi"), "few")
+    one = few.select(F.col("node").alias("src"), F.col("hashes").alias("one"))
+    two = few.select(F.col("node").alias("dst"), F.col("hashes").alias("two"))
+    found = materialize(pairs.join(one, "src").join(two, "dst").select("src", "dst", "one", "two").mapInArrow(run, "src long, dst long"), "links")
+    discard(few)
+    return found
 
 
-def near_copies(sets: DataFrame, similarity: float = 0.8, turns: int = 2) -> DataFrame:
+def near_copies(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the sets that are linked, over any number of links, by a Jaccard
     similarity of at least similarity; component is the smallest node.
 
-    First come the pairs with fingerprints within 2 bits. Every other such pair meets under
-    a key (prefix_keys): in some turns each node outside a key's largest component meets one
-    node of it, so that large groups need few pairs; then all pairs left between components
-    meet. All pairs are compared on the whole sets.
+    First come the pairs with fingerprints within 2 bits. Every other such pair has SHARED
+    keys in common (prefix_keys): of each key one node meets the others, then, between the
+    components that these pairs make, all meet where few have the key, and some hubs meet the
+    others where many have it. All pairs are compared on the whole sets, so no pair is linked
+    that is less similar. A similar pair can be missed only if each of its keys is one that
+    more than SMALL nodes have, and no hub links both.
     """
-    joined = None
-    keys = materialize(repeated_keys(prefix_keys(sets, similarity)), "keys")
-
-    def rows() -> DataFrame:
-        if joined is None:
-            return keys.withColumn("component", F.col("node"))
-        return keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
-
-    steps = [lambda: simhash_pairs(sets), *[lambda i=i: star_pairs(rows(), similarity, i) for i in range(turns)], lambda: rest_pairs(rows(), similarity)]
-    for step in steps:
-        # written, so that the joins are between plain exchanges and a root's rows can be split
-        pairs = materialize(step(), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = materialize(similar(pairs, sets, similarity), "links")
-        if not found.isEmpty():
-            joined = joined_by(found, joined)
-    return joined if joined is not None else keys.select("node", F.col("node").alias("component")).limit(0)
+    keys = materialize(with_degree(materialize(repeated_keys(prefix_keys(sets, similarity)), "repeated")), "keys")
+    # written, so that the joins are between plain exchanges and a root's rows can be split
+    first = materialize(simhash_pairs(sets).unionByName(star_pairs(keys, similarity)).distinct(), "pairs")
+    joined = materialize(components(similar(first, sets, similarity)), "components")
+    rows = keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
+    rest = materialize(rest_pairs(rows, similarity), "rest")
+    if rest.isEmpty():
+        return joined
+    # links between components, and one edge from each node to its component, which stands for the links found before
+    edges = similar(rest, sets, similarity).unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+    return materialize(components(edges), "components")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -421,7 +428,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = shingle_sets(docs, shingle, id_col, text_col)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_sha256")
     members = materialize(sets.select("node", rank.alias("rank")).join(near_copies(sets, similarity), "node"), "members")
+    discard(sets)
     low = materialize(members.groupBy("component").agg(F.min("rank").alias("low")), "low")
-    gone = members.join(low, "component").where("rank != low").select(F.col("rank.id").alias("__id"), F.col("rank.text_sha256").alias("__sha")).distinct()
-    here = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (text_id(F.col(f"`{text_col}`")) == F.col("__sha"))
+    gone_id, gone_sha = fresh(docs, "id", "sha")
+    gone = members.join(low, "component").where("rank != low").select(F.col("rank.id").alias(gone_id), F.col("rank.text_sha256").alias(gone_sha)).distinct()
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (text_id(F.col(f"`{text_col}`")) == F.col(gone_sha))
     return docs.join(gone, here, "left_anti")

@@ -2,6 +2,7 @@ import pytest
 
 from folio.llm.exact_dedup import drop_exact_copies
 from folio.llm.language_id import drop_unidentified
+from folio.llm.mixing import mixed_documents
 from folio.llm.simhash import drop_near_copies
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -38,3 +39,13 @@ def test_near_drops_the_copy_alone(spark):
     # of rows 7 that are alike one stays; (None, 0) goes for 8, (7, 3) for 6
     assert [x for x in got if x[1] not in (text(5), text(5) + " more")] == sorted([(None, text(1)), (None, text(2)), (7, text(4)), (8, text(0) + " more"), (6, text(3) + " more")], key=str)
     assert len(got) == 6
+
+
+@pytest.mark.parametrize("stage", [drop_unidentified, drop_exact_copies, drop_near_copies, mixed_documents])
+def test_columns_of_any_name_are_kept_as_they_are(spark, stage):
+    """Other columns may have the names that stages use for themselves; rows keep their values."""
+    names = ["shard", "__id", "__n", "__i", "at", "__sha", "__r1", "rank", "node", "key", "source"]
+    rows = [(i, text(i % 8), "en", *[f"{c}{i}" for c in names[:-1]], "s") for i in range(16)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    got = stage(df)
+    assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(rows)

@@ -61,7 +61,7 @@ def test_levels_beyond_the_first_pass(spark, monkeypatch):
 def test_writing_and_empty_table(spark, tmp_path):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     op.write_shards(df, f"{tmp_path}/out", 5000)
-    assert spark.read.parquet(f"{tmp_path}/out").drop("shard").exceptAll(df).count() == 0
+    assert spark.read.parquet(f"{tmp_path}/out").drop("__shard").exceptAll(df).count() == 0
     assert op.shard(spark.createDataFrame([], "doc_id long, text string"), 10).count() == 0
 
 
