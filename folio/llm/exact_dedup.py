@@ -1,7 +1,8 @@
 """Exact dedup by content-defined chunk recipes (built-in functions only).
 
-A text is cut where its content says so: after a sentence end or line break that
-follows at least 1024 characters of the chunk, at 4096 characters otherwise. A
+A text is cut where its content says so: after a sentence end (in scripts without blanks
+too) or line break that follows at least 1024 characters of the chunk; where there is none
+up to 3072, after a blank or punctuation mark; at 4096 characters otherwise. A
 chunk's identifier is its SHA-256; identifiers are verified by grouping all chunks
 by (identifier, content), which moves each distinct chunk once. Documents are then
 compared by their ordered identifier lists (recipes), never by moving their texts.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import keep_rows, materialize, plain
 
-CHUNK = r"(?s).{1024,4095}?(?:[.!?]\s|\n|\z)|.{1,4096}"
+CHUNK = r"(?s).{1024,3071}?(?:[.!?]\s|[\n。！？।؟]|\z)|.{1024,4095}?(?:[\s\p{P}]|\z)|.{1,4096}"
 
 
 def sha256_bytes(chunk: Column) -> Column:

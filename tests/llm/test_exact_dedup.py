@@ -58,3 +58,27 @@ def test_drop_keeps_one_row_and_all_columns(spark):
     got = op.drop_exact_copies(df)
     assert got.columns == df.columns
     assert sorted(r["doc_id"] for r in got.collect()) == [2, 4, 6, 7, 8, 10]
+
+
+def test_cuts_follow_the_content_in_every_script(spark):
+    """Words put in front change the first chunks only: texts without Latin sentence ends are cut alike behind them."""
+    import random
+
+    r = random.Random(5)
+    cjk = "".join(r.choice("日本語文章検索処理大規模学習") if r.random() > 0.03 else "。" for _ in range(20_000))
+    bare = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(5_000))
+    prose = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) + ("." if r.random() < 0.08 else "") for _ in range(5_000))
+    for text in (cjk, bare, prose):
+        rows = spark.createDataFrame([(1, text), (2, "xyz " + text)], "doc_id long, text string")
+        one, two = (set(map(bytes, x["recipe"])) for x in op.recipes(rows).orderBy("doc_id").collect())
+        assert len(one) >= 6 and len(one & two) >= 0.6 * len(one)
+
+
+def test_very_long_and_clashing_columns(spark):
+    long = "word. " * 300_000
+    rows = [(1, long, "a", 1), (2, long, "b", 2), (3, long + "x", "c", 3), (4, "é" * 9_000, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, recipe string, __n int")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in op.exact_dedup(df).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True)}
+    kept = op.drop_exact_copies(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
