@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.tables import shared_path
-from folio.plans.registry import query
+from folio.plans.registry import query, r
 from folio.sources import canonical, readers
 
 LINE = "CAST(date AS VARCHAR) AS date, account, journal, voucher, label, site, third_party, debit, credit, amount, year, month, period, class, prefix_2, prefix_3, pnl_amount"
@@ -151,8 +151,8 @@ def gen03(led: DataFrame) -> DataFrame:
 @query(
     "gen04_stats",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", round(CAST(sum({c}) AS DOUBLE), 2) AS sum, round(avg(CAST({c} AS DOUBLE)), 4) + 0 AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
-        f"round(CAST(max({c}) AS DOUBLE), 4) AS max, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, count({c}) AS count FROM ledger"
+        f"SELECT '{c}' AS \"column\", {r(f'sum({c})', 2)} AS sum, {r(f'avg(CAST({c} AS DOUBLE))')} AS mean, {r(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, {r(f'min({c})')} AS min, "
+        f"{r(f'max({c})')} AS max, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS median, count({c}) AS count FROM ledger"
         for c in ("debit", "credit", "amount")
     ),
 )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import labels as o
+from folio.functions.columns import rounded
 from folio.operators import entities, models, risk, similarity
+from folio.operators import labels as o
 from folio.plans.core import dated
 from folio.plans.registry import case, query, r
 
@@ -57,7 +58,7 @@ ft AS (SELECT account, voucher, amount, {A} AS a, (isodow(date) - 1) AS weekday,
   journal IN ('OD', 'AN', 'RAN', 'EXT', 'EXTOURNE') AS od, {A} >= 10000 AND abs(amount) % 10000 = 0 AS r4 FROM ledger JOIN ba USING (account) JOIN bd USING (date))"""
 query(
     "ml01_features", f"SELECT account, voucher, amount, CAST(weekday AS INT) AS weekday, CAST(day AS INT) AS day, first_digit, day_lines, account_lines, {r('ln(1 + a)')} AS log_amount, {r('z')} AS z_account, CAST(od AS INT) AS is_od, CAST(r4 AS INT) AS round_10000 FROM ft", FT
-)(lambda led: models.features(led).select("account", "voucher", "amount", "weekday", "day", "first_digit", "day_lines", "account_lines", (F.round("log_amount", 4) + 0.0).alias("log_amount"), (F.round("z_account", 4) + 0.0).alias("z_account"), "is_od", "round_10000"))
+)(lambda led: models.features(led).select("account", "voucher", "amount", "weekday", "day", "first_digit", "day_lines", "account_lines", rounded(F.col("log_amount")).alias("log_amount"), rounded(F.col("z_account")).alias("z_account"), "is_od", "round_10000"))
 query(
     "ml03_weak_labels",
     "SELECT account, count(*) AS lines, sum(CASE WHEN (od AND year_end AND a > p99) OR (r4 AND account_lines < 5) OR abs(z) > 4 OR (weekday >= 5 AND a > p95) OR (nines > 0.1 AND first_digit = 9) THEN 1 ELSE 0 END) AS flagged "
