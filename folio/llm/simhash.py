@@ -315,18 +315,20 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): pairs of different components that may be similar and share a key.
+    """(src, dst): pairs of different components that may be similar and meet under SHARED keys.
 
-    rows: (key, node, size, pos, degree, component). Of keys that at most SMALL nodes have,
-    all such pairs; of others, up to HUBS nodes with all others: those of largest degree that
-    are in components of their own. So there are a few pairs a row, however large a run is.
+    rows: (key, node, size, pos, degree, component). Under keys that at most SMALL nodes have,
+    all such pairs meet; under others, up to HUBS nodes with all others: those of largest
+    degree that are in components of their own. So there are a few pairs a row, however large
+    a run is. Small sets that are similar may have fewer elements in common; they need as many.
     """
     need = similarity / (1 + similarity)
     names = ["key", "node", "size", "pos", "degree", "component"]
 
-    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        both = np.unique(np.sort(np.stack([np.concatenate(c) for c in zip(*found)]), axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([*map(pa.array, both)], ["src", "dst"])
+    def pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        one, two, least = (np.concatenate(c) for c in zip(*found))
+        each, n = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two), least]), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(n)], ["src", "dst", "least", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {n: np.zeros(0, np.int64) for n in names}
@@ -346,9 +348,10 @@ def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
                 left = size - pos + SHARED - 1
                 for i in roots:
                     others = slice(i + 1, None) if e - s <= SMALL else slice(None)
-                    fits = (part[others] != part[i]) & (np.minimum(left[others], left[i]) >= need * (size[others] + size[i]) - 1e-9)
+                    common = np.ceil(need * (size[others] + size[i]) - 1e-9).astype(np.int64)
+                    fits = (part[others] != part[i]) & (np.minimum(left[others], left[i]) >= common)
                     new = node[others][fits]
-                    found.append((np.full(len(new), node[i]), new))
+                    found.append((np.full(len(new), node[i]), new, np.minimum(common[fits], SHARED)))
                     n += len(new)
                     if n > BLOCK:
                         yield pairs(found)
@@ -367,7 +370,8 @@ def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
         if len(held["key"]):
             yield from done(held)
 
-    return sorted_runs(rows.select(*names)).mapInArrow(run, "src long, dst long").distinct()
+    met = sorted_runs(rows.select(*names)).mapInArrow(run, "src long, dst long, least long, n long")
+    return met.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("src", "dst")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -401,8 +405,8 @@ def near_copies(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     keys in common (prefix_keys): of each key one node meets the others, then, between the
     components that these pairs make, all meet where few have the key, and some hubs meet the
     others where many have it. All pairs are compared on the whole sets, so no pair is linked
-    that is less similar. A similar pair can be missed only if each of its keys is one that
-    more than SMALL nodes have, and no hub links both.
+    that is less similar. A similar pair can be missed only if it shares keys that more than
+    SMALL nodes have, and no hub links both.
     """
     keys = materialize(with_degree(materialize(repeated_keys(prefix_keys(sets, similarity)), "repeated")), "keys")
     # written, so that the joins are between plain exchanges and a root's rows can be split
