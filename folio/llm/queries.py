@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, language_id, media, mixing, packing, repeats, sharding, simhash, url_filter, warc
+from folio.llm import exact_dedup, language_id, media, mixing, packing, repeats, sharding, simhash, superkmers, url_filter, warc
 
 SHARD_LIMIT = 1 << 20
 
@@ -67,10 +67,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_exact_dedup, op2_warc, op3_media, op4_mixing, op5_repeats, op6_simhash, op7_language_id, op8_sharding, op9_packing, op10_url_filter)
-}
+def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.drop_windows(documents(spark, sf_dir))
+
+
+DEALT = (
+    op1_exact_dedup,
+    op2_warc,
+    op3_media,
+    op4_mixing,
+    op5_repeats,
+    op6_simhash,
+    op7_language_id,
+    op8_sharding,
+    op9_packing,
+    op10_url_filter,
+    op12_superkmers,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in DEALT}
 
 OP1_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -136,4 +150,15 @@ def op10_sql(rounds: int = url_filter.ROUNDS) -> str:
     )
 
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_sharding": op8_sql(), "op10_url_filter": op10_sql()}
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d)),
+s AS (SELECT r, i, word, string_agg(word, ' ') OVER here AS run, count(*) OVER here AS n FROM w
+      WINDOW here AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+c AS (SELECT r, i, word, n = 35 AND count(*) OVER (PARTITION BY n, run) > 1 AS again FROM s),
+g AS (SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS m, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_sharding": op8_sql(), "op10_url_filter": op10_sql(), "op12_superkmers": OP12_SQL}
