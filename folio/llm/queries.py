@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, language_id, media, mixing, packing, repeats, sharding, simhash, superkmers, url_filter, warc
+from folio.llm import alignment, exact_dedup, language_id, media, mixing, negatives, packing, repeats, sharding, simhash, superkmers, url_filter, warc
 
 SHARD_LIMIT = 1 << 20
 
@@ -67,10 +67,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.drop_windows(documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 DEALT = (
     op1_exact_dedup,
     op2_warc,
@@ -82,7 +90,9 @@ DEALT = (
     op8_sharding,
     op9_packing,
     op10_url_filter,
+    op11_negatives,
     op12_superkmers,
+    op13_alignment,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in DEALT}
 
@@ -150,6 +160,21 @@ def op10_sql(rounds: int = url_filter.ROUNDS) -> str:
     )
 
 
+OP11_SQL = """
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM p a JOIN p b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+g AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT g.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY g.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+      FROM g JOIN s ON s.anchor_id = g.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d)),
@@ -161,4 +186,4 @@ k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS m, string_agg(word, ' '
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_sharding": op8_sql(), "op10_url_filter": op10_sql(), "op12_superkmers": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_sharding": op8_sql(), "op10_url_filter": op10_sql(), "op11_negatives": OP11_SQL, "op12_superkmers": OP12_SQL}
