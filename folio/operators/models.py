@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.columns import number, rounded
+from folio.functions.ranks import quantiles
 from folio.functions.tables import written
 
 OD = ("OD", "AN", "RAN", "EXT", "EXTOURNE")
@@ -42,7 +43,8 @@ def weak_labels(df: DataFrame) -> DataFrame:
     """features with weak_label 1 where one of five rules holds: large adjusting entries at the year's end, very round
     amounts on rare accounts, far from the account's mean, large at a weekend, first digit 9 when these are over 10 %."""
     f, a = features(df), number(F.abs("amount"))
-    s = df.agg(F.percentile(a, 0.95).alias("p95"), F.percentile(a, 0.99).alias("p99"), F.avg((first_digit(F.col("amount")) == 9).cast("int")).alias("nines"))
+    nines = df.agg(F.avg((first_digit(F.col("amount")) == 9).cast("int")).alias("nines"))
+    s = quantiles(df, [], a, [0.95, 0.99]).select(F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99")).crossJoin(nines)
     rules = (
         ((F.col("is_od") == 1) & (F.col("year_end") == 1) & (a > F.col("p99"))) | ((F.col("round_10000") == 1) & (F.col("account_lines") < 5)) | (F.abs("z_account") > 4)
         | ((F.col("weekend") == 1) & (a > F.col("p95"))) | ((F.col("nines") > 0.1) & (F.col("first_digit") == 9))

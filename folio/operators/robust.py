@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import first_of, number, ratio, rounded, total
+from folio.functions.ranks import counted, least_ahead, quantiles, quantiles_of, running
 
 FACTOR = 0.6745
 
@@ -16,25 +17,52 @@ def active_months(df: DataFrame, year: int | None = None, key: str = "account")
     return rows.groupBy(key, "period", "month").agg(number(F.sum("amount")).alias("v"))
 
 
+def long_form(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """(column, value): the cells of columns, cast to kind, nulls left out."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns])
+    return df.select(F.inline(cells)).where("value IS NOT NULL")
+
+
+def top_values(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """(column, rank, value, lines): the most frequent values of each column, as text, smaller ones first on ties."""
+    lines = long_form(df, columns, "string").groupBy("column", "value").agg(F.count("*").alias("lines"))
+    ranked = lines.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("lines"), "value")))
+    return ranked.where(F.col("rank") <= most).select("column", "rank", "value", "lines")
+
+
 def profile_columns(df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
     """One row per column: count, nulls, distinct; of numbers mean, sample deviation, range,
-    quartiles and bias-corrected skewness and kurtosis; of texts the mode (first on ties)."""
+    quartiles and bias-corrected skewness and kurtosis; of texts the mode (first on ties).
+
+    Distinct values are counted by groups and ranked by ranges, so no task holds those of a column.
+    """
     made = []
     for c in [*numbers, *texts]:
         x, n = number(F.col(c)) if c in numbers else F.lit(None).cast("double"), F.count(c).cast("double")
         g1, g2 = F.skewness(x), F.kurtosis(x)
         skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
         kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         made.append(
             F.struct(
-                F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("distinct"),
-                rounded(F.avg(x), 2).alias("mean"), rounded(F.stddev_samp(x), 2).alias("std"), rounded(F.min(x), 2).alias("min"), rounded(F.max(x), 2).alias("max"),
-                *[rounded(quartiles[i]).alias(f"q{i + 1}") for i in range(3)], rounded(skew, 3).alias("skew"), rounded(kurt, 3).alias("kurtosis"),
-                (F.lit(None).cast("string") if c in numbers else F.mode(c, True)).alias("mode"),
+                F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("nulls"), rounded(F.avg(x), 2).alias("mean"), rounded(F.stddev_samp(x), 2).alias("std"),
+                rounded(F.min(x), 2).alias("min"), rounded(F.max(x), 2).alias("max"), rounded(skew, 3).alias("skew"), rounded(kurt, 3).alias("kurtosis"),
             )
         )
-    return df.agg(F.array(*made).alias("s")).select(F.inline("s"))
+    moments = df.agg(F.array(*made).alias("s")).select(F.inline("s"))
+    out = "column string, distinct long, q array<double>, mode string"
+    known = df.sparkSession.createDataFrame([], out)
+    if numbers:
+        ranked = counted(long_form(df, numbers, "double"), ["column"], F.col("value"))
+        q = ranked.groupBy("column").agg(F.count("*").alias("distinct")).join(quantiles_of(ranked, ["column"], [0.25, 0.5, 0.75]), "column")
+        known = known.unionByName(q.withColumn("mode", F.lit(None).cast("string")))
+    if texts:
+        values = long_form(df, texts, "string").groupBy("column", "value").agg(F.count("*").alias("lines"))
+        first = F.min_by("value", F.struct((-F.col("lines")).alias("n"), "value"))
+        known = known.unionByName(values.groupBy("column").agg(F.count("*").alias("distinct"), F.lit(None).cast("array<double>").alias("q"), first.alias("mode")))
+    quartiles = [rounded(F.get("q", F.lit(i))).alias(f"q{i + 1}") for i in range(3)]
+    return moments.join(known, "column", "left").select(
+        "column", "count", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "mean", "std", "min", "max", *quartiles, "skew", "kurtosis", "mode"
+    )
 
 
 def profile_accounts(df: DataFrame, year: int) -> DataFrame:
@@ -42,9 +70,11 @@ def profile_accounts(df: DataFrame, year: int) -> DataFrame:
     rows = df.where(F.col("year") == year)
     a = F.abs(number(F.col("amount")))
     lines = rows.groupBy("account").agg(
-        F.count("*").alias("entries"), total(F.col("debit")).alias("debit"), total(F.col("credit")).alias("credit"), F.avg(a).alias("m"), rounded(F.percentile(a, 0.5)).alias("median"),
+        F.count("*").alias("entries"), total(F.col("debit")).alias("debit"), total(F.col("credit")).alias("credit"), F.avg(a).alias("m"),
         rounded(F.stddev_samp(a), 2).alias("std"), rounded(F.min(a)).alias("min"), rounded(F.max(a)).alias("max"),
     )
+    middle = quantiles(rows, ["account"], a, [0.5]).select("account", rounded(F.get("q", F.lit(0))).alias("median"))
+    lines = lines.join(middle, "account", "left")
     v = F.abs("v")
     months = active_months(rows).groupBy("account").agg(
         F.count("*").alias("active_months"), F.avg(v).alias("mm"), F.stddev_samp(v).alias("ms"), F.min_by("period", F.struct(v, F.col("period"))).alias("min_month"),
@@ -219,12 +249,11 @@ def conformal(df: DataFrame, year: int, min_n: int = 6) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value", key: str = "family") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values. The window runs over signals, which are few, never over lines."""
-    w = Window.orderBy(p, key)
-    n = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumns({"rank": F.row_number().over(w), "m": n}).withColumn("raw", F.col(p) * F.col("m") / F.col("rank"))
-    back = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("p_adjusted", rounded(F.least(F.min("raw").over(back), F.lit(1.0)), 6)).drop("m", "raw")
+    """Benjamini-Hochberg adjusted p-values and ranks, by ranges of (p, key)."""
+    ranked = running(df.withColumn("__one", F.lit(1)), [], [p, key], "__one").drop("__one")
+    ranked = ranked.withColumn("rank", (F.col("before") + 1).cast("int")).withColumn("raw", F.col(p) * F.col("whole") / F.col("rank"))
+    adjusted = least_ahead(ranked, [p, key], "raw", "p_adjusted")
+    return adjusted.withColumn("p_adjusted", rounded(F.least("p_adjusted", F.lit(1.0)), 6)).drop("before", "whole", "raw")
 
 
 def discord(df: DataFrame, year: int | None = None, window: int = 3) -> DataFrame:
@@ -237,14 +266,68 @@ def discord(df: DataFrame, year: int | None = None, window: int = 3) -> DataFram
     return j.groupBy("family").agg(F.first("months").alias("months"), F.min_by("period", F.struct(-F.col("score"), F.col("period"))).alias("start"), F.max("score").alias("score"))
 
 
+def matrix_profile(df: DataFrame, year: int | None = None, window: int = 3, key: str = "prefix_3") -> DataFrame:
+    """(family, start, distance, nearest, p, is_discord): each stretch of active months against its nearest other one.
+
+    Stretches are z-normalized; two constant ones are 0 apart, a constant and another one
+    the root of window. A stretch doesn't meet those that start within a quarter of its
+    length, rounded up; one that meets none has no distance. nearest is the first start at
+    the least distance, p the share of the family's stretches that are farther from theirs,
+    and the discord the first one with the largest distance. Families with a month more
+    than the window, or more, take part; their stretches, no more than months, are joined
+    within the family.
+    """
+    m = active_months(df, year, key).withColumnRenamed(key, "family")
+    order = Window.partitionBy("family").orderBy("period")
+    ahead = F.collect_list("v").over(order.rowsBetween(0, window - 1))
+    w = m.withColumns({"at": F.row_number().over(order), "x": ahead, "months": F.count("*").over(Window.partitionBy("family"))})
+    w = w.where((F.size("x") == window) & (F.col("months") > window))
+    total_ = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    w = w.withColumn("mean", total_(F.col("x")) / window)
+    w = w.withColumn("sd", F.sqrt(total_(F.transform("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / window))
+    flat = F.array_max("x") == F.array_min("x")
+    w = w.withColumn("z", F.when(~flat, F.transform("x", lambda v: (v - F.col("mean")) / F.col("sd")))).select("family", "period", "at", "z")
+    a, b = w.select("family", F.col("period").alias("start"), F.col("at").alias("i"), F.col("z").alias("za")), w.select("family", F.col("period").alias("other"), F.col("at").alias("j"), F.col("z").alias("zb"))
+    gap = F.sqrt(total_(F.zip_with("za", "zb", lambda p, q: (p - q) * (p - q))))
+    apart = F.when(F.col("za").isNull() & F.col("zb").isNull(), 0.0).when(F.col("za").isNull() | F.col("zb").isNull(), float(window) ** 0.5).otherwise(gap)
+    pairs = a.join(b, "family").where(F.abs(F.col("i") - F.col("j")) > -(-window // 4)).withColumn("d", F.round(apart, 4))
+    near = pairs.groupBy("family", "start").agg(F.min("d").alias("distance"), F.min_by("other", F.struct("d", "other")).alias("nearest"))
+    near = a.select("family", "start").join(near, ["family", "start"], "left")
+    every, first = Window.partitionBy("family"), Window.partitionBy("family").orderBy(F.desc_nulls_last("distance"), "start")
+    farther = F.count("distance").over(every) - F.count("distance").over(every.orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
+    return near.select(
+        "family", "start", (F.col("distance") + 0.0).alias("distance"), "nearest", rounded(F.when(F.col("distance").isNotNull(), farther / F.count("distance").over(every))).alias("p"),
+        (F.col("distance").isNotNull() & (F.row_number().over(first) == 1)).alias("is_discord"),
+    )
+
+
+def ranked_by(f: DataFrame, feature: str) -> DataFrame:
+    """f with `le` and `ge`, the numbers of rows whose feature is no larger, or no smaller, and `whole`, that of all rows."""
+    values = counted(f, [], F.col(feature).cast("double")).select(F.col("value").alias("__v"), (F.col("before") + F.col("n")).alias("le"), (F.col("whole") - F.col("before")).alias("ge"), "whole")
+    return f.join(values, F.col(feature).cast("double") == F.col("__v")).drop("__v")
+
+
 def ecod(df: DataFrame, year: int) -> DataFrame:
     """Tail probability of each account's entries and volume among all accounts, and their minimum."""
-    f = df.where(F.col("year") == year).groupBy("account").agg(number(F.count("*")).alias("entries"), number(F.sum(F.abs("amount"))).alias("volume"))
-    n = F.count("*").over(Window.partitionBy())
+    made = df.where(F.col("year") == year).groupBy("account").agg(number(F.count("*")).alias("entries"), number(F.sum(F.abs("amount"))).alias("volume"))
+    n = F.col("whole")
+    for c in ("entries", "volume"):
+        p = F.greatest(F.least(2 * F.least(F.col("le") / n, F.col("ge") / n), F.lit(1.0)), 1 / (n + 1))
+        made = ranked_by(made, c).withColumn(f"p_{c}", p).drop("le", "ge", "whole")
+    return made.select("account", rounded(F.col("p_entries")).alias("p_entries"), rounded(F.col("p_volume")).alias("p_volume"), rounded(F.least("p_entries", "p_volume")).alias("p"))
 
-    def tail(c: str) -> Column:
-        up, down = F.cume_dist().over(Window.orderBy(c)), F.cume_dist().over(Window.orderBy(F.desc(c)))
-        return F.greatest(F.least(2 * F.least(up, down), F.lit(1.0)), 1 / (n + 1))
 
-    made = f.withColumns({"p_entries": tail("entries"), "p_volume": tail("volume")})
-    return made.select("account", rounded(F.col("p_entries")).alias("p_entries"), rounded(F.col("p_volume")).alias("p_volume"), rounded(F.least("p_entries", "p_volume")).alias("p"))
+def ecod_outliers(f: DataFrame, key: str, features: list[str], threshold: float = 0.05) -> DataFrame:
+    """(key, p_feature..., p): rows whose least tail probability among all other rows is below the threshold.
+
+    A feature's probability is twice the smaller share of the others that are no larger, or
+    no smaller, at least one part of all rows; nulls count as 0. Of fewer than three rows none
+    is an outlier.
+    """
+    made = f.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    for c in features:
+        others = F.col("whole") - 1
+        p = F.greatest(2 * F.least((F.col("le") - 1) / others, (F.col("ge") - 1) / others), 1 / F.col("whole"))
+        made = ranked_by(made, c).withColumn(f"p_{c}", F.when(others >= 2, p).otherwise(1.0)).drop("le", "ge", "whole")
+    least = F.least(*[F.col(f"p_{c}") for c in features], F.lit(float("inf")))
+    return made.withColumn("p", least).where(F.col("p") < threshold).select(key, *[rounded(F.col(f"p_{c}"), 6).alias(f"p_{c}") for c in features], rounded(F.col("p"), 6).alias("p"))

@@ -118,8 +118,32 @@ query(
     months("prefix_3 AS family", None)
     + ", s AS (SELECT family, period, avg(v) OVER w AS a, count(*) OVER w AS k FROM m WINDOW w AS (PARTITION BY family ORDER BY period ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)), c AS (SELECT family, quantile_cont(v, 0.5) AS median, count(*) AS months FROM m GROUP BY family)",
 )(o.discord)
+MP = months("prefix_3 AS family", None) + """, w0 AS (SELECT family, period AS start, row_number() OVER o AS i, [v, lead(v) OVER o, lead(v, 2) OVER o] AS x, count(*) OVER (PARTITION BY family) AS months FROM m WINDOW o AS (PARTITION BY family ORDER BY period)),
+w1 AS (SELECT *, list_avg(x) AS mean, list_max(x) = list_min(x) AS flat FROM w0 WHERE months > 3 AND x[3] IS NOT NULL),
+w AS (SELECT *, sqrt(list_avg(list_transform(x, lambda e: (e - mean) * (e - mean)))) AS sd FROM w1),
+pr AS (SELECT a.family, a.start, b.start AS other, round(CASE WHEN a.flat AND b.flat THEN 0 WHEN a.flat OR b.flat THEN sqrt(3) ELSE sqrt(pow((a.x[1] - a.mean) / a.sd - (b.x[1] - b.mean) / b.sd, 2)
+  + pow((a.x[2] - a.mean) / a.sd - (b.x[2] - b.mean) / b.sd, 2) + pow((a.x[3] - a.mean) / a.sd - (b.x[3] - b.mean) / b.sd, 2)) END, 4) + 0 AS d FROM w a JOIN w b ON a.family = b.family AND abs(a.i - b.i) > 1),
+nr AS (SELECT family, start, min(d) AS distance, arg_min(other, (d, other)) AS nearest FROM pr GROUP BY ALL),
+np AS (SELECT family, start, distance, nearest FROM w LEFT JOIN nr USING (family, start))"""
+query(
+    "sta12b_matrix_profile",
+    f"SELECT a.family, a.start, a.distance, a.nearest, {r('CASE WHEN a.distance IS NOT NULL THEN count(*) FILTER (b.distance > a.distance) / count(b.distance) END')} AS p, "
+    "a.distance IS NOT NULL AND a.start = arg_min(b.start, (-b.distance, b.start)) FILTER (b.distance IS NOT NULL) AS is_discord FROM np a JOIN np b USING (family) GROUP BY a.family, a.start, a.distance, a.nearest",
+    MP,
+)(o.matrix_profile)
 TAIL = "greatest(least(2 * least(cume_dist() OVER (ORDER BY {c}), cume_dist() OVER (ORDER BY {c} DESC)), 1), 1 / (count(*) OVER () + 1))"
 query(
     "sta13_ecod",
     f"SELECT account, {r('pe')} AS p_entries, {r('pv')} AS p_volume, {r('least(pe, pv)')} AS p FROM (SELECT account, {TAIL.format(c='entries')} AS pe, {TAIL.format(c='volume')} AS pv FROM (SELECT account, count(*) AS entries, sum(abs(amount)) AS volume FROM ledger WHERE year = {YEAR} GROUP BY account))",
 )(lambda led: o.ecod(led, YEAR))
+FEATURES = ("entries", "volume", "largest")
+LEFT_OUT = lambda c: f"greatest(2 * least((count(*) OVER (ORDER BY {c}) - 1) / (count(*) OVER () - 1), (count(*) OVER (ORDER BY {c} DESC) - 1) / (count(*) OVER () - 1)), 1 / count(*) OVER ())"
+query(
+    "sta13b_ecod_outliers",
+    f"SELECT account, {', '.join(r(f'p_{c}', 6) + f' AS p_{c}' for c in FEATURES)}, {r('least(p_entries, p_volume, p_largest)', 6)} AS p FROM (SELECT account, {', '.join(f'{LEFT_OUT(c)} AS p_{c}' for c in FEATURES)} "
+    f"FROM (SELECT account, CAST(count(*) AS DOUBLE) AS entries, CAST(sum(abs(amount)) AS DOUBLE) AS volume, CAST(max(abs(amount)) AS DOUBLE) AS largest FROM ledger GROUP BY account)) WHERE least(p_entries, p_volume, p_largest) < 0.15",
+)(lambda led: o.ecod_outliers(led.groupBy("account").agg(F.count("*").alias("entries"), F.sum(F.abs("amount")).alias("volume"), F.max(F.abs("amount")).alias("largest")), "account", list(FEATURES), 0.15))
+query(
+    "prf01b_top_values",
+    " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INT) AS rank, CAST({c} AS VARCHAR) AS value, count(*) AS lines FROM ledger WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) <= 10)" for c in ("journal", "third_party", "label", "account")),
+)(lambda led: o.top_values(led, ["journal", "third_party", "label", "account"]))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.columns import MONEY, rounded, total
+from folio.functions.ranks import quantiles
 
 TEXT = ("account", "account_label", "journal", "voucher", "label", "axis_1", "axis_2", "axis_3", "site", "third_party")
 
@@ -179,11 +180,15 @@ def filter_rows(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
 
 def compute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: sum, mean, std (sample), min, max, median, count."""
+
     def stats(c: str) -> Column:
         x = F.col(c).cast("double")
         return F.struct(
             F.lit(c).alias("column"), rounded(F.sum(c), 2).alias("sum"), rounded(F.avg(x)).alias("mean"), rounded(F.stddev_samp(x)).alias("std"),
-            rounded(F.min(x)).alias("min"), rounded(F.max(x)).alias("max"), rounded(F.percentile(x, 0.5)).alias("median"), F.count(x).alias("count"),
+            rounded(F.min(x)).alias("min"), rounded(F.max(x)).alias("max"), F.count(x).alias("count"),
         )
 
-    return df.agg(F.array(*[stats(c) for c in columns]).alias("s")).select(F.inline("s"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    middle = quantiles(df.select(F.inline(cells)), ["column"], F.col("x"), [0.5]).select("column", rounded(F.get("q", F.lit(0))).alias("median"))
+    rows = df.agg(F.array(*[stats(c) for c in columns]).alias("s")).select(F.inline("s"))
+    return rows.join(middle, "column", "left").select("column", "sum", "mean", "std", "min", "max", "median", "count")
