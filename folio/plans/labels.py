@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions.columns import rounded
-from folio.operators import entities, models, risk, similarity
+from folio.operators import entities, fuzzy, models, risk, similarity
 from folio.operators import labels as o
 from folio.plans.core import dated
 from folio.plans.registry import case, query, r
@@ -51,6 +51,22 @@ query(
     "SELECT DISTINCT label, third_party FROM (SELECT DISTINCT label || ' ' || coalesce(third_party, '') AS label FROM ledger) JOIN (SELECT DISTINCT third_party FROM ledger WHERE third_party IS NOT NULL) ON contains(upper(label), upper(third_party))",
 )(lambda led: o.known_parties(led.withColumn("label", F.concat("label", F.lit(" "), F.coalesce("third_party", F.lit(""))))))
 
+#: Known names for the similarity join: the last two words of labels, turned round and with a letter too many.
+NAME = "([a-z]+) ([a-z]+)$"
+SORTED = lambda c: f"array_to_string(list_sort(list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '')), ' ')"
+FUZZY = f"""nm AS (SELECT DISTINCT regexp_extract(label, '{NAME}', 2) || 'x ' || regexp_extract(label, '{NAME}', 1) AS third_party FROM ledger WHERE regexp_matches(label, '{NAME}')),
+nk AS (SELECT min(third_party) AS third_party, other, len(other) AS m, (1::HUGEINT << len(other)) - 1 AS every FROM (SELECT third_party, {SORTED('third_party')} AS other FROM nm) GROUP BY other),
+lw AS (SELECT label, list_filter(string_split_regex(label, '\\s+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT label FROM ledger)),
+li AS (SELECT label, w, unnest(range(1, len(w) + 1)) AS i FROM lw), lk AS (SELECT label, w, i, unnest(range(i, least(i + {fuzzy.MOST_WORDS}, len(w) + 1))) AS j FROM li),
+sg AS (SELECT DISTINCT label, array_to_string(w[i:j], ' ') AS segment FROM lk WHERE len(array_to_string(w[i:j], ' ')) >= {fuzzy.LEAST_CHARS}), sk AS (SELECT label, segment, {SORTED('segment')} AS key FROM sg),
+cd AS (SELECT key, len(key) AS n, other, m, every, third_party FROM (SELECT DISTINCT key FROM sk) JOIN nk ON 5 * levenshtein(key, other) <= len(key) + len(other)),
+cc AS (SELECT *, m - bit_count(list_reduce(list_prepend(every, list_transform(string_split(key, ''), lambda c: list_sum(list_transform(range(m), lambda i: CASE WHEN other[i + 1] = c THEN 1::HUGEINT << CAST(i AS INT) ELSE 0::HUGEINT END)))),
+  lambda v, k: ((v + (v & k)) | (v - (v & k))) & every)) AS c FROM cd),
+bs AS (SELECT key, 2 * c / (n + m) AS score, third_party FROM cc WHERE 200 * c >= 80 * (n + m) QUALIFY row_number() OVER (PARTITION BY key ORDER BY 2 * c / (n + m) DESC, third_party) = 1)"""
+query("lab02b_similar_parties", f"SELECT label, segment, third_party, CAST(instr(label, segment) - 1 AS INT) AS start, {r('score')} AS confidence FROM sk JOIN bs USING (key)", FUZZY)(
+    lambda led: fuzzy.similar_parties(led, led.select(F.concat(F.regexp_extract("label", NAME, 2), F.lit("x "), F.regexp_extract("label", NAME, 1)).alias("third_party"), F.col("label").rlike(NAME).alias("named")).where("named"))
+)
+
 A = "abs(CAST(amount AS DOUBLE))"
 FD = "CASE WHEN amount <> 0 THEN CAST(CAST(CAST(floor(abs(amount)) AS BIGINT) AS VARCHAR)[1] AS INT) ELSE 0 END"
 FT = f"""ba AS (SELECT account, avg({A}) AS account_mean, stddev_samp({A}) AS account_std, count(*) AS account_lines FROM ledger GROUP BY account), bd AS (SELECT date, count(*) AS day_lines FROM ledger GROUP BY date),
