@@ -33,11 +33,15 @@ def segments(labels: DataFrame) -> DataFrame:
     return cut.withColumn("key", sorted_words(F.col("segment")))
 
 
-def grams(key: Column) -> Column:
-    """Pairs of neighbouring characters, the ends marked, each with the number of its like before it."""
-    whole = F.concat(F.lit("\x02"), key, F.lit("\x03"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.substring(whole, i, F.lit(2)))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda x: x == g)).cast("string")))
+def grams(keys: DataFrame) -> DataFrame:
+    """(key, gram): pairs of neighbouring characters, the ends marked, each with the number of its like before it."""
+    whole = F.concat(F.lit("\x02"), F.col("key"), F.lit("\x03"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substring(whole, i, F.lit(2)))
+    # few keys have a pair twice: only these are numbered
+    numbered = F.transform("pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", F.lit(1), i), lambda x: x == g)).cast("string")))
+    made = keys.select("key", pairs.alias("pairs"))
+    plain = F.size(F.array_distinct("pairs")) == F.size("pairs")
+    return made.select("key", F.explode(F.when(plain, F.transform("pairs", lambda g: F.concat(g, F.lit("0")))).otherwise(numbered)).alias("gram"))
 
 
 def prefixes(keys: DataFrame, rarity: DataFrame, threshold: int) -> DataFrame:
@@ -50,7 +54,7 @@ def prefixes(keys: DataFrame, rarity: DataFrame, threshold: int) -> DataFrame:
     half = threshold / 200
     n = F.length("key")
     shared = F.ceil(1 + (3 * half - 1) * (n + F.ceil(n * half / (1 - half) - 1e-9)) - 1e-9)
-    flat = keys.select("key", F.explode(grams(F.col("key"))).alias("gram")).join(rarity, "gram")
+    flat = grams(keys).join(rarity, "gram")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("keys", "gram"))
     return flat.withColumn("r", rank).where(F.col("r") <= n + 2 - shared).select("key", "gram")
 
@@ -97,7 +101,7 @@ def similar_keys(left: DataFrame, right: DataFrame, threshold: int = 80) -> Data
         raise ValueError("grams find pairs above a threshold of two thirds only")
     half = threshold / 200
     left, right = (written(d.where("key != ''").select("key").distinct(), "keys") for d in (left, right))
-    rarity = left.union(right).select(F.explode(grams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("keys"))
+    rarity = grams(left.union(right)).groupBy("gram").agg(F.count("*").alias("keys"))
     rarity = written(rarity, "grams")
     a, b = prefixes(left, rarity, threshold), prefixes(right, rarity, threshold).withColumnRenamed("key", "other")
     n, m = F.length("key"), F.length("other")
