@@ -9,7 +9,6 @@ are dealt by hash to bins of a few thousand, so that each is packed on its own.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -19,30 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import materialize, plain
+from folio.llm.vocabularies import byte_level
 
 #: Added token of the vocabulary and its id (fixed value).
 END_OF_TEXT = ("<|endoftext|>", 50256)
 PIECE = "doc_id {id}, start long, length long, loss long, ids_crc32 long, doc_tokens long"
 
 
-def encoder(ranks_path: str):  # noqa: ANN201
-    """The byte-level BPE of the vocabulary file as a function text -> ids; the added token's string is that token."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([END_OF_TEXT]))
-    return lambda text: coder.encode(text, allowed_special="all") if END_OF_TEXT[0] in text else coder.encode_ordinary(text)
-
-
 def pieces(docs: DataFrame, ranks_path: str | None = None, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, loss, ids_crc32, doc_tokens): a document's ids cut at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = byte_level(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), END_OF_TEXT)
         for b in batches:
             row, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -132,7 +121,7 @@ def pack(parts: DataFrame, capacity: int = 2048, max_segments: int = 256, max_lo
 def pack_documents(docs: DataFrame, capacity: int = 2048, max_segments: int = 256, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """Pieces of all rows, each token in exactly one, packed by pack().
 
-    A null text is empty and has the end id alone; a text of any length is cut at
-    multiples of capacity. Repeated rows are packed as often as they come.
+    A null text is empty and has the end id alone; a text of any length, runs of white
+    space included, is cut at multiples of capacity. Repeated rows are packed as often as they come.
     """
     return pack(pieces(docs, ranks_path, capacity=capacity, id_col=id_col, text_col=text_col), capacity, max_segments)

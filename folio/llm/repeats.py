@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, partitions
+from folio.llm.common import discard, materialize, partitions
 
 LENGTH = 100
 GRAM = 50
@@ -377,19 +377,41 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, data), written: rows numbered by id, null ids last, then by the SHA-256 of the text.
+
+    Rows with equal id and text have one number. Ids and digests alone are ordered, by ranges.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data")).withColumn("sha", F.sha2("data", 256))
+    keys = rows.groupBy("id", "sha").agg(F.lit(1).alias("one"))
+    parts = materialize(keys.repartitionByRange(partitions(docs.sparkSession), F.col("id").asc_nulls_last(), "sha").withColumn("range", F.spark_partition_id()), "keys")
+    sizes = parts.groupBy("range").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("range", "n")).alias("all"))
+    # one row, with no more entries than there are ranges
+    before = F.aggregate(F.filter("all", lambda e: e["range"] < F.col("range")), F.lit(0).cast("long"), lambda acc, e: acc + e["n"])
+    order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "sha")
+    places = parts.crossJoin(F.broadcast(sizes)).select(F.col("id").alias("key"), F.col("sha").alias("digest"), (before + F.row_number().over(order)).alias("doc"))
+    made = rows.join(places, F.col("id").eqNullSafe(F.col("key")) & (F.col("sha") == F.col("digest")))
+    made = materialize(made.select("doc", "id", "data"), "numbered")
+    discard(parts)
+    return made
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row.
 
     Of whole texts in UTF-8 (null: empty) each byte is removed that lies in a string of
     100 bytes which also starts earlier: in a smaller id, or earlier in the same text.
-    All is judged on the input, overlaps count, matches never cross texts. Rows
-    repeated with one id count as one document, a null id as the largest. Texts below
-    100 bytes stay whole; an empty table gives an empty result; other columns are ignored.
+    All is judged on the input, overlaps count, matches never cross texts. Null ids come
+    last. Rows that share an id, null included, and have different texts are documents of
+    their own, in the order of their texts' SHA-256; rows with equal id and text are one
+    document and have equal results. Texts below 100 bytes stay whole; an empty table gives
+    an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     n = prime_from(4 * partitions(spark))
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    texts = docs.select(ident.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    table = numbered(docs, id_col, text_col)
+    id_type = table.schema["id"].dataType.simpleString()
+    texts = table.select("doc", "data")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -463,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width = partitions(spark)
     marks = materialize(texts.mapInArrow(find, ROWS).repartition(width, "bucket", "kind").mapInArrow(classify, ROWS), "anchors")
 
-    placed = texts.select(F.lit(TEXT_ROWS).alias("kind"), F.pmod("doc", F.lit(n)).cast("int").alias("bucket"), "data", "doc")
+    placed = table.select(F.lit(TEXT_ROWS).alias("kind"), F.pmod("doc", F.lit(n)).cast("int").alias("bucket"), "data", "doc", "id")
 
     def met(rows: DataFrame) -> DataFrame:
         """Records and texts of one bucket in one run, the records first."""
@@ -546,11 +568,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = int((own["hi"] - own["lo"]).sum())
                 edges = np.stack([np.concatenate([[0], own["hi"]]), np.concatenate([own["lo"], [len(text)]])], axis=1)
                 kept = b"".join(text[a:b].tobytes() for a, b in edges)
-                out.append((None if doc == 2**63 - 1 else doc, len(text), gone, len(own), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+                out.append((len(text), gone, len(own), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
             cols = list(zip(*out))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            made = [pa.array(c, t) for c, t in zip(cols, types)]
+            yield pa.RecordBatch.from_arrays([part.column(4), *made], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     spans = marks.where(F.col("kind") == SPAN_ROWS).unionByName(more)
-    made = met(spans).mapInArrow(cut_out, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    made = met(spans).mapInArrow(cut_out, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return made if with_kept else made.drop("kept")

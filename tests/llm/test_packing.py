@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from folio.llm import packing as op
+from folio.llm import vocabularies
 
 TEXTS = [None, "", "a", "Les régularisations de décembre <|endoftext|> et 123.45 €\n\n  x", "mot " * 5000, "日本語 тест 🙂" * 40, "a" * 3000, "don't we'll 'S  \t\n"] + [f"document {i} " * (i * 7 % 90 + 1) for i in range(80)]
 
@@ -19,7 +20,7 @@ def ids_of(texts):
 
 
 def test_ids_are_those_of_the_tokenizer():
-    encode = op.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encode = vocabularies.byte_level(public_tokenizers.path("byte_bpe_50k.tiktoken"), op.END_OF_TEXT)
     r = random.Random(1)
     texts = [t for t in TEXTS if t is not None] + ["".join(chr(r.choice([32, 10, 39, 97, 233, 0x4E00, 0x1F600, 48, 33, 178, 0x301, 95])) for _ in range(60)) for _ in range(200)]
     assert [[*encode(t), 1] for t in texts] == ids_of(texts)
@@ -121,3 +122,15 @@ def test_a_text_of_over_a_megabyte(spark):
     got = op.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     n = len(ids_of([text])[0])
     assert sum(r["length"] for r in got) == n == got[0]["doc_tokens"] and max(r["length"] for r in got) == 2048
+
+
+def test_long_runs_of_white_space(spark):
+    """Texts that are all blanks, newlines or both, of ten million characters, give the pieces of the other library's ids."""
+    texts = [" " * 10_000_000, "\n" * 2_000_000 + "x", "a" + " \n" * 1_500_000 + "<|endoftext|>" + "\t" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = op.pack_documents(docs).select("doc_id", "start", "ids_crc32", "doc_tokens").collect()
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, text in enumerate(texts):
+        ids = np.array([*other.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        mine = {r["start"]: (r["ids_crc32"], r["doc_tokens"]) for r in rows if r["doc_id"] == i}
+        assert mine == {a: (zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)}

@@ -101,3 +101,21 @@ def test_hot_grams_are_known_across_blobs(spark):
     want = brute(docs)
     assert {x[0]: tuple(x)[1:] for x in op.remove_repeats(df, hot=50).collect()} == want
     assert {x[0]: tuple(x)[1:] for x in op.remove_repeats(df).collect()} == want
+
+
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark):
+    r = random.Random(7)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = text(200)
+    docs = [(1, text(50) + passage), (None, text(300)), (None, passage + text(120)), (7, text(300)), (7, passage), (2**63 - 1, text(90) + passage), (7, text(40)), (None, None), (-5, text(150))]
+    docs += [(None, text(30) + passage) for _ in range(20)]
+    rows = op.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    order = sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest()))
+    want = brute([(i, t) for i, (_, t) in enumerate(order)])
+    assert sorted(map(repr, map(tuple, rows))) == sorted(repr((d, *want[i])) for i, (d, _) in enumerate(order))
+
+
+def test_ids_of_other_types(spark):
+    text = "".join(random.Random(8).choices("abcdefgh", k=250))
+    rows = op.remove_repeats(spark.createDataFrame([("b", text), ("a", "xy" + text)], "doc_id string, text string")).collect()
+    assert sorted((x["doc_id"], x["n_removed"]) for x in rows) == [("a", 0), ("b", 250)]
