@@ -123,7 +123,7 @@ def class_concentration(df: DataFrame, year: int) -> DataFrame:
     s = of_year(df, year).where("class IN ('6', '7')").groupBy("class", "account").agg(F.sum(F.abs("amount")).alias("volume"))
     w = Window.partitionBy("class")
     s = s.withColumns({"all": F.sum("volume").over(w), "rn": F.row_number().over(w.orderBy(F.desc("volume"), "account"))}).where("rn = 1").withColumn("p", ratio(F.col("volume"), F.col("all")) * 100)
-    return s.select("class", "account", "volume", rounded(F.col("p")).alias("pct"), ((F.col("p") > 50) & (F.col("volume") > 100_000)).alias("found"), F.when(F.col("p") > 70, "HIGH").otherwise("MEDIUM").alias("severity"))
+    return s.select("class", "account", "volume", F.col("all").alias("class_volume"), rounded(F.col("p")).alias("pct"), ((F.col("p") > 50) & (F.col("volume") > 100_000)).alias("found"), F.when(F.col("p") > 70, "HIGH").otherwise("MEDIUM").alias("severity"))
 
 
 def ratio_anomalies(df: DataFrame, year: int) -> DataFrame:

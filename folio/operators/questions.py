@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import first_of, number, rounded
-from folio.operators import detect
+from folio.functions.tables import written
+from folio.operators import detect, drill
 
 # Kind of question | base priority | question; {0} account, {1} amount, {2} month, {3} per cent.
 KINDS = [
@@ -91,13 +92,18 @@ LOW_SOCIAL = 0.40
 
 
 def patterns(df: DataFrame, year: int) -> DataFrame:
-    """(pattern, subject, amount, value, severity) of all patterns found: spikes, concentrations, ratios, round and repeated amounts."""
-    no = F.lit(None).cast("string")
-    spikes = detect.year_end_spikes(df, year).select(F.lit("year_end_spike").alias("pattern"), F.col("account").alias("subject"), number(F.col("december")).alias("amount"), number(F.col("ratio")).alias("value"), "severity")
-    dense = detect.class_concentration(df, year).where("found").select(F.lit("concentration"), "account", number(F.col("volume")), number(F.col("pct")), "severity")
-    odd = detect.ratio_anomalies(df, year).where("found").select("ratio", no, number(F.col("numerator")), number(F.col("value")), F.lit("HIGH"))
-    round_ = detect.round_numbers(df, year).select(F.lit("round_number"), F.col("value").cast("string"), number(F.col("value") * F.col("lines")), number(F.col("lines")), F.lit("MEDIUM"))
-    twice = detect.duplicate_amounts(df, year).select(F.lit("duplicate_amount"), F.col("value").cast("string"), number(F.col("value")), number(F.col("lines")), F.lit("MEDIUM"))
+    """(pattern, subject, amount, value, severity, whole) of all patterns found: spikes, concentrations, ratios, round and repeated amounts.
+
+    whole is what the amount is held against: the mean of other months, the class's volume, a ratio's denominator.
+    """
+    no, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    spikes = detect.year_end_spikes(df, year).select(
+        F.lit("year_end_spike").alias("pattern"), F.col("account").alias("subject"), number(F.col("december")).alias("amount"), number(F.col("ratio")).alias("value"), "severity", number(F.col("monthly_mean")).alias("whole")
+    )
+    dense = detect.class_concentration(df, year).where("found").select(F.lit("concentration"), "account", number(F.col("volume")), number(F.col("pct")), "severity", number(F.col("class_volume")))
+    odd = detect.ratio_anomalies(df, year).where("found").select("ratio", no, number(F.col("numerator")), number(F.col("value")), F.lit("HIGH"), number(F.col("denominator")))
+    round_ = detect.round_numbers(df, year).select(F.lit("round_number"), F.col("value").cast("string"), number(F.col("value") * F.col("lines")), number(F.col("lines")), F.lit("MEDIUM"), none)
+    twice = detect.duplicate_amounts(df, year).select(F.lit("duplicate_amount"), F.col("value").cast("string"), number(F.col("value")), number(F.col("lines")), F.lit("MEDIUM"), none)
     return reduce(DataFrame.union, [spikes, dense, odd, round_, twice])
 
 
@@ -108,3 +114,83 @@ def drill_questions(found: DataFrame, most: int | None = None) -> DataFrame:
     asked = found.join(dim, "pattern").where(~((F.col("pattern") == "social_to_salaries") & (F.col("place") == 1) & (F.col("value") >= LOW_SOCIAL)))
     q = asked.select("pattern", "subject", "drill", "place", rounded(F.col("amount"), 2).alias("amount"), rounded(F.col("value")).alias("value"), "severity", F.least(F.lit(10), base + F.col("place")).alias("priority"))
     return q.orderBy("priority", F.desc("amount"), "pattern", "subject", "place").limit(most) if most else q
+
+
+#: Patterns whose subject is an account.
+OF_ACCOUNTS = ("year_end_spike", "concentration")
+
+
+def execute(df: DataFrame, found: DataFrame, year: int, most: int = 5) -> DataFrame:
+    """drill.answers() to the first most questions of the patterns, numbered Q001 and so on in their order."""
+    order = Window.orderBy("priority", F.desc("amount"), "pattern", "subject", "place")
+    # no more rows than most
+    first = drill_questions(found, most).withColumn("n", F.row_number().over(order))
+    asked = first.select(F.format_string("Q%03d", "n").alias("question"), "drill", F.when(F.col("pattern").isin(*OF_ACCOUNTS), F.col("subject")).alias("account"), F.lit(year).alias("year"))
+    return drill.answers(df, written(asked, "asked"))
+
+
+# Two-digit prefix | kind of account.
+ACCOUNT_KINDS = [
+    ("60", "Achats (marchandises, MP, approvisionnements)"), ("61", "Services extérieurs (sous-traitance, locations)"), ("62", "Autres services (honoraires, publicité, transports)"), ("63", "Impôts et taxes"),
+    ("64", "Charges de personnel (salaires, charges sociales)"), ("65", "Autres charges de gestion courante"), ("66", "Charges financières (intérêts)"), ("67", "Charges exceptionnelles"),
+    ("68", "Dotations aux amortissements et provisions"), ("69", "Participation et impôts sur bénéfices"), ("70", "Ventes et prestations de services"), ("71", "Production stockée (variation)"),
+    ("72", "Production immobilisée"), ("74", "Subventions d'exploitation"), ("75", "Autres produits de gestion courante"), ("76", "Produits financiers"), ("77", "Produits exceptionnels"),
+    ("78", "Reprises sur amortissements et provisions"), ("79", "Transferts de charges"), ("40", "Fournisseurs et comptes rattachés"), ("41", "Clients et comptes rattachés"), ("42", "Personnel et comptes rattachés"),
+    ("43", "Sécurité sociale et organismes sociaux"), ("44", "État et autres collectivités"), ("46", "Débiteurs/créditeurs divers"), ("47", "Comptes transitoires (CCA, PCA, FAE, FNP)"),
+    ("48", "Comptes de régularisation (charges/produits constatés d'avance)"), ("49", "Dépréciations des comptes de tiers"),
+]
+# Prefix | what a December spike of its accounts may be; the longest prefix counts.
+SPIKE_READINGS = [
+    ("68", "dotation aux provisions ou amortissement exceptionnel"), ("7", "produit à recevoir régularisé, rattrapage de facturation, ou extourne"),
+    ("6", "charge constatée d'avance, provision, ou facture non parvenue régularisée"), ("4", "régularisation de compte tiers, lettrage, ou écriture de clôture"),
+    ("", "écriture de régularisation ou opération exceptionnelle"),
+]
+# Pattern | place | question; {a} account, {n} its kind, {m} amount, {v} value, {w} whole, {i} reading, {c} class.
+DRILL_TEXTS = [
+    ("year_end_spike", 0, "Le compte {a} ({n}) concentre {m} en décembre ({v}x la moyenne de {w}). S'agit-il d'un {i} ?"),
+    ("year_end_spike", 1, "Voir l'évolution mensuelle du compte {a} pour identifier si ce pic de {m} est récurrent ou exceptionnel"),
+    ("year_end_spike", 2, "Identifier le(s) tiers/contreparties de ces {m} en décembre sur {a} (journal OD, fournisseur spécifique ?)"),
+    ("concentration", 0, "Le compte {a} ({n}) représente {v}% des {c} ({m} sur {w}). Décomposer par tiers/nature pour comprendre cette concentration."),
+    ("concentration", 1, "Cette concentration de {v}% sur {a} est-elle stable dans le temps ou récente ?"),
+    ("concentration", 2, "Comparer la répartition des {c} avec N-1 : le compte {a} était-il déjà aussi dominant ?"),
+    ("social_to_salaries", 0, "Ratio charges sociales/salaires de {v}% (normal: 40-60%). Décomposer les comptes 64x ({w}) et 645-647 ({m}) pour identifier l'écart."),
+    ("social_to_salaries", 1, "Le ratio bas suggère des provisions manquantes ou des indemnités exonérées. Vérifier les comptes 645 (URSSAF), 647 (autres organismes) et les provisions 438."),
+    ("purchases_to_sales", 0, "Marge brute de seulement {v}% (achats {m} / ventes {w}). Évolution mensuelle pour identifier si c'est structurel ou ponctuel."),
+    ("purchases_to_sales", 1, "Décomposer les achats (601-607) par fournisseur : hausse des prix d'achat ou nouveaux fournisseurs ?"),
+    ("round_number", 0, "{v} écritures avec montants très ronds (multiples de 10K€, total {m}). Lister pour vérifier s'il s'agit d'estimations, provisions, ou erreurs."),
+    ("round_number", 1, "Quels journaux contiennent ces {v} montants ronds ? (OD = probable estimation, ACH/VTE = suspect)"),
+    ("duplicate_amount", 0, "Montant {m} répété {v} fois. Lister ces écritures pour vérifier : abonnement récurrent, double saisie, ou fraude potentielle ?"),
+    ("duplicate_amount", 1, "Identifier les contreparties des {v} écritures de {m} : même tiers ou dispersé ?"),
+]
+CLASS_NAMES = {"6": "charges", "7": "produits"}
+
+
+def short_amount(x: Column) -> Column:
+    """An amount in millions with one decimal, in thousands, or in euros."""
+    part = lambda by, places, form: F.format_string(form, rounded(x / by, places))
+    return F.when(x.isNull(), "N/A").when(F.abs(x) >= 1e6, part(1e6, 1, "%,.1fM€")).when(F.abs(x) >= 1e3, part(1e3, 0, "%,.0fK€")).otherwise(part(1.0, 0, "%,.0f€"))
+
+
+def drill_texts(found: DataFrame) -> DataFrame:
+    """(pattern, subject, place, drill, question): the wording of each drill-down question of the patterns."""
+    spark = found.sparkSession
+    texts = F.broadcast(spark.createDataFrame(DRILL_TEXTS, "pattern string, place int, template string"))
+    kinds = F.broadcast(spark.createDataFrame(ACCOUNT_KINDS, "kind_of string, kind_name string"))
+    kept = found.join(F.broadcast(spark.createDataFrame(DRILLS, "pattern string, place int, drill string")), "pattern").join(texts, ["pattern", "place"])
+    kept = kept.where(~((F.col("pattern") == "social_to_salaries") & (F.col("place") == 1) & (F.col("value") >= LOW_SOCIAL)))
+    account = F.when(F.col("pattern").isin(*OF_ACCOUNTS), F.col("subject"))
+    j = kept.withColumn("account", account).join(kinds, F.substring("account", 1, 2) == F.col("kind_of"), "left")
+    reading = first_of([(F.coalesce(F.col("account"), F.lit("")).startswith(p), F.lit(text)) for p, text in SPIKE_READINGS], "")
+    value = first_of(
+        [
+            (F.col("pattern") == "year_end_spike", F.format_string("%.1f", rounded(F.col("value"), 1))), (F.col("pattern") == "social_to_salaries", F.format_string("%.1f", rounded(F.col("value") * 100, 1))),
+            (F.col("pattern") == "purchases_to_sales", F.format_string("%.1f", rounded((1 - F.col("value")) * 100, 1))),
+        ],
+        F.format_string("%.0f", rounded(F.col("value"), 0)),
+    )
+    class_name = first_of([(F.substring("account", 1, 1) == c, name) for c, name in CLASS_NAMES.items()], "")
+    text = F.col("template")
+    said = {"a": F.coalesce("account", F.lit("")), "n": F.coalesce("kind_name", F.lit("")), "m": short_amount(F.col("amount")), "v": value, "w": short_amount(F.col("whole")), "i": reading, "c": class_name}
+    for name, column in said.items():
+        text = F.replace(text, F.lit("{" + name + "}"), column)
+    return j.select("pattern", "subject", "place", "drill", text.alias("question"))

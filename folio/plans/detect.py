@@ -57,7 +57,7 @@ query(
 )(lambda led: o.round_numbers(led, YEAR))
 query(
     "pat03_class_concentration",
-    f"SELECT class, account, volume, {r('p')} AS pct, p > 50 AND volume > 100000 AS found, CASE WHEN p > 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (SELECT *, CAST(volume AS DOUBLE) / CAST(sum(volume) OVER (PARTITION BY class) AS DOUBLE) * 100 AS p, row_number() OVER (PARTITION BY class ORDER BY volume DESC, account) AS rn "
+    f"SELECT class, account, volume, \"all\" AS class_volume, {r('p')} AS pct, p > 50 AND volume > 100000 AS found, CASE WHEN p > 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (SELECT *, sum(volume) OVER (PARTITION BY class) AS \"all\", CAST(volume AS DOUBLE) / CAST(sum(volume) OVER (PARTITION BY class) AS DOUBLE) * 100 AS p, row_number() OVER (PARTITION BY class ORDER BY volume DESC, account) AS rn "
     "FROM (SELECT class, account, sum(abs(amount)) AS volume FROM y WHERE class IN ('6', '7') GROUP BY ALL)) WHERE rn = 1",
     Y,
 )(lambda led: o.class_concentration(led, YEAR))

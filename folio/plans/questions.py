@@ -11,7 +11,7 @@ from folio.operators import qualify, reports, runrate, signals
 from folio.operators import questions as o
 from folio.plans import detect as plans
 from folio.plans.qualify import CONTEXT, judged
-from folio.plans.registry import ORACLES, QUERIES, YEAR, case, query, r, values
+from folio.plans.registry import ORACLES, QUERIES, YEAR, case, in_list, query, r, values
 
 
 
@@ -52,6 +52,44 @@ query(
     PATTERNS,
 )(lambda led: o.drill_questions(o.patterns(led, YEAR)))
 
+ASKED_FIRST = PATTERNS + f""", dq AS (SELECT pattern, subject, drill, place, {r('amount', 2)} AS amount, least(10, {case([(f"severity = '{s}'", str(b)) for s, b in o.BASE.items()], '5')} + place) AS priority FROM pt JOIN drills USING (pattern) WHERE NOT (pattern = 'social_to_salaries' AND place = 1 AND value >= {o.LOW_SOCIAL})),
+aq AS (SELECT 'Q' || lpad(CAST(row_number() OVER (ORDER BY priority, amount DESC, pattern, subject NULLS FIRST, place) AS VARCHAR), 3, '0') AS question, drill, CASE WHEN pattern IN {in_list(o.OF_ACCOUNTS)} THEN subject[1:3] END AS p, CASE WHEN pattern IN {in_list(o.OF_ACCOUNTS)} THEN subject[1] ELSE '6' END AS c
+  FROM dq QUALIFY row_number() OVER (ORDER BY priority, amount DESC, pattern, subject NULLS FIRST, place) <= 24),
+y2 AS (SELECT * FROM ledger WHERE year = {YEAR}),
+dt AS (SELECT question, drill, row_number() OVER (PARTITION BY question ORDER BY abs(amount) DESC, date, voucher, account, label) AS row, account AS name, strftime(date, '%Y-%m-%d') || '|' || voucher || '|' || label AS text, CAST(amount AS DOUBLE) AS v1,
+  CAST(sum(debit) OVER (PARTITION BY question) AS DOUBLE) AS v2, CAST(sum(credit) OVER (PARTITION BY question) AS DOUBLE) AS v3, CAST(count(*) OVER (PARTITION BY question) AS DOUBLE) AS v4 FROM aq JOIN ledger ON prefix_3 = p WHERE drill = 'detail_view'),
+tm AS (SELECT question, drill, period AS name, sum(amount) AS net, count(*) AS n FROM aq JOIN y2 ON p IS NULL OR prefix_3 = p WHERE drill = 'trend_analysis' GROUP BY ALL),
+tr AS (SELECT question, drill, row_number() OVER (PARTITION BY question ORDER BY name) AS row, name, CAST(abs(net) = max(abs(net)) OVER (PARTITION BY question) AS VARCHAR) AS text, CAST(net AS DOUBLE) AS v1, n AS v2, {r('avg(CAST(net AS DOUBLE)) OVER (PARTITION BY question)')} AS v3, {r('stddev_samp(CAST(net AS DOUBLE)) OVER (PARTITION BY question)', 2)} AS v4 FROM tm),
+hy AS (SELECT account, coalesce(sum(amount) FILTER (month <= 6), 0) AS s1, coalesce(sum(amount) FILTER (month > 6), 0) AS s2 FROM y2 GROUP BY account),
+hf AS (SELECT question, drill, row_number() OVER (PARTITION BY question ORDER BY account) AS row, account AS name, NULL AS text, CAST(s1 AS DOUBLE) AS v1, CAST(s2 AS DOUBLE) AS v2, CAST(s2 - s1 AS DOUBLE) AS v3, {r('coalesce(CAST(s2 - s1 AS DOUBLE) / nullif(abs(CAST(s1 AS DOUBLE)), 0), 0) * 100', 2)} AS v4 FROM aq, hy WHERE drill = 'comparison'),
+vo AS (SELECT DISTINCT question, drill, voucher FROM aq JOIN ledger ON p IS NULL OR prefix_3 = p WHERE drill = 'counterparty'),
+cp AS (SELECT question, drill, third_party AS name, sum(abs(amount)) AS v, count(*) AS n FROM vo JOIN ledger USING (voucher) WHERE third_party IS NOT NULL GROUP BY ALL),
+ct AS (SELECT question, drill, row_number() OVER (PARTITION BY question ORDER BY v DESC, name) AS row, name, NULL AS text, CAST(v AS DOUBLE) AS v1, n AS v2, NULL AS v3, NULL AS v4 FROM cp),
+bk AS (SELECT question, drill, account AS name, prefix_2 AS text, sum(abs(amount)) AS v FROM aq JOIN y2 ON class = c WHERE drill = 'breakdown' GROUP BY ALL),
+bd AS (SELECT question, drill, row_number() OVER (PARTITION BY question ORDER BY v DESC, name) AS row, name, text, CAST(v AS DOUBLE) AS v1, {r('CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY question) AS DOUBLE) * 100', 1)} AS v2, NULL AS v3, NULL AS v4 FROM bk),
+al AS (SELECT * FROM dt WHERE row <= 50 UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM hf UNION ALL SELECT * FROM ct WHERE row <= 10 UNION ALL SELECT * FROM bd)"""
+query(
+    "drl06b_answers",
+    "SELECT question, drill, CAST(row AS INT) AS row, name, text, v1, CAST(v2 AS DOUBLE) AS v2, CAST(v3 AS DOUBLE) AS v3, CAST(v4 AS DOUBLE) AS v4 FROM al UNION ALL SELECT question, drill, 0, NULL, NULL, NULL, NULL, NULL, NULL FROM aq WHERE question NOT IN (SELECT question FROM al)", ASKED_FIRST,
+)(lambda led: o.execute(led, o.patterns(led, YEAR), YEAR, 24))
+
+SHORT = lambda x: f"CASE WHEN {x} IS NULL THEN 'N/A' WHEN abs({x}) >= 1e6 THEN format('{{:,.1f}}M€', {r(f'{x} / 1e6', 1)}) WHEN abs({x}) >= 1e3 THEN format('{{:,.0f}}K€', {r(f'{x} / 1e3', 0)}) ELSE format('{{:,.0f}}€', {r(x, 0)}) END"
+SAID = {
+    "a": "coalesce(account, '')", "n": "coalesce(kind_name, '')", "m": SHORT("amount"), "w": SHORT("whole"), "i": case([(f"starts_with(coalesce(account, ''), '{p}')", "'" + t.replace("'", "''") + "'") for p, t in o.SPIKE_READINGS], "''"),
+    "v": f"CASE pattern WHEN 'year_end_spike' THEN printf('%.1f', {r('value', 1)}) WHEN 'social_to_salaries' THEN printf('%.1f', {r('value * 100', 1)}) WHEN 'purchases_to_sales' THEN printf('%.1f', {r('(1 - value) * 100', 1)}) ELSE printf('%.0f', {r('value', 0)}) END",
+    "c": case([(f"account[1] = '{c}'", f"'{n}'") for c, n in o.CLASS_NAMES.items()], "''"),
+}
+WORDED = "template"
+for mark, said in SAID.items():
+    WORDED = f"replace({WORDED}, '{{{mark}}}', {said})"
+WHOLE = f"""{PATTERNS}, wh AS (SELECT 'year_end_spike' AS pattern, account AS subject, monthly_mean AS whole FROM {table('pat01_year_end_spikes')} UNION ALL SELECT 'concentration', account, CAST(class_volume AS DOUBLE) FROM {table('pat03_class_concentration')} UNION ALL SELECT ratio, NULL, CAST(denominator AS DOUBLE) FROM {table('pat04_ratio_anomalies')}),
+{values('tx', 'pattern, place, template', o.DRILL_TEXTS)}, {values('kd', 'kind_of, kind_name', o.ACCOUNT_KINDS)},
+tq AS (SELECT pt.*, place, drill, template, whole, CASE WHEN pt.pattern IN {in_list(o.OF_ACCOUNTS)} THEN pt.subject END AS account FROM pt JOIN drills USING (pattern) JOIN tx USING (pattern, place) LEFT JOIN wh ON wh.pattern = pt.pattern AND wh.subject IS NOT DISTINCT FROM pt.subject)"""
+query(
+    "drl06c_texts",
+    f"SELECT pattern, subject, CAST(place AS INT) AS place, drill, {WORDED} AS question FROM tq LEFT JOIN kd ON account[1:2] = kind_of WHERE NOT (pattern = 'social_to_salaries' AND place = 1 AND value >= {o.LOW_SOCIAL})", WHOLE,
+)(lambda led: o.drill_texts(o.patterns(led, YEAR)))
+
 REPORT = f"""{CONTEXT},
 us AS (SELECT uw.universe, count(im.id) AS anomalies, {r('coalesce(sum(amount), 0)', 2)} AS amount, {r('greatest(100 - coalesce(sum(impact), 0), 0)', 3)} AS score FROM uw LEFT JOIN im USING (universe) GROUP BY uw.universe),
 tot AS (SELECT *, {case([(f"score >= {t}", f"'{n}'") for t, n in qualify.SCORE_LEVELS], "'CRITIQUE'")} AS level FROM (SELECT {r('greatest(100 - coalesce(sum(impact), 0), 0)', 3)} AS score, coalesce(array_to_string(list(id ORDER BY impact DESC, id)[1:5], ','), '') AS top FROM im)),
