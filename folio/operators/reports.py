@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.columns import rounded, total
+from folio.functions.columns import first_of, rounded, total
 from folio.functions.tables import written
 from folio.operators import passage, qualify, runrate
+from folio.operators.signals import UNIVERSES
 
 
 def comparison_tables(df: DataFrame, year: int, before: int, top: int = 5) -> dict[str, DataFrame]:
@@ -80,10 +81,53 @@ def score_report(q: DataFrame) -> DataFrame:
     return out
 
 
-def report_json(report: DataFrame) -> DataFrame:
-    """One row: score_report as a JSON document."""
-    entry = F.struct("section", "rank", "name", "value", "text")
-    return report.agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("document"))
+def report_documents(q: DataFrame, keys: tuple[str, ...] = ("entity", "period")) -> DataFrame:
+    """(keys, document): for each group of qualify()'s anomalies its report as JSON, all groups in one pass.
+
+    A document has the score and its level, the impact and amount, each universe's figures,
+    the three weakest and strongest universes, up to five recommendations, and the five
+    anomalies of most impact, all of the group. A group without anomalies has no document.
+    """
+    keys = list(keys)
+    figure = lambda c: F.round(c, 2).cast("decimal(18,2)")
+    i = written(qualify.impact(q, tuple(keys)), "impact")
+    dim = F.broadcast(q.sparkSession.createDataFrame([(u,) for u, _, _ in UNIVERSES], "universe string"))
+    sums = i.groupBy(*keys, "universe").agg(F.count("*").alias("anomalies"), F.sum("impact").alias("impact"), F.sum("amount").alias("amount"))
+    every = i.select(*keys).distinct().crossJoin(dim).join(sums, [*keys, "universe"], "left").fillna({"anomalies": 0, "impact": 0.0, "amount": 0.0})
+    score_of = lambda t: rounded(F.greatest(100 - t, F.lit(0.0)), 3)
+    templates = F.broadcast(q.sparkSession.createDataFrame(BY_UNIVERSE, "universe string, template string"))
+    said = F.replace(F.replace(F.col("template"), F.lit("{0}"), F.col("anomalies").cast("string")), F.lit("{1}"), whole("amount"))
+    parts = every.withColumn("score", score_of(F.col("impact"))).join(templates, "universe", "left").withColumn("advice", F.coalesce(said, F.lit("")))
+    entry = F.struct("score", "universe", "anomalies", figure(F.col("impact")).alias("impact"), figure(F.col("amount")).alias("amount"), "advice")
+    # ten universes a group
+    universes = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("u"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("impact"), "id")
+    first = i.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    shown = F.struct("rank", "id", "family", "test", "universe", figure(F.col("impact")).alias("impact"), figure(F.col("pertinence")).alias("pertinence"), figure(F.col("amount")).alias("amount"), whole("amount").alias("whole"))
+    top = first.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("t"))
+    sums = i.groupBy(*keys).agg(F.count("*").alias("anomalies"), F.sum("impact").alias("impact"), F.sum("amount").alias("amount"), F.count_distinct("family").alias("families"))
+    j = sums.join(universes, keys).join(top, keys).withColumn("score", score_of(F.col("impact")))
+    level = first_of([(F.col("score") >= t, name) for t, name in qualify.SCORE_LEVELS], "CRITIQUE")
+    j = j.withColumn("level", level)
+    brief = lambda rows: F.transform(rows, lambda x: F.struct(x["universe"].alias("universe"), figure(x["score"]).alias("score"), x["anomalies"].alias("anomalies")))
+    weak = F.slice(F.filter("u", lambda x: (x["score"] < WEAK) & (x["anomalies"] > 0)), 1, 3)
+    strong = F.slice(F.array_sort(F.transform(F.filter("u", lambda x: x["score"] >= STRONG), lambda x: F.struct((-x["score"]).alias("n"), x["universe"].alias("universe"), x["score"].alias("score"), x["anomalies"].alias("anomalies")))), 1, 3)
+    mend = F.transform(F.slice(F.filter("u", lambda x: (x["score"] < TO_MEND) & (x["anomalies"] > 0) & (x["advice"] != "")), 1, 3), lambda x: x["advice"])
+    t = F.get("t", F.lit(0))
+    focus = F.concat(F.lit("Priorité: Analyser l'anomalie ["), t["family"], F.lit("] "), t["test"], F.lit(", montant: "), t["whole"], F.lit("€."))
+    when = lambda text, *levels: F.when(F.col("level").isin(*levels), F.lit(text))
+    advice = F.array_compact(F.concat(F.array(when(URGENT, "CRITIQUE"), when(SUPERVISE, "CRITIQUE", "ATTENTION")), mend, F.array(focus, when(KEEP, "EXCELLENT", "BON"))))
+    document = F.struct(
+        *keys, figure(F.col("score")).alias("score"), "level", "anomalies", figure(F.col("impact")).alias("impact"), figure(F.col("amount")).alias("amount"), "families",
+        F.transform("u", lambda x: F.struct(x["universe"].alias("universe"), figure(x["score"]).alias("score"), x["anomalies"].alias("anomalies"), x["impact"].alias("impact"), x["amount"].alias("amount"))).alias("universes"),
+        brief(weak).alias("weak"), brief(strong).alias("strong"), F.slice(advice, 1, 5).alias("recommendations"), F.transform("t", lambda x: x.dropFields("whole")).alias("top"),
+    )
+    return j.select(*keys, F.to_json(document).alias("document"))
+
+
+def write_documents(documents: DataFrame, folder: str, keys: tuple[str, ...] = ("entity", "period")) -> None:
+    """One folder for each group, with its document as a line of text."""
+    documents.select(*keys, "document").write.mode("overwrite").partitionBy(*keys).text(folder)
 
 
 def single_year_tables(df: DataFrame, year: int, columns: list[str]) -> dict[str, DataFrame]:

@@ -105,6 +105,36 @@ query(
     "UNION ALL SELECT 'recommendation', row_number() OVER (ORDER BY n), '', NULL, text FROM adv QUALIFY row_number() OVER (ORDER BY n) <= 5 UNION ALL SELECT 'anomaly', rank, id, impact, family FROM fst WHERE rank <= 5", REPORT,
 )(lambda led: reports.score_report(judged(led)))
 
+def material(q: DataFrame) -> DataFrame:
+    """Of judged signals all that reach their materiality, as if they were anomalies: more groups to report on."""
+    return q.withColumn("filter_reason", F.when(F.col("filter_reason") != "BELOW_MATERIALITY", "PASSED"))
+
+
+FIG = lambda x: f"CAST(CAST(round({x}, 2) AS DECIMAL(18,2)) AS VARCHAR)"
+BRIEF = f"""'{{"universe":"' || universe || '","score":' || {FIG('score')} || ',"anomalies":' || anomalies || '}}'"""
+DOCUMENTS = f"""{CONTEXT},
+gq AS (SELECT family[1] AS entity, coalesce(period[1:4], '') AS period, id, family, universe, test, pertinence, amount FROM ql WHERE filter_reason <> 'BELOW_MATERIALITY'),
+gi AS (SELECT entity, period, id, family, universe, test, pertinence, amount, {r('least(15, pertinence / 100 * 15 * coalesce(weight, 1) * f)')} AS impact FROM (SELECT *, sum(amount) OVER w AS every, CASE WHEN sum(amount) OVER w > 0 AND amount > 0
+  THEN least(2, greatest(0.5, log10(1 + amount / greatest(sum(amount) OVER w, 1)) * 3 + 1)) ELSE 1 END AS f FROM gq WINDOW w AS (PARTITION BY entity, period)) LEFT JOIN uw USING (universe)),
+gt AS (SELECT entity, period, count(*) AS n, sum(impact) AS t, sum(amount) AS a, count(DISTINCT family) AS fam, {r('greatest(100 - sum(impact), 0)', 3)} AS score FROM gi GROUP BY ALL),
+gl AS (SELECT *, {case([(f"score >= {t}", f"'{n}'") for t, n in qualify.SCORE_LEVELS], "'CRITIQUE'")} AS level FROM gt),
+gs AS (SELECT entity, period, uw.universe, count(id) AS anomalies, coalesce(sum(impact), 0) AS t, coalesce(sum(amount), 0) AS a, {r('greatest(100 - coalesce(sum(impact), 0), 0)', 3)} AS score FROM (SELECT DISTINCT entity, period FROM gi) CROSS JOIN uw LEFT JOIN gi USING (entity, period, universe) GROUP BY ALL),
+{values('bt', 'universe, template', reports.BY_UNIVERSE)},
+gu AS (SELECT entity, period, string_agg('{{"universe":"' || universe || '","score":' || {FIG('score')} || ',"anomalies":' || anomalies || ',"impact":' || {FIG('t')} || ',"amount":' || {FIG('a')} || '}}', ',' ORDER BY score, universe) AS us FROM gs GROUP BY ALL),
+gw AS (SELECT entity, period, string_agg({BRIEF}, ',' ORDER BY score, universe) AS weak FROM (SELECT * FROM gs WHERE score < {reports.WEAK} AND anomalies > 0 QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY score, universe) <= 3) GROUP BY ALL),
+gg AS (SELECT entity, period, string_agg({BRIEF}, ',' ORDER BY score DESC, universe) AS strong FROM (SELECT * FROM gs WHERE score >= {reports.STRONG} QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY score DESC, universe) <= 3) GROUP BY ALL),
+gf AS (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY impact DESC, id) AS rank FROM gi),
+gp AS (SELECT entity, period, string_agg('{{"rank":' || rank || ',"id":"' || id || '","family":"' || family || '","test":"' || test || '","universe":"' || universe || '","impact":' || {FIG('impact')} || ',"pertinence":' || {FIG('pertinence')} || ',"amount":' || {FIG('amount')} || '}}', ',' ORDER BY rank) AS top FROM gf WHERE rank <= 5 GROUP BY ALL),
+ga AS (SELECT entity, period, 1 AS n, {"'" + reports.URGENT.replace("'", "''") + "'"} AS text FROM gl WHERE level = 'CRITIQUE' UNION ALL SELECT entity, period, 2, '{reports.SUPERVISE}' FROM gl WHERE level IN ('CRITIQUE', 'ATTENTION') UNION ALL SELECT entity, period, 20, '{reports.KEEP}' FROM gl WHERE level IN ('EXCELLENT', 'BON')
+  UNION ALL SELECT entity, period, n + 2, replace(replace(template, '{{0}}', CAST(anomalies AS VARCHAR)), '{{1}}', format('{{:,}}', CAST(round(a) AS BIGINT))) FROM (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY score, universe) AS n FROM gs JOIN bt USING (universe) WHERE score < {reports.TO_MEND} AND anomalies > 0) WHERE n <= 3
+  UNION ALL SELECT entity, period, 10, 'Priorité: Analyser l''anomalie [' || family || '] ' || test || ', montant: ' || format('{{:,}}', CAST(round(amount) AS BIGINT)) || '€.' FROM gf WHERE rank = 1),
+gr AS (SELECT entity, period, string_agg('"' || text || '"', ',' ORDER BY n) AS advice FROM (SELECT * FROM ga QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY n) <= 5) GROUP BY ALL)"""
+query(
+    "snk03b_documents",
+    f"""SELECT entity, period, '{{"entity":"' || entity || '","period":"' || period || '","score":' || {FIG('score')} || ',"level":"' || level || '","anomalies":' || n || ',"impact":' || {FIG('t')} || ',"amount":' || {FIG('a')} || ',"families":' || fam || ',"universes":[' || us || '],"weak":[' || coalesce(weak, '')
+  || '],"strong":[' || coalesce(strong, '') || '],"recommendations":[' || advice || '],"top":[' || top || ']}}' AS document FROM gl JOIN gu USING (entity, period) LEFT JOIN gw USING (entity, period) LEFT JOIN gg USING (entity, period) JOIN gr USING (entity, period) JOIN gp USING (entity, period)""", DOCUMENTS,
+)(lambda led: reports.report_documents(material(judged(led)).withColumns({"entity": F.substring("family", 1, 1), "period": F.coalesce(F.substring("period", 1, 4), F.lit(""))})))
+
 # report tables that other queries make, as they come out of the report
 for name, of, key in (("snk01_summary", "cmp02_compare_years", "summary"), ("snk01_reconciliation", "cmp03_reconciliation", "reconciliation"), ("snk01_findings", "cmp04_both_years", "findings"), ("snk01_monthly", "run05_monthly_comparison", "monthly")):
     ORACLES[name] = ORACLES[of]
