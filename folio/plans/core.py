@@ -31,6 +31,29 @@ def src01(led: DataFrame) -> DataFrame:
     return df.groupBy(F.col("`Code Journal`").alias("code")).agg(F.count("*").alias("lines"), F.sum(F.col("DÉBIT").cast("decimal(18,2)")).alias("debit"), F.count_if(F.col("`Libellé écriture`").startswith("Écriture ")).alias("accented"))
 
 
+#: Journals whose lines are exported to files of their own layout and encoding.
+MIXED = ("ACH", "BQ", "OD")
+
+
+@query(
+    "src05b_load_many",
+    f"SELECT CASE WHEN journal IN ('{MIXED[0]}', '{MIXED[1]}') THEN 'A' ELSE 'B' END AS source, account, period, count(*) AS lines, sum(amount) AS net, min('Écriture ' || label) AS label FROM ledger WHERE journal IN {MIXED} GROUP BY ALL",
+)
+def src05b(led: DataFrame) -> DataFrame:
+    """The ledger's lines as exports of three layouts, delimiters and encodings in two folders, loaded at once."""
+    spark, path = led.sparkSession, shared_path(led.sparkSession, "exports")
+    label = F.concat(F.lit("Écriture "), "label")
+    shapes = [
+        ("A/one", ";", "UTF-8", "dd/MM/yyyy", ["Date écriture", "N° Compte", "Code journal", "N° Pièce", "Libellé écriture", "Débit", "Crédit"]), ("A/two", ",", "ISO-8859-1", "yyyy-MM-dd", ["DATECPT", "NUMCPT", "CODEJAL", "PIECE", "LIBELLE", "MTDEBIT", "MTCREDIT"]),
+        ("B", "\t", "ISO-8859-1", "dd/MM/yyyy", ["Date", "Compte", "Journal", "Piece", "Libelle", "Débit", "Crédit"]),
+    ]
+    for journal, (folder, sep, encoding, form, headers) in zip(MIXED, shapes):
+        cells = [F.date_format("date", form), F.col("account"), F.col("journal"), F.col("voucher"), label, F.col("debit"), F.col("credit")]
+        led.where(F.col("journal") == journal).select(*[c.alias(h) for c, h in zip(cells, headers)]).write.csv(f"{path}/{folder}", sep=sep, header=True, encoding=encoding)
+    found = readers.load_many(spark, [f"{path}/A/one", f"{path}/A/two", f"{path}/B"], ["A", "A", "B"])
+    return found.groupBy("source", "account", "period").agg(F.count("*").alias("lines"), F.sum("amount").alias("net"), F.min("label").alias("label"))
+
+
 @query("src02_to_canonical", "SELECT account, period, journal, site AS axis_1, count(*) AS lines, sum(amount) AS net, min('Écriture ' || label) AS label FROM ledger GROUP BY ALL")
 def src02(led: DataFrame) -> DataFrame:
     return readers.to_canonical(exported(led)).groupBy("account", "period", "journal", "axis_1").agg(F.count("*").alias("lines"), F.sum("amount").alias("net"), F.min("label").alias("label"))

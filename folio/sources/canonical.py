@@ -57,13 +57,13 @@ def parse_amount(col: Column) -> Column:
     return F.coalesce(plain.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
-def canonicalize(df: DataFrame) -> DataFrame:
+def canonicalize(df: DataFrame, *kept: str) -> DataFrame:
     """Source columns under canonical names, as text, to the typed ledger: bad dates null, bad
-    numbers 0, account trimmed, blank axes null; absent optional columns are null."""
+    numbers 0, account trimmed, blank axes null; absent optional columns are null. Kept columns stay."""
     text = {c: (F.trim(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")) for c in TEXT}
     for axis in ("axis_1", "axis_2", "axis_3", "site", "third_party"):
         text[axis] = F.nullif(text[axis], F.lit(""))
-    typed = df.select(parse_date(F.col("date")).alias("date"), *[c.alias(n) for n, c in text.items()], parse_number(F.col("debit")).alias("debit"), parse_number(F.col("credit")).alias("credit"))
+    typed = df.select(parse_date(F.col("date")).alias("date"), *[c.alias(n) for n, c in text.items()], parse_number(F.col("debit")).alias("debit"), parse_number(F.col("credit")).alias("credit"), *kept)
     return derive(typed)
 
 

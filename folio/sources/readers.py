@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,10 +113,65 @@ def map_headers(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def to_canonical(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Any export as the canonical ledger, by one projection of the whole table."""
+def sniff(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, encoding, header): of each file under the paths its encoding, as encoding_of(), and first line, in one pass over all.
+
+    Lines are counted in parts of files; a file's first line is that of its first part. Files
+    without lines are left out.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    printed = latin.rlike("[\\x{80}-\\x{9F}]") & ~latin.rlike("[\\x{81}\\x{8D}\\x{8F}\\x{90}\\x{9D}]")
+    first = F.min_by(F.col("value").cast("binary"), F.struct("start", "n"))
+    files = lines.groupBy("file").agg(F.every(F.is_valid_utf8("value")).alias("utf8"), F.some(~F.is_valid_utf8("value") & printed).alias("windows"), first.alias("line"))
+    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("windows"), "windows-1252").otherwise("ISO-8859-1")
+    header = F.when(F.col("utf8"), F.decode("line", "UTF-8")).otherwise(F.decode("line", "ISO-8859-1"))
+    return files.select("file", encoding.alias("encoding"), F.regexp_replace(header, "[\\r\ufeff]", "").alias("header"))
+
+
+def load_many(spark: SparkSession, paths: list[str], labels: list[str] | None = None, mapping: dict[str, str] | None = None) -> DataFrame:
+    """The canonical ledger of all files under the paths, each in its own encoding and layout, with `source`, the label of its path.
+
+    A path is a file or a folder. Files are looked at in one pass and grouped by encoding and
+    header; each group is read at once by the first delimiter that parts its header, and the
+    groups are put together. The list of files and their headers goes to the driver, as any
+    reader's list of files does; lines don't. A file below several of the paths takes the label of
+    the longest; without labels, the label is the path. A header without the required columns is
+    an error that names a file.
+    """
+    labels = labels or paths
+    if len(labels) != len(paths):
+        raise ValueError("there must be a label for each path")
+    groups = sniff(spark, paths).groupBy("encoding", "header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("encoding", "header").collect()
+    bare_path = lambda p: unquote(re.sub("^[a-z0-9]+:/*", "/", p)).rstrip("/")
+    roots = sorted(((bare_path(p), label) for p, label in zip(paths, labels)), key=lambda x: -len(x[0]))
+    named, out = [], []
+    for group in groups:
+        printed = group["encoding"] == "windows-1252"
+        header = group["header"].translate(str.maketrans(*C1)) if printed else group["header"]
+        delimiter = next((d for d in DELIMITERS if len(next(csv.reader([header], delimiter=d), [])) > 1), None)
+        if delimiter is None:
+            raise ValueError(f"{group['files'][0]} has no delimiter among {DELIMITERS}")
+        read = spark.read.csv([unquote(f) for f in group["files"]], sep=delimiter, encoding="ISO-8859-1" if printed else group["encoding"], header=True, inferSchema=False)
+        file = F.col("_metadata.file_path").alias("__file")
+        columns = [F.translate(f"`{c}`", *C1).alias(c.translate(str.maketrans(*C1))) if printed else F.col(f"`{c}`") for c in read.columns]
+        try:
+            of = mapping or map_headers([c.translate(str.maketrans(*C1)) if printed else c for c in read.columns])
+        except ValueError as e:
+            raise ValueError(f"{group['files'][0]}: {e}") from e
+        rows = read.select(*columns, file)
+        out.append(to_canonical(rows, of, "__file"))
+        named += [(f, next((label for root, label in roots if bare_path(f) == root or bare_path(f).startswith(root + "/")), None)) for f in group["files"]]
+    if not out:
+        raise ValueError(f"no lines under {paths}")
+    sources = spark.createDataFrame(named, "__file string, source string")
+    return reduce(DataFrame.unionByName, out).join(sources, "__file").drop("__file")
+
+
+def to_canonical(df: DataFrame, mapping: dict[str, str] | None = None, *kept: str) -> DataFrame:
+    """Any export as the canonical ledger, by one projection of the whole table; kept columns stay as they are."""
     mapping = mapping or map_headers(df.columns)
-    return canonicalize(df.select(*[F.col(f"`{src}`").alias(name) for name, src in mapping.items()]))
+    return canonicalize(df.select(*[F.col(f"`{src}`").alias(name) for name, src in mapping.items()], *kept), *kept)
 
 
 def load(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
