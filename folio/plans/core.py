@@ -45,7 +45,7 @@ def src05b(led: DataFrame) -> DataFrame:
     label = F.concat(F.lit("Écriture "), "label")
     shapes = [
         ("A/one", ";", "UTF-8", "dd/MM/yyyy", ["Date écriture", "N° Compte", "Code journal", "N° Pièce", "Libellé écriture", "Débit", "Crédit"]), ("A/two", ",", "ISO-8859-1", "yyyy-MM-dd", ["DATECPT", "NUMCPT", "CODEJAL", "PIECE", "LIBELLE", "MTDEBIT", "MTCREDIT"]),
-        ("B", "\t", "ISO-8859-1", "dd/MM/yyyy", ["Date", "Compte", "Journal", "Piece", "Libelle", "Débit", "Crédit"]),
+        ("B", "\t", "ISO-8859-1", "dd/MM/yyyy", ["Date", "Compte", "Journal", "Pièce", "Libellé", "Débit", "Crédit"]),
     ]
     for journal, (folder, sep, encoding, form, headers) in zip(MIXED, shapes):
         cells = [F.date_format("date", form), F.col("account"), F.col("journal"), F.col("voucher"), label, F.col("debit"), F.col("credit")]
