@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import correlation, first_of, number, ratio, rounded
+from folio.functions.ranks import quantiles
 from folio.operators.graph import sides
 
 COUPLE = ["account", "site"]
@@ -137,6 +138,42 @@ def family_stats(i: DataFrame, least: int = 3) -> DataFrame:
     return g.where(F.col("couples") >= least)
 
 
+AMORPHOUS, CRYSTALLINE = 0.4, 0.7
+
+
+def icc_top(i: DataFrame, n: int = 20) -> DataFrame:
+    """(view, rank, account, site, value): the n most amorphous, crystalline and surprising couples."""
+    surprise = rounded(F.abs(F.col("icc") - F.col("expected")))
+    views = [("amorphous", F.col("icc")), ("crystalline", -F.col("icc")), ("surprising", -surprise)]
+    flat = i.select(*COUPLE, F.inline(F.array(*[F.struct(F.lit(v).alias("view"), key.alias("key"), (key if v == "amorphous" else -key).alias("value")) for v, key in views])))
+    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("view").orderBy("key", *COUPLE)))
+    return ranked.where(F.col("rank") <= n).select("view", "rank", *COUPLE, (F.col("value") + 0.0).alias("value"))
+
+
+def heat_map(i: DataFrame) -> DataFrame:
+    """(site, family, icc): the index of each site's family, that of its last account."""
+    return i.where("site IS NOT NULL").groupBy("site", "family").agg(F.max_by("icc", "account").alias("icc"))
+
+
+def icc_stats(i: DataFrame) -> DataFrame:
+    """One row for each universe that has couples and one, ALL, for all: couples, mean, deviation and median of the index, crystalline, amorphous and surprising couples, families, sites."""
+    flat = i.select("*", F.explode(F.array(F.lit("ALL"), F.col("universe"))).alias("of"))
+    middle = quantiles(flat, ["of"], F.col("icc"), [0.5]).select(F.col("of").alias("group"), rounded(F.get("q", F.lit(0)), 6).alias("median"))
+    g = flat.groupBy("of").agg(
+        F.count("*").alias("couples"), rounded(F.avg("icc")).alias("mean"), rounded(F.stddev_pop("icc")).alias("std"), F.count_if(F.col("icc") >= CRYSTALLINE).alias("crystalline"), F.count_if(F.col("icc") < AMORPHOUS).alias("amorphous"),
+        F.count_if(F.abs(F.col("icc") - F.col("expected")) > F.col("threshold")).alias("surprising"), F.count_distinct("family").alias("families"), F.count_distinct("site").alias("sites"),
+    )
+    return g.join(middle, F.col("of") == F.col("group")).select(F.col("of").alias("universe"), "couples", "mean", "std", "median", "crystalline", "amorphous", "surprising", "families", "sites")
+
+
+def family_z(i: DataFrame, least: int = 3, limit: float = -1.5) -> DataFrame:
+    """(account, site, family, icc, z, alert): z-score within families of least couples or more, null in others, 0 where the deviation is below 0.01; alerts lie below the limit."""
+    w = Window.partitionBy("family")
+    sd = F.stddev_pop("icc").over(w)
+    z = F.when(F.count("*").over(w) >= least, F.when(F.round(sd, 6) < 0.01, 0.0).otherwise(rounded((F.col("icc") - F.avg("icc").over(w)) / sd)))
+    return i.select(*COUPLE, "family", "icc", z.alias("z")).withColumn("alert", F.coalesce(F.col("z") < limit, F.lit(False)))
+
+
 def mahalanobis(i: DataFrame, ridge: float = 1e-6) -> DataFrame:
     """Distance of each couple's five scores from its family's mean; families are few rows each (couples, not lines)."""
     axes = ["amount_score", "label_score", "time_score", "purity", "cp_hhi"]

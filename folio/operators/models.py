@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import number, rounded
-from folio.functions.ranks import quantiles
+from folio.functions.ranks import counted, quantiles, running
 from folio.functions.tables import written
 
 OD = ("OD", "AN", "RAN", "EXT", "EXTOURNE")
@@ -34,11 +34,32 @@ def features(df: DataFrame) -> DataFrame:
     cols = {
         "weekday": weekday, "day": day, "quarter": F.quarter("date"), "month_end": flag(day >= 25), "month_start": flag(day <= 5), "weekend": flag(weekday >= 5), "year_end": flag((F.col("month") == 12) & (day >= 20)),
         "log_amount": F.log1p(a), "sign": F.signum("amount").cast("int"), **{f"round_{b}": flag((a >= b) & (F.abs("amount") % b == 0)) for b in (10, 100, 1000, 10000)}, "first_digit": first_digit(F.col("amount")),
-        "z_account": (a - F.col("account_mean")) / std, "is_od": flag(F.upper("journal").isin(*OD)), "is_closing": flag(F.upper("journal").isin(*CLOSING)),
+        "decimals": F.when(F.col("amount") % 1 == 0, 0).when(F.col("amount") * 10 % 1 == 0, 1).otherwise(2), "z_account": (a - F.col("account_mean")) / std, "is_od": flag(F.upper("journal").isin(*OD)), "is_closing": flag(F.upper("journal").isin(*CLOSING)),
     }
     return df.join(by_account, "account").join(by_day, "date").withColumns(cols)
 
 
+def journal_index(df: DataFrame) -> DataFrame:
+    """(journal, journal_index): the place of each journal among all in order, from 0; lines without one have none."""
+    one = df.where("journal IS NOT NULL").select("journal").distinct().withColumn("one", F.lit(1))
+    return running(one, [], ["journal"], "one").select("journal", F.col("before").cast("int").alias("journal_index"))
+
+
+def isolation_top(df: DataFrame, scored: DataFrame, most: int = 20, influences: int = 3) -> DataFrame:
+    """(rank, account, voucher, label, amount, score, influence): the first outliers, with the features that are farthest from their mean in deviations, as name=z.
+
+    scored: isolation() of df, with the model's columns kept.
+    """
+    means = features(df).agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in MODEL_COLUMNS for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    order = Window.orderBy(F.desc("score"), F.desc(F.abs("amount")), "voucher", "account", "label")
+    # no more rows than most
+    first = scored.where("is_outlier").orderBy(F.desc("score"), F.desc(F.abs("amount")), "voucher", "account", "label").limit(most).withColumn("rank", F.row_number().over(order)).crossJoin(F.broadcast(means))
+    z = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double") - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0))
+    far = F.array_sort(F.array(*[F.struct((-F.round(F.abs(z(c)), 6)).alias("n"), F.lit(c).alias("c"), F.round(z(c), 2).alias("z")) for c in MODEL_COLUMNS]))
+    named = F.array_join(F.transform(F.slice(far, 1, influences), lambda x: F.format_string("%s=%.2f", x["c"], x["z"])), ", ")
+    return first.select("rank", "account", "voucher", "label", "amount", "score", named.alias("influence"))
+
+
 def weak_labels(df: DataFrame) -> DataFrame:
     """features with weak_label 1 where one of five rules holds: large adjusting entries at the year's end, very round
     amounts on rare accounts, far from the account's mean, large at a weekend, first digit 9 when these are over 10 %."""
@@ -129,7 +150,14 @@ def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
     made = PCA(k=k, inputCol="z", outputCol="y").fit(scaled).transform(scaled)
     square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, v: s + v * v)
     # components are orthonormal, so the error is the squared length that they leave
-    return made.withColumn("error", rounded(F.greatest(square("z") - square("y"), F.lit(0.0)))).select(*lines.columns, "error")
+    return made.withColumn("error", rounded(F.greatest(square("z") - square("y"), F.lit(0.0)))).withColumn("latent", vector_to_array("y")).select(*lines.columns, "error", "latent")
+
+
+def latent_views(errors: DataFrame) -> DataFrame:
+    """reconstruction_errors() with percentile, the share of lines whose error is no larger, in per cent; errors are ranked by ranges."""
+    errors = written(errors, "errors")
+    ranked = counted(errors, [], F.col("error")).select(F.col("value").alias("e"), rounded((F.col("before") + F.col("n")) / F.col("whole") * 100).alias("percentile"))
+    return errors.join(ranked, F.col("error") == F.col("e")).drop("e")
 
 
 def reconstruction(df: DataFrame, k: int = 4, share: float = 0.95) -> DataFrame:

@@ -118,6 +118,35 @@ def quality(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("grade", grade)
 
 
+# Columns that must be filled, and the wording of what a profile warns of and recommends.
+CRITICAL = ("account", "date", "debit", "credit")
+HIGH_RISK, DECEMBER_HEAVY = 0.7, 80
+ADVICE = {
+    "nulls": "Colonne critique '{}' a {}% de valeurs manquantes", "risky": "{} comptes identifiés à haut risque d'anomalie",
+    "first": "Vérifier en priorité les comptes: {}", "december": "{} comptes avec >80% de mouvement en décembre",
+}
+
+
+def profile_advice(df: DataFrame, year: int, critical: tuple[str, ...] = CRITICAL, most: int = 5) -> DataFrame:
+    """(kind, rank, text): warnings on critical columns with over 1 % nulls and on accounts of high risk, and recommendations; the first accounts by number are named."""
+    said = lambda key, *values: F.format_string(ADVICE[key].replace("%", "%%").replace("{}", "%s"), *values)
+    share = lambda c: F.avg(F.col(c).isNull().cast("int")) * 100
+    # one row of as many cells as there are critical columns
+    nulls = df.agg(F.array(*[F.struct(F.lit("warning").alias("kind"), F.lit(i).alias("rank"), share(c).alias("pct"), F.lit(c).alias("c")) for i, c in enumerate(critical, 1)]).alias("s")).select(F.inline("s"))
+    nulls = nulls.where("pct > 1").select("kind", "rank", said("nulls", F.col("c"), F.format_string("%.1f", rounded(F.col("pct"), 1))).alias("text"))
+    profiles = profile_accounts(df, year)
+    risky, heavy = F.col("risk") > HIGH_RISK, F.col("december_pct") > DECEMBER_HEAVY
+    first = profiles.where(risky).orderBy("account").limit(most).agg(F.array_join(F.array_sort(F.collect_list("account")), ", ").alias("named"))
+    counts = profiles.agg(F.count_if(risky).alias("risky"), F.count_if(heavy).alias("heavy")).crossJoin(F.broadcast(first))
+    row = lambda kind, rank, cond, text: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), text.alias("text")))
+    n = len(critical)
+    rows = [
+        row("warning", n + 1, F.col("risky") > 0, said("risky", F.col("risky"))), row("recommendation", n + 2, F.col("risky") > 0, said("first", F.col("named"))),
+        row("recommendation", n + 3, F.col("heavy") > 0, said("december", F.col("heavy"))),
+    ]
+    return nulls.unionByName(counts.select(F.inline(F.array_compact(F.array(*rows)))))
+
+
 def mad(df: DataFrame, year: int, threshold: float = 3.0) -> DataFrame:
     """Median, MAD, largest score and months above the threshold, of accounts with 3 or more active months."""
     m = active_months(df, year)

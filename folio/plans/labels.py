@@ -8,6 +8,7 @@ from folio.functions.columns import rounded
 from folio.operators import entities, fuzzy, models, risk, similarity
 from folio.operators import labels as o
 from folio.plans.core import dated
+from folio.plans.qualify import judged
 from folio.plans.registry import case, query, r
 
 q = lambda s: s.replace("'", "''")
@@ -81,6 +82,13 @@ query(
     "FROM ft, (SELECT quantile_cont(a, 0.95) AS p95, quantile_cont(a, 0.99) AS p99, avg(CASE WHEN first_digit = 9 THEN 1 ELSE 0 END) AS nines FROM ft) GROUP BY account",
     FT,
 )(lambda led: models.weak_labels(led).groupBy("account").agg(F.count("*").alias("lines"), F.sum("weak_label").alias("flagged")))
+query(
+    "ml01b_decimals",
+    "SELECT journal, CAST(dense_rank() OVER (ORDER BY journal) - 1 AS INT) AS journal_index, decimals, lines FROM (SELECT journal, CAST(CASE WHEN amount % 1 = 0 THEN 0 WHEN amount * 10 % 1 = 0 THEN 1 ELSE 2 END AS INT) AS decimals, count(*) AS lines FROM ledger GROUP BY ALL)",
+)(lambda led: models.features(led).join(models.journal_index(led), "journal").groupBy("journal", "journal_index", "decimals").agg(F.count("*").alias("lines")))
+query("ml02b_isolation_top")(lambda led: models.isolation_top(led, models.isolation(led, keep=models.MODEL_COLUMNS)))
+query("ml05b_latent")(lambda led: models.latent_views(models.reconstruction_errors(led)).select("account", "voucher", "label", "amount", "error", "percentile", F.transform("latent", lambda v: F.round(v, 3)).alias("latent")))
+query("lab06b_attach_to_anomalies")(lambda led: entities.attach_to_anomalies(judged(led).where("filter_reason = 'PASSED'").select("id", "family", "test", "amount"), led))
 query("ml02_isolation")(lambda led: dated(models.isolation(led)))
 query("ml05_reconstruction")(lambda led: dated(models.reconstruction(led)))
 query("rsk01_line_risk")(lambda led: dated(risk.line_risk(led)))

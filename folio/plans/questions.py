@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import folio.plans.passage
+import folio.plans.regularity
 import folio.plans.runrate  # noqa: F401
 from folio.operators import qualify, reports, runrate, signals
 from folio.operators import questions as o
 from folio.plans import detect as plans
+from folio.plans.core import dated
 from folio.plans.qualify import CONTEXT, judged
 from folio.plans.registry import ORACLES, QUERIES, YEAR, case, in_list, query, r, values
 
@@ -146,6 +148,18 @@ for name, of, key in (("snk04_anomalies", "ctx01_contextualize", "anomalies"), (
     query(name)(lambda led, key=key: reports.single_year_tables(plans.pnl(led), YEAR, ["account", "journal", "label"])[key])
     ORACLES[name] = ORACLES[of].replace("al >= 10000 AND p > 8)", "al >= 10000 AND p > 80)")
 
+query("snk04_accruals", "SELECT accrual_type, journal, account, label, amount, strftime(date, '%Y-%m-%d') AS date, confidence FROM conf WHERE confidence >= 0.25", plans.ACC)(
+    lambda led: dated(reports.single_year_tables(led, YEAR, ["account", "journal", "label"])["accruals"])
+)
+query(
+    "snk04_surprises",
+    f"SELECT * FROM {table('icc08_views').replace('FROM ledger', f'FROM (SELECT * FROM ledger WHERE year = {YEAR})')} ORDER BY surprise DESC, account, site LIMIT 20",
+)(lambda led: reports.single_year_tables(led, YEAR, ["account", "journal", "label"])["surprises"])
+query(
+    "snk04_summary",
+    f"SELECT *, (SELECT count(DISTINCT account) FROM ledger WHERE year = {YEAR} AND class IN ('6', '7')) AS accounts, {YEAR} AS year FROM {table('ctx02_overall').replace("al >= 10000 AND p > 8)", "al >= 10000 AND p > 80)").replace(" AS n FROM ledger)", f" AS n FROM ledger WHERE year = {YEAR} AND class IN ('6', '7'))")}",
+)(lambda led: reports.single_year_tables(plans.pnl(led), YEAR, ["date", "account", "journal", "third_party"])["summary"])
+
 #: A referential of some families, in place of one that a site would keep.
 REFERENTIAL = [("601", 0.72, ["marge"], ["montant_rond", "solde_zero"]), ("613", 0.0, ["loyer", "bail"], ["label_identique", "meme_montant_12_mois"]), ("633", 0.4, ["abt cfe"], ["solde_zero"]), ("641", 0.1, [], ["montant_rond"])]
 METRICS = "mt0 AS (SELECT prefix_3 AS family, period, site, CAST(count(*) AS DOUBLE) AS metric, sum(amount) AS s, bool_and(abs(amount) % 100 = 0) AS is_round, abs(sum(amount)) < 0.01 AS zero_balance, count(DISTINCT label) = 1 AS repeated_label, list_sort(list(DISTINCT lower(split_part(label, ' ', 1)))) AS keywords FROM ledger GROUP BY ALL)"

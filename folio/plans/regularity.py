@@ -39,6 +39,19 @@ Z = lambda by: r(f"coalesce((icc - avg(icc) OVER (PARTITION BY {by})) / nullif(r
 query("icc07_z", f"SELECT {C}, family, universe, icc, {Z('family')} AS z_family, {Z('universe, family')} AS z_universe_family FROM ic", PARTS)(lambda led: o.icc_z(o.icc(led)))
 query("icc08_views", f"SELECT {C}, universe, icc, {r('abs(icc - expected)')} AS surprise, abs(icc - expected) > threshold AS alert FROM ic", PARTS)(lambda led: o.icc_views(o.icc(led)))
 query("icc09_family_stats", f"SELECT family, count(*) AS couples, {r('avg(icc)')} AS mean, {r('stddev_pop(icc)')} AS std, {r('min(icc)')} AS min, {r('max(icc)')} AS max FROM ic GROUP BY family HAVING count(*) >= 3", PARTS)(lambda led: o.family_stats(o.icc(led)))
+query(
+    "icc08b_top",
+    f"SELECT view, CAST(row_number() OVER (PARTITION BY view ORDER BY key, account, site) AS INT) AS rank, account, site, abs(key) AS value FROM (SELECT account, site, 'amorphous' AS view, icc AS key FROM ic UNION ALL SELECT account, site, 'crystalline', -icc FROM ic "
+    f"UNION ALL SELECT account, site, 'surprising', -{r('abs(icc - expected)')} FROM ic) QUALIFY row_number() OVER (PARTITION BY view ORDER BY key, account, site) <= 20", PARTS,
+)(lambda led: o.icc_top(o.icc(led)))
+query("icc08c_heat_map", "SELECT site, family, arg_max(icc, account) AS icc FROM ic WHERE site IS NOT NULL GROUP BY site, family", PARTS)(lambda led: o.heat_map(o.icc(led)))
+STATS = f"count(*) AS couples, {r('avg(icc)')} AS mean, {r('stddev_pop(icc)')} AS std, {r('quantile_cont(icc, 0.5)', 6)} AS median, count(*) FILTER (icc >= 0.7) AS crystalline, count(*) FILTER (icc < 0.4) AS amorphous, count(*) FILTER (abs(icc - expected) > threshold) AS surprising, count(DISTINCT family) AS families, count(DISTINCT site) AS sites FROM ic"
+query("icc08d_stats", f"SELECT 'ALL' AS universe, {STATS} UNION ALL SELECT universe, {STATS} GROUP BY universe", PARTS)(lambda led: o.icc_stats(o.icc(led)))
+query(
+    "icc09b_family_z",
+    f"SELECT account, site, family, icc, z, coalesce(z < -1.5, false) AS alert FROM (SELECT account, site, family, icc, CASE WHEN n >= 3 THEN CASE WHEN round(sd, 6) < 0.01 THEN 0 ELSE {r('(icc - mean) / nullif(sd, 0)')} END END AS z "
+    "FROM (SELECT *, count(*) OVER w AS n, stddev_pop(icc) OVER w AS sd, avg(icc) OVER w AS mean FROM ic WINDOW w AS (PARTITION BY family)))", PARTS,
+)(lambda led: o.family_z(o.icc(led)))
 query("icc10_mahalanobis")(lambda led: o.mahalanobis(o.icc(led)))
 
 PLAIN = "ltrim(replace(CAST(abs(amount) AS VARCHAR), '.', ''), '0') || '0'"

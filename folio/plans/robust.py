@@ -55,6 +55,18 @@ query(
     + r("(" + " + ".join(f"avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100" for c in QUALITY) + f") / {len(QUALITY)}")
     + " AS null_pct, concat_ws(',', " + ", ".join(f"CASE WHEN avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100 > 1 THEN '{c}' END" for c in QUALITY) + ") AS warned FROM ledger)",
 )(lambda led: o.quality(led, list(QUALITY)))
+#: Lines without a date or an account, as an export has them, so that there is something to warn of.
+HOLES = "hl AS (SELECT * REPLACE (CASE WHEN journal = 'SAL' THEN NULL ELSE date END AS date, CASE WHEN journal = 'AN' AND debit > 0 THEN NULL ELSE credit END AS credit) FROM ledger)"
+NULLS = " UNION ALL ".join(
+    f"SELECT 'warning' AS kind, {i} AS rank, 'Colonne critique ''{c}'' a ' || printf('%.1f', {r('p', 1)}) || '% de valeurs manquantes' AS text FROM (SELECT avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100 AS p FROM hl) WHERE p > 1" for i, c in enumerate(o.CRITICAL, 1)
+)
+query(
+    "prf05b_advice",
+    f"{NULLS} UNION ALL SELECT 'warning', 5, n || ' comptes identifiés à haut risque d''anomalie' FROM ct WHERE n > 0 UNION ALL SELECT 'recommendation', 6, 'Vérifier en priorité les comptes: ' || named FROM ct WHERE n > 0 UNION ALL SELECT 'recommendation', 7, h || ' comptes avec >80% de mouvement en décembre' FROM ct WHERE h > 0",
+    f"""{HOLES}, pf AS (SELECT account, coalesce(sum(abs(v)) FILTER (month = 12), 0) / sum(abs(v)) * 100 AS dec, round(coalesce(stddev_samp(abs(v)) / nullif(avg(abs(v)), 0) * 100, 0), 6) AS cv, count(*) AS n FROM (SELECT account, month, CAST(sum(amount) AS DOUBLE) AS v FROM ledger WHERE year = {YEAR} GROUP BY ALL) GROUP BY account),
+pr AS (SELECT account, {r('dec')} AS dec, {r('least((CASE WHEN dec > 50 THEN 0.4 ELSE 0 END) + (CASE WHEN least(cv / 100, 1) > 0.6 THEN 0.3 ELSE 0 END) + (CASE WHEN n < 6 THEN 0.3 ELSE 0 END), 1)')} AS risk FROM pf),
+ct AS (SELECT count(*) FILTER (risk > {o.HIGH_RISK}) AS n, count(*) FILTER (dec > {o.DECEMBER_HEAVY}) AS h, array_to_string(list_sort(list(account) FILTER (risk > {o.HIGH_RISK}))[1:5], ', ') AS named FROM pr)""",
+)(lambda led: o.profile_advice(led.withColumn("date", F.when(F.col("journal") != "SAL", F.col("date"))).withColumn("credit", F.when((F.col("journal") != "AN") | (F.col("debit") <= 0), F.col("credit"))), YEAR))
 MAD = months() + """, c AS (SELECT account, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS sd FROM m GROUP BY account HAVING count(*) >= 3),
 sp AS (SELECT account, quantile_cont(abs(v - median), 0.5) AS raw FROM m JOIN c USING (account) GROUP BY account),
 sc AS (SELECT account, period, median, CASE WHEN raw = 0 THEN sd / 0.6745 ELSE raw END AS mad, coalesce(abs(0.6745 * (v - median) / nullif(CASE WHEN raw = 0 THEN sd / 0.6745 ELSE raw END, 0)), 0) AS score FROM m JOIN c USING (account) JOIN sp USING (account)),
