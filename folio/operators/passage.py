@@ -84,7 +84,7 @@ def couple_detail(df: DataFrame, year: int) -> DataFrame:
     rows = of_year(df, year)
     c = couples(df, year)
     ids = c.select(F.col("provision_account").alias("account"), F.lit("dotation").alias("kind")).unionByName(c.where("reversal_account IS NOT NULL").select(F.col("reversal_account").alias("account"), F.lit("reprise").alias("kind")))
-    j = rows.join(F.broadcast(ids.distinct()), "account")
+    j = rows.join(ids.distinct(), "account")
     value = F.when(F.col("kind") == "reprise", -F.col("amount")).otherwise(F.col("amount"))
     months = j.groupBy("account", "kind", "month").agg(F.sum(value).alias("value")).where("value != 0")
     longest = j.groupBy("account").agg(F.left(F.min_by(F.trim("label"), F.struct(-F.length(F.trim("label")), F.trim("label"))), F.lit(60)).alias("main_label"))
@@ -162,13 +162,13 @@ def _alert(kind: str, amount: Column, priority: Column) -> list[Column]:
     return [F.lit(kind).alias("kind"), F.col("account"), number(amount).alias("amount"), priority.cast("int").alias("priority")]
 
 
-def label_overlap(df: DataFrame, year: int) -> DataFrame:
-    """Provision accounts that share two or more words of over 3 letters with a subscription account."""
+def label_overlap(df: DataFrame, year: int, least: int = 2, letters: int = 3, subscription: str = SUBSCRIPTION) -> DataFrame:
+    """Provision accounts that share least words or more of over so many letters with a subscription account."""
     rows = of_year(df, year)
-    words = lambda d: d.select("account", "label").distinct().select("account", F.explode(F.split(F.upper("label"), r"\s+")).alias("word")).where("length(word) > 3").distinct()
+    words = lambda d: d.select("account", "label").distinct().select("account", F.explode(F.split(F.upper("label"), r"\s+")).alias("word")).where(F.length("word") > letters).distinct()
     p = words(rows.where(F.col("account").rlike("^(6815|686|687)")))
-    s = words(rows.where(F.col("account").startswith(SUBSCRIPTION))).withColumnRenamed("account", "subscription")
-    return p.join(s, "word").groupBy("account", "subscription").agg(F.count("*").alias("words")).where("words >= 2")
+    s = words(rows.where(F.col("account").startswith(subscription))).withColumnRenamed("account", "subscription")
+    return p.join(s, "word").groupBy("account", "subscription").agg(F.count("*").alias("words")).where(F.col("words") >= least)
 
 
 def alert_unbudgeted(df: DataFrame, year: int) -> DataFrame:
@@ -178,8 +178,8 @@ def alert_unbudgeted(df: DataFrame, year: int) -> DataFrame:
     return kept.select(*_alert("PROVISION_NON_BUDGETEE", F.col("a"), F.when(F.col("a") > 20_000, 1).otherwise(2)))
 
 
-def alert_orphan(df: DataFrame, year: int) -> DataFrame:
-    return orphan_reversals(df, year).where("reversal >= 10000").select(*_alert("REPRISE_ORPHELINE", F.col("reversal"), F.lit(2)))
+def alert_orphan(df: DataFrame, year: int, least: int = 10_000) -> DataFrame:
+    return orphan_reversals(df, year).where(F.col("reversal") >= least).select(*_alert("REPRISE_ORPHELINE", F.col("reversal"), F.lit(2)))
 
 
 def alert_new_december(df: DataFrame, year: int) -> DataFrame:

@@ -44,7 +44,7 @@ def provisions(df: DataFrame, year: int, threshold: float = MIN_GAP, axis: str |
     sums = rows.groupBy(*by, "account", "period").agg(F.sum("pnl_amount").alias("value"))
     months = (rows if axis else pnl(df, year)).groupBy(*by).agg(F.count_distinct("period").alias("months"), F.max(december(year).cast("int")).alias("has_december"))
     facts = sums.groupBy(*by, "account").agg(total(F.col("value")).alias("total"), sum_if(F.col("value"), december(year)).alias("december"))
-    joined = facts.join(F.broadcast(months), by) if axis else facts.crossJoin(F.broadcast(months))
+    joined = facts.join(months, by) if axis else facts.crossJoin(F.broadcast(months))
     others = F.col("months") - F.col("has_december")
     mean = ratio(F.col("total") - F.col("december"), others)
     run = number(F.col("total")) / MONTHS

@@ -67,7 +67,7 @@ def sig_missing(df: DataFrame) -> DataFrame:
     return n.where(universe_of(F.col("family")) == "CRISTALLIN").select(*_signal("L2-MISSING", F.col("year"), F.col("k"), F.lit(MONTHS_EXPECTED), gap, p, F.lit("rule_based")))
 
 
-def sig_conc(df: DataFrame) -> DataFrame:
+def sig_conc(df: DataFrame, usual: float = 0.5, one_off: float = 0.8) -> DataFrame:
     """Families with 3 months or more of which one holds over half of the volume (80 % when PONCTUEL)."""
     w = Window.partitionBy("family")
     m = family_series(df).withColumn("s", F.round(ratio(F.abs("v"), F.sum(F.abs("v")).over(w)), 9)).withColumn("n", F.count("*").over(w)).where("n >= 3")
@@ -78,7 +78,7 @@ def sig_conc(df: DataFrame) -> DataFrame:
     scale = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     score = lambda x: F.round(F.abs(x - F.col("median")) / scale, 9)
     far = j.groupBy("family", "top", "period", "n").agg(F.count_if(score(F.col("s")) >= score(F.col("top"))).alias("far"))
-    limit = F.when(universe_of(F.col("family")) == "PONCTUEL", 0.8).otherwise(0.5)
+    limit = F.when(universe_of(F.col("family")) == "PONCTUEL", one_off).otherwise(usual)
     p = rounded((1 + F.col("far")) / (1 + F.col("n")))
     return far.where((F.col("top") > limit) & (universe_of(F.col("family")) != "CUT_OFF")).select(*_signal("L2-CONC", F.col("period"), F.col("top"), limit, F.col("top") - limit, p, F.lit("conformal")))
 

@@ -47,6 +47,8 @@ query("sig02_var", "SELECT * FROM s1", SIG)(lambda led: o.sig_var(led, ALPHA))
 query("sig03_discord", "SELECT * FROM s2", SIG)(o.sig_discord)
 query("sig04_missing", f"SELECT {ROW} FROM s3", SIG)(o.sig_missing)
 query("sig05_conc", "SELECT * FROM s4", SIG)(o.sig_conc)
+# no family of the test ledger reaches the usual limits: its candidates at lower ones
+query("sig05b_conc_low", "SELECT * FROM s4", SIG.replace("THEN 0.8 ELSE 0.5 END AS lim", "THEN 0.04 ELSE 0.02 END AS lim"))(lambda led: o.sig_conc(led, 0.02, 0.04))
 query("sig06_signals", "SELECT * FROM sg", SIG)(lambda led: o.signals(led, ALPHA))
 query(
     "qua01_materiality",
