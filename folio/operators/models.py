@@ -34,7 +34,7 @@ def features(df: DataFrame) -> DataFrame:
     cols = {
         "weekday": weekday, "day": day, "quarter": F.quarter("date"), "month_end": flag(day >= 25), "month_start": flag(day <= 5), "weekend": flag(weekday >= 5), "year_end": flag((F.col("month") == 12) & (day >= 20)),
         "log_amount": F.log1p(a), "sign": F.signum("amount").cast("int"), **{f"round_{b}": flag((a >= b) & (F.abs("amount") % b == 0)) for b in (10, 100, 1000, 10000)}, "first_digit": first_digit(F.col("amount")),
-        "decimals": F.when(F.col("amount") % 1 == 0, 0).when(F.col("amount") * 10 % 1 == 0, 1).otherwise(2), "z_account": (a - F.col("account_mean")) / std, "is_od": flag(F.upper("journal").isin(*OD)), "is_closing": flag(F.upper("journal").isin(*CLOSING)),
+        "decimals": F.when(F.col("amount") % 1 == 0, 0).when(F.col("amount") * 10 % 1 == 0, 1).otherwise(2), "z_account": (a - F.col("account_mean")) / std, "is_od": flag(F.coalesce(F.upper("journal").isin(*OD), F.lit(False))), "is_closing": flag(F.coalesce(F.upper("journal").isin(*CLOSING), F.lit(False))),
     }
     return df.join(by_account, "account").join(by_day, "date").withColumns(cols)
 
