@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import any_of, contains_any, first_of, number, ratio, rounded, sum_if, total
+from folio.functions.tables import written
 from folio.operators.classify import accounts_of, classify_account
 from folio.sources import dims
 
@@ -70,10 +71,10 @@ def round_amounts(df: DataFrame, year: int, tolerance: float = 0.01, least: int
     rows = of_year(df, year)
     volume = rows.groupBy("account").agg(F.sum(F.abs("amount")).alias("volume"))
     a = F.abs("amount")
-    sums = rows.groupBy("account", a.alias("a")).agg(F.count("*").alias("n"))
     near = (F.col("a") >= F.col("target") * (1 - tolerance)) & (F.col("a") <= F.col("target") * (1 + tolerance))
-    hits = sums.join(targets(df), near)
-    samples = first_few(rows.groupBy("account", a.alias("a"), "label").agg(F.lit(1).alias("one")).join(targets(df), near), ["account", "target"], "label", 3, "samples")
+    # written, so that amounts meet the targets once
+    hits = written(rows.groupBy("account", a.alias("a"), "label").agg(F.count("*").alias("n")).join(targets(df), near), "near")
+    samples = first_few(hits.where("label IS NOT NULL"), ["account", "target"], "label", 3, "samples")
     found = hits.groupBy("account", "target", "target_name").agg(F.sum("n").alias("lines"), F.sum(F.col("a") * F.col("n")).alias("amount")).where(F.col("lines") >= least)
     j = found.join(volume, "account").join(samples, ["account", "target"], "left").withColumn("p", ratio(F.col("amount"), F.col("volume")) * 100)
     level = first_of([((F.col("p") > 50) | (F.col("lines") > 10), "HIGH"), ((F.col("p") > 30) | (F.col("lines") > 5), "MEDIUM")], "LOW")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import first_of, rounded
+from folio.functions.tables import written
 from folio.operators.signals import UNIVERSES, materiality
 
 # Exclusion rule | column of the context that meets it. A rule is met where its column is true.
@@ -127,6 +128,7 @@ def qualify(s: DataFrame, led: DataFrame, listed: DataFrame | None = None, least
     A signal must reach its materiality, meet no exclusion rule, and have a pertinence of
     at least least. Ranks go by pertinence, ties by id.
     """
+    s = written(s, "signals")
     m = materiality(s).select("id", "amount", "limit", "material")
     judged = pertinence(inclusions(exclusions(context(s, led), listed).join(m, "id")))
     reason = first_of([(~F.col("material"), "BELOW_MATERIALITY"), (F.col("excluded"), "EXCLUDED_BY_RULE"), (F.col("pertinence") < least, "LOW_PERTINENCE")], "PASSED")

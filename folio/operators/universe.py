@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.columns import first_of, number, ratio, rounded
+from folio.functions.tables import written
 from folio.operators.crystallinity import ASSET_PATTERNS, COUPLE, UNIVERSE_ROWS, _entropy, regularity
 from folio.operators.graph import sides
 
@@ -57,17 +58,17 @@ def label_counts(df: DataFrame) -> DataFrame:
     return counts.select("*", mask_label(label).alias("masked"), names_in(label).alias("names"), F.size(words_of(label)).alias("words"), F.upper(label).rlike("|".join(ASSET_PATTERNS)).cast("int").alias("asset"))
 
 
-def entropies(df: DataFrame) -> DataFrame:
-    """Entropy of labels as they are and masked, and the distinct labels, by couple."""
-    c = label_counts(df)
+def entropies(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Entropy of labels as they are and masked, and the distinct labels, by couple. counts: label_counts() of df, if there already."""
+    c = label_counts(df) if counts is None else counts
     raw = _entropy(c, COUPLE).select(*COUPLE, rounded(F.col("h")).alias("entropy"), F.col("k").alias("labels"))
     masked = _entropy(c.groupBy(*COUPLE, "masked").agg(F.sum("n").alias("n")), COUPLE).select(*COUPLE, rounded(F.col("h")).alias("entropy_masked"))
     return raw.join(masked, COUPLE)
 
 
-def ratios(df: DataFrame) -> DataFrame:
-    """Shares of name-like words and of labels that refer to assets, and of amounts met twice or more, by couple."""
-    c = label_counts(df).groupBy(*COUPLE).agg(F.sum(F.col("names") * F.col("n")).alias("names"), F.sum(F.col("words") * F.col("n")).alias("words"), F.sum(F.col("asset") * F.col("n")).alias("assets"), F.sum("n").alias("labelled"))
+def ratios(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Shares of name-like words and of labels that refer to assets, and of amounts met twice or more, by couple. counts: label_counts() of df, if there already."""
+    c = (label_counts(df) if counts is None else counts).groupBy(*COUPLE).agg(F.sum(F.col("names") * F.col("n")).alias("names"), F.sum(F.col("words") * F.col("n")).alias("words"), F.sum(F.col("asset") * F.col("n")).alias("assets"), F.sum("n").alias("labelled"))
     m = df.groupBy(*COUPLE, F.abs("amount").alias("v")).agg(F.count("*").alias("n"))
     m = m.groupBy(*COUPLE).agg(F.sum("n").alias("lines"), F.sum(F.when((F.col("n") >= 2) & (F.col("v") > 0), F.col("n")).otherwise(0)).alias("twice"))
     return m.join(c, COUPLE, "left").select(
@@ -87,10 +88,12 @@ def counterparties(df: DataFrame) -> DataFrame:
 def couple_features(df: DataFrame) -> DataFrame:
     """One row of features per couple."""
     a = F.abs(number(F.col("amount")))
+    # masked once
+    labels = written(label_counts(df), "labels")
     base = df.groupBy(*COUPLE, "journal").agg(F.count("*").alias("n"), F.sum(F.abs("amount")).alias("v"))
     base = base.groupBy(*COUPLE).agg(F.sum("n").alias("entries"), F.sum("v").cast("double").alias("volume"), F.count("journal").alias("journals"))
     spread = df.groupBy(*COUPLE).agg(F.avg(a).alias("mean"), F.stddev_pop(a).alias("sd"))
-    j = base.join(spread, COUPLE).join(regularity(df), COUPLE).join(ratios(df), COUPLE).join(entropies(df), COUPLE, "left").join(counterparties(df), COUPLE, "left")
+    j = base.join(spread, COUPLE).join(regularity(df), COUPLE).join(ratios(df, labels), COUPLE).join(entropies(df, labels), COUPLE, "left").join(counterparties(df), COUPLE, "left")
     zero = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     return j.select(
         *COUPLE, F.substring("account", 1, 1).alias("class"), F.substring("account", 1, 3).alias("family"), "entries", rounded(F.col("volume"), 2).alias("volume"), zero("entropy", 0.0).alias("entropy"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.columns import MONEY
+from folio.functions.tables import is_written, shared_path
 from folio.sources.canonical import derive
 
 # Fixed values of the projection, by position.
@@ -91,8 +92,23 @@ def postings(lines: DataFrame, parts: DataFrame, suppliers: DataFrame) -> DataFr
     )
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical ledger over the tables in sf_dir."""
     read = lambda t, *cols: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*cols)
     lines = read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
     return derive(postings(lines, read("part", "p_partkey", "p_name"), read("supplier", "s_suppkey", "s_name")))
+
+
+#: Where the ledgers of an application are, by its id and the folder of their tables.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """made_ledger() as a table in the shared folder, as a site has it: written by the first query of an application that asks for it."""
+    made = made_ledger(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORED or not is_written(spark, STORED[key]):
+        path = shared_path(spark, "ledger")
+        made.write.parquet(path)
+        STORED[key] = path
+    return spark.read.schema(made.schema).parquet(STORED[key])
