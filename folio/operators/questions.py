@@ -71,6 +71,47 @@ def questions(anomalies: DataFrame, provisions: DataFrame) -> DataFrame:
     return q.select(code.alias("id"), "kind", "account", "amount", "month", "priority", "question")
 
 
+# Kind of question | context | documents expected. {a} account, {l} its label, {m} amount, {t} month, {g} mean, {r} run rate,
+# {x} expected, {v} variation, {b} before, {n} now, {z} z-score, {e} label of the entry, {p} pattern.
+CONTEXTS = [
+    ("concentration", "Le compte {a} ({l}) présente une concentration anormale: {m}€ sur {t} vs {g}€/mois en moyenne.", ["Justification économique de cette concentration", "Factures ou pièces justificatives", "Confirmation que ce n'est pas une provision annuelle non lissée"]),
+    ("provision_excessive", "Le compte {a} ({l}) présente une dotation significativement supérieure au run rate: {m}€ vs run rate de {r}€.", ["Base de calcul de la provision", "Risque ou charge sous-jacent", "Date de reprise prévue", "Historique des mouvements sur ce compte"]),
+    ("provision_insuffisante", "Le compte {a} ({l}) montre un niveau de provision inférieur à l'historique: {m}€ vs {x}€ attendu.", ["Confirmation de l'absence de risque additionnel", "Explication de la baisse de provisionnement", "Éléments justifiant le nouveau niveau"]),
+    ("variation_inexpliquee", "Le compte {a} ({l}) varie de {b}€ (N-1) à {n}€ (N), soit {v}€.", ["Événement business justifiant cette variation", "Changement de méthode comptable", "Reclassement depuis/vers un autre compte", "Détail des principales écritures"]),
+    ("montant_rond", "Une écriture de {m}€ (montant rond) a été passée sur le compte {a} ({l}) en {t}.", ["Base de calcul du montant", "Pièce justificative ou méthode d'estimation", "Confirmation qu'il ne s'agit pas d'un ajustement arbitraire"]),
+    ("journal_od", "Une écriture sur journal OD de {m}€ a été passée sur {a} ({l}). Libellé: '{e}'.", ["Nature et justification de l'écriture", "Validation hiérarchique", "Pièce justificative", "Impact sur le run rate"]),
+    ("libelle_suspect", "Le libellé '{e}' contient des termes nécessitant clarification (erreur, correction, ajustement, etc.).", ["Explication de l'opération", "Raison de la correction/ajustement", "Validation de la régularisation"]),
+    ("zscore_eleve", "Le compte {a} ({l}) a un z-score de {z} en {t}: {m}€ vs moyenne de {g}€.", ["Événement exceptionnel justifiant cet écart", "Détail des principales écritures du mois", "Confirmation du caractère non récurrent"]),
+    ("benford_anomaly", "L'analyse Benford révèle une sur-représentation de certains chiffres sur le compte {a}. Cela peut indiquer des montants estimés ou fabriqués.", ["Origine des montants (factures réelles vs estimations)", "Explication de la distribution observée", "Pièces justificatives pour les montants significatifs"]),
+    ("pattern_regul", "Une écriture identifiée comme régularisation ({p}) a été passée sur {a} ({l}).", ["Nature de la régularisation", "Base de calcul", "Validation du cut-off"]),
+]
+#: Columns of the facts about a question, by their marks: amounts, then texts.
+FACT_AMOUNTS = {"m": "amount", "g": "mean", "r": "run_rate", "x": "expected", "b": "before", "n": "now"}
+FACT_TEXTS = {"l": "account_label", "e": "entry_label", "p": "pattern"}
+LONGEST_LABEL = 50
+
+
+def question_contexts(facts: DataFrame) -> DataFrame:
+    """(account, kind, month, context, documents) of each row of facts about a question.
+
+    facts: (account, kind, month) and any of amount, mean, run_rate, expected, variation, before,
+    now, zscore, account_label, entry_label, pattern; what is missing or null counts as 0 or
+    empty. The amount is shown without its sign, the entry's label up to 50 characters.
+    """
+    dim = F.broadcast(facts.sparkSession.createDataFrame(CONTEXTS, "kind string, template string, documents array<string>"))
+    has = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in facts.columns else F.lit(default)
+    figure = lambda c: F.format_string("%,d", F.round(number(has(c, 0.0))).cast("long"))
+    month = F.coalesce(F.get(F.array(*map(F.lit, MONTHS)), F.col("month") - 1), F.lit(""))
+    said = {"a": F.coalesce("account", F.lit("")), "t": month, **{m: figure(c) for m, c in FACT_AMOUNTS.items()}, **{m: F.left(has(c, ""), F.lit(LONGEST_LABEL)) if m == "e" else has(c, "") for m, c in FACT_TEXTS.items()}}
+    said["m"] = F.format_string("%,d", F.round(F.abs(number(has("amount", 0.0)))).cast("long"))
+    said["v"] = F.format_string("%+,d", F.round(number(has("variation", 0.0))).cast("long"))
+    said["z"] = F.format_string("%+.1f", rounded(number(has("zscore", 0.0)), 1))
+    text = F.col("template")
+    for mark, value in said.items():
+        text = F.replace(text, F.lit(f"{{{mark}}}"), value)
+    return facts.join(dim, "kind").select("account", "kind", "month", text.alias("context"), "documents")
+
+
 def resolution_sheet(q: DataFrame) -> DataFrame:
     """One open point per question."""
     return q.withColumn("status", F.lit(OPEN))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import folio.plans.classification
 import folio.plans.passage
 import folio.plans.regularity
 import folio.plans.runrate  # noqa: F401
-from folio.operators import qualify, reports, runrate, signals
+from folio.operators import classify, qualify, reports, runrate, signals
 from folio.operators import questions as o
 from folio.plans import detect as plans
 from folio.plans.core import dated
@@ -36,6 +37,26 @@ def asked(led: DataFrame) -> DataFrame:
 
 
 query("qst01_questions", "SELECT id, kind, account, amount, month, priority, question FROM qs", ASKED)(asked)
+def facts(led: DataFrame) -> DataFrame:
+    """What is known of the months and provisions that are asked about, with the chart's name of the account."""
+    names = classify.classify_account(classify.accounts_of(led)).select("account", F.col("chart_label").alias("account_label"))
+    none = F.lit(None).cast("double")
+    a = runrate.month_anomalies(led, YEAR).select("account", F.lit("zscore_eleve").alias("kind"), F.substring("period", 6, 2).cast("int").alias("month"), F.col("gap").alias("amount"), "mean", F.col("z").alias("zscore"), none.alias("run_rate"))
+    gap = F.when(F.col("gap") > 0, "provision_excessive").otherwise("provision_insuffisante")
+    p = runrate.provisions(led, YEAR).select("account", gap.alias("kind"), F.lit(12).alias("month"), F.col("december").cast("double").alias("amount"), none.alias("mean"), none.alias("zscore"), "run_rate")
+    return a.unionByName(p).withColumn("expected", F.col("run_rate")).join(names, "account", "left")
+
+
+FACTS = {"a": "account", "l": "coalesce(chart_label, '')", "t": "coalesce(mn, '')", "z": f"printf('%+.1f', {r('coalesce(zscore, 0)', 1)})", **{m: f"format('{{:,}}', CAST(round({e}) AS BIGINT))" for m, e in (("m", "abs(amount)"), ("g", "coalesce(mean, 0)"), ("r", "coalesce(run_rate, 0)"), ("x", "coalesce(run_rate, 0)"))}}
+SAYING = "template"
+for mark, fact in FACTS.items():
+    SAYING = f"replace({SAYING}, '{{{mark}}}', {fact})"
+query(
+    "qst01b_contexts",
+    f"SELECT account, kind, CAST(month AS INT) AS month, {SAYING} AS context, documents FROM fc JOIN cn USING (kind) LEFT JOIN mon USING (month) LEFT JOIN (SELECT account, chart_label FROM {table('cls01_classify_account')}) USING (account)",
+    f"""{ASKED}, {values('cn', 'kind, template, documents', [(k, t, '|'.join(d)) for k, t, d in o.CONTEXTS])},
+fc AS (SELECT account, 'zscore_eleve' AS kind, CAST(period[6:7] AS INT) AS month, gap AS amount, mean, z AS zscore, NULL AS run_rate FROM an UNION ALL SELECT account, CASE WHEN gap > 0 THEN 'provision_excessive' ELSE 'provision_insuffisante' END, 12, CAST(december AS DOUBLE), NULL, NULL, run_rate FROM prov)""",
+)(lambda led: o.question_contexts(facts(led)).withColumn("documents", F.array_join("documents", "|")))
 query("qst02_resolution", "SELECT id, kind, account, amount, month, priority, question, 'À traiter' AS status FROM qs", ASKED)(lambda led: o.resolution_sheet(asked(led)))
 query(
     "qst02b_summary",

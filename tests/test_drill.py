@@ -75,3 +75,15 @@ def test_the_first_questions_are_executed(spark, led):
     assert said["purchases_to_sales", 0].startswith("Marge brute de seulement 5.0% (achats 90K€ / ventes 95K€).")
     assert said["duplicate_amount", 1] == "Identifier les contreparties des 6 écritures de 99€ : même tiers ou dispersé ?"
     assert len(said) == 7
+
+
+def test_contexts_of_questions(spark):
+    facts = spark.createDataFrame(
+        [("613200", "zscore_eleve", 3, -1234.4, 900.0, -2.25, "Locations", None), ("681000", "provision_excessive", 12, 50_000.0, None, None, None, None), ("606", "libelle_suspect", None, 1.0, None, None, "x", "y" * 60)],
+        "account string, kind string, month int, amount double, mean double, zscore double, account_label string, entry_label string",
+    )
+    got = {x["kind"]: x for x in questions.question_contexts(facts).collect()}
+    assert got["zscore_eleve"]["context"] in {f"Le compte 613200 (Locations) a un z-score de {z} en mars: 1,234€ vs moyenne de 900€." for z in ("-2.3", "-2.2")}
+    assert got["provision_excessive"]["context"].endswith("50,000€ vs run rate de 0€.") and len(got["provision_excessive"]["documents"]) == 4
+    assert f"'{'y' * 50}'" in got["libelle_suspect"]["context"]
+    assert {k for k, _, _ in questions.CONTEXTS} == {k for k, _, _ in questions.KINDS}
