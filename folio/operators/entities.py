@@ -38,13 +38,19 @@ PATTERNS = {
 CONFIDENCE = {"REFERENCE": 0.85, "MONTANT": 0.9, "DATE": 0.85, "TIERS": 0.7, "LIEU": 0.75}
 UNREADABLE_AMOUNT = 0.6
 NO_PARTY = (
-    "JANVIER FEVRIER MARS AVRIL MAI JUIN JUILLET AOUT SEPTEMBRE OCTOBRE NOVEMBRE DECEMBRE TOTAL MONTANT SOLDE FACTURE AVOIR REGLEMENT VIREMENT CHEQUE PAIEMENT ENCAISSEMENT"
-).split()
+    "JANVIER", "FEVRIER", "MARS", "AVRIL", "MAI", "JUIN", "JUILLET", "AOUT", "SEPTEMBRE", "OCTOBRE", "NOVEMBRE", "DECEMBRE", "TOTAL", "MONTANT",
+    "SOLDE", "FACTURE", "AVOIR", "REGLEMENT", "VIREMENT", "CHEQUE", "PAIEMENT", "ENCAISSEMENT",
+)
 MONTHS = {
     "JANVIER": 1, "JAN": 1, "FEVRIER": 2, "FEV": 2, "MARS": 3, "MAR": 3, "AVRIL": 4, "AVR": 4, "MAI": 5, "JUIN": 6, "JUI": 6, "JUILLET": 7, "JUL": 7, "AOUT": 8, "AOU": 8,
     "SEPTEMBRE": 9, "SEP": 9, "OCTOBRE": 10, "OCT": 10, "NOVEMBRE": 11, "NOV": 11, "DECEMBRE": 12, "DEC": 12,
 }
-FRENCH, ENGLISH = "de la le du des pour sur avec facture avoir".split(), "the of for with invoice payment from".split()
+FRENCH = (
+    "de", "la", "le", "du", "des", "pour", "sur", "avec", "facture", "avoir",
+)
+ENGLISH = (
+    "the", "of", "for", "with", "invoice", "payment", "from",
+)
 
 
 def amount_of(text: str) -> float | None:

@@ -12,10 +12,12 @@ from folio.operators.graph import sides
 
 # Words of bookkeeping that are no names.
 VOCABULARY = (
-    "LOYER SALAIRE FACTURE AVOIR REGUL REGULARISATION PROVISION AMORTISSEMENT DOTATION REPRISE VIREMENT PRELEVEMENT CHEQUE CARTE CB ABONNEMENT ASSURANCE HONORAIRES COTISATION "
-    "ACHAT VENTE PRESTATION SERVICE JANVIER FEVRIER MARS AVRIL MAI JUIN JUILLET AOUT SEPTEMBRE OCTOBRE NOVEMBRE DECEMBRE JAN FEV MAR AVR JUI JUL AOU SEP OCT NOV DEC "
-    "REF NUM FAC BL OD AN EX URSSAF RSI CPAM CAF MSA TRESOR IMPOT TVA SOLDE REPORT EXTOURNE CONTREPASSATION ABT CCA PCA"
-).split()
+    "LOYER", "SALAIRE", "FACTURE", "AVOIR", "REGUL", "REGULARISATION", "PROVISION", "AMORTISSEMENT", "DOTATION", "REPRISE", "VIREMENT", "PRELEVEMENT",
+    "CHEQUE", "CARTE", "CB", "ABONNEMENT", "ASSURANCE", "HONORAIRES", "COTISATION", "ACHAT", "VENTE", "PRESTATION", "SERVICE", "JANVIER", "FEVRIER",
+    "MARS", "AVRIL", "MAI", "JUIN", "JUILLET", "AOUT", "SEPTEMBRE", "OCTOBRE", "NOVEMBRE", "DECEMBRE", "JAN", "FEV", "MAR", "AVR", "JUI", "JUL",
+    "AOU", "SEP", "OCT", "NOV", "DEC", "REF", "NUM", "FAC", "BL", "OD", "AN", "EX", "URSSAF", "RSI", "CPAM", "CAF", "MSA", "TRESOR", "IMPOT", "TVA",
+    "SOLDE", "REPORT", "EXTOURNE", "CONTREPASSATION", "ABT", "CCA", "PCA",
+)
 # Pattern in an upper-case label | mask, in this order.
 MASKS = [
     (r"\b(M\.|MME|MR|MRS|FAM\.?|FAMILLE)\s+[A-Z][A-Za-zÀ-ÿ\-]+", "[NOM_PROPRE]"), (r"\b[A-Z][a-zà-ÿ]+(?:\s+[A-Z][a-zà-ÿ]+)*\b", "[NOM_PROPRE]"),
