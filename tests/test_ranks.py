@@ -98,3 +98,16 @@ def test_matrix_profile(spark, m):
         known = [x["distance"] for x in mine if x["distance"] is not None]
         found = [x["start"] for x in mine if x["is_discord"]]
         assert found == ([next(x["start"] for x in mine if x["distance"] == max(known))] if known else [])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest import mock
+
+    from folio.functions.tables import shared_path
+
+    session = mock.Mock()
+    session.sparkContext.getConf.return_value.get.return_value = None
+    session.conf.get.return_value = None
+    session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_path(session, "t")
