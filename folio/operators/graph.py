@@ -12,45 +12,44 @@ from pyspark.sql import functions as F
 
 from folio.functions.columns import any_of, correlation, first_of, number, ratio, rounded, sum_if
 
-# Account family | kind of template | expected prefixes of counterparties.
-TEMPLATES = """
-641|paie|421 425 431 437 442 512
-645|charges_sociales|431 437 438 512
-647|charges_sociales|437 438 512
-601|achats|401 408 512
-602|achats|401 408 512
-604|achats|401 408 512
-606|achats|401 512
-607|achats|401 408 512
-611|services|401 408 488
-613|charge_recurrente|401 486 488
-614|charge_recurrente|401 488
-615|services|401 408 512
-616|charge_recurrente|401 486 488
-617|services|401 408
-618|services|401 512
-622|honoraires|401 421 431 512
-623|services|401 512
-625|frais|401 421 512
-626|services|401 512
-627|frais_bancaires|512
-631|taxes|442 447 512
-633|taxes|447 488 512
-635|taxes|447 488 512
-661|financier|164 512 518
-666|financier|512
-681|dotation|28 29 39 49 15
-686|dotation|29 49 15
-687|dotation|15
-706|facturation_client|411 419 487
-707|facturation_client|411 419
-708|facturation_client|411 512
-781|reprise|28 29 39 49 15
-786|reprise|29 49 15
-787|reprise|15
-791|transfert|6
-"""
-TEMPLATE_ROWS = [tuple(line.split("|")) for line in TEMPLATES.strip().splitlines()]
+# Account family, kind of template, expected prefixes of counterparties.
+TEMPLATE_ROWS = [
+    ("641", "paie", "421 425 431 437 442 512"),
+    ("645", "charges_sociales", "431 437 438 512"),
+    ("647", "charges_sociales", "437 438 512"),
+    ("601", "achats", "401 408 512"),
+    ("602", "achats", "401 408 512"),
+    ("604", "achats", "401 408 512"),
+    ("606", "achats", "401 512"),
+    ("607", "achats", "401 408 512"),
+    ("611", "services", "401 408 488"),
+    ("613", "charge_recurrente", "401 486 488"),
+    ("614", "charge_recurrente", "401 488"),
+    ("615", "services", "401 408 512"),
+    ("616", "charge_recurrente", "401 486 488"),
+    ("617", "services", "401 408"),
+    ("618", "services", "401 512"),
+    ("622", "honoraires", "401 421 431 512"),
+    ("623", "services", "401 512"),
+    ("625", "frais", "401 421 512"),
+    ("626", "services", "401 512"),
+    ("627", "frais_bancaires", "512"),
+    ("631", "taxes", "442 447 512"),
+    ("633", "taxes", "447 488 512"),
+    ("635", "taxes", "447 488 512"),
+    ("661", "financier", "164 512 518"),
+    ("666", "financier", "512"),
+    ("681", "dotation", "28 29 39 49 15"),
+    ("686", "dotation", "29 49 15"),
+    ("687", "dotation", "15"),
+    ("706", "facturation_client", "411 419 487"),
+    ("707", "facturation_client", "411 419"),
+    ("708", "facturation_client", "411 512"),
+    ("781", "reprise", "28 29 39 49 15"),
+    ("786", "reprise", "29 49 15"),
+    ("787", "reprise", "15"),
+    ("791", "transfert", "6"),
+]
 
 # Kind of circuit and prefixes of its balance-sheet accounts.
 CIRCUITS = {"488": ["488"], "486": ["486"], "487": ["487"], "408": ["408"], "481": ["481", "15"]}
