@@ -45,13 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote and that nothing reads any more."""
-    spark = table.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,6 +102,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         lower = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "lower")
         if lower.where("n > 1").isEmpty() and pairs.join(lower.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            discard(lower)
             roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -110,5 +112,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, "large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = materialize(small.where("u != v").distinct(), "edges")
+        before, pairs = pairs, materialize(small.where("u != v").distinct(), "edges")
+        discard(before, lower, low, large, least)
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

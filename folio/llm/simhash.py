@@ -296,9 +296,11 @@ def may_be_similar(a: Callable[[str], Column], b: Callable[[str], Column], simil
 
 
 def with_degree(keys: DataFrame) -> DataFrame:
-    """keys with degree, the number of keys of the node: of a group's members, the one that others are copies of has most."""
+    """keys, a written table that goes, with degree, the number of keys of the node: of a group's members, the one that others are copies of has most."""
     degree = materialize(keys.groupBy("node").agg(F.count("*").alias("degree")), "degree")
-    return keys.join(degree, "node")
+    made = materialize(keys.join(degree, "node"), "keys")
+    discard(keys, degree)
+    return made
 
 
 def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -311,7 +313,9 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     roots = materialize(rows.groupBy("key").agg(F.max(hub).alias("root")), "roots")
     fits = may_be_similar(lambda c: F.col(c), lambda c: F.col(f"root.{c}"), similarity)
     met = rows.join(roots, "key").where(F.col("node") != F.col("root.node")).where(fits)
-    return met.select(F.least("node", "root.node").alias("src"), F.greatest("node", "root.node").alias("dst")).distinct()
+    made = materialize(met.select(F.least("node", "root.node").alias("src"), F.greatest("node", "root.node").alias("dst")).distinct(), "stars")
+    discard(roots)
+    return made
 
 
 def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -390,6 +394,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     # sets that are in a pair are picked out first, so that the others don't move; written, as the planner then knows how many they are
     met = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "met")
     few = materialize(sets.select("node", "hashes").join(met, "node", "left_semi"), "few")
+    discard(met)
     one = few.select(F.col("node").alias("src"), F.col("hashes").alias("one"))
     two = few.select(F.col("node").alias("dst"), F.col("hashes").alias("two"))
     found = materialize(pairs.join(one, "src").join(two, "dst").select("src", "dst", "one", "two").mapInArrow(run, "src long, dst long"), "links")
@@ -408,16 +413,24 @@ def near_copies(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     that is less similar. A similar pair can be missed only if it shares keys that more than
     SMALL nodes have, and no hub links both.
     """
-    keys = materialize(with_degree(materialize(repeated_keys(prefix_keys(sets, similarity)), "repeated")), "keys")
+    keys = with_degree(materialize(repeated_keys(prefix_keys(sets, similarity)), "repeated"))
     # written, so that the joins are between plain exchanges and a root's rows can be split
-    first = materialize(simhash_pairs(sets).unionByName(star_pairs(keys, similarity)).distinct(), "pairs")
-    joined = materialize(components(similar(first, sets, similarity)), "components")
+    stars = star_pairs(keys, similarity)
+    first = materialize(simhash_pairs(sets).unionByName(stars).distinct(), "pairs")
+    discard(stars)
+    found = similar(first, sets, similarity)
+    discard(first)
+    joined = materialize(components(found), "components")
+    discard(found)
     rows = keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
     rest = materialize(rest_pairs(rows, similarity), "rest")
+    discard(keys)
     if rest.isEmpty():
         return joined
     # links between components, and one edge from each node to its component, which stands for the links found before
-    edges = similar(rest, sets, similarity).unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+    more = similar(rest, sets, similarity)
+    discard(rest)
+    edges = more.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst")))
     return materialize(components(edges), "components")
 
 
