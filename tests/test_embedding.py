@@ -43,9 +43,11 @@ def test_features_of_a_line_and_the_outlier(spark):
     for v in view:
         why = sorted((m for m in risk.MODELS if v[m] > 60), key=lambda m: (-v[m], m))
         assert v["explanation"] == ",".join(why)
-    assert {r["level"] for r in risk.risk_views(parts, risk.MODELS, level="MINIMAL").collect()} <= {"MINIMAL"}
     summary = risk.risk_summary(parts, risk.MODELS).first()
     levels = [r["level"] for r in parts.collect()]
+    for level in set(levels):
+        shown = risk.risk_views(parts, risk.MODELS, level=level, top=len(levels)).collect()
+        assert {r["level"] for r in shown} == {level} and len(shown) == levels.count(level)
     assert summary["lines"] == 401 and summary["minimal"] == levels.count("MINIMAL") and summary["corr_isolation"] > 0
 
 
