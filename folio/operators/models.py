@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +77,81 @@ def weak_labels(df: DataFrame) -> DataFrame:
     return f.crossJoin(F.broadcast(s)).withColumn("weak_label", rules.cast("int")).drop("p95", "p99", "nines")
 
 
+def usual_depth(n: np.ndarray) -> np.ndarray:
+    """Mean depth of a leaf in a tree of n rows."""
+    m = np.maximum(n, 2)
+    return np.where(n > 1, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m, 0.0)
+
+
+def forest_depths(forest: list[np.ndarray], columns: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from rows to their mean depth in the trees, node tables (column or -1, at, left, right, size).
+
+    A tree isn't walked: for each column and each range of values between the forest's cuts
+    there is a set of the tree's leaves that such values may reach, as bits; the one leaf that is
+    in the sets of all columns is the row's.
+    """
+    cuts = [np.unique(np.concatenate([t[t[:, 0] == c, 1] for t in forest] or [np.zeros(0)])) for c in range(columns)]
+
+    def table(t: np.ndarray) -> tuple[list[np.ndarray | None], np.ndarray]:
+        depths, far, parts = [], usual_depth(t[:, 4]), []
+
+        def walk(i: int, depth: int) -> None:
+            first = len(depths)
+            if t[i, 0] < 0:
+                depths.append(depth + far[i])
+                return
+            walk(int(t[i, 2]), depth + 1)
+            middle = len(depths)
+            walk(int(t[i, 3]), depth + 1)
+            parts.append((int(t[i, 0]), t[i, 1], first, middle, len(depths)))
+
+        walk(0, 0)
+        words = -(-len(depths) // 64)
+        bits = lambda a, b: np.array([(((1 << b) - (1 << a)) >> 64 * w) & (2**64 - 1) for w in range(words)], np.uint64)[:, None]
+        sets: list[np.ndarray | None] = [None] * columns
+        for c, at, first, middle, last in parts:
+            if sets[c] is None:
+                sets[c] = np.full((words, len(cuts[c]) + 1), 2**64 - 1, np.uint64)
+            k = int(np.searchsorted(cuts[c], at)) + 1
+            sets[c][:, k:] &= ~bits(first, middle)
+            sets[c][:, :k] &= ~bits(middle, last)
+        value = np.zeros((words, 65))
+        for i, d in enumerate(depths):
+            value[i // 64, i % 64] = d
+        return sets, value
+
+    tables = [table(t) for t in forest]
+    def mean_depth(x: np.ndarray) -> np.ndarray:
+        # how many cuts a value has reached; what is no number has reached all
+        rank = [np.searchsorted(cuts[c], x[:, c], side="right") for c in range(columns)]
+        # columns of few values are looked up once for each combination that a batch has
+        few = [c for c in range(columns) if np.count_nonzero(np.bincount(rank[c])) <= 32]
+        rest = [c for c in range(columns) if c not in few]
+        code = np.zeros(len(x), np.int64)
+        for c in few:
+            code = np.unique(code, return_inverse=True)[1] * (len(cuts[c]) + 1) + rank[c]
+        _, at, of = np.unique(code, return_index=True, return_inverse=True)
+        combined = {c: rank[c][at] for c in few}
+        depth = np.zeros(len(x))
+        for sets, value in tables:
+            found = np.zeros(len(x))
+            for w in range(len(value)):
+                # leaves that no column has cut off; bits beyond the last leaf have none
+                left = np.full(len(at), 2**64 - 1, np.uint64)
+                for c in few:
+                    if sets[c] is not None:
+                        left &= sets[c][w].take(combined[c])
+                left = left.take(of)
+                for c in rest:
+                    if sets[c] is not None:
+                        left &= sets[c][w].take(rank[c])
+                found += value[w].take(np.bitwise_count((left & (~left + np.uint64(1))) - np.uint64(1)))
+            depth += found
+        return depth / max(1, len(forest))
+
+    return mean_depth
+
+
 def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, lines: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Line features with an isolation-forest score (higher is odder) and whether it is among the top share.
 
@@ -115,23 +194,12 @@ def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination:
     grown = [t.sort_values("node")[["column", "at", "left", "right", "size"]].to_numpy() for _, t in forest.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(grown)
 
-    def usual(n: np.ndarray) -> np.ndarray:
-        m = np.maximum(n, 2)
-        return np.where(n > 1, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m, 0.0)
-
     @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        x = np.stack([c.to_numpy(float) for c in columns], axis=1)
-        depth = np.zeros(len(x))
-        for t in shared.value:
-            at, d = np.zeros(len(x), int), np.zeros(len(x))
-            while (inner := t[at, 0] >= 0).any():
-                c = t[at[inner]]
-                left = x[inner, c[:, 0].astype(int)] < c[:, 1]
-                at[inner] = np.where(left, c[:, 2], c[:, 3]).astype(int)
-                d[inner] += 1
-            depth += d + usual(t[at, 4])
-        return pd.Series(np.round(2.0 ** (-depth / max(1, len(shared.value)) / usual(np.array([float(sample)]))[0]), 6))
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        mean_depth = forest_depths(shared.value, len(cols))
+        for columns in batches:
+            x = np.stack([c.to_numpy(float) for c in columns], axis=1)
+            yield pd.Series(np.round(2.0 ** (-mean_depth(x) / usual_depth(np.array([float(sample)]))[0]), 6))
 
     shown = ["date", "account", "voucher", "label", "amount", *keep]
     scored = written(lines.withColumn("score", score(*[F.col(c).cast("double") for c in cols])).select(*shown, "score"), "scores")
@@ -140,17 +208,29 @@ def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination:
 
 
 def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
-    """Line features with the error of their linear reconstruction from k components."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    """Line features with the error of their linear reconstruction from k components.
 
+    The components are those of the columns' correlations, a matrix that one pass over the
+    lines sums up and the driver takes apart.
+    """
     lines = features(df)
-    rows = VectorAssembler(inputCols=list(MODEL_COLUMNS), outputCol="x").transform(lines.withColumns({c: F.col(c).cast("double") for c in MODEL_COLUMNS}))
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="x", outputCol="z").fit(rows).transform(rows)
-    made = PCA(k=k, inputCol="z", outputCol="y").fit(scaled).transform(scaled)
-    square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, v: s + v * v)
+    x = {c: F.col(c).cast("double") for c in MODEL_COLUMNS}
+    n, *moments = lines.agg(F.count("*"), *[f(x[c]) for c in MODEL_COLUMNS for f in (F.avg, F.stddev_samp)]).first()
+    mean, std = ([float(v or 0) for v in moments[i::2]] for i in (0, 1))
+    z, y = [f"__z{i}" for i in range(len(x))], [f"__y{i}" for i in range(k)]
+    rows = lines.withColumns({name: (x[c] - m) / s if s > 0 else F.lit(0.0) for name, c, m, s in zip(z, MODEL_COLUMNS, mean, std)})
+    pairs = [(i, j) for i in range(len(z)) for j in range(i + 1)]
+    sums = rows.agg(*[F.sum(F.col(z[i]) * F.col(z[j])) for i, j in pairs]).first()
+    cov = np.zeros((len(z), len(z)))
+    for (i, j), v in zip(pairs, sums):
+        cov[i, j] = cov[j, i] = (v or 0.0) / max(1, n - 1)
+    main = np.linalg.svd(cov)[0][:, :k]
+    # one column for each number: expressions over arrays would be worked out again for each use
+    made = rows.withColumns({name: reduce(add, (F.col(c) * float(v) for c, v in zip(z, axis))) for name, axis in zip(y, main.T)})
+    square = lambda names: reduce(add, (F.col(c) * F.col(c) for c in names))
     # components are orthonormal, so the error is the squared length that they leave
-    return made.withColumn("error", rounded(F.greatest(square("z") - square("y"), F.lit(0.0)))).withColumn("latent", vector_to_array("y")).select(*lines.columns, "error", "latent")
+    made = made.withColumn("__left", F.greatest(square(z) - square(y), F.lit(0.0)))
+    return made.select(*lines.columns, rounded(F.col("__left")).alias("error"), F.array(*y).alias("latent"))
 
 
 def latent_views(errors: DataFrame) -> DataFrame:
