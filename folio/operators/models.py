@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -225,12 +223,20 @@ def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
     for (i, j), v in zip(pairs, sums):
         cov[i, j] = cov[j, i] = (v or 0.0) / max(1, n - 1)
     main = np.linalg.svd(cov)[0][:, :k]
-    # one column for each number: expressions over arrays would be worked out again for each use
-    made = rows.withColumns({name: reduce(add, (F.col(c) * float(v) for c, v in zip(z, axis))) for name, axis in zip(y, main.T)})
-    square = lambda names: reduce(add, (F.col(c) * F.col(c) for c in names))
-    # components are orthonormal, so the error is the squared length that they leave
-    made = made.withColumn("__left", F.greatest(square(z) - square(y), F.lit(0.0)))
-    return made.select(*lines.columns, rounded(F.col("__left")).alias("error"), F.array(*y).alias("latent"))
+    centre, scale = np.array(mean), np.array([1 / s if s > 0 else 0.0 for s in std])
+
+    # in Python: as expressions beside the features these make a method that the JVM no longer compiles
+    @F.pandas_udf(", ".join(f"{name} double" for name in ["error", *y]))
+    def project(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            v = (np.stack([c.to_numpy(float) for c in columns], axis=1) - centre) * scale
+            latent = v @ main
+            # components are orthonormal, so the error is the squared length that they leave
+            left = np.maximum((v * v).sum(axis=1) - (latent * latent).sum(axis=1), 0.0)
+            yield pd.DataFrame(np.column_stack([left, latent]), columns=["error", *y])
+
+    made = lines.withColumn("__p", project(*x.values()))
+    return made.select(*lines.columns, rounded(F.col("__p.error")).alias("error"), F.array(*[F.col(f"__p.{c}") for c in y]).alias("latent"))
 
 
 def latent_views(errors: DataFrame) -> DataFrame:
