@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.columns import contains_any, first_of, matches_any, number, rounded, total
+from folio.functions.tables import written
 
 # Fixed values. A word begins at B: before it stands no letter, digit or underscore.
 B, E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
@@ -144,12 +148,32 @@ def recurring(df: DataFrame) -> DataFrame:
     return df.select("label").distinct().select("label", ((mean >= 0.7) | (n >= 2)).alias("recurring"), rounded(mean).alias("weight"))
 
 
+def piece_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each piece of k characters of the texts."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    row = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
+    n = max(0, len(chars) - k + 1)
+    h = np.full(n, k, np.uint64)
+    for j in range(k):
+        h = (h ^ chars[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    whole = left[:n] >= k
+    return row[:n][whole], h[whole]
+
+
+#: Bits of the table that tells pieces no name is looked up by, whatever the number of names.
+TABLE_BITS = 24
+
+
 def known_parties(df: DataFrame, n: int = 8) -> DataFrame:
     """(label, third_party): third parties of the ledger whose name is contained in a label, upper case.
 
     Each name is looked up by the piece of n characters that fewest names have (shorter
     names by themselves) among the label's pieces, then compared whole, so labels and names
-    meet in an equality join, also where most names begin alike.
+    meet in an equality join, also where most names begin alike. Of a label only those pieces
+    move whose hash is in a bit table of all names' pieces.
     """
     up = F.col("up")
     parties = df.where("third_party != ''").select("third_party").distinct().withColumn("up", F.upper("third_party"))
@@ -157,14 +181,32 @@ def known_parties(df: DataFrame, n: int = 8) -> DataFrame:
     of = parties.select("third_party", "up", F.explode(pieces).alias("piece"))
     count = of.groupBy("piece").agg(F.count("*").alias("names"))
     rarest = of.join(count, "piece").groupBy("third_party", "up").agg(F.min_by("piece", F.struct("names", "piece")).alias("piece"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [piece_hashes([t], len(t))[1][0] for t in b.column("piece").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.select(["third_party", "up"]).columns, pa.array(np.array(h, np.uint64).view(np.int64))], ["third_party", "up", "h"])
+
+    names = written(rarest.mapInArrow(hashed, "third_party string, up string, h long"), "names")
+    place = F.shiftrightunsigned("h", 64 - TABLE_BITS)
+    # 2 MB at most
+    words = names.select(F.shiftright(place, 5).alias("w"), F.pmod(place, F.lit(32)).cast("int").alias("b")).distinct().groupBy("w").agg(F.sum(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
+    table = np.zeros(1 << TABLE_BITS - 5, np.int64)
+    table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     # at most n lengths
     sizes = sorted(r[0] for r in parties.select(F.least(F.length("up"), F.lit(n))).distinct().collect())
-    labels = df.select("label").distinct().withColumn("t", F.upper("label"))
-
-    def cut(k: int) -> Column:
-        whole = F.transform(F.sequence(F.lit(1), F.length("t") - (k - 1)), lambda i: F.substring("t", i, F.lit(k)))
-        return F.when(F.length("t") >= k, whole).otherwise(F.array().cast("array<string>"))
-
-    kept = [cut(k) for k in sizes]
-    met = labels.select("label", "t", F.explode(F.array_distinct(F.concat(*kept) if kept else F.array().cast("array<string>"))).alias("piece"))
-    return met.join(rarest, "piece").where(F.col("t").contains(up)).select("label", "third_party").distinct()
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            for k in sizes:
+                row, h = piece_hashes(texts, k)
+                at = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                met = (shared.value[at >> 5] >> (at & 31)) & 1 > 0
+                pairs = np.unique(np.stack([row[met], h[met].view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(pairs[0])), pa.array(pairs[1])], ["label", "h"])
+
+    labels = df.select("label").where("label IS NOT NULL").distinct().select("label", F.upper("label").alias("t"))
+    # a label has a hash once for each length and a name has one, so no pair comes twice
+    return labels.mapInArrow(cut, "label string, h long").join(names, "h").where(F.upper("label").contains(up)).select("label", "third_party")
