@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def whole(col: str) -> Column:
     return F.format_string("%,d", F.round(col).cast("long"))
 
 
+def figure(col: Column) -> Column:
+    """A double as money; where doubles no longer hold every hundredth, by its hundredfold, rounded, as the SQL casts it."""
+    large = (F.round(col * 100).cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+    return F.when(F.abs(col) >= 2**53 / 100, large).otherwise(F.round(col, 2).cast("decimal(18,2)"))
+
+
 def score_report(q: DataFrame) -> DataFrame:
     """(section, rank, name, value, text) of the report on qualify()'s anomalies: score, weak and strong universes, recommendations, first anomalies.
 
@@ -89,7 +97,6 @@ def report_documents(q: DataFrame, keys: tuple[str, ...] = ("entity", "period"))
     anomalies of most impact, all of the group. A group without anomalies has no document.
     """
     keys = list(keys)
-    figure = lambda c: F.round(c, 2).cast("decimal(18,2)")
     i = written(qualify.impact(q, tuple(keys)), "impact")
     dim = F.broadcast(q.sparkSession.createDataFrame([(u,) for u, _, _ in UNIVERSES], "universe string"))
     sums = i.groupBy(*keys, "universe").agg(F.count("*").alias("anomalies"), F.sum("impact").alias("impact"), F.sum("amount").alias("amount"))
