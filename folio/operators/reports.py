@@ -53,7 +53,7 @@ def whole(col: str) -> Column:
 
 def figure(col: Column) -> Column:
     """A double as money; where doubles no longer hold every hundredth, by its hundredfold, rounded, as the SQL casts it."""
-    large = (F.round(col * 100).cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+    large = (F.round(col * 100).cast("long").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
     return F.when(F.abs(col) >= 2**53 / 100, large).otherwise(F.round(col, 2).cast("decimal(18,2)"))
 
 

@@ -43,6 +43,6 @@ def test_figures_are_those_of_sql_at_any_size(spark):
     import duckdb
     from pyspark.sql import functions as F
 
-    xs = [3898169485239411.5, 3898169485239411.0, -123456789012345.67, 254.886, 0.0, 123456789012.34]
+    xs = [3898169485239411.5, 3898169114620359.5, 3898169114620360.5, 3898169485239411.0, -123456789012345.67, 254.886, 0.0, 123456789012.34]
     got = [str(r[0]) for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(reports.figure(F.col("x"))).collect()]
     assert got == [duckdb.execute("SELECT CAST(CAST(round(?::DOUBLE, 2) AS DECIMAL(18,2)) AS VARCHAR)", [x]).fetchone()[0] for x in xs]
