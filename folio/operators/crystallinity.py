@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.columns import correlation, first_of, number, ratio, rounded
 from folio.functions.ranks import quantiles
+from folio.functions.tables import written
 from folio.operators.graph import sides
 
 COUPLE = ["account", "site"]
@@ -96,9 +97,10 @@ def journal_diversity(df: DataFrame) -> DataFrame:
 
 def cp_concentration(df: DataFrame) -> DataFrame:
     """Concentration of the first counterparty (smallest opposite account of the voucher) of each line; 1 without any."""
-    s = sides(df)
-    first = s.groupBy("voucher", (~F.col("debited")).alias("debited")).agg(F.min("account").alias("cp"))
-    own = s.select("voucher", "debited", *COUPLE, "lines").join(first, ["voucher", "debited"]).groupBy(*COUPLE, "cp").agg(F.sum("lines").alias("n"))
+    w = Window.partitionBy("voucher")
+    of = lambda debited: F.when(F.col("debited") == debited, F.struct(F.col("account").isNull(), F.col("account").alias("cp")))
+    first = F.when(F.col("debited"), F.min(of(False)).over(w)).otherwise(F.min(of(True)).over(w))
+    own = sides(df, "site").where("debited IS NOT NULL").withColumn("first", first).where("first IS NOT NULL").withColumn("cp", F.col("first.cp")).groupBy(*COUPLE, "cp").agg(F.sum("lines").alias("n"))
     h = _herfindahl(own, COUPLE)
     j = df.select(*COUPLE).distinct().join(h, COUPLE, "left")
     return j.select(*COUPLE, F.coalesce("k", F.lit(0)).alias("counterparties"), rounded(F.coalesce("hhi", F.lit(1.0))).alias("cp_hhi"), rounded(F.coalesce("top", F.lit(1.0))).alias("cp_top"))
@@ -157,6 +159,8 @@ def heat_map(i: DataFrame) -> DataFrame:
 
 def icc_stats(i: DataFrame) -> DataFrame:
     """One row for each universe that has couples and one, ALL, for all: couples, mean, deviation and median of the index, crystalline, amorphous and surprising couples, families, sites."""
+    # a row a couple, read twice
+    i = written(i, "index")
     flat = i.select("*", F.explode(F.array(F.lit("ALL"), F.col("universe"))).alias("of"))
     middle = quantiles(flat, ["of"], F.col("icc"), [0.5]).select(F.col("of").alias("group"), rounded(F.get("q", F.lit(0)), 6).alias("median"))
     g = flat.groupBy("of").agg(

@@ -1,16 +1,19 @@
 """Counterparty graph, its monthly changes, circuits, and topology.
 
-Vouchers are first summed by (voucher, account, side): debit and credit sides are
-then joined and each side's amount multiplied by the number of opposite lines,
-which gives every flow of the line-by-line product without making that product.
+Lines move once, to the place of their voucher, and are summed there by (voucher, account,
+side). Each side meets the accounts opposite and its amount is multiplied by the number of
+their lines, which gives every flow of the line-by-line product without making that product.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.columns import any_of, correlation, first_of, number, ratio, rounded, sum_if
+from folio.functions.columns import MONEY, any_of, correlation, first_of, number, ratio, rounded, sum_if
+from folio.functions.tables import written
 
 # Account family, kind of template, expected prefixes of counterparties.
 TEMPLATE_ROWS = [
@@ -77,32 +80,46 @@ COUPLINGS = [
 NEW_SCORE, GONE_SCORE, MIN_VOLUME, SPIKE = 0.8, 0.6, 100, 2.0
 
 
-def sides(df: DataFrame) -> DataFrame:
-    """(voucher, site, period, account, debited, lines, amount)."""
-    return df.where("voucher IS NOT NULL").groupBy("voucher", "site", "period", "account", (F.col("debit") > 0).alias("debited")).agg(F.count("*").alias("lines"), F.sum(F.abs("amount")).alias("amount"))
+#: Hundredths are summed in two parts, above and below this many, as longs: exact, and far cheaper than wide decimals.
+PART = 10**9
+
+
+def at_vouchers(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """(voucher, columns, debited) of the lines, those of a voucher in one place: the one shuffle of lines."""
+    return df.where("voucher IS NOT NULL").select("voucher", *columns, (F.col("debit") > 0).alias("debited")).repartition("voucher")
+
+
+def sides(df: DataFrame, *by: str) -> DataFrame:
+    """(voucher, by, account, debited, lines), in the voucher's place."""
+    return at_vouchers(df, *by, "account").groupBy("voucher", *by, "account", "debited").agg(F.count("*").alias("lines"))
 
 
 def opposed(s: DataFrame) -> DataFrame:
-    """Each row of sides() with each account on the other side of its voucher (other) and that one's lines (n).
+    """Each row of sides with each account on the other side of its voucher (other) and that one's lines (n).
 
-    Sums by voucher move once more, by voucher alone; both sides of the join share that shuffle.
+    The rows are in their voucher's place and are sorted there by it; a voucher's accounts are held as two lists.
     """
-    at = s.repartition("voucher")
-    other = at.groupBy("voucher", F.col("debited").alias("d"), F.col("account").alias("other")).agg(F.sum("lines").alias("n"))
-    return at.join(other.hint("merge"), "voucher").where("d != debited").drop("d")
+    w, entry = Window.partitionBy("voucher"), F.struct(F.col("account").alias("other"), F.col("lines").alias("n"))
+    both = s.where("debited IS NOT NULL").withColumns({"debits": F.collect_list(F.when(F.col("debited"), entry)).over(w), "credits": F.collect_list(F.when(~F.col("debited"), entry)).over(w)})
+    return both.select(*s.columns, F.inline(F.when(F.col("debited"), F.col("credits")).otherwise(F.col("debits"))))
 
 
 def arcs(df: DataFrame) -> DataFrame:
     """(voucher, source, dest, pairs): debit account × credit account of each voucher, with the number of line pairs."""
-    j = opposed(sides(df)).where("debited")
-    return j.groupBy("voucher", F.col("account").alias("source"), F.col("other").alias("dest")).agg(F.sum(F.col("lines") * F.col("n")).alias("pairs"))
+    return opposed(sides(df)).where("debited").select("voucher", F.col("account").alias("source"), F.col("other").alias("dest"), (F.col("lines") * F.col("n")).alias("pairs"))
 
 
 def flow(df: DataFrame) -> DataFrame:
     """(site, period, source, dest, volume, entries): each line's amount counted once for each opposite line of its voucher."""
-    j = opposed(sides(df))
+    cents = (F.abs("amount").cast(MONEY) * 100).cast("long")
+    lines = at_vouchers(df, "site", "period", "account", cents.alias("cents"))
+    high, low = F.expr(f"cents div {PART}"), F.col("cents") % PART
+    s = lines.groupBy("voucher", "site", "period", "account", "debited").agg(F.count("*").alias("lines"), F.sum(high).alias("high"), F.sum(low).alias("low"))
+    j = opposed(s)
     source, dest = F.when(F.col("debited"), F.col("account")).otherwise(F.col("other")), F.when(F.col("debited"), F.col("other")).otherwise(F.col("account"))
-    return j.groupBy("site", "period", source.alias("source"), dest.alias("dest")).agg(F.sum(F.col("amount") * F.col("n")).cast("decimal(28,2)").alias("volume"), F.sum(F.col("lines") * F.col("n")).alias("entries"))
+    g = j.groupBy("site", "period", source.alias("source"), dest.alias("dest")).agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("high", "low", "lines")])
+    whole = F.col("high").cast("decimal(20,0)") * F.lit(Decimal(PART // 100)) + F.col("low").cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    return g.select("site", "period", "source", "dest", whole.cast("decimal(28,2)").alias("volume"), F.col("lines").alias("entries"))
 
 
 def by_period(f: DataFrame) -> DataFrame:
@@ -118,7 +135,7 @@ def nodes(f: DataFrame) -> DataFrame:
 
 def signature(f: DataFrame) -> DataFrame:
     """Per month: arcs, nodes of both kinds, flow, mean degree, share of the five largest arcs."""
-    m = by_period(f)
+    m = written(by_period(f), "arcs")
     ranked = m.withColumn("rn", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("volume"), "source", "dest")))
     g = ranked.groupBy("period").agg(F.count("*").alias("arcs"), F.sum("volume").alias("flow"), F.sum(F.when(F.col("rn") <= 5, F.col("volume"))).alias("top"))
     n = m.select("period", F.explode(F.array("source", "dest")).alias("account")).distinct()
@@ -129,9 +146,8 @@ def signature(f: DataFrame) -> DataFrame:
 
 def steps(f: DataFrame) -> DataFrame:
     """Arcs of each month against the month present before it: (period, source, dest, before, now)."""
-    m = by_period(f)
-    # with the volume, so that both uses of the arcs share their shuffle
-    order = m.groupBy("period").agg(F.max("volume").alias("v")).select("period", F.lead("period").over(Window.orderBy("period")).alias("next"), F.lag("period").over(Window.orderBy("period")).alias("last"))
+    m = written(by_period(f), "arcs")
+    order = m.select("period").distinct().select("period", F.lead("period").over(Window.orderBy("period")).alias("next"), F.lag("period").over(Window.orderBy("period")).alias("last"))
     seen = F.array(
         F.struct(F.when(F.col("last").isNotNull(), F.col("period")).alias("period"), F.col("volume").alias("now"), F.lit(None).cast("decimal(38,2)").alias("before")),
         F.struct(F.col("next").alias("period"), F.lit(None).cast("decimal(38,2)").alias("now"), F.col("volume").alias("before")),
@@ -167,9 +183,7 @@ def templates(df: DataFrame) -> DataFrame:
 
 def counterparties(df: DataFrame) -> DataFrame:
     """(family, counterparty, pairs): line pairs of each account family with opposite accounts."""
-    a = arcs(df)
-    both = a.select(F.col("source").alias("x"), F.col("dest").alias("counterparty"), "pairs").unionByName(a.select(F.col("dest").alias("x"), F.col("source").alias("counterparty"), "pairs"))
-    return both.groupBy(F.substring("x", 1, 3).alias("family"), "counterparty").agg(F.sum("pairs").alias("pairs"))
+    return opposed(sides(df)).groupBy(F.substring("account", 1, 3).alias("family"), F.col("other").alias("counterparty")).agg(F.sum(F.col("lines") * F.col("n")).alias("pairs"))
 
 
 def judged(df: DataFrame) -> DataFrame:
@@ -207,7 +221,7 @@ def circuits(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
     P&L account's lines of the site in vouchers with a 401 or 512 account on the opposite side.
     """
     rows = df.withColumn("kind", circuit_kind(F.col("account"))).where("kind IS NOT NULL")
-    s = sides(df)
+    s = sides(df, "site")
     own = s.withColumn("kind", circuit_kind(F.col("account"))).where("kind IS NOT NULL").select("voucher", "debited", F.col("account").alias("balance"), "site", F.col("lines").alias("n"))
     pnl = s.where(F.substring("account", 1, 1).isin("6", "7")).select("voucher", (~F.col("debited")).alias("debited"), "account", F.col("lines").alias("k"))
     hits = own.join(pnl, ["voucher", "debited"]).groupBy("balance", "site", "account").agg(F.sum(F.col("n") * F.col("k")).alias("hits"))
@@ -273,6 +287,7 @@ def chart_distance(a: Column, b: Column) -> Column:
 def proximity(df: DataFrame) -> DataFrame:
     """(a, b, emergent, chart, arcs): of accounts with flow between them, 1 − flow both ways over the larger total, and the chart distance."""
     m = flow(df).groupBy("source", "dest").agg(F.sum("volume").alias("v"), F.sum("entries").alias("n")).where("source != dest")
+    m = written(m, "arcs")
     ends = m.select(F.col("source").alias("x"), "v").unionByName(m.select(F.col("dest").alias("x"), "v")).groupBy("x").agg(F.sum("v").alias("t"))
     pairs = m.groupBy(F.least("source", "dest").alias("a"), F.greatest("source", "dest").alias("b")).agg(F.sum("v").alias("v"), F.sum("n").alias("arcs"))
     of = lambda k: ends.select(F.col("x").alias(k), F.col("t").alias(f"t_{k}"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions.columns import first_of, number, ratio, rounded
 from folio.functions.tables import written
 from folio.operators.crystallinity import ASSET_PATTERNS, COUPLE, UNIVERSE_ROWS, _entropy, regularity
-from folio.operators.graph import sides
+from folio.operators.graph import opposed, sides
 
 # Words of bookkeeping that are no names.
 VOCABULARY = (
@@ -81,10 +81,7 @@ def ratios(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
 def counterparties(df: DataFrame) -> DataFrame:
     """Number of distinct opposite accounts in the vouchers of a couple's lines."""
-    s = sides(df)
-    opposite = s.select("voucher", (~F.col("debited")).alias("debited"), F.col("account").alias("other")).distinct()
-    own = s.select("voucher", "debited", *COUPLE).distinct()
-    return own.join(opposite, ["voucher", "debited"]).groupBy(*COUPLE, "other").agg(F.lit(1).alias("one")).groupBy(*COUPLE).agg(F.count("*").alias("counterparties"))
+    return opposed(sides(df, "site")).groupBy(*COUPLE, "other").agg(F.lit(1).alias("one")).groupBy(*COUPLE).agg(F.count("*").alias("counterparties"))
 
 
 def couple_features(df: DataFrame) -> DataFrame:

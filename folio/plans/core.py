@@ -25,7 +25,7 @@ def exported(led: DataFrame) -> DataFrame:
     return readers.read_delimited(led.sparkSession, path)
 
 
-@query("src01_read_delimited", "SELECT journal AS code, count(*) AS lines, sum(debit) AS debit, count(*) AS accented FROM ledger GROUP BY journal")
+@query("src01_read_delimited", "SELECT journal AS code, count(*) AS lines, sum(debit) AS debit, count(*) AS accented FROM ledger GROUP BY journal", once=True)
 def src01(led: DataFrame) -> DataFrame:
     df = exported(led)
     return df.groupBy(F.col("`Code Journal`").alias("code")).agg(F.count("*").alias("lines"), F.sum(F.col("DÉBIT").cast("decimal(18,2)")).alias("debit"), F.count_if(F.col("`Libellé écriture`").startswith("Écriture ")).alias("accented"))
@@ -54,7 +54,7 @@ def src05b(led: DataFrame) -> DataFrame:
     return found.groupBy("source", "account", "period").agg(F.count("*").alias("lines"), F.sum("amount").alias("net"), F.min("label").alias("label"))
 
 
-@query("src02_to_canonical", "SELECT account, period, journal, site AS axis_1, count(*) AS lines, sum(amount) AS net, min('Écriture ' || label) AS label FROM ledger GROUP BY ALL")
+@query("src02_to_canonical", "SELECT account, period, journal, site AS axis_1, count(*) AS lines, sum(amount) AS net, min('Écriture ' || label) AS label FROM ledger GROUP BY ALL", once=True)
 def src02(led: DataFrame) -> DataFrame:
     return readers.to_canonical(exported(led)).groupBy("account", "period", "journal", "axis_1").agg(F.count("*").alias("lines"), F.sum("amount").alias("net"), F.min("label").alias("label"))
 
@@ -84,6 +84,7 @@ def src05(led: DataFrame) -> DataFrame:
     "src06_summary",
     "SELECT count(*) AS rows, min(period) AS first_period, max(period) AS last_period, count(DISTINCT account) AS accounts, sum(debit) AS debit, sum(credit) AS credit, "
     "abs(sum(debit) - sum(credit)) < 0.01 AS balanced, string_agg(DISTINCT journal, ',' ORDER BY journal) AS journals, count(DISTINCT site) AS sites, string_agg(DISTINCT site, ',' ORDER BY site) AS site_values FROM ledger",
+    once=True,
 )
 def src06(led: DataFrame) -> DataFrame:
     return canonical.summary(led)
@@ -92,6 +93,7 @@ def src06(led: DataFrame) -> DataFrame:
 @query(
     "src07_load_v2",
     "SELECT year, journal, count(*) AS n, CAST(sum(debit) AS DECIMAL(18,2)) AS debit FROM (SELECT * REPLACE (CASE WHEN journal = 'AN' THEN 'OD' ELSE journal END AS journal) FROM ledger WHERE month <> 2) GROUP BY ALL",
+    once=True,
 )
 def src07(led: DataFrame) -> DataFrame:
     comma = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
