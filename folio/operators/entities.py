@@ -98,12 +98,14 @@ def found_in(text: str) -> Iterator[tuple[str, str, str, int, int, float]]:
 def entities(df: DataFrame) -> DataFrame:
     """(label, entities): found once per distinct label, in the order of their places; none in an empty label."""
 
-    @F.pandas_udf(ENTITIES)
-    def find(texts: pd.Series) -> pd.Series:
-        names = ("kind", "value", "normalized", "first", "last", "confidence")
-        return texts.map(lambda t: [dict(zip(names, e)) for e in sorted(found_in(t or ""), key=lambda e: e[3])])
+    names = ("kind", "value", "normalized", "first", "last", "confidence")
 
-    return df.select("label").distinct().withColumn("entities", find("label"))
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(entities=[[dict(zip(names, e)) for e in sorted(found_in(t or ""), key=lambda e: e[3])] for t in pdf["label"]])
+
+    # no function of a column: the planner would merge that into the aggregate and call it for each line
+    return df.select("label").distinct().mapInPandas(find, f"label string, entities {ENTITIES}")
 
 
 def label_features(df: DataFrame) -> DataFrame:

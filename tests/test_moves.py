@@ -5,6 +5,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import crystallinity, graph, universe
 from folio.sources import projection
@@ -60,3 +61,15 @@ def test_a_query_that_reads_once_writes_no_ledger(spark, monkeypatch):
 def test_periods(spark):
     df = derive(spark.createDataFrame([(d, "6", "OD", "v", "x", "S", None, Decimal(1), Decimal(0)) for d in (date(2000, 1, 3), date(1999, 12, 31), date(987, 2, 1), None)], SCHEMA))
     assert [r["period"] for r in df.collect()] == ["2000-01", "1999-12", "0987-02", None]
+
+
+def test_labels_are_parsed_once_each(spark):
+    from folio.operators import entities
+
+    df = lines(spark, ROWS).withColumn("label", F.when(F.col("site") == "S1", "FACTURE FA-2000-853 TOTAL 12,50 EUR"))
+    found = entities.entities(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Python lies above the shuffle of distinct labels
+    assert 0 <= plan.index("MapInPandas") < plan.index("Exchange hashpartitioning(label") and "ArrowEvalPython" not in plan
+    got = {r["label"]: [(e["kind"], e["normalized"], e["first"]) for e in r["entities"]] for r in found.collect()}
+    assert got[None] == [] and ("REFERENCE", "FA-2000-853", 8) in got["FACTURE FA-2000-853 TOTAL 12,50 EUR"]
