@@ -42,7 +42,11 @@ def parse_date(col: Column) -> Column:
     text = F.trim(col.cast("string"))
     plain = F.regexp_replace(text, r"[-.]", "/")
     forms = [F.try_to_timestamp(plain, F.lit(f)) for f in ("d/M/yyyy", "yyyy/M/d", "d/M/yy")]
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), *forms).cast("date")
+    whole = F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), *forms).cast("date")
+    # the usual shapes without formats, each of which costs an exception where it doesn't fit
+    part = lambda *at: F.concat_ws("-", *[F.substring(text, a, n) for a, n in at]).try_cast("date")
+    day_first = F.when(text.rlike(r"^\d\d[-./]\d\d[-./](?!0000)\d{4}\z"), part((7, 4), (4, 2), (1, 2)))
+    return day_first.when(text.rlike(r"^[1-9]\d{3}[-./]\d\d[-./]\d\d\z"), part((1, 4), (6, 2), (9, 2))).otherwise(whole)
 
 
 def parse_number(col: Column) -> Column:
@@ -57,7 +61,9 @@ def parse_amount(col: Column) -> Column:
     both = bare.contains(",") & bare.contains(".")
     european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     plain = F.when(both & comma_last, european).when(both, F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
-    return F.coalesce(plain.try_cast(MONEY), F.lit(0).cast(MONEY))
+    # most need no patterns
+    usual = F.when(~(col.cast("string").contains(",") & col.cast("string").contains(".")), F.replace(col.cast("string"), F.lit(","), F.lit(".")).try_cast(MONEY))
+    return F.coalesce(usual, plain.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def canonicalize(df: DataFrame, *kept: str) -> DataFrame:
