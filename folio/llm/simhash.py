@@ -38,6 +38,8 @@ BLOCK = 1 << 16
 SHARED = 4
 #: Nodes of a key up to which all pairs are looked at, and nodes that all others meet beyond.
 SMALL, HUBS = 12, 4
+#: Rows of a key that meet in one run when all its pairs are looked at; larger keys are parted into blocks that meet two by two.
+MEET = 2048
 
 
 def words_of(text: str) -> list[bytes]:
@@ -318,13 +320,28 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return made
 
 
-def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): pairs of different components that may be similar and meet under SHARED keys.
+def open_runs(rows: DataFrame) -> DataFrame:
+    """The rows, written, of the keys that nodes of several components have, with blocks, the number of parts of MEET rows."""
+    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    # written, so that the join is between plain exchanges and a hot key's rows can be split
+    several = materialize(spread.where("low < high").select("key", F.ceil(F.col("n") / MEET).cast("int").alias("blocks")), "several")
+    made = materialize(rows.drop("blocks").join(several, "key"), "open")
+    discard(several)
+    return made
+
+
+def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows with the component of their node, a node without links being its own."""
+    return rows.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): some pairs of different components that may be similar and meet under SHARED keys.
 
     rows: (key, node, size, pos, degree, component). Under keys that at most SMALL nodes have,
     all such pairs meet; under others, up to HUBS nodes with all others: those of largest
     degree that are in components of their own. So there are a few pairs a row, however large
-    a run is. Small sets that are similar may have fewer elements in common; they need as many.
+    a run is, and few components are left for rest_pairs, which looks at all.
     """
     need = similarity / (1 + similarity)
     names = ["key", "node", "size", "pos", "degree", "component"]
@@ -378,6 +395,72 @@ def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("src", "dst")
 
 
+def rest_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): all pairs of different components that may be similar and meet under SHARED keys.
+
+    rows: (key, node, size, pos, component, blocks). A key's rows are dealt into blocks, of which
+    each meets each in a run of its own, so that no task holds a large key. In a run only
+    sizes that may be similar are compared. Small sets that are similar may have fewer
+    elements in common; they need as many.
+    """
+    need = similarity / (1 + similarity)
+    names = ["key", "one", "two", "mine", "node", "size", "pos", "component"]
+
+    def pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        one, two, least = (np.concatenate(c) for c in zip(*found))
+        each, n = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two), least]), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(n)], ["src", "dst", "least", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(names), 0), np.int64)
+
+        def done(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
+            found, n = [], 0
+            for s, e in zip([0, *cut], [*cut, held.shape[1]]):
+                part = held[7, s:e]
+                if (part == part[0]).all():
+                    continue
+                # by size, so that a set's partners that aren't smaller are the rows behind it up to a place
+                mine, node, size, pos, part = held[3:, s:e][:, np.argsort(held[5, s:e], kind="stable")]
+                across = held[1, s] != held[2, s]
+                left = size - pos + SHARED - 1
+                ends = np.searchsorted(size, left / need - size + 1e-6, side="right")
+                for i in np.flatnonzero(ends > np.arange(1, len(size) + 1)):
+                    others = slice(i + 1, ends[i])
+                    common = np.ceil(need * (size[others] + size[i]) - 1e-9).astype(np.int64)
+                    fits = (part[others] != part[i]) & (np.minimum(left[others], left[i]) >= common)
+                    if across:
+                        fits &= mine[others] != mine[i]
+                    new = node[others][fits]
+                    if len(new):
+                        found.append((np.full(len(new), node[i]), new, np.minimum(common[fits], SHARED)))
+                        n += len(new)
+                    if n > BLOCK:
+                        yield pairs(found)
+                        found, n = [], 0
+            if n:
+                yield pairs(found)
+
+        for b in batches:
+            if not len(b):
+                continue
+            held = np.concatenate([held, np.stack([b.column(n).to_numpy().astype(np.int64) for n in names])], axis=1)
+            same = (held[:3] == held[:3, -1:]).all(axis=0)
+            last = len(same) - int(same.sum())
+            if last:
+                yield from done(held[:, :last])
+                held = held[:, last:]
+        if held.shape[1]:
+            yield from done(held)
+
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    runs = dealt.withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other")).select(*names)
+    placed = runs.repartition(partitions(rows.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    met = placed.mapInArrow(run, "src long, dst long, least long, n long")
+    return met.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("src", "dst")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (src, dst) whose sets have a Jaccard similarity of at least similarity, written."""
 
@@ -408,30 +491,40 @@ def near_copies(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     First come the pairs with fingerprints within 2 bits. Every other such pair has SHARED
     keys in common (prefix_keys): of each key one node meets the others, then, between the
-    components that these pairs make, all meet where few have the key, and some hubs meet the
-    others where many have it. All pairs are compared on the whole sets, so no pair is linked
-    that is less similar. A similar pair can be missed only if it shares keys that more than
-    SMALL nodes have, and no hub links both.
+    components that these pairs make, some hubs meet the others. What is then still in several
+    components under a key meets there whole (rest_pairs), so no similar pair is missed. All
+    pairs are compared on the whole sets, so no pair is linked that is less similar.
     """
     keys = with_degree(materialize(repeated_keys(prefix_keys(sets, similarity)), "repeated"))
     # written, so that the joins are between plain exchanges and a root's rows can be split
     stars = star_pairs(keys, similarity)
     first = materialize(simhash_pairs(sets).unionByName(stars).distinct(), "pairs")
     discard(stars)
-    found = similar(first, sets, similarity)
-    discard(first)
-    joined = materialize(components(found), "components")
-    discard(found)
-    rows = keys.join(joined, "node", "left").select(*keys.columns, F.coalesce("component", "node").alias("component"))
-    rest = materialize(rest_pairs(rows, similarity), "rest")
+    joined = linked(first, sets, similarity)
+    left = open_runs(with_component(keys, joined))
     discard(keys)
-    if rest.isEmpty():
-        return joined
-    # links between components, and one edge from each node to its component, which stands for the links found before
-    more = similar(rest, sets, similarity)
-    discard(rest)
-    edges = more.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-    return materialize(components(edges), "components")
+    for pairs_of in (hub_pairs, rest_pairs):
+        rest = materialize(pairs_of(left, similarity), "rest")
+        if not rest.isEmpty():
+            joined = linked(rest, sets, similarity, joined)
+            if pairs_of is hub_pairs:
+                before, left = left, open_runs(with_component(left, joined))
+                discard(before)
+        else:
+            discard(rest)
+    discard(left)
+    return joined
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float, joined: DataFrame | None = None) -> DataFrame:
+    """(node, component), written, by those of pairs, a table that goes, that are similar, and by the components found before."""
+    found = similar(pairs, sets, similarity)
+    discard(pairs)
+    # one edge from each node to its component stands for the links found before
+    edges = found if joined is None else found.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+    made = materialize(components(edges), "components")
+    discard(found)
+    return made
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
