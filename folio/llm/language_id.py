@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ def score_word(model: Model, word: str) -> np.ndarray | None:
 class Scorer:
     """Predictions with the scores of words met so far in one matrix, a row for each."""
 
-    def __init__(self, model: Model, most: int = 500_000) -> None:
+    def __init__(self, model: Model, most: int = 150_000) -> None:
         self.model, self.most = model, most
         self._reset()
 
@@ -187,7 +188,8 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        # by slices, as a batch of whole texts is large
+        for b in chain.from_iterable((whole.slice(i, 512) for i in range(0, len(whole), 512)) for whole in batches):
             texts = b.column(at).to_pylist()
             if scorer.model.langs:
                 kept = [lang != UNKNOWN and score >= least for lang, score in map(scorer.predict, texts)]

@@ -321,18 +321,20 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def open_runs(rows: DataFrame) -> DataFrame:
-    """The rows, written, of the keys that nodes of several components have, with blocks, the number of parts of MEET rows."""
+    """The rows, of a table that goes, of the keys that nodes of several components have, with blocks, the number of parts of MEET rows."""
     spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     # written, so that the join is between plain exchanges and a hot key's rows can be split
     several = materialize(spread.where("low < high").select("key", F.ceil(F.col("n") / MEET).cast("int").alias("blocks")), "several")
     made = materialize(rows.drop("blocks").join(several, "key"), "open")
-    discard(several)
+    discard(rows, several)
     return made
 
 
 def with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """rows with the component of their node, a node without links being its own."""
-    return rows.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """rows, of a table that goes, with the component of their node, a node without links being its own."""
+    made = materialize(rows.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    discard(rows)
+    return made
 
 
 def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -502,14 +504,12 @@ def near_copies(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     discard(stars)
     joined = linked(first, sets, similarity)
     left = open_runs(with_component(keys, joined))
-    discard(keys)
     for pairs_of in (hub_pairs, rest_pairs):
         rest = materialize(pairs_of(left, similarity), "rest")
         if not rest.isEmpty():
             joined = linked(rest, sets, similarity, joined)
             if pairs_of is hub_pairs:
-                before, left = left, open_runs(with_component(left, joined))
-                discard(before)
+                left = open_runs(with_component(left, joined))
         else:
             discard(rest)
     discard(left)
