@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,8 +26,32 @@ class Model:
     """Log frequencies by language (rows of equal length, in the order of langs)."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: Mapping[str, np.ndarray]
+    grams: Mapping[str, np.ndarray]
+
+    def packed(self) -> Model:
+        """The same model with its rows in two matrices, as tasks hold it."""
+        return self if isinstance(self.words, Rows) else Model(self.langs, Rows(self.words, len(self.langs)), Rows(self.grams, len(self.langs)))
+
+
+class Rows(Mapping):
+    """Rows by token in one matrix: an array for each would take several times as much of every worker."""
+
+    def __init__(self, rows: Mapping[str, np.ndarray], width: int) -> None:
+        self.at = {token: i for i, token in enumerate(rows)}
+        self.table = np.array(list(rows.values()), np.float64).reshape(len(rows), width)
+
+    def __getitem__(self, token: str) -> np.ndarray:
+        return self.table[self.at[token]]
+
+    def __contains__(self, token: object) -> bool:
+        return token in self.at
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.at)
+
+    def __len__(self) -> int:
+        return len(self.at)
 
 
 def letters(text: str) -> list[str]:
@@ -119,12 +143,12 @@ class Scorer:
     """Predictions with the scores of words met so far in one matrix, a row for each."""
 
     def __init__(self, model: Model, most: int = 150_000) -> None:
-        self.model, self.most = model, most
+        self.model, self.most = model.packed(), most
         self._reset()
 
     def _reset(self) -> None:
-        self.row = {w: i for i, w in enumerate(self.model.words)}
-        known = np.array(list(self.model.words.values())).reshape(len(self.row), len(self.model.langs))
+        known = self.model.words.table
+        self.row = self.model.words.at.copy()
         self.table = np.zeros((len(known) + 4096, len(self.model.langs)))
         self.table[: len(known)] = known
 
@@ -159,7 +183,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ties go to the first language in code point order. Repeated rows get equal
     results; an empty table gives an empty result; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -181,9 +205,10 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Rejected are texts without letters and texts whose words speak for no language.
     Each row is judged by its own text, whatever its id. Where no row has a label, no
-    language is known and only texts without letters are rejected.
+    language is known and only texts without letters are rejected. The rows are written,
+    so that Python gets few of them at a time whoever reads them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(learned_rows(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(learned_rows(docs)).packed())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +222,4 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 kept = [bool(letters(t or "")) for t in texts]
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return materialize(docs.mapInArrow(run, docs.schema), "identified")

@@ -98,3 +98,35 @@ def test_score_is_that_of_a_plain_version(spark):
         p = [math.exp(x - max(total)) for x in total]
         lang, score = scorer.predict(t)
         assert lang == m.langs[max(range(len(p)), key=lambda k: (total[k], -k))] and abs(score - max(p) / sum(p)) < 2e-6
+
+
+def test_tasks_hold_the_model_in_matrices():
+    """An array for each token takes several times as much of every worker; scores are the same."""
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    plain = op.Model(["de", "en", "fr"], {f"word{i}": r.random(3) for i in range(3000)}, {f"{i:05}": r.random(3) for i in range(10_000)})
+
+    def held(model):
+        data = pickle.dumps(model)
+        tracemalloc.start()
+        got = pickle.loads(data)
+        size = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        return got, size
+
+    got, size = held(op.Scorer(plain).model)
+    assert size < 0.75 * held(plain)[1]
+    assert list(got.words) == list(plain.words) and list(got.grams) == list(plain.grams)
+    for w in ["word7", "a00012b", "00001" * 3, "none"]:
+        assert np.array_equal(op.score_word(got, w), op.score_word(plain, w)) or op.score_word(plain, w) is None is op.score_word(got, w)
+    assert op.Scorer(got).predict("word7 word8 word9") == op.Scorer(plain).predict("word7 word8 word9")
+
+
+def test_who_reads_the_kept_rows_runs_no_python(spark):
+    """The stage writes its rows itself, in small batches; a plain write of a lazy result gave Python 10 000 whole texts at once."""
+    kept = op.drop_unidentified(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    assert kept.inputFiles() and "MapInArrow" not in kept._jdf.queryExecution().toString()
