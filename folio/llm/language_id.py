@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, plain
+from folio.llm.common import fresh, materialize, plain, text_id
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -205,21 +205,24 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Rejected are texts without letters and texts whose words speak for no language.
     Each row is judged by its own text, whatever its id. Where no row has a label, no
-    language is known and only texts without letters are rejected. The rows are written,
-    so that Python gets few of them at a time whoever reads them.
+    language is known and only texts without letters are rejected. Only the hashes of
+    rejected texts come back from Python; they are written, which gives it few texts at a
+    time whoever reads the rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(learned_rows(docs)).packed())
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         # by slices, as a batch of whole texts is large
         for b in chain.from_iterable((whole.slice(i, 512) for i in range(0, len(whole), 512)) for whole in batches):
-            texts = b.column(at).to_pylist()
+            texts = b.column(1).to_pylist()
             if scorer.model.langs:
                 kept = [lang != UNKNOWN and score >= least for lang, score in map(scorer.predict, texts)]
             else:
-                kept = [bool(letters(t or "")) for t in texts]
-            yield b.filter(pa.array(kept, pa.bool_()))
+                kept = [bool(letters(t)) for t in texts]
+            yield b.select([0]).filter(pa.array([not k for k in kept], pa.bool_()))
 
-    return materialize(docs.mapInArrow(run, docs.schema), "identified")
+    (sha,) = fresh(docs, "rejected")
+    rows = plain(docs, text="text").select(text_id(F.col("text")).alias(sha), "text")
+    rejected = materialize(rows.mapInArrow(run, f"{sha} string").distinct(), "rejected")
+    return docs.join(rejected, text_id(docs["text"]) == rejected[sha], "left_anti")

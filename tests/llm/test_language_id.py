@@ -127,6 +127,8 @@ def test_tasks_hold_the_model_in_matrices():
 
 
 def test_who_reads_the_kept_rows_runs_no_python(spark):
-    """The stage writes its rows itself, in small batches; a plain write of a lazy result gave Python 10 000 whole texts at once."""
-    kept = op.drop_unidentified(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
-    assert kept.inputFiles() and "MapInArrow" not in kept._jdf.queryExecution().toString()
+    """A plain write of a lazy result gave Python 10 000 whole texts at once; copies of a rejected text go under all ids."""
+    rows = corpus() + [(i, t, None) for i in (None, 900, 901, 901) for t in (None, "", "12 34")]
+    kept = op.drop_unidentified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    assert sorted(map(tuple, kept.collect())) == sorted(corpus())
