@@ -147,17 +147,20 @@ def qualify_summary(q: DataFrame) -> DataFrame:
     )
 
 
-def impact(q: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Anomalies (the rows that passed) with their impact: pertinence by universe weight and share of all amounts at stake, of those with the same keys."""
+def impact(q: DataFrame, keys: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Anomalies (the rows that passed) with their impact: pertinence by universe weight and share of all amounts at stake, of those with the same keys.
+
+    keep: further columns to keep.
+    """
     dim = F.broadcast(q.sparkSession.createDataFrame([(u, w) for u, _, w in UNIVERSES], "universe string, weight double"))
-    passed = q.where("filter_reason = 'PASSED'").select(*keys, "id", "family", "universe", "test", "pertinence", "amount")
+    passed = q.where("filter_reason = 'PASSED'").select(*keys, *keep, "id", "family", "universe", "test", "pertinence", "amount")
     every = F.sum("amount").over(Window.partitionBy(*keys or [F.lit(0)]))
     share = F.log10(1 + F.col("amount") / F.greatest(every, F.lit(1.0))) * 3 + 1
     factor = F.when((every > 0) & (F.col("amount") > 0), F.least(F.lit(2.0), F.greatest(F.lit(0.5), share))).otherwise(1.0)
     j = passed.withColumn("factor", factor).join(dim, "universe", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     base = F.col("pertinence") / 100 * MOST_IMPACT
     return j.select(
-        *keys, "id", "family", "universe", "test", "pertinence", "amount", rounded(base).alias("base_impact"), "weight", rounded(F.col("factor")).alias("factor"),
+        *keys, *keep, "id", "family", "universe", "test", "pertinence", "amount", rounded(base).alias("base_impact"), "weight", rounded(F.col("factor")).alias("factor"),
         rounded(F.least(F.lit(MOST_IMPACT), base * F.col("weight") * F.col("factor"))).alias("impact"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,22 @@ def figure(col: Column) -> Column:
     return F.when(F.abs(col) >= 2**53 / 100, large).otherwise(F.round(col, 2).cast("decimal(18,2)"))
 
 
+def figure_of_product(col: Column) -> Column:
+    """A double as money as DuckDB rounds it: the double nearest to its hundredfold, not its digits (70.475 is 70.47), and once more in the cast."""
+    hundredfold = F.round(F.round(col * 100) / 100 * 100).cast("long")
+    return (hundredfold.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+
+
+def sums_in_order(i: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """(keys, anomalies, impact, amount, families) of impact()'s anomalies; doubles are added one by one, those last in order first.
+
+    A sum of doubles hangs on its order, so an order that the shuffle leaves open gives other last digits each time.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = i.withColumns({"__n": F.count("*").over(w), **{f"__{c}": F.sum(c).over(w) for c in ("impact", "amount")}})
+    return run.groupBy(*keys).agg(F.count("*").alias("anomalies"), *[F.max_by(f"__{c}", "__n").alias(c) for c in ("impact", "amount")], F.count_distinct("family").alias("families"))
+
+
 def score_report(q: DataFrame) -> DataFrame:
     """(section, rank, name, value, text) of the report on qualify()'s anomalies: score, weak and strong universes, recommendations, first anomalies.
 
@@ -89,17 +106,20 @@ def score_report(q: DataFrame) -> DataFrame:
     return out
 
 
-def report_documents(q: DataFrame, keys: tuple[str, ...] = ("entity", "period")) -> DataFrame:
+def report_documents(q: DataFrame, keys: tuple[str, ...] = ("entity", "period"), order: tuple[str, ...] = ("id",), figure: Callable[[Column], Column] = figure) -> DataFrame:
     """(keys, document): for each group of qualify()'s anomalies its report as JSON, all groups in one pass.
 
     A document has the score and its level, the impact and amount, each universe's figures,
     the three weakest and strongest universes, up to five recommendations, and the five
     anomalies of most impact, all of the group. A group without anomalies has no document.
+
+    order: columns by which impacts and amounts are summed up, the last first; ids end it, so that one order is left.
+    figure: how doubles become money.
     """
+    i = written(qualify.impact(q, tuple(keys), tuple(c for c in order if c != "id")), "impact")
     keys = list(keys)
-    i = written(qualify.impact(q, tuple(keys)), "impact")
     dim = F.broadcast(q.sparkSession.createDataFrame([(u,) for u, _, _ in UNIVERSES], "universe string"))
-    sums = i.groupBy(*keys, "universe").agg(F.count("*").alias("anomalies"), F.sum("impact").alias("impact"), F.sum("amount").alias("amount"))
+    sums = sums_in_order(i, [*keys, "universe"], order).drop("families")
     every = i.select(*keys).distinct().crossJoin(dim).join(sums, [*keys, "universe"], "left").fillna({"anomalies": 0, "impact": 0.0, "amount": 0.0})
     score_of = lambda t: rounded(F.greatest(100 - t, F.lit(0.0)), 3)
     templates = F.broadcast(q.sparkSession.createDataFrame(BY_UNIVERSE, "universe string, template string"))
@@ -108,12 +128,11 @@ def report_documents(q: DataFrame, keys: tuple[str, ...] = ("entity", "period"))
     entry = F.struct("score", "universe", "anomalies", figure(F.col("impact")).alias("impact"), figure(F.col("amount")).alias("amount"), "advice")
     # ten universes a group
     universes = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("u"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("impact"), "id")
-    first = i.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    most = Window.partitionBy(*keys).orderBy(F.desc("impact"), "id")
+    first = i.withColumn("rank", F.row_number().over(most)).where("rank <= 5")
     shown = F.struct("rank", "id", "family", "test", "universe", figure(F.col("impact")).alias("impact"), figure(F.col("pertinence")).alias("pertinence"), figure(F.col("amount")).alias("amount"), whole("amount").alias("whole"))
     top = first.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("t"))
-    sums = i.groupBy(*keys).agg(F.count("*").alias("anomalies"), F.sum("impact").alias("impact"), F.sum("amount").alias("amount"), F.count_distinct("family").alias("families"))
-    j = sums.join(universes, keys).join(top, keys).withColumn("score", score_of(F.col("impact")))
+    j = sums_in_order(i, keys, order).join(universes, keys).join(top, keys).withColumn("score", score_of(F.col("impact")))
     level = first_of([(F.col("score") >= t, name) for t, name in qualify.SCORE_LEVELS], "CRITIQUE")
     j = j.withColumn("level", level)
     brief = lambda rows: F.transform(rows, lambda x: F.struct(x["universe"].alias("universe"), figure(x["score"]).alias("score"), x["anomalies"].alias("anomalies")))

@@ -46,3 +46,27 @@ def test_figures_are_those_of_sql_at_any_size(spark):
     xs = [3898169485239411.5, 3898169114620359.5, 3898169114620360.5, 3898169485239411.0, -123456789012345.67, 254.886, 0.0, 123456789012.34]
     got = [str(r[0]) for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(reports.figure(F.col("x"))).collect()]
     assert got == [duckdb.execute("SELECT CAST(CAST(round(?::DOUBLE, 2) AS DECIMAL(18,2)) AS VARCHAR)", [x]).fetchone()[0] for x in xs]
+
+
+def test_figures_round_as_sql_does(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    xs = [1.005, 70.475, 60.885, 60.88499999999999, -1.005, 2.675, 127644689667403.27, 127644689667403.28, -8.5, *[k / 10_000 for k in range(25, 150_000, 137)], *[k * 1e9 + k / 1e4 for k in range(25, 150_000, 137)]]
+    got = [str(r[0]) for r in spark.createDataFrame(list(enumerate(xs)), "i int, x double").orderBy("i").select(reports.figure_of_product(F.col("x"))).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT CAST(CAST(round(?::DOUBLE, 2) AS DECIMAL(18,2)) AS VARCHAR)", [x]).fetchone()[0] for x in xs]
+
+
+def test_sums_go_in_their_order(spark):
+    """Six impacts that sum up to 60.885 or just below it, and amounts whose last digit hangs on the order."""
+    rows = [("i%d" % i, p, impact, amount) for i, (p, impact, amount) in enumerate([(0.0, 10.8, 1e16), (0.0, 10.8, 1.0), (0.0, 10.8, 1.0), (0.2, 9.495, 1.0), (0.2, 9.495, 1.0), (0.1, 9.495, 1.0)])]
+    for seed in range(3):
+        i = spark.createDataFrame([("k", "f", *r) for r in rows], "key string, family string, id string, p double, impact double, amount double").repartition(3 + seed)
+        got = reports.sums_in_order(i, ["key"], ("p", "id")).first().asDict()
+        up = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+        impact = amount = 0.0
+        for _, _, x, a in up:
+            impact, amount = impact + x, amount + a
+        assert got == {"key": "k", "anomalies": 6, "impact": impact, "amount": amount, "families": 1}
+    assert impact == 60.88499999999999 and amount == 1e16 + 4
