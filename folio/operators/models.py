@@ -26,10 +26,13 @@ def first_digit(amount: Column) -> Column:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """Calendar, amount, account and journal features of each line; Monday is 0."""
+    """Calendar, amount, account and journal features of each line; Monday is 0.
+
+    What is known of accounts and days is written first, so that its size is: lines don't move to it unless it is large.
+    """
     a = number(F.abs("amount"))
-    by_account = df.groupBy("account").agg(F.avg(a).alias("account_mean"), F.stddev_samp(a).alias("account_std"), F.count("*").alias("account_lines"))
-    by_day = df.groupBy("date").agg(F.count("*").alias("day_lines"))
+    by_account = written(df.groupBy("account").agg(F.avg(a).alias("account_mean"), F.stddev_samp(a).alias("account_std"), F.count("*").alias("account_lines")), "accounts")
+    by_day = written(df.groupBy("date").agg(F.count("*").alias("day_lines")), "days")
     day, weekday = F.dayofmonth("date"), F.weekday("date")
     std = F.when(F.coalesce("account_std", F.lit(1.0)) == 0, 1.0).otherwise(F.coalesce("account_std", F.lit(1.0)))
     flag = lambda c: c.cast("int")
@@ -50,7 +53,7 @@ def journal_index(df: DataFrame) -> DataFrame:
 def isolation_top(df: DataFrame, scored: DataFrame, most: int = 20, influences: int = 3) -> DataFrame:
     """(rank, account, voucher, label, amount, score, influence): the first outliers, with the features that are farthest from their mean in deviations, as name=z.
 
-    scored: isolation() of df, with the model's columns kept.
+    scored: isolation() of df, with the model's columns kept, of most lines at least.
     """
     means = features(df).agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in MODEL_COLUMNS for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     order = Window.orderBy(F.desc("score"), F.desc(F.abs("amount")), "voucher", "account", "label")
@@ -150,17 +153,31 @@ def forest_depths(forest: list[np.ndarray], columns: int) -> Callable[[np.ndarra
     return mean_depth
 
 
-def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, lines: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Line features with an isolation-forest score (higher is odder) and whether it is among the top share.
+Scores = Callable[[np.ndarray], np.ndarray]
+
+
+def applied(lines: DataFrame, name: str, fields: list[str], make: Callable[[], Scores]) -> DataFrame:
+    """lines with a struct of doubles, which a function that each task makes gives for the model's columns of a batch.
+
+    In Python: as expressions beside the features these make a method that the JVM no longer compiles.
+    """
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        made = make()
+        for columns in batches:
+            yield pd.DataFrame(made(np.stack([c.to_numpy(float) for c in columns], axis=1)), columns=fields)
+
+    return lines.withColumn(name, run(*[F.col(c).cast("double") for c in MODEL_COLUMNS]))
+
 
-    lines: features() of df, if there already, with columns to keep. The limit of the share
-    is a quantile to within 1 / ACCURACY of the lines.
+def isolation_scores(lines: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> Callable[[], Scores]:
+    """Makes the function from rows to their isolation-forest scores, one column.
 
     Each tree is built by a task on about sample lines, chosen for it by a hash (the forest's
-    documented bound); all lines are scored, with the forest broadcast: at most trees × 2 × sample nodes.
+    documented bound). The forest is broadcast: at most trees × 2 × sample nodes.
     """
     cols = list(MODEL_COLUMNS)
-    lines = features(df) if lines is None else lines
     n = max(1, lines.count())
     key = F.xxhash64("voucher", "account", "label", "amount", "date")
     share = min(1.0, trees * sample / n)
@@ -190,32 +207,54 @@ def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination:
 
     forest = picked.groupBy("tree").applyInPandas(grow, "column double, at double, left double, right double, size double, tree long, node long").toPandas()
     grown = [t.sort_values("node")[["column", "at", "left", "right", "size"]].to_numpy() for _, t in forest.groupby("tree")]
-    shared = df.sparkSession.sparkContext.broadcast(grown)
+    shared = lines.sparkSession.sparkContext.broadcast(grown)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        mean_depth = forest_depths(shared.value, len(cols))
-        for columns in batches:
-            x = np.stack([c.to_numpy(float) for c in columns], axis=1)
-            yield pd.Series(np.round(2.0 ** (-mean_depth(x) / usual_depth(np.array([float(sample)]))[0]), 6))
+    def make() -> Scores:
+        mean_depth, usual = forest_depths(shared.value, len(cols)), usual_depth(np.array([float(sample)]))[0]
+        return lambda x: np.round(2.0 ** (-mean_depth(x) / usual), 6)[:, None]
+
+    return make
+
+
+def isolation(df: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Lines with their isolation-forest score (higher is odder) and whether it is among the top share.
+
+    keep: columns of features() to keep. most: how many of the first lines are wanted: only of
+    those that may be among them, ties included, other columns than the score are kept and written.
+    All lines are scored. The limit of the share is a quantile to within 1 / ACCURACY of the lines.
+    """
+    lines = features(df)
+    scores = isolation_scores(lines, trees, sample, seed)
+
+    def make() -> Scores:
+        score = scores()
+
+        def run(x: np.ndarray) -> np.ndarray:
+            s = score(x)
+            # a line below the first ones of its batch is below the first of all
+            near = np.ones_like(s) if most is None or len(s) <= most else s >= np.partition(s[:, 0], -most)[-most]
+            return np.column_stack([s, near])
+
+        return run
 
     shown = ["date", "account", "voucher", "label", "amount", *keep]
-    scored = written(lines.withColumn("score", score(*[F.col(c).cast("double") for c in cols])).select(*shown, "score"), "scores")
+    made = applied(lines, "__s", ["score", "near"], make)
+    kept = [F.col(c) if most is None else F.when(F.col("__s.near") > 0, F.col(c)).alias(c) for c in shown]
+    scored = written(made.select(*kept, F.col("__s.score").alias("score")), "scores")
     limit = F.broadcast(scored.agg(F.percentile_approx("score", 1 - contamination, ACCURACY).alias("limit")))
     return scored.crossJoin(limit).select(*shown, "score", (F.col("score") > F.col("limit")).alias("is_outlier"))
 
 
-def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
-    """Line features with the error of their linear reconstruction from k components.
+def components(lines: DataFrame, k: int = 4) -> Callable[[], Scores]:
+    """Makes the function from rows to the error of their linear reconstruction from k components, and their places along these.
 
     The components are those of the columns' correlations, a matrix that one pass over the
     lines sums up and the driver takes apart.
     """
-    lines = features(df)
     x = {c: F.col(c).cast("double") for c in MODEL_COLUMNS}
     n, *moments = lines.agg(F.count("*"), *[f(x[c]) for c in MODEL_COLUMNS for f in (F.avg, F.stddev_samp)]).first()
     mean, std = ([float(v or 0) for v in moments[i::2]] for i in (0, 1))
-    z, y = [f"__z{i}" for i in range(len(x))], [f"__y{i}" for i in range(k)]
+    z = [f"__z{i}" for i in range(len(x))]
     rows = lines.withColumns({name: (x[c] - m) / s if s > 0 else F.lit(0.0) for name, c, m, s in zip(z, MODEL_COLUMNS, mean, std)})
     pairs = [(i, j) for i in range(len(z)) for j in range(i + 1)]
     sums = rows.agg(*[F.sum(F.col(z[i]) * F.col(z[j])) for i, j in pairs]).first()
@@ -225,29 +264,41 @@ def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
     main = np.linalg.svd(cov)[0][:, :k]
     centre, scale = np.array(mean), np.array([1 / s if s > 0 else 0.0 for s in std])
 
-    # in Python: as expressions beside the features these make a method that the JVM no longer compiles
-    @F.pandas_udf(", ".join(f"{name} double" for name in ["error", *y]))
-    def project(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            v = (np.stack([c.to_numpy(float) for c in columns], axis=1) - centre) * scale
-            latent = v @ main
-            # components are orthonormal, so the error is the squared length that they leave
-            left = np.maximum((v * v).sum(axis=1) - (latent * latent).sum(axis=1), 0.0)
-            yield pd.DataFrame(np.column_stack([left, latent]), columns=["error", *y])
+    def project(rows: np.ndarray) -> np.ndarray:
+        v = (rows - centre) * scale
+        latent = v @ main
+        # components are orthonormal, so the error is the squared length that they leave
+        left = np.maximum((v * v).sum(axis=1) - (latent * latent).sum(axis=1), 0.0)
+        return np.column_stack([left, latent])
+
+    return lambda: project
 
-    made = lines.withColumn("__p", project(*x.values()))
+
+def reconstruction_errors(df: DataFrame, k: int = 4) -> DataFrame:
+    """Line features with the error of their linear reconstruction from k components, and their places along these."""
+    lines = features(df)
+    y = [f"__y{i}" for i in range(k)]
+    made = applied(lines, "__p", ["error", *y], components(lines, k))
     return made.select(*lines.columns, rounded(F.col("__p.error")).alias("error"), F.array(*[F.col(f"__p.{c}") for c in y]).alias("latent"))
 
 
+#: So many distinct errors at most are sent to all tasks, about 30 bytes each; beyond that lines move to them.
+SENT = 1_000_000
+
+
 def latent_views(errors: DataFrame) -> DataFrame:
-    """reconstruction_errors() with percentile, the share of lines whose error is no larger, in per cent; errors are ranked by ranges."""
+    """reconstruction_errors() with percentile, the share of lines whose error is no larger, in per cent; errors are ranked by ranges.
+
+    errors is written, so give the columns that are wanted only.
+    """
     errors = written(errors, "errors")
     ranked = counted(errors, [], F.col("error")).select(F.col("value").alias("e"), rounded((F.col("before") + F.col("n")) / F.col("whole") * 100).alias("percentile"))
-    return errors.join(ranked, F.col("error") == F.col("e")).drop("e")
+    ranked = written(ranked, "percentiles")
+    return errors.join(F.broadcast(ranked) if ranked.count() <= SENT else ranked, F.col("error") == F.col("e")).drop("e")
 
 
 def reconstruction(df: DataFrame, k: int = 4, share: float = 0.95) -> DataFrame:
     """Lines with their reconstruction error and whether it is above the quantile (to within 1 / ACCURACY of the lines)."""
-    errors = written(reconstruction_errors(df, k), "errors")
+    errors = written(reconstruction_errors(df, k).select("date", "account", "voucher", "label", "amount", "error"), "errors")
     limit = F.broadcast(errors.agg(F.percentile_approx("error", share, ACCURACY).alias("limit")))
     return errors.crossJoin(limit).select("date", "account", "voucher", "label", "amount", "error", (F.col("error") > F.col("limit")).alias("is_outlier"))

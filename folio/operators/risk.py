@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,24 @@ MODELS = ["benford", "isolation", "reconstruction", "nlp"]
 EXPLAIN_OVER = 60
 
 
-def line_risk(df: DataFrame) -> DataFrame:
-    """Lines with their combined risk from digits, isolation forest, reconstruction and label keywords."""
+def line_risk(df: DataFrame, keep: tuple[str, ...] = ("date", "account", "voucher", "label", "amount")) -> DataFrame:
+    """Lines with their combined risk from digits, isolation forest, reconstruction and label keywords.
+
+    keep: columns of the ledger to keep. Both models are applied in one pass, and of lines only what is kept is written, once.
+    """
     odd = F.broadcast(digits.benford(df).where("place = 1").select("digit", F.greatest(number(F.col("z")), F.lit(0.0)).alias("benford")))
-    errors = written(models.reconstruction_errors(df), "errors")
-    rows = models.isolation(df, lines=errors, keep=("error",)).withColumn("digit", digits.digit(F.col("amount"), 1))
-    rows = rows.join(odd, "digit", "left").join(labels.keyword_score(df).select("label", number(F.col("keyword_score")).alias("nlp")), "label", "left")
-    made = rows.select("date", "account", "voucher", "label", "amount", F.coalesce("benford", F.lit(0.0)).alias("benford"), F.col("score").alias("isolation"), F.col("error").alias("reconstruction"), F.coalesce("nlp", F.lit(0.0)).alias("nlp"))
+    # written, so that its size is known, and before the filter, which would be asked of each line; what has no keyword counts 0
+    said = written(labels.keyword_score(df).select("label", number(F.col("keyword_score")).alias("nlp")), "keywords").where("nlp <> 0")
+    lines = models.features(df)
+    forest, parts = models.isolation_scores(lines), models.components(lines)
+
+    def make() -> models.Scores:
+        score, project = forest(), parts()
+        return lambda x: np.column_stack([score(x), project(x)[:, :1]])
+
+    rows = models.applied(lines, "__m", ["isolation", "reconstruction"], make).withColumn("digit", digits.digit(F.col("amount"), 1))
+    rows = rows.join(odd, "digit", "left").join(said, "label", "left")
+    made = rows.select(*keep, F.coalesce("benford", F.lit(0.0)).alias("benford"), F.col("__m.isolation").alias("isolation"), rounded(F.col("__m.reconstruction")).alias("reconstruction"), F.coalesce("nlp", F.lit(0.0)).alias("nlp"))
     return combined(written(made, "parts"), MODELS)
 
 
