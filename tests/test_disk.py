@@ -58,3 +58,23 @@ def test_risk_writes_lines_once(led, tables):
     scaled = lambda x: (x - x.min()) / (x.max() - x.min()) * 100
     assert np.allclose(got["isolation"], scaled(scores["score"]), atol=1e-3) and np.allclose(got["reconstruction"], scaled(errors["error"]), atol=1e-3)
     assert set(got["nlp"]) == {0.0, 100.0}
+
+
+def test_lines_do_not_move_to_their_percentiles(spark, led, tables):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        views = models.latent_views(models.reconstruction_errors(led).select("voucher", "error", "latent"))
+        plan = views._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tables["errors"] == ["voucher", "error", "latent"]
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    errors = np.array([r["error"] for r in views.select("error").collect()])
+    assert len(errors) == 3000 and all(abs(r["percentile"] - (errors <= r["error"]).mean() * 100) < 1e-3 for r in views.collect()[:50])
+
+
+def test_lines_move_to_percentiles_that_are_too_many(led, monkeypatch):
+    few = {r["voucher"]: r["percentile"] for r in models.latent_views(models.reconstruction_errors(led).select("voucher", "error")).collect()}
+    monkeypatch.setattr(models, "SENT", 10)
+    assert {r["voucher"]: r["percentile"] for r in models.latent_views(models.reconstruction_errors(led).select("voucher", "error")).collect()} == few
