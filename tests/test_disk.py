@@ -60,6 +60,23 @@ def test_risk_writes_lines_once(led, tables):
     assert set(got["nlp"]) == {0.0, 100.0}
 
 
+def test_first_outliers_need_few_whole_lines(spark, led, tables):
+    """Only lines that may be among the first are written with other columns than the score, in batches of 100 and in one."""
+    every = models.isolation(led, trees=20, sample=64, keep=models.MODEL_COLUMNS)
+    want = models.isolation_top(led, every, 5).orderBy("rank").collect()
+    for batch in ("100", "10000"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            some = models.isolation(led, trees=20, sample=64, keep=models.MODEL_COLUMNS, most=5)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert models.isolation_top(led, some, 5).orderBy("rank").collect() == want
+        assert some.count() == 3000 and some.where("voucher IS NOT NULL").count() < 1500
+        assert sorted(r["score"] for r in some.collect()) == sorted(r["score"] for r in every.collect())
+        assert some.where("is_outlier").count() == every.where("is_outlier").count()
+
+
 def test_lines_do_not_move_to_their_percentiles(spark, led, tables):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
