@@ -77,6 +77,12 @@ def test_first_outliers_need_few_whole_lines(spark, led, tables):
         assert some.where("is_outlier").count() == every.where("is_outlier").count()
 
 
+def test_reconstruction_writes_what_it_returns(led, tables):
+    got = models.reconstruction(led)
+    assert tables["errors"] == ["date", "account", "voucher", "label", "amount", "error"]
+    assert got.count() == 3000
+
+
 def test_lines_do_not_move_to_their_percentiles(spark, led, tables):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
