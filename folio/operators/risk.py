@@ -41,6 +41,7 @@ def line_risk(df: DataFrame, keep: tuple[str, ...] = ("date", "account", "vouche
     odd = F.broadcast(digits.benford(df).where("place = 1").select("digit", F.greatest(number(F.col("z")), F.lit(0.0)).alias("benford")))
     # written, so that its size is known, and before the filter, which would be asked of each line; what has no keyword counts 0
     said = written(labels.keyword_score(df).select("label", number(F.col("keyword_score")).alias("nlp")), "keywords").where("nlp <> 0")
+    said = F.broadcast(said) if said.count() <= models.SENT else said
     lines = models.features(df)
     forest, parts = models.isolation_scores(lines), models.components(lines)
 
